@@ -1,8 +1,8 @@
 """Toxicity by a classifier chain.
 
-Categories are predicted in a fixed order. Each has a linear (logistic) model over hashed word and word-beginning
-features; from the second on a model also takes the log-odds of the earlier categories. While training, those are
-out-of-fold predictions, so later models learn from probabilities as uncertain as they will be in use.
+Categories are predicted in a fixed order. Each has a linear (logistic) model over the presence of words and word
+beginnings that tell its classes apart; from the second on a model also takes the log-odds of the earlier categories.
+While training, those are out-of-fold predictions, so later models learn from probabilities as uncertain as in use.
 Training takes at most ``PER_CLASS`` labelled documents of each combination of labels, picked by hash.
 
 Defined results: null or empty text has no features and gets the models' bias alone; a category with one class in its
@@ -15,7 +15,6 @@ from __future__ import annotations
 import pickle
 import re
 import zlib
-from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -25,111 +24,121 @@ from pyspark.sql.types import DoubleType, StructField, StructType
 
 from recordloom.llm.core import bounded_ids
 
-DIMS = 1 << 17
 FOLDS = 3
 #: Bound of the training sample: documents of a combination of labels; and that on combinations.
-PER_CLASS = 1200
+PER_CLASS = 1000
 MAX_CLASSES = 16
+#: A category's model takes the features whose share differs between its classes by so many standard errors, at most so many.
+Z, MAX_FEATURES = 4.5, 20_000
 MEMORY = 300_000
-WORD = re.compile(r"[^\W\d_]+")
+TOKEN = re.compile(r"[^\W\d_]+|[^\w\s]{2,}")
 
 
-def places(word: str) -> tuple[int, ...]:
-    """Hashed features of a lower-case word: the word, and its first 4, 5 and 6 letters when longer."""
-    parts = [word, *(f"{word[:k]}*" for k in (4, 5, 6) if len(word) > k)]
-    return tuple(zlib.crc32(p.encode()) % DIMS for p in parts)
+def parts(word: str) -> list[str]:
+    """Features of a lower-case word: itself, and its first 4, 5 and 6 letters when longer."""
+    return [word, *[word[:k] + "*" for k in (4, 5, 6) if len(word) > k]]
 
 
-def counts(text: str | None) -> Counter:
-    return Counter(WORD.findall((text or "").lower()))
-
-
-def scale(n_words: int) -> float:
-    """Words count by presence; long texts are damped only slowly, so a few strong words still show."""
-    return 1 / (1 + n_words) ** 0.25
+def tokens(text: str | None) -> set[str]:
+    return set(TOKEN.findall((text or "").lower()))
 
 
 class Rows:
-    """Sparse rows over the features that occur in at least two documents."""
+    """Sparse 0/1 rows over the features that occur in at least five documents."""
 
     def __init__(self, texts: list[str]):
-        row, col, val = [], [], []
+        known: dict[str, int] = {}
+        row, col = [], []
         for i, t in enumerate(texts):
-            c = counts(t)
-            own = {f for w in c for f in places(w)}
-            row += [i] * len(own)
-            col += own
-            val += [scale(len(c))] * len(own)
-        row, col, val = np.array(row, np.int32), np.array(col, np.int64), np.array(val, np.float32)
-        seen = np.bincount(col, minlength=DIMS) >= 2
-        self.features = np.flatnonzero(seen)
-        to = np.cumsum(seen) - 1
-        keep = seen[col]
-        self.row, self.col, self.val, self.n = row[keep], to[col[keep]], val[keep], len(texts)
-
-    def fit(self, y: np.ndarray, extra: np.ndarray, rows: np.ndarray, l2: float = 2e-4, steps: int = 150) -> tuple[np.ndarray, np.ndarray, float]:
+            own = {known.setdefault(f, len(known)) for w in tokens(t) for f in parts(w)}
+            row.append(np.full(len(own), i, np.int32))
+            col.append(np.fromiter(own, np.int32, len(own)))
+        row, col = np.concatenate(row), np.concatenate(col)
+        seen = np.bincount(col, minlength=len(known)) >= 5
+        keep, to = seen[col], np.cumsum(seen) - 1
+        self.names = [f for f, s in zip(known, seen, strict=True) if s]
+        self.row, self.col, self.n = row[keep], to[col[keep]], len(texts)
+
+    def select(self, y: np.ndarray, rows: np.ndarray) -> np.ndarray:
+        """Features that tell the classes apart on the rows of a mask."""
+        d, pick = len(self.names), rows[self.row]
+        both = np.bincount(self.col[pick], minlength=d)
+        ones = np.bincount(self.col[pick], y[self.row[pick]], d)
+        n1, n = max(1.0, (y * rows).sum()), rows.sum()
+        n0, p = max(1.0, n - n1), both / max(1, n)
+        z = np.abs(ones / n1 - (both - ones) / n0) / np.sqrt(np.maximum(p * (1 - p), 1e-9) * (1 / n1 + 1 / n0))
+        best = np.argsort(-z, kind="stable")[:MAX_FEATURES]
+        return np.sort(best[z[best] >= Z])
+
+    def fit(self, y: np.ndarray, extra: np.ndarray, rows: np.ndarray, l2: float = 1e-3, steps: int = 300) -> tuple[np.ndarray, np.ndarray, float]:
         """Logistic regression with balanced classes on the rows of a mask, by accelerated gradient steps."""
-        pick = rows[self.row]
-        r, c, v = self.row[pick], self.col[pick], self.val[pick]
+        chosen = self.select(y, rows)
+        to = np.full(len(self.names), -1)
+        to[chosen] = np.arange(len(chosen))
+        pick = rows[self.row] & (to[self.col] >= 0)
+        r, c, d = self.row[pick], to[self.col[pick]], len(chosen)
         share = np.where(y > 0, 0.5 / max(1, (y * rows).sum()), 0.5 / max(1, ((1 - y) * rows).sum())) * rows
-        d = len(self.features)
         w = past = np.zeros(d + extra.shape[1] + 1)
-        size = np.bincount(r, v * v, self.n) + (extra**2).sum(axis=1) + 1
-        rate = 4 / size[rows].max()
+        size = np.bincount(r, minlength=self.n) + (extra**2).sum(axis=1) + 1
+        rate = 4 / np.average(size, weights=share)  # most rows; the step halves where it overshoots
+        last = np.inf
         for k in range(steps):
             z = w + k / (k + 3) * (w - past)
             past = w
-            m = np.bincount(r, v * z[c], self.n) + extra @ z[d:-1] + z[-1]
+            m = np.bincount(r, z[c], self.n) + extra @ z[d:-1] + z[-1]
+            loss = (np.logaddexp(0, np.where(y > 0, -m, m)) * share).sum() + l2 / 2 * (z[:-1] ** 2).sum()
+            if loss > last * 1.01:
+                rate, past = rate / 2, w
+            last = min(last, loss)
             e = (1 / (1 + np.exp(-np.clip(m, -30, 30))) - y) * share
-            g = np.concatenate([np.bincount(c, v * e[r], d), extra.T @ e, [e.sum()]])
+            g = np.concatenate([np.bincount(c, e[r], d), extra.T @ e, [e.sum()]])
             g[:-1] += l2 * z[:-1]
             w = z - rate * g
-        return w[:d], w[d:-1], float(w[-1])
+        full = np.zeros(len(self.names))
+        full[chosen] = w[:d]
+        return full, w[d:-1], float(w[-1])
 
     def margins(self, w: np.ndarray, chain: np.ndarray, bias: float, extra: np.ndarray) -> np.ndarray:
-        return np.bincount(self.row, self.val * w[self.col], self.n) + extra @ chain + bias
+        return np.bincount(self.row, w[self.col], self.n) + extra @ chain + bias
 
 
 def fit_chain(texts: list[str], labels: np.ndarray, folds: np.ndarray) -> dict:
-    """labels: (n, categories) of 0/1. Weights per category, over DIMS features and the earlier categories."""
+    """labels: (n, categories) of 0/1. Per category: weights by feature, those of the earlier categories, bias."""
     x = Rows(texts)
     extra = np.zeros((len(texts), 0))
-    weights, chains, biases = [], [], []
+    weights, chains, biases = {}, [], []
     for k in range(labels.shape[1]):
         y = labels[:, k].astype(float)
         w, chain, bias = x.fit(y, extra, np.ones(len(texts), bool))
         out = np.zeros(len(texts))
         for f in range(FOLDS):
             inside = folds != f
-            if inside.any():
+            if inside.any() and not inside.all():
                 out = np.where(inside, out, x.margins(*x.fit(y, extra, inside), extra))
-        full = np.zeros(DIMS, np.float32)
-        full[x.features] = w
-        weights.append(full)
+        for i in np.flatnonzero(w):
+            weights.setdefault(x.names[i], np.zeros(labels.shape[1]))[k] = w[i]
         chains.append(chain)
         biases.append(bias)
         extra = np.column_stack([extra, np.clip(out, -6, 6)])
-    return {"weights": np.stack(weights, axis=1), "chains": chains, "biases": biases}
+    return {"weights": weights, "chains": chains, "biases": biases}
 
 
 class Scorer(dict):
-    """word -> its features' places and weights, remembered."""
+    """word -> its features that have weights, remembered."""
 
     def __init__(self, model: dict):
         super().__init__()
-        self.model = model
+        self.model, self.known = model, model["weights"].keys()
 
-    def __missing__(self, word: str) -> tuple[int, ...]:
+    def __missing__(self, word: str) -> tuple[str, ...]:
         if len(self) >= MEMORY:
             self.clear()
-        w = self.model["weights"]
-        self[word] = found = tuple(p for p in places(word) if w[p].any())
+        self[word] = found = tuple(p for p in parts(word) if p in self.known)
         return found
 
     def score(self, text: str | None) -> list[float]:
-        words = counts(text)
-        at = {p for w in words for p in self[w]}
-        base = self.model["weights"].take(sorted(at), axis=0).sum(axis=0, dtype=np.float64) * scale(len(words))
+        own = set().union(*map(self.__getitem__, tokens(text)))
+        base = sum((self.model["weights"][f] for f in sorted(own)), np.zeros(len(self.model["biases"])))
         margins: list[float] = []
         for k, (chain, bias) in enumerate(zip(self.model["chains"], self.model["biases"], strict=True)):
             margins.append(float(base[k] + bias + np.dot(chain, np.clip(margins, -6, 6))))
@@ -164,12 +173,12 @@ def score(docs: DataFrame, model: dict | None, categories: list[str]) -> DataFra
     """docs with p_<category> columns; every other column is kept."""
     names = [f"p_{k}" for k in categories]
     kept = docs.drop(*names)
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # DIMS weights per category
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # at most MAX_FEATURES weights per category
 
     def scored(batches):
-        scorer = Scorer(shared.value) if shared.value else None
+        scorer = Scorer(shared.value) if shared.value is not None else None
         for batch in batches:
-            found = [scorer.score(t.as_py()) if scorer else [0.0] * len(names) for t in batch["text"]]
+            found = [scorer.score(t.as_py()) if scorer is not None else [0.0] * len(names) for t in batch["text"]]
             columns = [pa.array([x[k] for x in found], pa.float64()) for k in range(len(names))]
             yield pa.RecordBatch.from_arrays([*batch.columns, *columns], names=[*batch.schema.names, *names])
 
