@@ -129,17 +129,17 @@ def train(docs: DataFrame, per_language: int = PER_LANGUAGE) -> dict:
     return pickle.loads(picked.select("text", "lang").coalesce(1).mapInArrow(fitted, "model binary").first()["model"])
 
 
-def predict(docs: DataFrame, model: dict) -> DataFrame:
-    """docs with lang_pred and score added; every other column is kept (existing columns of these names are replaced)."""
-    kept = docs.drop("lang_pred", "score")
+def predict(docs: DataFrame, model: dict, names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """docs with the prediction and its score added; every other column is kept (columns of these names are replaced)."""
+    kept = docs.drop(*names)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # DIMS x at most MAX_LANGUAGES^2 / 2 weights
 
     def scored(batches):
         for batch in batches:
             found = [classify(t.as_py(), shared.value) for t in batch["text"]]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())], names=[*batch.schema.names, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())], names=[*batch.schema.names, *names])
 
     from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-    schema = StructType([*kept.schema.fields, StructField("lang_pred", StringType()), StructField("score", DoubleType())])
+    schema = StructType([*kept.schema.fields, StructField(names[0], StringType()), StructField(names[1], DoubleType())])
     return kept.mapInArrow(scored, schema)

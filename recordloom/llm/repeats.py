@@ -472,7 +472,7 @@ def _covered(chunk: Chunk, replies: list[bytes], answers: list[bytes]) -> np.nda
     return np.cumsum(mark)[:n] > 0
 
 
-def _kept(batches, names: list[str], text: str):
+def _kept(batches, names: list[str], text: str, prefix: str):
     """The documents of every chunk without the covered bytes, other columns as they were."""
     for batch in batches:
         for row in _pylist(batch):
@@ -489,7 +489,7 @@ def _kept(batches, names: list[str], text: str):
                 out["kept_sha256"].append(hashlib.sha256(left).hexdigest())
                 out[text].append(left.decode("utf-8", "ignore") if known else None)  # a character cut in two goes wholly
             kinds = {"kept_sha256": pa.string(), text: pa.string()}
-            columns = {k: pa.array(v, kinds.get(k, pa.int64())) for k, v in out.items()} | {k: rest[k] for k in rest.schema.names}
+            columns = {k if k == text else prefix + k: pa.array(v, kinds.get(k, pa.int64())) for k, v in out.items()} | {k: rest[k] for k in rest.schema.names}
             yield pa.RecordBatch.from_arrays([columns[k] for k in names], names=names)
 
 
@@ -520,16 +520,16 @@ def maximal_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     return resolved.select("groups").mapInArrow(listed, "length long, occurrences long, doc_id long")
 
 
-def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """docs with the repeated bytes taken out of text, and n_bytes, n_removed, n_spans, kept_sha256 added."""
-    added = [("n_bytes", LongType()), ("n_removed", LongType()), ("n_spans", LongType()), ("kept_sha256", StringType())]
+def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", prefix: str = "") -> DataFrame:
+    """docs with the repeated bytes taken out of text, and n_bytes, n_removed, n_spans, kept_sha256 added (after prefix)."""
+    added = [(prefix + k, StringType() if k == "kept_sha256" else LongType()) for k in ("n_bytes", "n_removed", "n_spans", "kept_sha256")]
     docs = docs.drop(*[k for k, _ in added])
     chunks, found, resolved = _stages(docs, doc_id, text)
     members = found.where("kind = 'member'").groupBy("bucket").agg(F.collect_list(F.struct("chunk", "data")).alias("members"))
     answers = resolved.drop("groups").join(members, "bucket").mapInArrow(_answered, "chunk long, data binary")
     replies = found.where("kind = 'reply'").select("chunk", "data").groupBy("chunk").agg(F.collect_list("data").alias("replies"))  # bounded by the chunk
     answers = answers.groupBy("chunk").agg(F.collect_list("data").alias("answers"))
-    joined = chunks.drop("n_docs").join(replies, "chunk", "left").join(answers, "chunk", "left")
+    joined = chunks.join(replies, "chunk", "left").join(answers, "chunk", "left")
     fields = [StructField(f.name, LongType() if f.name == doc_id else f.dataType) for f in docs.schema.fields] + [StructField(k, t) for k, t in added]
     names = [f.name for f in fields]
-    return joined.mapInArrow(lambda b: _kept(b, names, text), StructType(fields))
+    return joined.mapInArrow(lambda b: _kept(b, names, text, prefix), StructType(fields))
