@@ -103,7 +103,7 @@ class Chunk:
         anchor = at[first].astype(np.int64)
         doc = np.searchsorted(self.ends, first, side="right")
         region = _string_hash(prefix, first, size, powers) ^ (anchor - first).astype(U) * U(0xA24BAED4963EE407)
-        return {"doc": doc, "at": first, "windows": windows, "seed": anchor - first, "anchor": seeds[anchor], "region": region}
+        return {"doc": doc, "at": first, "windows": windows, "seed": anchor - first, "anchor": _spread(seeds[anchor] + U(_P)), "region": region}  # minima are small numbers: spread them again
 
     def entries(self) -> tuple[np.ndarray, dict[str, np.ndarray], np.ndarray]:
         """The chunk's distinct (anchor, region)s, sorted; its occurrences; the entry of each of them."""
