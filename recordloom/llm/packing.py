@@ -62,8 +62,7 @@ def _vectors(batches, path: str):
     tokenizer, matrix = encoder(path), projection()
     for batch in batches:
         out = {"ids": [], "n": [], "v": []}
-        for text in batch["text"]:
-            ids = tokenizer.encode(text.as_py() or "")
+        for ids in tokenizer.encode_all(batch["text"].to_pylist()):
             out["n"].append(len(ids) + 1)
             out["ids"].append(ids.tobytes() + b"\0\0")
             out["v"].append(matrix.take(ids, axis=0).sum(axis=0) / max(1, len(ids)) ** 0.5)

@@ -1,13 +1,15 @@
 """Token ids by the public byte-level BPE, memoised by pre-token.
 
 BPE never merges across the pre-tokenizer's pieces, so a text's ids are those of its pieces in order. Each distinct
-piece is encoded by the tokenizers library once and kept as packed 16-bit ids; a text with characters outside the range
+piece is encoded by the tokenizers library's model once and kept as packed 16-bit ids; a text with characters outside the range
 where our pattern equals the library's is given to the library whole.
 """
 
 from __future__ import annotations
 
 import re
+from array import array
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 
@@ -16,12 +18,20 @@ _LETTERS = "A-Za-zªµºÀ-ÖØ-öø-ɏ"
 _PIECES = re.compile(rf" ?[{_LETTERS}]+|'(?:[sdmt]|ll|ve|re)| ?[0-9]+| ?[^\s0-9{_LETTERS}]+|\s+(?!\S)|\s+")
 _PLAIN = re.compile(rf"[\t\n\r\x20-\x7e{_LETTERS}]*")
 #: Pieces kept per worker (about 200 bytes each); beyond it the memory starts anew.
-MEMORY = 400_000
+MEMORY = 700_000
 DTYPE = np.dtype("<u2")
 
 
+def _alphabet() -> dict[int, str]:
+    """Byte -> the printable character that stands for it in a byte-level vocabulary: printable bytes themselves, the
+    others in order from code point 256 on."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in plain]
+    return {b: chr(b) for b in plain} | {b: chr(256 + k) for k, b in enumerate(rest)}
+
+
 class Encoder(dict):
-    """Piece -> packed ids. encode(text) -> numpy array of ids without the end id."""
+    """Piece -> packed ids."""
 
     def __init__(self, path: str):
         import os
@@ -34,20 +44,23 @@ class Encoder(dict):
         self.tokenizer.encode_special_tokens = True
         if self.tokenizer.get_vocab_size() > 1 << 16:
             raise ValueError("ids are packed in 16 bits")
+        self.merge, self.bytes = self.tokenizer.model.tokenize, _alphabet()
 
     def __missing__(self, piece: str) -> bytes:
+        """The library's BPE model on one piece, whose bytes are spelt in the vocabulary's alphabet."""
         if len(self) >= MEMORY:
             self.clear()
-        self[piece] = ids = self.whole(piece).tobytes()
+        self[piece] = ids = array("H", [t.id for t in self.merge(piece.encode().decode("latin-1").translate(self.bytes))]).tobytes()
         return ids
 
-    def whole(self, text: str) -> np.ndarray:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype=DTYPE)
-
-    def encode(self, text: str) -> np.ndarray:
-        if not _PLAIN.fullmatch(text):
-            return self.whole(text)
-        return np.frombuffer(b"".join(map(self.__getitem__, _PIECES.findall(text))), dtype=DTYPE)
+    def encode_all(self, texts: Iterable[str | None]) -> Iterator[np.ndarray]:
+        """Ids of each text, without an end id, in order. Null is empty."""
+        for text in texts:
+            if not text or _PLAIN.fullmatch(text):
+                packed = b"".join(map(self.__getitem__, _PIECES.findall(text or "")))
+            else:
+                packed = array("H", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+            yield np.frombuffer(packed, dtype=DTYPE)
 
 
 _encoders: dict[str, Encoder] = {}

@@ -133,10 +133,9 @@ def _shards(batches: Iterator[pa.RecordBatch], path: str, shard_tokens: int) ->
 
     end = np.zeros(1, DTYPE)
     for batch in batches:
-        for doc, text in zip(batch["doc_id"], batch["text"], strict=True):
-            own = tokenizer.encode(text.as_py() or "")
+        for doc, own in zip(batch["doc_id"].to_pylist(), tokenizer.encode_all(batch["text"].to_pylist()), strict=True):
             ids += [own, end]
-            docs.append(doc.as_py())
+            docs.append(doc)
             lengths.append(len(own) + 1)
             total += lengths[-1]
             if total >= shard_tokens:
@@ -172,7 +171,6 @@ def document_table(shards: DataFrame) -> DataFrame:
     first = spark.createDataFrame([(p, b) for p, b in before.items()], "part int, part_start long") if before else spark.createDataFrame([], "part int, part_start long")
     starts = shards.select("part", "seq", "n_tokens").withColumn("own", F.sum("n_tokens").over(Window.partitionBy("part").orderBy("seq")) - F.col("n_tokens"))
     starts = starts.join(first, "part").select("part", "seq", (F.col("own") + F.col("part_start")).alias("shard_start"))
-    rows = shards.join(starts, ["part", "seq"])
 
     def read(batches):
         for batch in batches:
@@ -183,6 +181,7 @@ def document_table(shards: DataFrame) -> DataFrame:
                 starts = ends - lengths
                 crcs = [zlib.crc32(ids[a:b].tobytes()) for a, b in zip(starts, ends, strict=True)]
                 docs = np.frombuffer(row["doc_ids"], "<i8")
-                yield pa.RecordBatch.from_arrays([pa.array(docs), pa.array(starts + row["shard_start"]), pa.array(lengths), pa.array(crcs, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
+                yield pa.RecordBatch.from_arrays([pa.array([row["part"]] * len(docs), pa.int32()), pa.array([row["seq"]] * len(docs), pa.int32()), pa.array(docs), pa.array(starts), pa.array(lengths), pa.array(crcs, pa.int64())], names=["part", "seq", "doc_id", "start", "n_tokens", "ids_crc32"])
 
-    return rows.mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    rows = shards.mapInArrow(read, "part int, seq int, doc_id long, start long, n_tokens long, ids_crc32 long")
+    return rows.join(starts, ["part", "seq"]).select("doc_id", (F.col("start") + F.col("shard_start")).alias("start"), "n_tokens", "ids_crc32")
