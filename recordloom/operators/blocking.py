@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from recordloom.functions.text import words
+from recordloom.sources.scratch import table
 
 WEIGHTS = {"g": 0.6, "n": 1.5, "p": 1.2, "x": 0.5, "y": 0.5}  # fixed: weight of a feature by its first letter, else 1
 
@@ -98,8 +99,8 @@ def top_k(pairs: DataFrame, k: int, by: tuple[str, ...] = ("rec",), score: str =
 def channel(s1: DataFrame, rec: DataFrame, features: Callable[[], Column], cap: int) -> tuple[DataFrame, DataFrame]:
     """The two long matrices of a channel over the reference vocabulary: (reference, queries)."""
     own = explode_features(s1, features())
-    idf = fit_idf(own, s1, cap)
-    return unit_rows(own, idf), unit_rows(explode_features(rec, features()), idf)
+    idf = table(fit_idf(own, s1, cap), "idf")
+    return table(unit_rows(own, idf), "reference"), table(unit_rows(explode_features(rec, features()), idf), "queries")
 
 
 def row_cosine(pairs: DataFrame, queries: DataFrame, reference: DataFrame, name: str) -> DataFrame:
@@ -131,10 +132,10 @@ def block(s1: DataFrame, rec: DataFrame, channels: dict | None = None) -> DataFr
     if "addr" in mats:
         s, q = mats["addr"]
         hits += [key_channel(s1, rec, key, s, q) for key in (F.coalesce("glued", F.lit("")), sorted_key(F.col("core")))]
-    pairs = reduce(DataFrame.union, hits).distinct()
+    pairs = table(reduce(DataFrame.union, hits).distinct(), "pairs")
     for k, (s, q) in mats.items():
         pairs = row_cosine(pairs, q, s, f"c_{k}")
-    return pairs
+    return table(pairs, "cosines")
 
 
 # ---- inverted index over key families ------------------------------------------------------------------------------
@@ -160,7 +161,8 @@ def record_keys(records: DataFrame) -> DataFrame:
         "sorted": one(sorted_key(F.col("core"))),
         "acronym": F.when(F.size(tokens) >= 3, F.array(F.array_join(F.transform(tokens, lambda x: F.substring(x, 1, 1)), ""))).otherwise(F.array().cast("array<string>")),
     }
-    tagged = [F.transform(F.array_distinct(v), lambda x, k=k: F.struct(F.lit(k).alias("kind"), x.alias("key"))) for k, v in families.items()]
+    of = lambda kind: lambda x: F.struct(F.lit(kind).alias("kind"), x.alias("key"))
+    tagged = [F.transform(F.array_distinct(v), of(k)) for k, v in families.items()]
     return records.select("id", "country", F.explode(F.concat(*tagged)).alias("k")).select("id", "country", "k.kind", "k.key")
 
 

@@ -50,7 +50,7 @@ def learn_script_tokens(texts: DataFrame) -> DataFrame:
 
 
 def _components(addr: Column) -> Column:
-    return F.filter(F.transform(F.split(addr, ","), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(addr, ","), lambda x: F.trim(x)), lambda x: x != "")
 
 
 def learn_components(texts: DataFrame, reference: DataFrame, least: int = 20, share: float = 0.6, state_rows: int = 300, own_share: float = 0.2) -> DataFrame:

@@ -10,6 +10,7 @@ import math
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from recordloom.functions.text import ALIASES, LEGAL_FORMS, SCRIPTS, dominant_script, join_initials, skeleton, squeeze, words
 
@@ -124,7 +125,7 @@ def segmenter(vocabulary: DataFrame, limit: int = 50_000):
             end = best[end][1]
         return " ".join(reversed(out))
 
-    @F.pandas_udf("string")
+    @F.pandas_udf(StringType())
     def run(values: pd.Series) -> pd.Series:
         return values.map(lambda s: None if s is None else " ".join(map(cut, s.split())))
 

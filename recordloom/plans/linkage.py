@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from recordloom.functions.text import INDIC, normalize_address, normalize_name
 from recordloom.operators import blocking, decide, evaluate, lexicon, models, pairs, ranking
+from recordloom.sources.scratch import table
 
 
 @dataclass
@@ -34,8 +35,8 @@ def normalize(records: DataFrame, lex: Lexicon | None = None) -> DataFrame:
     from recordloom.functions.text import literal_map
 
     lex = lex or Lexicon()
-    table = lambda t: lexicon.as_map(t) if t is not None else None
-    script, comps, tokens = table(lex.script_tokens), table(lex.components), table(lex.tokens)
+    as_map = lambda t: lexicon.as_map(t) if t is not None else None
+    script, comps, tokens = as_map(lex.script_tokens), as_map(lex.components), as_map(lex.tokens)
     name = normalize_name(F.col("name"), script)
     usual, french = normalize_address(F.col("addr"), tokens, comps, script), normalize_address(F.col("addr"), literal_map(lex.french), None, script)
     rows = records.withColumns({"_n": name, "_a": F.when(F.col("country") == "France", french).otherwise(usual)})
@@ -44,6 +45,7 @@ def normalize(records: DataFrame, lex: Lexicon | None = None) -> DataFrame:
 
 def candidates(norm: DataFrame, channels: dict | None = None) -> DataFrame:
     """Blocked pairs with cosines, ranks, margins and cheap features."""
+    norm = table(norm, "normalized")
     s1, rec = norm.where("src = 1"), norm.where("src > 1")
     found = blocking.block(s1, rec, channels)
     names = [c[2:] for c in found.columns if c.startswith("c_")]
@@ -67,7 +69,7 @@ class Fitted:
     threshold: float
 
 
-def train(norm: DataFrame, truth: DataFrame, checkpoint, channels: dict | None = None) -> tuple[DataFrame, Fitted]:
+def train(norm: DataFrame, truth: DataFrame, checkpoint=table, channels: dict | None = None) -> tuple[DataFrame, Fitted]:
     """Scored pairs (p1, p2, out of fold) and the fitted models. checkpoint(df, name) writes a table and reads it back."""
     cand = checkpoint(evaluate.attach_labels(candidates(norm, channels), truth), "candidates")
     cheap = models.feature_columns(cand)
@@ -87,7 +89,7 @@ def train(norm: DataFrame, truth: DataFrame, checkpoint, channels: dict | None =
     return p2, Fitted(pruner, first, second, (cheap, cols, cols2), t)
 
 
-def predict(norm: DataFrame, fitted: Fitted, checkpoint, channels: dict | None = None) -> DataFrame:
+def predict(norm: DataFrame, fitted: Fitted, checkpoint=table, channels: dict | None = None) -> DataFrame:
     """(rec, s1, p2) of accepted pairs on new records."""
     cand = candidates(norm, channels)
     kept = ranking.prune(models.mean_of(fitted.pruner, models.with_columns_of(cand, fitted.columns[0]), "p_prune"))
