@@ -41,7 +41,7 @@ def test_train_and_predict(spark, world, monkeypatch):
     import functools
 
     monkeypatch.setattr(models, "fit_trees", functools.partial(models.fit_trees, rounds=3, depth=3))
-    monkeypatch.setattr(models.out_of_fold, "__defaults__", ("fold", 2, "ho", models.fit_trees))
+    monkeypatch.setattr(models.out_of_fold, "__defaults__", ("fold", 3, "ho", models.fit_trees))
     scored, fitted = linkage.train(world["norm"], world["truth"], channels=CHANNELS)
     assert {"p1", "p2", "cl_n", "p1_gap"} <= set(scored.columns) and 0.2 <= fitted.threshold <= 0.95
     people = world["s1"].select(F.col("id").alias("s1"))
