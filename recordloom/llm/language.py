@@ -126,7 +126,8 @@ def train(docs: DataFrame, per_language: int = PER_LANGUAGE) -> dict:
         order.sort(key=lambda i: (langs[i], texts[i]))
         yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(_packed(fit([texts[i] for i in order], [langs[i] for i in order])))])], names=["model"])
 
-    return pickle.loads(picked.select("text", "lang").coalesce(1).mapInArrow(fitted, "model binary").first()["model"])
+    found = picked.select("text", "lang").coalesce(1).mapInArrow(fitted, "model binary").first()
+    return pickle.loads(found["model"]) if found else _packed(fit([], []))
 
 
 def predict(docs: DataFrame, model: dict, names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
