@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from recordloom.functions import ids, similarity, text
-from recordloom.operators import blocking, decide, evaluate, lexicon, names, pairs, profile, ranking, validate
+from recordloom.operators import blocking, classic, decide, evaluate, lexicon, names, pairs, profile, ranking, synth, validate
 from recordloom.operators.runs import running_sums
 from recordloom.plans import linkage
 from recordloom.plans.fixture import CTES, tables
@@ -590,6 +590,71 @@ def running_totals(t):
     return running_sums(t.table("orders").select("o_orderkey", F.col("o_totalprice").cast("decimal(18,2)").alias("o_totalprice")), "o_orderkey", {"o_totalprice": "running"}).select("o_orderkey", F.col("running").cast("double").alias("running"))
 
 
+# ---- the classic family ------------------------------------------------------------------------------------------------
+@query("SELECT id, trim(regexp_replace(lower(replace(name, '&', ' and ')), '[^0-9a-z]+', ' ', 'g')) AS plain FROM records")
+def classic_names(t):
+    return t.records.select("id", classic.normalize_name(F.col("name")).alias("plain"))
+
+
+_ST = "MAP {" + ", ".join(f"'{k}': '{v}'" for k, v in classic.STREETS.items()) + "}"
+
+
+@query(rf"SELECT id, array_to_string(list_transform(list_filter(string_split(trim(regexp_replace(lower(regexp_replace(addr, '(?i)\bn\s*/\s*a\b', ' ', 'g')), '[^0-9a-z]+', ' ', 'g')), ' '), lambda w: w <> ''), lambda w: coalesce({_ST}[w], w)), ' ') AS addr FROM records")
+def classic_addresses(t):
+    return t.records.select("id", classic.normalize_address(F.col("addr")).alias("addr"))
+
+
+def _classic_sides(t):
+    """True pairs with the classic columns of both sides."""
+    r = t.records.select("id", "country", classic.normalize_name(F.col("name")).alias("name"), classic.normalize_address(F.col("addr")).alias("addr"), F.col("addr").alias("raw"))
+    keys = names.canonical_keys(F.col("name"))
+    r = scratch.table(r.select("id", "country", "name", F.col("name").alias("rom"), "addr", F.col("addr").alias("addr_rom"), "raw", keys["c4b"].alias("core"), keys["legal"].alias("legal"), classic.canonical_address(F.col("addr"), F.col("country")).alias("canon")), "classic")
+    out = t.truth.where("rec >= 0").select("rec", "s1")
+    for side, key in (("a", "s1"), ("b", "rec")):
+        out = out.join(r.select(F.col("id").alias(key), *[F.col(c).alias(f"{side}_{c}") for c in r.columns if c != "id"]), key)
+    return r, out
+
+
+@query()
+def classic_base_features(t):
+    return classic.base_features(_classic_sides(t)[1]).drop("a_raw", "b_raw")
+
+
+@query()
+def classic_extra_features(t):
+    r, out = _classic_sides(t)
+    idfs = {(f, g): scratch.table(classic.country_idf(r.select("country", F.col(c).alias("text")), g), "idf") for f, c in (("n", "rom"), ("a", "canon")) for g in (True, False)}
+    return classic.extra_features(out, idfs)
+
+
+@query()
+def classic_decoy_features(t):
+    r, out = _classic_sides(t)
+    return classic.ambiguity_features(classic.pruner_features(classic.decoy_features(out, names.token_table(r, "core").withColumnRenamed("token", "word"))), r.where("id < 20000000000"))
+
+
+@query()
+def classic_ngram_rows(t):
+    return classic.sublinear_rows(t.norm.select("id", F.col("core").alias("text")))
+
+
+@query()
+def canonical_names(t):
+    keys = names.canonical_keys(names.clean_name(F.col("name")))
+    return t.records.select("id", keys["c4a"].alias("c4a"), keys["c4b"].alias("c4b"), keys["legal"].alias("legal"))
+
+
+@query()
+def ocr_repairs(t):
+    s1, rec = _split(t)
+    return names.ocr_fixes(names.token_table(rec, "core"), names.token_table(s1, "core").withColumnRenamed("token", "word"))
+
+
+@query()
+def noisy_records(t):
+    return synth.noisy_records(t.s1, 3, 1.6, 0.6)
+
+
 @query()
 def linkage_candidates(t):
     channels = {k: (f, _CAP, n) for k, (f, _, n) in blocking.CHANNELS.items()}
