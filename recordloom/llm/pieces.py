@@ -1,7 +1,7 @@
 """Encoding with a SentencePiece BPE model under seeded merge-dropout, and decoding.
 
-Text is cut before every run of word marks (no piece of such a model joins a letter to a later mark, which ``Model``
-checks), so units are segmented alone. Inside a unit an agenda holds candidate merges by (score, place). A popped
+Text is cut before every run of word marks, and between letters and other characters (no piece of such a model joins
+them, which ``Model`` checks), so units are segmented alone. Inside a unit an agenda holds candidate merges by (score, place). A popped
 candidate is skipped, for good, when a hash keyed by (seed, variant, unit, place, piece) falls under the dropout rate;
 otherwise its two symbols become one and new neighbours enter the agenda. ``variant`` is one of ``VARIANTS`` classes of
 the document's own hash, so different documents get different segmentations of the same word, repeatably. Dropout 0
@@ -28,9 +28,11 @@ MARK = "▁"
 VARIANTS = 4
 DROPOUT = 0.1
 SEED = 17
-MEMORY = 150_000
-#: Escape for a mark in the text itself: its UTF-8 bytes as byte pieces.
-_UNITS = re.compile(" +[^ ]*|[^ ]+")
+MEMORY = 250_000
+#: Letters, without the superscripts and fractions that count as word characters.
+_LETTER = re.compile(r"[^\W\d_²³¹¼-¾]")
+#: Spaces and what follows: a run of letters or of anything else.
+_UNITS = re.compile(r" *[^\W\d_²³¹¼-¾]+| *(?:(?! )[\W\d_²³¹¼-¾])+| +")
 
 
 class Model:
@@ -46,11 +48,16 @@ class Model:
         self.byte_of = {i: b for b, i in self.bytes.items()}
         plain = [i for i in range(n) if not (self.library.is_byte(i) or self.library.is_control(i) or self.library.is_unknown(i))]
         self.ids = {self.pieces[i]: i for i in plain}
-        self.score = {self.pieces[i]: self.library.get_score(i) for i in plain}
+        score = {self.pieces[i]: self.library.get_score(i) for i in plain}
+        order = {s: k for k, s in enumerate(sorted(set(score.values()), reverse=True))}
+        self.rank = {p: order[s] for p, s in score.items()}
+        if any("\0" in p for p in self.ids):
+            raise ValueError("a piece holds the character that sets literal marks apart")
         if len(self.bytes) != 256:
             raise ValueError("the model has no byte fallback, so decoding would lose text")
-        if any(re.search(f"[^{MARK}]{MARK}", p) for p in self.ids):
-            raise ValueError("a piece joins a letter to a later word mark: units can't be segmented alone")
+        joined = {(a, b) for p in self.ids for a, b in zip(p, p[1:], strict=False) if a != MARK}
+        if any(b == MARK or bool(_LETTER.match(a)) != bool(_LETTER.match(b)) for a, b in joined):
+            raise ValueError("a piece joins letters to other characters or to a later mark: units can't be segmented alone")
 
 
 _models: dict[str, Model] = {}
@@ -68,38 +75,47 @@ def default_path() -> str:
     return public_tokenizers.path("piece_bpe_32k.model")
 
 
+_SHIFT, _PLACE = 24, (1 << 24) - 1
+
+
 def segment(unit: str, model: Model, dropout: float, key: int) -> list[int]:
-    """Ids of one unit. unit has its spaces as spaces; a literal mark stays apart and becomes bytes."""
-    symbols = [MARK if c == " " else "\0mark" if c == MARK else c for c in unit]
-    n = len(symbols)
-    left, right, live = list(range(-1, n - 1)), [*range(1, n), -1], [True] * n
-    agenda: list[tuple[float, int, int, str]] = []
-    limit = int(dropout * 2**32)
-    name = unit.encode("utf-8", "surrogatepass")
-
-    def propose(i: int, j: int) -> None:
-        if i >= 0 and j >= 0 and (score := model.score.get(symbols[i] + symbols[j])) is not None:
-            heapq.heappush(agenda, (-score, i, j, symbols[i] + symbols[j]))
-
-    for i in range(n - 1):
-        propose(i, i + 1)
+    """Ids of one unit. unit has its spaces as spaces; a literal mark stays apart and becomes bytes.
+
+    An agenda entry is one integer: the rank of the merged piece's score, then the place of its left symbol.
+    """
+    symbols: list[str | None] = [MARK if c == " " else "\0" + MARK if c == MARK else c for c in unit]
+    n, rank = len(symbols), model.rank.get
+    right, left = [*range(1, n), -1], list(range(-1, n - 1))
+    agenda = [r << _SHIFT | i for i in range(n - 1) if (r := rank(symbols[i] + symbols[i + 1])) is not None]
+    heapq.heapify(agenda)
+    limit, own = int(dropout * 2**32), xxhash.xxh32_intdigest(unit.encode("utf-8", "surrogatepass"), key)
     while agenda:
-        _, i, j, piece = heapq.heappop(agenda)
-        if not (live[i] and live[j] and right[i] == j and symbols[i] + symbols[j] == piece):
+        entry = heapq.heappop(agenda)
+        r, i = entry >> _SHIFT, entry & _PLACE
+        j = right[i]
+        if j < 0 or symbols[i] is None or rank(piece := symbols[i] + symbols[j]) != r:
             continue
-        if limit and xxhash.xxh32_intdigest(b"%d/%s/" % (i, piece.encode()) + name, key) < limit:
+        # keyed by (seed and variant, unit) in own, by place and by merged piece
+        h = (own ^ i * 0x9E3779B1 ^ r * 0x85EBCA77) & 0xFFFFFFFF
+        h = (h ^ h >> 15) * 0xC2B2AE3D & 0xFFFFFFFF
+        if (h ^ h >> 13) < limit:
             continue
-        symbols[i], live[j], right[i] = piece, False, right[j]
-        if right[i] >= 0:
-            left[right[i]] = i
-        propose(left[i], i)
-        propose(i, right[i])
+        symbols[i], symbols[j], k = piece, None, right[j]
+        right[i] = k
+        if k >= 0:
+            left[k] = i
+            if (r := rank(piece + symbols[k])) is not None:
+                heapq.heappush(agenda, r << _SHIFT | i)
+        if (k := left[i]) >= 0 and (r := rank(symbols[k] + piece)) is not None:
+            heapq.heappush(agenda, r << _SHIFT | k)
     out: list[int] = []
-    for k in range(n):
-        if live[k]:
-            s = MARK if symbols[k] == "\0mark" else symbols[k]
-            known = model.ids.get(s) if symbols[k] != "\0mark" else None
-            out += [known] if known is not None else [model.bytes[b] for b in s.encode("utf-8", "replace")]
+    for s in symbols:
+        if s is not None:
+            known = model.ids.get(s)
+            if known is None:
+                out += [model.bytes[b] for b in s.removeprefix("\0" if s == "\0" + MARK else "").encode("utf-8", "replace")]
+            else:
+                out.append(known)
     return out
 
 
