@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from recordloom.functions import ids, similarity, text
-from recordloom.operators import blocking, classic, decide, evaluate, lexicon, names, pairs, profile, ranking, synth, validate
+from recordloom.operators import blocking, classic, decide, evaluate, lexicon, names, pairs, profile, ranking, reports, synth, validate
 from recordloom.operators.runs import running_sums
 from recordloom.plans import linkage
 from recordloom.plans.fixture import CTES, tables
@@ -590,6 +590,32 @@ def running_totals(t):
     return running_sums(t.table("orders").select("o_orderkey", F.col("o_totalprice").cast("decimal(18,2)").alias("o_totalprice")), "o_orderkey", {"o_totalprice": "running"}).select("o_orderkey", F.col("running").cast("double").alias("running"))
 
 
+_EXACT = "SELECT '{0}' AS key, (SELECT avg(coalesce(nullif(a.{1}, '') = nullif(b.{1}, ''), false)::INT) FROM truth t LEFT JOIN norm a ON a.id = t.s1 LEFT JOIN norm b ON b.id = t.rec WHERE t.rec >= 0) AS recall, quantile_cont(n, 0.5) AS median, quantile_cont(n, 0.95) AS p95, max(n)::BIGINT AS largest FROM (SELECT coalesce(k.n, 0) AS n FROM norm r LEFT JOIN (SELECT {1}, count(*) AS n FROM norm WHERE src = 1 AND {1} <> '' GROUP BY {1}) k USING ({1}) WHERE r.src = 2)"
+
+
+@query(f"{_EXACT.format('glued name', 'glued')} UNION ALL {_EXACT.format('postcode', 'post')} UNION ALL {_EXACT.format('address words', 'atok')}")
+def exact_key_recall(t):
+    s1, rec = _split(t)
+    return reports.exact_key_recall(s1, rec, t.truth, {"glued name": F.col("glued"), "postcode": F.col("post"), "address words": F.col("atok")})
+
+
+@query(f", {_BEST}, acc AS (SELECT * FROM best WHERE p >= 0.55), tr AS (SELECT s1, rec FROM truth WHERE rec >= 0) SELECT outcome, count(*) AS n FROM (SELECT CASE WHEN acc.s1 = tr.s1 THEN 'found' WHEN s.p IS NULL THEN 'not a candidate' WHEN acc.s1 IS NOT NULL THEN 'lost to another entity' WHEN s.p < 0.55 THEN 'below the threshold' ELSE 'not the best' END AS outcome FROM tr LEFT JOIN scored s USING (rec, s1) LEFT JOIN acc ON acc.rec = tr.rec UNION ALL SELECT CASE WHEN tr.s1 IS NULL THEN 'accepted a decoy' ELSE 'accepted another''s record' END FROM acc LEFT JOIN tr ON tr.rec = acc.rec WHERE tr.s1 IS NULL OR tr.s1 <> acc.s1) GROUP BY outcome")
+def failure_kinds(t):
+    return reports.failures(t.scored, decide.assign(t.scored, "p", 0.55), t.truth, "p", 0.55)
+
+
+@query(f", {_BEST}, acc AS (SELECT * FROM best WHERE p >= 0.55) SELECT country, round(matches, 9) AS matches, round(empty, 9) AS empty, round(claimed, 9) AS claimed FROM (SELECT country, avg(coalesce(n, 0)) AS matches, avg((n IS NULL)::INT) AS empty FROM s1 LEFT JOIN (SELECT s1 AS id, count(*) AS n FROM acc GROUP BY s1) USING (id) GROUP BY country) JOIN (SELECT country, avg((acc.rec IS NOT NULL)::INT) AS claimed FROM rec LEFT JOIN acc ON acc.rec = rec.id GROUP BY country) USING (country)")
+def country_sanity(t):
+    out = reports.country_sanity(t.s1, decide.assign(t.scored, "p", 0.55), t.rec)
+    return out.select("country", *[short(c).alias(c) for c in ("matches", "empty", "claimed")])
+
+
+@query(f", {_entity_sql(1.0, '0.55')} SELECT round(avg(f05), 9) AS now, round(avg(CASE WHEN nt = 0 THEN 1.0 WHEN tp = 0 THEN 0.0 ELSE 1.25 * tp / nt / (0.25 + tp / nt) END), 9) AS no_fp, round(avg(CASE WHEN nt = 0 THEN (tp + fp = 0)::INT ELSE 1.25 * nt / (nt + fp) / (0.25 * nt / (nt + fp) + 1) END), 9) AS no_fn FROM f")
+def loss_parts(t):
+    counts = evaluate.per_entity(decide.assign(t.scored, "p", 0.55), t.truth, t.s1.select(F.col("id").alias("s1")))
+    return evaluate.loss_parts(counts).select(*[short(c).alias(c) for c in ("now", "no_fp", "no_fn")])
+
+
 # ---- the classic family ------------------------------------------------------------------------------------------------
 @query("SELECT id, trim(regexp_replace(lower(replace(name, '&', ' and ')), '[^0-9a-z]+', ' ', 'g')) AS plain FROM records")
 def classic_names(t):
