@@ -30,6 +30,8 @@ PER_CLASS = 1000
 MAX_CLASSES = 16
 #: A category's model takes the features whose share differs between its classes by so many standard errors, at most so many.
 Z, MAX_FEATURES = 4.5, 20_000
+#: and by at least this ratio (as a logarithm): words that merely go with a language or a length don't pass.
+ODDS = 1.4
 MEMORY = 300_000
 TOKEN = re.compile(r"[^\W\d_]+|[^\w\s]{2,}")
 
@@ -44,7 +46,7 @@ def tokens(text: str | None) -> set[str]:
 
 
 class Rows:
-    """Sparse 0/1 rows over the features that occur in at least five documents."""
+    """Sparse 0/1 rows over the features that occur in at least three documents."""
 
     def __init__(self, texts: list[str]):
         known: dict[str, int] = {}
@@ -54,7 +56,7 @@ class Rows:
             row.append(np.full(len(own), i, np.int32))
             col.append(np.fromiter(own, np.int32, len(own)))
         row, col = np.concatenate(row), np.concatenate(col)
-        seen = np.bincount(col, minlength=len(known)) >= 5
+        seen = np.bincount(col, minlength=len(known)) >= 3
         keep, to = seen[col], np.cumsum(seen) - 1
         self.names = [f for f, s in zip(known, seen, strict=True) if s]
         self.row, self.col, self.n = row[keep], to[col[keep]], len(texts)
@@ -67,8 +69,10 @@ class Rows:
         n1, n = max(1.0, (y * rows).sum()), rows.sum()
         n0, p = max(1.0, n - n1), both / max(1, n)
         z = np.abs(ones / n1 - (both - ones) / n0) / np.sqrt(np.maximum(p * (1 - p), 1e-9) * (1 / n1 + 1 / n0))
+        half = 0.5  # of a document, so that shares of 0 compare
+        odds = np.abs(np.log((ones + half) / (n1 + 1)) - np.log((both - ones + half) / (n0 + 1)))
         best = np.argsort(-z, kind="stable")[:MAX_FEATURES]
-        return np.sort(best[z[best] >= Z])
+        return np.sort(best[(z[best] >= Z) & (odds[best] >= ODDS)])
 
     def fit(self, y: np.ndarray, extra: np.ndarray, rows: np.ndarray, l2: float = 1e-3, steps: int = 300) -> tuple[np.ndarray, np.ndarray, float]:
         """Logistic regression with balanced classes on the rows of a mask, by accelerated gradient steps."""
