@@ -28,7 +28,7 @@ MARK = "▁"
 VARIANTS = 4
 DROPOUT = 0.1
 SEED = 17
-MEMORY = 250_000
+MEMORY = 500_000
 #: Letters, without the superscripts and fractions that count as word characters.
 _LETTER = re.compile(r"[^\W\d_²³¹¼-¾]")
 #: Spaces and what follows: a run of letters or of anything else.
@@ -83,7 +83,8 @@ def segment(unit: str, model: Model, dropout: float, key: int) -> list[int]:
 
     An agenda entry is one integer: the rank of the merged piece's score, then the place of its left symbol.
     """
-    symbols: list[str | None] = [MARK if c == " " else "\0" + MARK if c == MARK else c for c in unit]
+    odd = " " in unit or MARK in unit
+    symbols: list[str | None] = [MARK if c == " " else "\0" + MARK if c == MARK else c for c in unit] if odd else list(unit)
     n, rank = len(symbols), model.rank.get
     right, left = [*range(1, n), -1], list(range(-1, n - 1))
     agenda = [r << _SHIFT | i for i in range(n - 1) if (r := rank(symbols[i] + symbols[i + 1])) is not None]
