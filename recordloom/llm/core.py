@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,7 +14,7 @@ SPACE_CLASS = r"\x20\x09-\x0D"
 WORD_PATTERN = f"[^{SPACE_CLASS}]+"
 SPACE_CHARS = " \t\n\x0b\x0c\r"
 
-_tables: list[str] = []
+_recording: list[list[str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -33,23 +34,27 @@ def materialize(df: DataFrame, name: str, compression: str = "zstd") -> DataFram
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/recordloom/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", compression).parquet(path)
-    _tables.append(path)
+    for made in _recording:
+        made.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def keep(df: DataFrame, name: str) -> DataFrame:
-    """A table like materialize's that release leaves alone."""
-    out = materialize(df, name)
-    _tables.pop()
-    return out
+@contextmanager
+def recorded(made: list[str]):
+    """While open, paths of new scratch tables are added to made."""
+    _recording.append(made)
+    try:
+        yield made
+    finally:
+        _recording.remove(made)
 
 
-def release(spark: SparkSession) -> None:
-    """Delete scratch tables of earlier operators, once nothing lazy reads them any more."""
+def release(spark: SparkSession, made: list[str]) -> None:
+    """Delete recorded scratch tables, once nothing lazy reads them any more."""
     jvm = spark.sparkContext._jvm
     conf = spark.sparkContext._jsc.hadoopConfiguration()
-    while _tables:
-        path = jvm.org.apache.hadoop.fs.Path(_tables.pop())
+    while made:
+        path = jvm.org.apache.hadoop.fs.Path(made.pop())
         path.getFileSystem(conf).delete(path, True)
 
 
@@ -64,11 +69,19 @@ def crc_mod(doc_id: Column, n: int) -> Column:
 
 
 def bounded_ids(rows: DataFrame, per_class: int, classes: str, key: str = "doc_id") -> DataFrame:
-    """At most per_class ids of each class, picked by hash: the documented bound of every training sample."""
+    """At most per_class ids of each class, picked by hash: the documented bound of every training sample.
+
+    A class with many more rows is thinned by hash to about four times the bound first, so that ranking it needs no task
+    that reads the class. classes has few values; their counts are joined by whatever way their size allows.
+    """
     from pyspark.sql import Window
 
+    ids = rows.select(key, classes)
+    counts = ids.groupBy(classes).agg(F.count("*").alias("_n"))
+    share = F.pmod(F.xxhash64(key, F.lit("thin")), F.lit(1 << 30)) < F.lit(float((1 << 30) * 4 * per_class)) / F.col("_n")
+    thin = ids.join(counts, classes).where(share).select(key, classes).distinct()
     w = Window.partitionBy(classes).orderBy(F.xxhash64(key), F.col(key))
-    return rows.select(key, classes).distinct().withColumn("_rank", F.row_number().over(w)).where(F.col("_rank") <= per_class).drop("_rank")
+    return thin.withColumn("_rank", F.row_number().over(w)).where(F.col("_rank") <= per_class).drop("_rank")
 
 
 def partitions(spark: SparkSession) -> int:

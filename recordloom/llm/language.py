@@ -12,7 +12,6 @@ alike; other columns are kept by ``predict``.
 
 from __future__ import annotations
 
-import re
 from itertools import combinations
 
 import numpy as np
@@ -26,7 +25,6 @@ DIMS = 1 << 13
 #: The bound of the training sample, and that on the number of languages with a model.
 PER_LANGUAGE = 600
 MAX_LANGUAGES = 64
-LETTER = re.compile(r"[^\W\d_]")
 UND = "und"
 #: Fixed table: language -> family. A language that isn't listed is a family of its own.
 FAMILIES = {
@@ -37,6 +35,10 @@ FAMILIES = {
 }
 
 
+def has_letter(text: str) -> bool:
+    return any(map(str.isalpha, text))
+
+
 def trigrams(text: str) -> np.ndarray:
     """Hashed places of the trigrams of the text between two spaces."""
     b = np.frombuffer(f" {text.lower()} ".encode("utf-8", "replace"), np.uint8).astype(np.uint32)
@@ -88,7 +90,7 @@ def _vote(names: list[str], margins: dict) -> tuple[str, float]:
 
 
 def classify(text: str | None, model: dict) -> tuple[str, float]:
-    if text is None or not model["family"] or not LETTER.search(text):
+    if text is None or not model["family"] or not has_letter(text):
         return UND, 0.0
     at = trigrams(text)
     pairs, table = model["pairs"], model["table"]
@@ -122,7 +124,7 @@ def train(docs: DataFrame, per_language: int = PER_LANGUAGE) -> dict:
         for batch in batches:
             texts += batch["text"].to_pylist()
             langs += batch["lang"].to_pylist()
-        order = sorted(i for i in range(len(texts)) if LETTER.search(texts[i]))
+        order = sorted(i for i in range(len(texts)) if has_letter(texts[i]))
         order.sort(key=lambda i: (langs[i], texts[i]))
         yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(_packed(fit([texts[i] for i in order], [langs[i] for i in order])))])], names=["model"])
 

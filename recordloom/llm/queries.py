@@ -21,7 +21,7 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = toxicity.train(docs, table(spark, sf_dir, "labels"), CATEGORIES)
     scored = toxicity.score(docs, model, list(CATEGORIES))
-    return scored.select("doc_id", *[F.round(f"p_{k}", 6).alias(f"p_{k}") for k in CATEGORIES], (F.col("p_toxic") >= 0.5).alias("toxic"))
+    return scored.select("doc_id", *[F.round(f"p_{k}", 6).alias(f"p_{k}") for k in CATEGORIES], (F.col("p_toxic") >= (model["cuts"][-1] if model else 1.1)).alias("toxic"))
 
 
 def op2_wavelet(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -79,7 +79,7 @@ def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = language.train(docs)
     found = language.predict(docs.select("doc_id", "text"), model)
-    return found.select("doc_id", (crc_mod(F.col("doc_id"), 3) == 1).alias("held_out"), "lang_pred", "score")
+    return found.select("doc_id", F.coalesce(crc_mod(F.col("doc_id"), 3) == 1, F.lit(False)).alias("held_out"), "lang_pred", "score")
 
 
 def op10_audio(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -493,16 +493,22 @@ def _kept(batches, names: list[str], text: str, prefix: str):
             yield pa.RecordBatch.from_arrays([columns[k] for k in names], names=names)
 
 
+def _dealt(rows: DataFrame) -> DataFrame:
+    """Buckets in turn to the partitions, as many to each."""
+    n = partitions(rows.sparkSession)
+    return rows.repartitionById(n, F.col("bucket") % n)
+
+
 def _stages(docs: DataFrame, doc_id: str, text: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     spark = docs.sparkSession
     buckets = 2 * partitions(spark)
     chunks = materialize(docs.withColumn(doc_id, F.col(doc_id).cast("long")).mapInArrow(lambda b: _chunks(b, doc_id, text), CHUNKS), "chunks", "none")
     lists = chunks.mapInArrow(lambda b: _lists(b, buckets), "bucket int, chunk long, base long, entries binary")
-    lists = lists.repartition(partitions(spark), "bucket").sortWithinPartitions("bucket", "chunk")
+    lists = _dealt(lists).sortWithinPartitions("bucket", "chunk")
     found = materialize(lists.mapInArrow(_compared, KINDS), "repeats")
     asks = found.where("kind = 'fetch'").groupBy("chunk").agg(F.collect_list(F.struct("bucket", "data")).alias("asks"))  # bounded by the chunk
     fetched = chunks.drop("rest", "known").join(asks, "chunk").mapInArrow(_fetched, "bucket int, data binary")
-    fetched = fetched.repartition(partitions(spark), "bucket").sortWithinPartitions("bucket")
+    fetched = _dealt(fetched).sortWithinPartitions("bucket")
     resolved = materialize(fetched.mapInArrow(_resolved, "bucket int, regions binary, counts binary, runs binary, groups binary"), "resolved")
     return chunks, found, resolved
 

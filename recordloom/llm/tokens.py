@@ -18,7 +18,7 @@ _LETTERS = "A-Za-zªµºÀ-ÖØ-öø-ɏ"
 _PIECES = re.compile(rf" ?[{_LETTERS}]+|'(?:[sdmt]|ll|ve|re)| ?[0-9]+| ?[^\s0-9{_LETTERS}]+|\s+(?!\S)|\s+")
 _PLAIN = re.compile(rf"[\t\n\r\x20-\x7e{_LETTERS}]*")
 #: Pieces kept per worker (about 200 bytes each); beyond it the memory starts anew.
-MEMORY = 700_000
+MEMORY = 500_000
 DTYPE = np.dtype("<u2")
 
 

@@ -107,10 +107,10 @@ class Rows:
 
 
 def fit_chain(texts: list[str], labels: np.ndarray, folds: np.ndarray) -> dict:
-    """labels: (n, categories) of 0/1. Per category: weights by feature, those of the earlier categories, bias."""
+    """labels: (n, categories) of 0/1. Per category: weights by feature, those of the earlier categories, bias, decision cut."""
     x = Rows(texts)
     extra = np.zeros((len(texts), 0))
-    weights, chains, biases = {}, [], []
+    weights, chains, biases, cuts = {}, [], [], []
     for k in range(labels.shape[1]):
         y = labels[:, k].astype(float)
         w, chain, bias = x.fit(y, extra, np.ones(len(texts), bool))
@@ -123,8 +123,23 @@ def fit_chain(texts: list[str], labels: np.ndarray, folds: np.ndarray) -> dict:
             weights.setdefault(x.names[i], np.zeros(labels.shape[1]))[k] = w[i]
         chains.append(chain)
         biases.append(bias)
+        cuts.append(best_cut(out, y))
         extra = np.column_stack([extra, np.clip(out, -6, 6)])
-    return {"weights": weights, "chains": chains, "biases": biases}
+    return {"weights": weights, "chains": chains, "biases": biases, "cuts": cuts}
+
+
+def best_cut(margins: np.ndarray, y: np.ndarray) -> float:
+    """The probability from which out-of-fold decisions have the best F1, half way to the next score below; 0.5 without
+    both classes."""
+    if not 0 < y.sum() < len(y):
+        return 0.5
+    order = np.argsort(-margins, kind="stable")
+    m, hit = margins[order], np.cumsum(y[order])
+    last = np.append(m[1:] < m[:-1], True)  # cuts lie between different scores
+    f1 = np.where(last, 2 * hit / (np.arange(1, len(y) + 1) + y.sum()), -1)
+    k = int(np.argmax(f1))
+    low = m[k + 1] if k + 1 < len(m) else m[k] - 1
+    return float(1 / (1 + np.exp(-np.clip((m[k] + low) / 2, -30, 30))))
 
 
 class Scorer(dict):

@@ -26,6 +26,7 @@ from recordloom.llm.tokens import DTYPE, default_path, encoder
 
 SHARD_TOKENS = 1 << 18
 BLOCK = 4096
+NO_ID = np.iinfo(np.int64).min  # stands for a null doc_id
 SCHEMA = "part int, seq int, doc_ids binary, lengths binary, n_tokens long, alphabet binary, planes array<binary>, zeros array<long>, ranks array<binary>"
 
 
@@ -126,7 +127,7 @@ def _shards(batches: Iterator[pa.RecordBatch], path: str, shard_tokens: int) ->
 
     def close() -> pa.RecordBatch:
         matrix = WaveletMatrix.build(np.concatenate(ids))
-        known = np.array([-1 if d is None else d for d in docs], "<i8")
+        known = np.array([NO_ID if d is None else d for d in docs], "<i8")
         row = [part, seq, known.tobytes(), np.array(lengths, "<i8").tobytes(), matrix.n, matrix.alphabet.tobytes(), [p.tobytes() for p in matrix.planes], matrix.zeros, [r.tobytes() for r in matrix.ranks]]
         kinds = [pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.int64(), pa.binary(), pa.list_(pa.binary()), pa.list_(pa.int64()), pa.list_(pa.binary())]
         return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, kinds, strict=True)], names=["part", "seq", "doc_ids", "lengths", "n_tokens", "alphabet", "planes", "zeros", "ranks"])
@@ -181,7 +182,7 @@ def document_table(shards: DataFrame) -> DataFrame:
                 starts = ends - lengths
                 crcs = [zlib.crc32(ids[a:b].tobytes()) for a, b in zip(starts, ends, strict=True)]
                 docs = np.frombuffer(row["doc_ids"], "<i8")
-                yield pa.RecordBatch.from_arrays([pa.array([row["part"]] * len(docs), pa.int32()), pa.array([row["seq"]] * len(docs), pa.int32()), pa.array(docs), pa.array(starts), pa.array(lengths), pa.array(crcs, pa.int64())], names=["part", "seq", "doc_id", "start", "n_tokens", "ids_crc32"])
+                yield pa.RecordBatch.from_arrays([pa.array([row["part"]] * len(docs), pa.int32()), pa.array([row["seq"]] * len(docs), pa.int32()), pa.array(docs, mask=docs == NO_ID), pa.array(starts), pa.array(lengths), pa.array(crcs, pa.int64())], names=["part", "seq", "doc_id", "start", "n_tokens", "ids_crc32"])
 
     rows = shards.mapInArrow(read, "part int, seq int, doc_id long, start long, n_tokens long, ids_crc32 long")
     return rows.join(starts, ["part", "seq"]).select("doc_id", (F.col("start") + F.col("shard_start")).alias("start"), "n_tokens", "ids_crc32")

@@ -13,7 +13,7 @@ sys.path.insert(0, str(Path(__file__).parent))
 import brute
 
 from recordloom.llm import audio, chat, components, language, minhash, packing, pieces, quality, queries, repeats, tokens, toxicity, wavelet
-from recordloom.llm.core import release
+from recordloom.llm.core import materialize, recorded, release
 
 WORDS = ["alpha", "beta", "gamma", "delta", "river", "stone", "cloud", "ember", "falcon", "garden", "harbor", "island"]
 
@@ -342,7 +342,19 @@ def test_hysteresis():
     assert audio.segments(e).tolist() == [[4, 8], [11, 13]]
 
 
-def test_release_deletes_tables(spark, docs):
-    df = pieces.encode(docs)
-    assert df.count() == len(IDS)
-    release(spark)
+def test_release_deletes_recorded_tables_only(spark):
+    made: list[str] = []
+    before = materialize(spark.range(2), "kept")
+    with recorded(made):
+        inside = materialize(spark.range(3), "gone")
+    assert len(made) == 1 and inside.count() == 3
+    release(spark, made)
+    assert before.count() == 2 and made == []
+    with pytest.raises(Exception):
+        spark.read.parquet(inside.inputFiles()[0]).count()
+
+
+def test_null_doc_ids_stay_null(spark):
+    df = spark.createDataFrame([(None, BASE), (1, BASE), (2, None)], "doc_id long, text string")
+    for made in (wavelet.document_table(wavelet.write_shards(df)), repeats.remove_repeats(df), packing.pack(df), minhash.near_duplicates(df), pieces.encode(df), audio.features(audio.store(df))):
+        assert {r["doc_id"] for r in made.collect()} == {None, 1, 2}
