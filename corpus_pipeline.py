@@ -6,19 +6,36 @@ but the last return the columns of docs as they came, whatever else they are cal
 
 from __future__ import annotations
 
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from recordloom.llm import language, minhash, packing, quality, repeats
-from recordloom.llm.core import materialize, release
+from recordloom.llm.core import materialize, recorded, release
 
 #: Packing and classifiers aren't expressible in SQL; tests hold run() against a plain version.
 ORACLE_SQL = None
 
 
+_made: list[str] = []
+
+
+def _stage(function):
+    """A stage's scratch tables go when the next one starts: by then its result has been written and read again."""
+
+    @wraps(function)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        release(spark, _made)
+        with recorded(_made):
+            return function(spark, docs, sf_dir)
+
+    return run
+
+
+@_stage
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the base rules and no rule's certified cutoff."""
-    release(spark)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     stats = materialize(quality.with_stats(docs.select("doc_id", "lang", "text")).drop("text"), "quality")
     cutoffs = materialize(quality.calibrate(stats, labels), "cutoffs")
@@ -26,31 +43,31 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return quality.judge(rows, cutoffs).where("kept").select("_doc.*")
 
 
+@_stage
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a recognised language."""
-    release(spark)
     model = language.train(docs)
     names = ("_lang_pred", "_lang_score")
     return language.predict(docs, model, names).where(F.col(names[0]) != language.UND).select(*docs.columns)
 
 
+@_stage
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates."""
-    release(spark)
     gone = materialize(minhash.near_duplicates(docs).where("not kept").select("doc_id").distinct(), "dropped")
     return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
 
 
+@_stage
 def repeat_removal(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the passages that an earlier document has; n_chars counted again."""
-    release(spark)
     cleaned = repeats.remove_repeats(docs, prefix="_")
     return cleaned.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 
+@_stage
 def sequence_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of training sequences along the curve."""
-    release(spark)
     return packing.pack(docs).drop("ids")
 
 
@@ -65,9 +82,7 @@ STAGES = [
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents. Here each result is kept as a table of the shared folder until the process ends."""
-    from recordloom.llm.core import keep
-
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = keep(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        docs = materialize(stage(spark, docs, sf_dir), name.replace(" ", "-"))
     return STAGES[-1][1](spark, docs, sf_dir)
