@@ -25,7 +25,7 @@ def query(sql: str | None = None):
     def add(fn):
         _QUERIES[fn.__name__] = lambda spark, sf_dir: fn(Context(spark, sf_dir))
         if sql:
-            _SQL[fn.__name__] = f"WITH {CTES}, {NORM}\n{sql}"
+            _SQL[fn.__name__] = sql
         return fn
 
     return add
@@ -420,7 +420,6 @@ def macro_f05(t):
 
 @query(f", {_BEST}, tr AS (SELECT s1, rec FROM truth WHERE rec >= 0), g AS (SELECT unnest([0.3, 0.5, 0.7, 0.9]::DOUBLE[]) AS threshold),"
        " c AS (SELECT threshold, b.s1, sum(coalesce(b.s1 = tr.s1, false)::INT) AS tp, count(*) AS n FROM g JOIN best b ON p >= threshold LEFT JOIN tr ON tr.rec = b.rec GROUP BY threshold, b.s1),"
-       " e AS (SELECT threshold, s.id, coalesce(tp, 0) AS tp, coalesce(n, 0) AS n, (SELECT count(*) FROM tr WHERE tr.s1 = s.id) AS nt FROM s1 s CROSS JOIN g LEFT JOIN c USING (threshold) WHERE c.s1 = s.id OR c.s1 IS NULL),"
        " full_ AS (SELECT g.threshold, s.id, coalesce(c.tp, 0) AS tp, coalesce(c.n, 0) AS n, coalesce(k.nt, 0) AS nt FROM g CROSS JOIN s1 s LEFT JOIN c ON c.threshold = g.threshold AND c.s1 = s.id LEFT JOIN (SELECT s1, count(*) AS nt FROM tr GROUP BY s1) k ON k.s1 = s.id)"
        " SELECT threshold, round(avg(CASE WHEN nt = 0 THEN (n = 0)::INT::DOUBLE WHEN tp = 0 THEN 0.0 ELSE 1.25 * (tp / n) * (tp / nt) / (0.25 * (tp / n) + tp / nt) END), 9) AS macro_f05 FROM full_ GROUP BY threshold")
 def threshold_curve(t):
@@ -488,8 +487,9 @@ def best_f05_threshold(t):
     return evaluate.best_threshold(_labelled(t)).withColumn("f05", short("f05"))
 
 
-@query(", y AS (SELECT p, (s1 = rec - 20000000000)::INT AS y FROM scored), d AS (SELECT p, sum(y) AS pos, count(*) AS n FROM y GROUP BY p), c AS (SELECT *, sum(pos) OVER w AS ap, sum(n) OVER w AS an FROM d WINDOW w AS (ORDER BY p DESC ROWS UNBOUNDED PRECEDING)), s AS (SELECT sum(pos) AS P, sum(n - pos) AS N FROM d)"
-       " SELECT round(sum((n - pos) * (ap - pos + pos / 2)) / max(P * s.N), 9) AS roc_auc, round(sum(pos / P * ap / an), 9) AS average_precision, round(sum(pos * (1 - c.p) ** 2 + (n - pos) * c.p ** 2) / max(P + s.N), 9) AS brier FROM c, s".replace("AS P,", "AS pp,").replace("AS N FROM d", "AS nn FROM d").replace("P * s.N", "pp * nn").replace("pos / P *", "pos / pp *").replace("P + s.N", "pp + nn"))
+@query(""", y AS (SELECT p, (s1 = rec - 20000000000)::INT AS y FROM scored), d AS (SELECT p, sum(y) AS pos, count(*) AS n FROM y GROUP BY p),
+c AS (SELECT *, sum(pos) OVER w AS ap, sum(n) OVER w AS an FROM d WINDOW w AS (ORDER BY p DESC ROWS UNBOUNDED PRECEDING)), s AS (SELECT sum(pos) AS pp, sum(n - pos) AS nn FROM d)
+SELECT round(sum((n - pos) * (ap - pos + pos / 2)) / max(pp * nn), 9) AS roc_auc, round(sum(pos / pp * ap / an), 9) AS average_precision, round(sum(pos * (1 - c.p) ** 2 + (n - pos) * c.p ** 2) / max(pp + nn), 9) AS brier FROM c, s""")
 def ranking_quality(t):
     out = evaluate.ranking_quality(_labelled(t))
     return out.select(*[short(c).alias(c) for c in out.columns])
@@ -557,7 +557,7 @@ def unseen_values(t):
     return profile.shift_check(t.records.where("country <> 'France'"), t.records)
 
 
-@query("SELECT 'in two lists' AS rule, count(*) AS n, min('S1-' || s1) AS example FROM (SELECT rec, min('S1-' || s1) AS m, min(s1) AS s1 FROM scored WHERE p >= 0.6 GROUP BY rec HAVING count(*) > 1) HAVING count(*) > 0".replace("min('S1-' || s1) AS example", "min(m) AS example"))
+@query("SELECT 'in two lists' AS rule, count(*) AS n, min(m) AS example FROM (SELECT rec, min('S1-' || s1) AS m FROM scored WHERE p >= 0.6 GROUP BY rec HAVING count(*) > 1) HAVING count(*) > 0")
 def output_violations(t):
     lists = sinks.grouped_lists(t.scored.where("p >= 0.6"), t.s1.select(F.col("id").alias("s1")))
     return validate.summary(validate.violations(lists, t.s1.select(ids.decode_id(F.col("id")).alias("id"))))
@@ -692,11 +692,6 @@ def queries() -> dict[str, Callable]:
 
 
 def oracle_sql() -> dict[str, str]:
-    out = {}
-    for k, s in _SQL.items():
-        tail = s[s.index(NORM) + len(NORM) :].lstrip("\n")
-        base = s[: s.index(NORM) + len(NORM)]
-        if tail.startswith("WITH "):
-            tail = ", " + tail[5:]
-        out[k] = base + tail
-    return out
+    """Each SELECT after the fixture's tables; one that begins with WITH or a comma adds tables of its own."""
+    head = f"WITH {CTES}, {NORM}\n"
+    return {k: head + (", " + body[5:] if body.startswith("WITH ") else body) for k, body in _SQL.items()}
