@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from recordloom.functions import ids, similarity, text
-from recordloom.operators import blocking, classic, decide, evaluate, lexicon, names, pairs, profile, ranking, reports, synth, validate
+from recordloom.operators import blocking, classic, decide, evaluate, explore, lexicon, names, pairs, profile, ranking, reports, synth, validate
 from recordloom.operators.runs import running_sums
 from recordloom.plans import linkage
 from recordloom.plans.fixture import CTES, tables
@@ -111,6 +111,14 @@ def holdout_and_folds(t):
     return t.records.select("id", ids.is_holdout(F.col("id")).alias("ho"), ids.fold(F.col("id"), 3).alias("fold"))
 
 
+_PICK = "('0x' || substr(md5(cast(id AS string) || '|slice'), 1, 8))::BIGINT % 10000 < 2000"
+
+
+@query(f", tr AS (SELECT s1, rec FROM truth WHERE rec >= 0) SELECT id, src FROM s1 WHERE {_PICK} UNION ALL SELECT id, src FROM rec WHERE id IN (SELECT rec FROM tr WHERE s1 IN (SELECT id FROM s1 WHERE {_PICK})) OR (id NOT IN (SELECT rec FROM tr) AND {_PICK})")
+def density_preserving_slice(t):
+    return sources.dev_slice(t.records, t.truth, 0.2).select("id", "src")
+
+
 @query("SELECT o_orderkey, o_totalprice FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_acctbal < 0)")
 def rows_by_ids(t):
     wanted = t.table("customer").where("c_acctbal < 0").select(F.col("c_custkey").alias("o_custkey"))
@@ -641,6 +649,27 @@ def _classic_sides(t):
     return r, out
 
 
+_VIEW = "trim(regexp_replace(lower(strip_accents(coalesce({0}, ''))), '\\s+', ' ', 'g'))"
+_LATIN = "trim(regexp_replace(lower(strip_accents(coalesce({0}, ''))), '[^a-z0-9]+', ' ', 'g'))"
+
+
+@query("WITH v AS (SELECT id, src, 'nb' AS k, " + _VIEW.format("name") + " AS key FROM records UNION ALL SELECT id, src, 'nl', " + _LATIN.format("name") + " FROM records UNION ALL SELECT id, src, 'ab', " + _VIEW.format("addr") + " FROM records UNION ALL SELECT id, src, 'al', " + _LATIN.format("addr") + " FROM records),"
+       " w AS (SELECT *, count(*) OVER (PARTITION BY src, k, key) AS n FROM v WHERE key <> '')"
+       " SELECT DISTINCT a.id AS s1, b.id AS rec FROM w a JOIN w b ON a.src = 1 AND b.src = 2 AND a.k = b.k AND a.key = b.key WHERE a.n <= 500 AND b.n <= 500 AND NOT EXISTS (SELECT 1 FROM truth t WHERE t.s1 = a.id AND t.rec = b.id)")
+def hard_negative_pairs(t):
+    views = scratch.table(explore.with_views(t.records), "views")
+    return explore.hard_negatives(views.where("src = 1"), views.where("src = 2"), t.truth)
+
+
+@query()
+def comparison_features(t):
+    views = scratch.table(explore.with_views(t.records), "views")
+    out = t.truth.where("rec >= 0").select("rec", "s1")
+    for side, key in (("a", "s1"), ("b", "rec")):
+        out = out.join(views.select(F.col("id").alias(key), *[F.col(c).alias(f"{side}_{c}") for c in views.columns if c != "id"]), key)
+    return explore.comparison_features(out)
+
+
 @query()
 def classic_base_features(t):
     return classic.base_features(_classic_sides(t)[1]).drop("a_raw", "b_raw")

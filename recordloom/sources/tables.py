@@ -93,3 +93,17 @@ def pick_column(df: DataFrame, *names: str) -> str | None:
     """The first column of a wanted name, else the first whose name holds one."""
     low = {c.lower(): c for c in df.columns}
     return next((low[n] for n in names if n in low), None) or next((c for n in names for k, c in low.items() if n in k), None)
+
+
+def dev_slice(records: DataFrame, truth: DataFrame, share: float, salt: str = "slice") -> DataFrame:
+    """A share of the reference records, all records that belong to them, and the same share of records nobody claims:
+    as dense in matches and decoys as the whole."""
+    from recordloom.functions.ids import hash_part
+
+    picked = hash_part(F.col("id"), salt, 10_000) < int(share * 10_000)
+    s1 = records.where((F.col("src") == 1) & picked)
+    true = truth.where("rec >= 0")
+    theirs = true.join(s1.select(F.col("id").alias("s1")), "s1", "left_semi").select(F.col("rec").alias("id"))
+    others = records.where(F.col("src") > 1)
+    free = others.join(true.select(F.col("rec").alias("id")), "id", "left_anti").where(picked)
+    return s1.unionByName(others.join(theirs, "id", "left_semi").select(*s1.columns)).unionByName(free.select(*s1.columns))
