@@ -59,14 +59,14 @@ def _anchors(buf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         h = h[:n] * U(factor) + h[step:]
         step, factor = 2 * step, factor * factor & _MASK
     h = _spread(h)
-    least, at, have, want = h, np.arange(len(h), dtype=np.int32), 1, LENGTH - SEED + 1
+    # upper half of the hash, then the place from the right: the least key is the rightmost place of the least hash
+    low = U(0xFFFFFFFF)
+    least, have, want = (h & ~low) | (low - np.arange(len(h), dtype=U)), 1, LENGTH - SEED + 1
     while have < want:
         step = min(have, want - have)
-        n = len(least) - step
-        right = least[step:] <= least[:n]  # the rightmost of equals
-        least, at = np.where(right, least[step:], least[:n]), np.where(right, at[step:], at[:n])
+        least = np.minimum(least[: len(least) - step], least[step:])
         have += step
-    return h, at
+    return h, (low - (least & low)).astype(np.int64)
 
 
 class Chunk:
@@ -100,7 +100,7 @@ class Chunk:
         prefix = _prefix_hashes(self.buf)
         powers = np.array([pow(_P, k, 1 << 64) for k in range(2 * LENGTH)], U)
         size = windows + LENGTH - 1
-        anchor = at[first].astype(np.int64)
+        anchor = at[first]
         doc = np.searchsorted(self.ends, first, side="right")
         region = _string_hash(prefix, first, size, powers) ^ (anchor - first).astype(U) * U(0xA24BAED4963EE407)
         return {"doc": doc, "at": first, "windows": windows, "seed": anchor - first, "anchor": _spread(seeds[anchor] + U(_P)), "region": region}  # minima are small numbers: spread them again
@@ -109,16 +109,16 @@ class Chunk:
         """The chunk's distinct (anchor, region)s, sorted; its occurrences; the entry of each of them."""
         r = self.regions()
         doc_id = self.docs[r["doc"]] if len(self.docs) else r["doc"]
-        order = np.lexsort((r["at"], doc_id, r["region"], r["anchor"]))
+        order = np.lexsort((r["region"], r["anchor"]))
         a, g, d = r["anchor"][order], r["region"][order], doc_id[order]
         new = np.ones(len(a), bool)
         new[1:] = (a[1:] != a[:-1]) | (g[1:] != g[:-1])
         first = np.flatnonzero(new)
         out = np.empty(len(first), ENTRY)
         if len(first):
-            last = np.append(first[1:], len(a)) - 1
-            pick = order[first]
-            out["anchor"], out["region"], out["doc"], out["several"] = a[first], g[first], d[first], d[last] != d[first]
+            pick = order[first]  # any occurrence: the bytes are the same
+            out["anchor"], out["region"], out["doc"] = a[first], g[first], np.minimum.reduceat(d, first)
+            out["several"] = np.maximum.reduceat(d, first) != out["doc"]
             out["at"], out["size"], out["seed"] = r["at"][pick], r["windows"][pick] + LENGTH - 1, r["seed"][pick]
         entry = np.empty(len(a), np.int64)
         entry[order] = np.cumsum(new) - 1
@@ -384,16 +384,23 @@ def _resolved(batches):
         base = np.cumsum(size) - size
         low = np.empty(size.sum(), np.int64)
         low[base[array.region] + array.offset] = least
+        length, first, stop = (np.array(x, np.int64) for x in (zip(*groups, strict=True) if groups else ([], [], [])))
         report = np.empty(len(groups), GROUP)
-        for k, (length, first, stop) in enumerate(groups):
-            doc = least[first:stop].min()
-            report[k] = (length, stop - first, doc, e["region"][array.region[first]], array.offset[first])
-            # all windows inside the repeat
-            at = base[array.region[first:stop]] + array.offset[first:stop]
-            inside = (at[:, None] + np.arange(length - LENGTH + 1)).ravel()
-            low[inside] = np.minimum(low[inside], doc)
-        runs = [_runs(low[b : b + n]) for b, n in zip(base.tolist(), size.tolist(), strict=True)]
-        return pa.RecordBatch.from_arrays([pa.array([now], pa.int32()), pa.array([e["region"].tobytes()]), pa.array([np.array([len(r) for r in runs], "<u1").tobytes()]), pa.array([np.concatenate(runs).tobytes()]), pa.array([report.tobytes()])], names=["bucket", "regions", "counts", "runs", "groups"])
+        if groups:
+            # least document of each interval; the appended place keeps its end in range
+            doc = np.minimum.reduceat(np.append(least, np.iinfo(np.int64).max), np.column_stack([first, stop]).ravel())[::2]
+            report["length"], report["occurrences"], report["doc"], report["region"], report["offset"] = length, stop - first, doc, e["region"][array.region[first]], array.offset[first]
+            # all windows inside every occurrence of every group
+            group, k = _spread_out(stop - first)
+            row = first[group] + k
+            start = base[array.region[row]] + array.offset[row]
+            part, k = _spread_out((length - LENGTH + 1)[group])
+            np.minimum.at(low, start[part] + k, doc[group[part]])
+        of = np.repeat(np.arange(len(e)), size)
+        new = np.flatnonzero(np.concatenate([[True], (of[1:] != of[:-1]) | (low[1:] != low[:-1])]))
+        runs = _structured(RUN, first=new - base[of[new]], windows=np.append(new[1:], len(low)) - new, doc=low[new])
+        counts = np.bincount(of[new], minlength=len(e))
+        return pa.RecordBatch.from_arrays([pa.array([now], pa.int32()), pa.array([e["region"].tobytes()]), pa.array([counts.astype("<u1").tobytes()]), pa.array([runs.tobytes()]), pa.array([report.tobytes()])], names=["bucket", "regions", "counts", "runs", "groups"])
 
     for batch in batches:
         for bucket, data in zip(batch["bucket"].to_pylist(), batch["data"].to_pylist(), strict=True):
@@ -409,9 +416,10 @@ def _resolved(batches):
 RUN = np.dtype([("first", "u1"), ("windows", "u1"), ("doc", "<i8")])
 
 
-def _runs(low: np.ndarray) -> np.ndarray:
-    at = np.flatnonzero(np.concatenate([[True], low[1:] != low[:-1]]))
-    return _structured(RUN, first=at, windows=np.append(at[1:], len(low)) - at, doc=low[at])
+def _spread_out(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Owner and number within its owner of each of sum(counts) things."""
+    owner = np.repeat(np.arange(len(counts)), counts)
+    return owner, np.arange(len(owner)) - np.repeat(np.cumsum(counts) - counts, counts)
 
 
 ANSWER = np.dtype([("entry", "<u4"), ("first", "u1"), ("windows", "u1"), ("doc", "<i8")])
