@@ -17,6 +17,7 @@ from __future__ import annotations
 import heapq
 import re
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -33,6 +34,10 @@ MEMORY = 500_000
 _LETTER = re.compile(r"[^\W\d_²³¹¼-¾]")
 #: Spaces and what follows: a run of letters or of anything else.
 _UNITS = re.compile(r" *[^\W\d_²³¹¼-¾]+| *(?:(?! )[\W\d_²³¹¼-¾])+| +")
+#: The same cut, faster, for texts of these characters alone.
+_LATIN = "A-Za-zªµºÀ-ÖØ-öø-ɏ"
+_PLAIN = re.compile(rf"[\t\n\r\x20-\x7e{_LATIN}]*")
+_PLAIN_UNITS = re.compile(rf" *[{_LATIN}]+| *[^ {_LATIN}]+| +")
 
 
 class Model:
@@ -76,30 +81,70 @@ def default_path() -> str:
 
 
 _SHIFT, _PLACE = 24, (1 << 24) - 1
+_NONE = 1 << 60
+#: Units above this length keep their agenda in a heap; below it the least of a plain list is found faster.
+HEAP_FROM = 64
+
+
+def _skips(own: int, place: int, rank: int, limit: int) -> bool:
+    """Keyed by (seed and variant, unit) in own, by place and by the merged piece's rank."""
+    h = (own ^ place * 0x9E3779B1 ^ rank * 0x85EBCA77) & 0xFFFFFFFF
+    h = (h ^ h >> 15) * 0xC2B2AE3D & 0xFFFFFFFF
+    return (h ^ h >> 13) < limit
 
 
 def segment(unit: str, model: Model, dropout: float, key: int) -> list[int]:
-    """Ids of one unit. unit has its spaces as spaces; a literal mark stays apart and becomes bytes.
+    """Ids of one unit. unit has its spaces as spaces; a literal mark stays apart and becomes bytes."""
+    if " " in unit or MARK in unit:
+        symbols = [MARK if c == " " else "\0" + MARK if c == MARK else c for c in unit]
+    else:
+        symbols = list(unit)
+    limit, own = int(dropout * 2**32), zlib.crc32(unit.encode("utf-8", "surrogatepass"), key)
+    symbols = (_by_list if len(symbols) < HEAP_FROM else _by_heap)(symbols, model.rank.get, own, limit)
+    out = list(map(model.ids.get, symbols))
+    if None not in out:
+        return out
+    out = []
+    for s in symbols:
+        known = model.ids.get(s)
+        if known is None:
+            out += [model.bytes[b] for b in s.removeprefix("\0" if s == "\0" + MARK else "").encode("utf-8", "replace")]
+        else:
+            out.append(known)
+    return out
 
-    An agenda entry is one integer: the rank of the merged piece's score, then the place of its left symbol.
-    """
-    odd = " " in unit or MARK in unit
-    symbols: list[str | None] = [MARK if c == " " else "\0" + MARK if c == MARK else c for c in unit] if odd else list(unit)
-    n, rank = len(symbols), model.rank.get
+
+def _by_list(symbols: list[str], rank, own: int, limit: int) -> list[str]:
+    """The agenda is a list of the ranks of neighbours' merges: the least is next, the leftmost of equals."""
+    agenda = [rank(a + b, _NONE) for a, b in zip(symbols, symbols[1:], strict=False)]
+    while agenda and (r := min(agenda)) != _NONE:
+        i = agenda.index(r)
+        # _skips, written out: this is the inner loop
+        h = (own ^ i * 0x9E3779B1 ^ r * 0x85EBCA77) & 0xFFFFFFFF
+        h = (h ^ h >> 15) * 0xC2B2AE3D & 0xFFFFFFFF
+        if (h ^ h >> 13) < limit:
+            agenda[i] = _NONE
+            continue
+        symbols[i] = piece = symbols[i] + symbols.pop(i + 1)
+        del agenda[i]
+        if i:
+            agenda[i - 1] = rank(symbols[i - 1] + piece, _NONE)
+        if i < len(agenda):
+            agenda[i] = rank(piece + symbols[i + 1], _NONE)
+    return symbols
+
+
+def _by_heap(symbols: list[str | None], rank, own: int, limit: int) -> list[str]:
+    """The same order from a heap of (rank, place) packed in one integer; places are those of the first symbols."""
+    n = len(symbols)
     right, left = [*range(1, n), -1], list(range(-1, n - 1))
     agenda = [r << _SHIFT | i for i in range(n - 1) if (r := rank(symbols[i] + symbols[i + 1])) is not None]
     heapq.heapify(agenda)
-    limit, own = int(dropout * 2**32), xxhash.xxh32_intdigest(unit.encode("utf-8", "surrogatepass"), key)
     while agenda:
         entry = heapq.heappop(agenda)
         r, i = entry >> _SHIFT, entry & _PLACE
         j = right[i]
-        if j < 0 or symbols[i] is None or rank(piece := symbols[i] + symbols[j]) != r:
-            continue
-        # keyed by (seed and variant, unit) in own, by place and by merged piece
-        h = (own ^ i * 0x9E3779B1 ^ r * 0x85EBCA77) & 0xFFFFFFFF
-        h = (h ^ h >> 15) * 0xC2B2AE3D & 0xFFFFFFFF
-        if (h ^ h >> 13) < limit:
+        if j < 0 or symbols[i] is None or rank(piece := symbols[i] + symbols[j]) != r or _skips(own, i, r, limit):
             continue
         symbols[i], symbols[j], k = piece, None, right[j]
         right[i] = k
@@ -109,15 +154,7 @@ def segment(unit: str, model: Model, dropout: float, key: int) -> list[int]:
                 heapq.heappush(agenda, r << _SHIFT | i)
         if (k := left[i]) >= 0 and (r := rank(symbols[k] + piece)) is not None:
             heapq.heappush(agenda, r << _SHIFT | k)
-    out: list[int] = []
-    for s in symbols:
-        if s is not None:
-            known = model.ids.get(s)
-            if known is None:
-                out += [model.bytes[b] for b in s.removeprefix("\0" if s == "\0" + MARK else "").encode("utf-8", "replace")]
-            else:
-                out.append(known)
-    return out
+    return [s for s in symbols if s is not None]
 
 
 class Pieces(dict):
@@ -130,11 +167,14 @@ class Pieces(dict):
     def __missing__(self, unit: str) -> bytes:
         if len(self) >= MEMORY:
             self.clear()
-        self[unit] = found = np.array(segment(unit, self.model, self.dropout, self.key), "<u2").tobytes()
+        self[unit] = found = array("H", segment(unit, self.model, self.dropout, self.key)).tobytes()
         return found
 
     def encode(self, text: str) -> np.ndarray:
-        return np.frombuffer(b"".join(map(self.__getitem__, _UNITS.findall(" " + text))) if text else b"", "<u2")
+        if not text:
+            return np.zeros(0, "<u2")
+        cut = _PLAIN_UNITS if _PLAIN.fullmatch(text) else _UNITS
+        return np.frombuffer(b"".join(map(self.__getitem__, cut.findall(" " + text))), "<u2")
 
 
 def variant(text: str, seed: int = SEED) -> int:
