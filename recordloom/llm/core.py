@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import time
 import uuid
 from contextlib import contextmanager
 
@@ -39,6 +40,18 @@ def materialize(df: DataFrame, name: str, compression: str = "zstd") -> DataFram
     return spark.read.schema(df.schema).parquet(path)
 
 
+def tidy(spark: SparkSession) -> None:
+    """Let Spark drop the shuffle files of finished stages now. Its cleaner follows the driver's garbage collection, and
+    plans can only be collected once the listeners have seen the end of their execution."""
+    import gc
+
+    gc.collect()
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(60_000)
+    for _ in range(2):  # the second round meets what the first one's finalizers let go
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.2)
+
+
 @contextmanager
 def recorded(made: list[str]):
     """While open, paths of new scratch tables are added to made."""

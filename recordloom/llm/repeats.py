@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from recordloom.llm.core import materialize, partitions
+from recordloom.llm.core import materialize, partitions, tidy
 
 LENGTH = 50
 SEED = 16
@@ -514,10 +514,12 @@ def _stages(docs: DataFrame, doc_id: str, text: str) -> tuple[DataFrame, DataFra
     lists = chunks.mapInArrow(lambda b: _lists(b, buckets), "bucket int, chunk long, base long, entries binary")
     lists = _dealt(lists).sortWithinPartitions("bucket", "chunk")
     found = materialize(lists.mapInArrow(_compared, KINDS), "repeats")
+    tidy(spark)  # the lists are the largest shuffle
     asks = found.where("kind = 'fetch'").groupBy("chunk").agg(F.collect_list(F.struct("bucket", "data")).alias("asks"))  # bounded by the chunk
     fetched = chunks.drop("rest", "known").join(asks, "chunk").mapInArrow(_fetched, "bucket int, data binary")
     fetched = _dealt(fetched).sortWithinPartitions("bucket")
     resolved = materialize(fetched.mapInArrow(_resolved, "bucket int, regions binary, counts binary, runs binary, groups binary"), "resolved")
+    tidy(spark)
     return chunks, found, resolved
 
 
