@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from recordloom.llm.components import connected
-from recordloom.llm.core import materialize, partitions
+from recordloom.llm.core import materialize, partitions, tidy
 
 WORDS = 5
 SIMILARITY = 85  # per cent
@@ -229,6 +229,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     buckets = keyed.groupBy("key").agg(F.min("node").alias("hub"), F.count("*").alias("n")).where("n > 1")
     stars = keyed.join(buckets, "key").where("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b"))
     clusters = connected(stars).withColumnRenamed("component", "cluster")
+    tidy(docs.sparkSession)
     sized = classes.select("node", "set_hash", "of_doc", "n_shingles", "signature").join(clusters, "node")
     blocks = sized.groupBy("cluster").agg(F.ceil(F.sum("n_shingles") / CLUSTER_SHINGLES).cast("int").alias("blocks"))
     sized = sized.join(blocks, "cluster").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
@@ -240,6 +241,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     spread = dealt.repartition(partitions(docs.sparkSession), "cluster", "left", "right").sortWithinPartitions("cluster", "left", "right")
     links = spread.select("cluster", "left", "right", "block", "node", "members", "signature").mapInArrow(_linked, "a long, b long")
     groups = connected(links)
+    tidy(docs.sparkSession)
     own = classes.select("set_hash", "node", "least_doc").join(groups, "node", "left").withColumn("group", F.coalesce("component", "node"))
     least = own.groupBy("group").agg(F.min("least_doc").alias("component_id"))
     answer = own.join(least, "group").select("set_hash", "component_id")
