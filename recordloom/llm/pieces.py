@@ -2,13 +2,15 @@
 
 Text is cut before every run of word marks, and between letters and other characters (no piece of such a model joins
 them, which ``Model`` checks), so units are segmented alone. Inside a unit an agenda holds candidate merges by (score, place). A popped
-candidate is skipped, for good, when a hash keyed by (seed, variant, unit, place, piece) falls under the dropout rate;
-otherwise its two symbols become one and new neighbours enter the agenda. ``variant`` is one of ``VARIANTS`` classes of
-the document's own hash, so different documents get different segmentations of the same word, repeatably. Dropout 0
-gives the library's own segmentation. Characters without a piece are written as bytes, and so is a literal word mark:
-decoding is lossless for every text.
+candidate is skipped, for good, when a hash keyed by (seed, document, place of the unit in the text, how manieth
+candidate of the unit it is) falls under the dropout rate; otherwise its two symbols become one and new neighbours enter
+the agenda. So every occurrence of a word has decisions of its own, repeatably. Dropout 0 gives the library's own segmentation.
+Characters without a piece are written as bytes, and so is a literal word mark: decoding is lossless for every text.
 
-Defined results: null or empty text has no pieces; repeated rows are encoded alike; very long texts are handled unit by
+A document is known by its text's hash, ``variant``. Cuts are remembered by unit and set of skipped candidates, whatever
+the occurrence.
+
+Defined results: null or empty text has no pieces; rows of equal text are encoded alike; very long texts are handled unit by
 unit; an empty table gives no rows; other columns are ignored.
 """
 
@@ -21,15 +23,13 @@ from array import array
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 MARK = "▁"
-VARIANTS = 4
 DROPOUT = 0.1
 SEED = 17
-MEMORY = 500_000
+MEMORY = 1_000_000
 #: Letters, without the superscripts and fractions that count as word characters.
 _LETTER = re.compile(r"[^\W\d_²³¹¼-¾]")
 #: Spaces and what follows: a run of letters or of anything else.
@@ -86,24 +86,42 @@ _NONE = 1 << 60
 HEAP_FROM = 64
 
 
-def _skips(own: int, place: int, rank: int, limit: int) -> bool:
-    """Keyed by (seed and variant, unit) in own, by place and by the merged piece's rank."""
-    h = (own ^ place * 0x9E3779B1 ^ rank * 0x85EBCA77) & 0xFFFFFFFF
-    h = (h ^ h >> 15) * 0xC2B2AE3D & 0xFFFFFFFF
-    return (h ^ h >> 13) < limit
+#: Candidates decided by one word of hash bits.
+WIDTH = 32
+
+
+def _mix(h: np.ndarray) -> np.ndarray:
+    h = (h ^ h >> np.uint32(16)) * np.uint32(0x85EBCA6B)
+    h = (h ^ h >> np.uint32(13)) * np.uint32(0xC2B2AE35)
+    return h ^ h >> np.uint32(16)
+
+
+def skips(key: int, places: np.ndarray, words: np.ndarray, dropout: float) -> np.ndarray:
+    """32 decisions for each (place of a unit, number of a word): bit i is set, with the dropout rate, where the candidate
+    number 32 * word + i of that unit is skipped. The rate counts in steps of 2^-16."""
+    limit = round(dropout * 65536)
+    out = np.full(np.broadcast(places, words).shape, 0xFFFFFFFF if limit > 65535 else 0, np.uint32)
+    if not 0 < limit < 65536:
+        return out
+    own = _mix(_mix(np.uint32(key) + places.astype(np.uint32) * np.uint32(0x9E3779B1)) + words.astype(np.uint32) * np.uint32(0x85EBCA77))
+    digits = range((limit & -limit).bit_length() - 1, 16)
+    random = _mix(own + np.array([(k + 1) * 0xC2B2AE3D & 0xFFFFFFFF for k in digits], np.uint32)[:, None])
+    for k, bits in zip(digits, random, strict=True):  # the rate's binary digits from the lowest set one on
+        out = out | bits if limit >> k & 1 else out & bits
+    return out
 
 
-def segment(unit: str, model: Model, dropout: float, key: int) -> list[int]:
-    """Ids of one unit. unit has its spaces as spaces; a literal mark stays apart and becomes bytes."""
-    if " " in unit or MARK in unit:
+def segment(unit: str, model: Model, skipped: int) -> tuple[list[int], int]:
+    """Ids of one unit and the number of its candidates, those at the set bits of skipped left out. unit has its spaces as
+    spaces; a literal mark stays apart and becomes bytes."""
+    if MARK in unit:
         symbols = [MARK if c == " " else "\0" + MARK if c == MARK else c for c in unit]
     else:
-        symbols = list(unit)
-    limit, own = int(dropout * 2**32), zlib.crc32(unit.encode("utf-8", "surrogatepass"), key)
-    symbols = (_by_list if len(symbols) < HEAP_FROM else _by_heap)(symbols, model.rank.get, own, limit)
+        symbols = list(unit.replace(" ", MARK))
+    symbols, steps = (_by_list if len(symbols) < HEAP_FROM else _by_heap)(symbols, model.rank.get, skipped)
     out = list(map(model.ids.get, symbols))
     if None not in out:
-        return out
+        return out, steps
     out = []
     for s in symbols:
         known = model.ids.get(s)
@@ -111,18 +129,17 @@ def segment(unit: str, model: Model, dropout: float, key: int) -> list[int]:
             out += [model.bytes[b] for b in s.removeprefix("\0" if s == "\0" + MARK else "").encode("utf-8", "replace")]
         else:
             out.append(known)
-    return out
+    return out, steps
 
 
-def _by_list(symbols: list[str], rank, own: int, limit: int) -> list[str]:
+def _by_list(symbols: list[str], rank, skipped: int) -> tuple[list[str], int]:
     """The agenda is a list of the ranks of neighbours' merges: the least is next, the leftmost of equals."""
     agenda = [rank(a + b, _NONE) for a, b in zip(symbols, symbols[1:], strict=False)]
+    step = 0
     while agenda and (r := min(agenda)) != _NONE:
         i = agenda.index(r)
-        # _skips, written out: this is the inner loop
-        h = (own ^ i * 0x9E3779B1 ^ r * 0x85EBCA77) & 0xFFFFFFFF
-        h = (h ^ h >> 15) * 0xC2B2AE3D & 0xFFFFFFFF
-        if (h ^ h >> 13) < limit:
+        step += 1
+        if skipped >> step - 1 & 1:
             agenda[i] = _NONE
             continue
         symbols[i] = piece = symbols[i] + symbols.pop(i + 1)
@@ -131,12 +148,13 @@ def _by_list(symbols: list[str], rank, own: int, limit: int) -> list[str]:
             agenda[i - 1] = rank(symbols[i - 1] + piece, _NONE)
         if i < len(agenda):
             agenda[i] = rank(piece + symbols[i + 1], _NONE)
-    return symbols
+    return symbols, step
 
 
-def _by_heap(symbols: list[str | None], rank, own: int, limit: int) -> list[str]:
+def _by_heap(symbols: list[str | None], rank, skipped: int) -> tuple[list[str], int]:
     """The same order from a heap of (rank, place) packed in one integer; places are those of the first symbols."""
-    n = len(symbols)
+    n, step = len(symbols), 0
+    skip = bin(skipped)[:1:-1]  # one character a candidate: shifts of a long integer would grow with the square
     right, left = [*range(1, n), -1], list(range(-1, n - 1))
     agenda = [r << _SHIFT | i for i in range(n - 1) if (r := rank(symbols[i] + symbols[i + 1])) is not None]
     heapq.heapify(agenda)
@@ -144,7 +162,10 @@ def _by_heap(symbols: list[str | None], rank, own: int, limit: int) -> list[str]
         entry = heapq.heappop(agenda)
         r, i = entry >> _SHIFT, entry & _PLACE
         j = right[i]
-        if j < 0 or symbols[i] is None or rank(piece := symbols[i] + symbols[j]) != r or _skips(own, i, r, limit):
+        if j < 0 or symbols[i] is None or rank(piece := symbols[i] + symbols[j]) != r:
+            continue
+        step += 1
+        if skip[step - 1 : step] == "1":
             continue
         symbols[i], symbols[j], k = piece, None, right[j]
         right[i] = k
@@ -154,31 +175,54 @@ def _by_heap(symbols: list[str | None], rank, own: int, limit: int) -> list[str]
                 heapq.heappush(agenda, r << _SHIFT | i)
         if (k := left[i]) >= 0 and (r := rank(symbols[k] + piece)) is not None:
             heapq.heappush(agenda, r << _SHIFT | k)
-    return [s for s in symbols if s is not None]
+    return [s for s in symbols if s is not None], step
 
 
 class Pieces(dict):
-    """unit -> packed ids for one (dropout, key)."""
+    """Cuts that have come up, for one (dropout, seed): unit -> the cut without skips, (unit, skipped bits) -> one with.
+
+    A cut is (candidates after the last skipped one as bits, packed ids, skipped bits), so that it holds for an occurrence
+    none of whose decisions skips one of those. A cut with more candidates than one word decides isn't remembered.
+    """
 
-    def __init__(self, model: Model, dropout: float, key: int):
+    def __init__(self, model: Model, dropout: float, seed: int):
         super().__init__()
-        self.model, self.dropout, self.key = model, dropout, key
+        self.model, self.dropout, self.seed = model, dropout, seed
 
-    def __missing__(self, unit: str) -> bytes:
+    def _cut(self, unit: str, bits: int, key: int, place: int) -> bytes:
+        ids, steps = segment(unit, self.model, bits)
+        if steps > WIDTH:
+            return self._long(unit, key, place)
+        packed, skipped = array("H", ids).tobytes(), bits & (1 << steps) - 1
         if len(self) >= MEMORY:
             self.clear()
-        self[unit] = found = array("H", segment(unit, self.model, self.dropout, self.key)).tobytes()
-        return found
+        last = skipped.bit_length()
+        self[(unit, skipped) if skipped else unit] = ((1 << steps) - 1 >> last << last, packed, skipped)
+        return packed
+
+    def _long(self, unit: str, key: int, place: int) -> bytes:
+        """Each merge makes two new candidates at most, so there are less than three for each character."""
+        words = np.arange(3 * len(unit) // WIDTH + 1)
+        skipped = int.from_bytes(skips(key, np.array([place]), words, self.dropout).astype("<u4").tobytes(), "little")
+        return array("H", segment(unit, self.model, skipped)[0]).tobytes()
 
     def encode(self, text: str) -> np.ndarray:
         if not text:
             return np.zeros(0, "<u2")
-        cut = _PLAIN_UNITS if _PLAIN.fullmatch(text) else _UNITS
-        return np.frombuffer(b"".join(map(self.__getitem__, cut.findall(" " + text))), "<u2")
+        units = (_PLAIN_UNITS if _PLAIN.fullmatch(text) else _UNITS).findall(" " + text)
+        key = variant(text, self.seed)
+        skipped = skips(key, np.arange(len(units)), np.array(0), self.dropout).tolist()
+        out, get = [], self.get
+        for place, (unit, bits) in enumerate(zip(units, skipped, strict=True)):
+            cut = get(unit)
+            while cut and (left := bits & cut[0]):
+                cut = get((unit, cut[2] | left & -left))
+            out.append(cut[1] if cut else self._cut(unit, bits, key, place))
+        return np.frombuffer(b"".join(out), "<u2")
 
 
 def variant(text: str, seed: int = SEED) -> int:
-    return zlib.crc32(text.encode("utf-8", "replace"), seed) % VARIANTS
+    return zlib.crc32(text.encode("utf-8", "replace"), seed)
 
 
 def decode(ids: np.ndarray, model: Model) -> str:
@@ -206,14 +250,13 @@ def encode(docs: DataFrame, path: str | None = None, dropout: float = DROPOUT, s
     def encoded(batches):
         model = model_at(where)
         decoder = Decoder(model)
-        tables = {v: Pieces(model, dropout, xxhash.xxh32_intdigest(b"%d" % v, seed)) for v in range(VARIANTS)}
+        table = Pieces(model, dropout, seed)
         for batch in batches:
             out = []
             for doc, text in zip(batch["doc_id"].to_pylist(), batch["text"], strict=True):
                 text = text.as_py() or ""
-                v = variant(text, seed)
-                ids = tables[v].encode(text)
-                out.append((doc, v, len(ids), ids.tobytes(), decoder.decode(ids) == text))
+                ids = table.encode(text)
+                out.append((doc, variant(text, seed) - (1 << 31), len(ids), ids.tobytes(), decoder.decode(ids) == text))
             kinds = [pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.bool_()]
             yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*out, strict=True) if out else [[]] * 5, kinds, strict=True)], names=["doc_id", "variant", "n_pieces", "ids", "lossless"])
 

@@ -1,6 +1,7 @@
 """Every operator on odd rows, against the plain versions in brute.py."""
 
 import hashlib
+import re
 import sys
 import zlib
 from pathlib import Path
@@ -267,6 +268,28 @@ def test_merge_dropout(docs, empty):
     assert pieces.encode(empty).count() == 0
 
 
+def test_merge_dropout_of_every_occurrence():
+    model = pieces.model_at(pieces.default_path())
+    table, long = pieces.Pieces(model, 0.1, 17), "abcdefghij" * 30
+    cuts = {}
+    for k in range(200):
+        text = f"{k} " + "extraordinary " * 50 + long
+        ids = table.encode(text)
+        # nothing remembered: the same
+        assert pieces.Pieces(model, 0.1, 17).encode(text).tolist() == ids.tolist() and pieces.decode(ids, model) == text
+        shown = " ".join(model.pieces[i] for i in ids.tolist())
+        cuts[k] = [x.replace(" ", "|") for x in re.findall(r"▁(?:(?!▁).)*y(?= ?▁)", shown) if x.replace(" ", "") == "▁extraordinary"]
+    assert min(len(set(c)) for c in cuts.values()) > 4  # inside one document
+    assert len({c[0] for c in cuts.values()}) > 4  # among documents
+    for n in (30, 63, 64, 200):
+        symbols = list("▁" + long[:n])
+        for bits in (0, 0b1011, 1 << 40, int.from_bytes(pieces.skips(n, np.array(3), np.arange(30), 0.1).tobytes(), "little")):
+            assert pieces._by_list(symbols[:], model.rank.get, bits) == pieces._by_heap(symbols[:], model.rank.get, bits)
+    for rate in (0.0, 0.1, 0.5, 1.0):
+        found = pieces.skips(7, np.arange(20_000), np.array(0), rate)
+        assert max(abs((found >> np.uint32(i) & 1).mean() - rate) for i in range(32)) < 0.02
+
+
 def test_language(spark, empty):
     sounds = {"en": "the of and tion ing", "de": "der und schaft ung ich", "fr": "eau les que ment oux", "es": "cion los que mente ado"}
     rng = np.random.default_rng(1)
