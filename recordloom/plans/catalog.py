@@ -712,8 +712,7 @@ def noisy_records(t):
 
 @query()
 def linkage_candidates(t):
-    channels = {k: (f, _CAP, n) for k, (f, _, n) in blocking.CHANNELS.items()}
-    return linkage.candidates(t.norm, channels)
+    return linkage.candidates(t.norm, blocking.CHANNELS)
 
 
 def queries() -> dict[str, Callable]:
