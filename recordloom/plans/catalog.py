@@ -268,6 +268,30 @@ def key_families(t):
     return inverted_index_join(t).groupBy(blocking.mask_names(F.col("mask")).alias("keys")).agg(F.count("*").alias("n"))
 
 
+# Over every family: no SQL, since DuckDB has no back-reference for skeletons.
+@query()
+def blocking_keys_full(t):
+    return blocking.record_keys(t.norm)
+
+
+@query()
+def inverted_index_full(t):
+    _, rec = _split(t)
+    return blocking.build_index(blocking.record_keys(rec), rec).withColumn("weight", short("weight"))
+
+
+@query()
+def inverted_index_join_full(t):
+    s1, rec = _split(t)
+    keys = blocking.record_keys(rec)
+    return blocking.index_join(blocking.record_keys(s1), keys, blocking.build_index(keys, rec)).withColumn("score", short("score"))
+
+
+@query()
+def key_families_full(t):
+    return inverted_index_join_full(t).groupBy(blocking.mask_names(F.col("mask")).alias("keys")).agg(F.count("*").alias("n"))
+
+
 @query("""SELECT vec_id AS s1, cand, round(cos, 6) AS cos, rank FROM (SELECT a.vec_id, b.vec_id AS cand, list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS cos,
   (row_number() OVER (PARTITION BY a.vec_id ORDER BY list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) DESC, b.vec_id))::INT AS rank FROM embeddings a JOIN embeddings b USING (label)) WHERE rank <= 5""")
 def vector_neighbours(t):

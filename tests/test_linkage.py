@@ -1,5 +1,8 @@
 """The pipeline on a noisy fixture, and the operators that have no SQL."""
 
+import math
+import re
+from collections import Counter
 from types import SimpleNamespace
 
 import pytest
@@ -163,3 +166,33 @@ def test_candidates_of_common_words(spark):
     assert catalog.linkage_candidates(SimpleNamespace(norm=norm)).where("rec = 1000").count() >= blocking.CHANNELS["name"][2]
     capped = {k: (f, 60, n) for k, (f, _, n) in blocking.CHANNELS.items()}
     assert linkage.candidates(norm, capped).where("rec = 1000").count() == 0  # what caps of 60 left
+
+
+def brute_keys(r):
+    t, n, p, g = (r["core"] or "").split(), (r["anum"] or "").split(), (r["post"] or "").split(), r["glued"] or ""
+    skel = re.sub(r"(.)\1+", r"\1", re.sub("[aeiouyhw]", "", g.lower()))
+    out = {("core", g), ("skel", skel), ("sorted", "".join(sorted(t)))} | {("tok", x) for x in t if len(x) >= 4}
+    out |= {("addr_post", f"{x}|{n[0] if n else ''}") for x in p} | {("name_addr", f"{x}|{n[0]}") for x in t if n}
+    out |= {("pre", g[:5])} if len(g) >= 5 else set()
+    out |= {("acronym", "".join(x[0] for x in t))} if len(t) >= 3 else set()
+    return {k for k in out if k[1]}
+
+
+def test_index_over_every_family(spark, world):
+    rows = world["norm"].where("src < 3").collect()
+    keys = {r["id"]: {(r["country"], *k) for k in brute_keys(r)} for r in rows}
+    s1, rec = ([r["id"] for r in rows if r["src"] == i] for i in (1, 2))
+    df = Counter(k for i in rec for k in keys[i])
+    size = Counter(r["country"] for r in rows if r["src"] == 2)
+    want = {}
+    for a in s1:
+        for b in rec:
+            shared = [k for k in keys[a] & keys[b] if df[k] <= blocking.KEY_CAPS[k[1]]]
+            if shared:
+                want[a, b] = (sum(math.log2((size[k[0]] + 1) / df[k]) for k in shared), sum({1 << blocking.KEY_TYPES.index(k[1]) for k in shared}))
+    t = SimpleNamespace(norm=world["norm"].where("src < 3"))
+    got = {(r["s1"], r["cand"]): r for r in catalog.inverted_index_join_full(t).collect()}
+    assert set(got) == set(want)
+    assert all(abs(got[k]["score"] - v) < 1e-6 and got[k]["mask"] == m for k, (v, m) in want.items())
+    strong = sum(1 << blocking.KEY_TYPES.index(k) for k in ("core", "sorted", "addr_post", "name_addr"))
+    assert sum(not m & strong for _, m in want.values()) > 0  # those that the query with SQL leaves out
