@@ -17,6 +17,9 @@ from recordloom.llm.core import materialize, recorded, release
 #: Packing and classifiers aren't expressible in SQL; tests hold run() against a plain version.
 ORACLE_SQL = None
 
+#: Per cent from which the near-dedup stage links a pair.
+SIMILARITY = 80
+
 
 _made: list[str] = []
 
@@ -54,7 +57,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 @_stage
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates."""
-    gone = materialize(minhash.near_duplicates(docs).where("not kept").select("doc_id").distinct(), "dropped")
+    gone = materialize(minhash.near_duplicates(docs, SIMILARITY).where("not kept").select("doc_id").distinct(), "dropped")
     return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
 
 

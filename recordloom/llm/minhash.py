@@ -1,15 +1,16 @@
 """Near-duplicate groups by b-bit MinHash.
 
 Each document is its set of distinct word shingles (64-bit hashes). ``MINIMA`` minima give a packed signature of their
-``2`` low bits and ``BANDS`` band keys of ``ROWS`` minima; equal sets are one class from then on. Classes that share a
+``2`` low bits and band keys of some minima each (``banding``); equal sets are one class from then on. Classes that share a
 band key are candidates. Stars inside the band buckets (every class with the bucket's least one) give coarse clusters
 without any pair list; the sets of a cluster are then compared in memory: popcounts of the packed signatures estimate
 every pair's similarity, corrected for chance collisions, pairs estimated over the margin are confirmed on the full
 sets, and only a spanning set of links leaves the task. Clusters above ``CLUSTER_SHINGLES`` are dealt out in blocks and
 pairs of blocks, so no task ever holds an unbounded group and no pair is lost.
 
-A pair at the threshold shares no band with probability (1 - 0.85^6)^24 = 1e-5, and is underestimated by the margin of
-four standard errors with probability below 1e-4.
+Bands and margin follow from the threshold: a pair at 85 per cent shares no band with probability (1 - 0.85^6)^24 = 1e-5,
+one at 80 with (1 - 0.8^5)^29 = 1e-5, and either is underestimated by the margin of four standard errors with probability
+below 1e-4.
 
 Defined results: empty or null text has an empty set, linked with nothing; a text of fewer words than a shingle is one
 shingle; repeated rows (also of one doc_id with several texts) are judged each; null doc_ids are linked like others and
@@ -19,7 +20,9 @@ reported with component null only if the whole group has none; an empty table gi
 from __future__ import annotations
 
 import hashlib
+import math
 import re
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -32,9 +35,8 @@ from recordloom.llm.core import materialize, partitions, tidy
 
 WORDS = 5
 SIMILARITY = 85  # per cent
-BANDS, ROWS = 24, 6
-MINIMA = 160  # 144 of them in bands; 2 bits each: five 64-bit words
-MARGIN = 0.71
+MINIMA = 160  # 2 bits each: five 64-bit words
+MISSED = 1.2e-5  # a pair at the threshold shares no band with this probability at most
 CLUSTER_SHINGLES = 1 << 21
 MEMORY = 300_000
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -44,6 +46,21 @@ _A = _RNG.integers(1, 1 << 63, MINIMA, dtype=np.uint64) * np.uint64(2) + np.uint
 _B = _RNG.integers(0, 1 << 63, MINIMA, dtype=np.uint64)
 
 
+def banding(similarity: int) -> tuple[int, int]:
+    """(bands, rows): the longest rows for which the minima give enough bands."""
+    found = []
+    for rows in range(1, MINIMA + 1):
+        miss = math.log1p(-((similarity / 100) ** rows)) if similarity < 100 else -math.inf
+        found.append((max(1, math.ceil(math.log(MISSED) / miss)), rows))
+    return max((x for x in found if x[0] * x[1] <= MINIMA), key=lambda x: x[1])
+
+
+def margin(similarity: int) -> float:
+    """The threshold less four standard errors of the estimate."""
+    agree = 0.25 + 0.75 * similarity / 100
+    return math.floor(similarity - 400 * math.sqrt(agree * (1 - agree) / MINIMA) / 0.75) / 100
+
+
 class Words(dict):
     """word -> 64-bit hash, remembered."""
 
@@ -85,11 +102,11 @@ def signature(low: np.ndarray) -> np.ndarray:
     return (bits << (np.arange(32, dtype=np.uint64) * np.uint64(2))).sum(axis=1, dtype=np.uint64)
 
 
-def band_keys(low: np.ndarray) -> np.ndarray:
-    rows = low[: BANDS * ROWS].reshape(BANDS, ROWS)
-    key = np.arange(BANDS, dtype=np.uint64)
-    for k in range(ROWS):
-        key = _mix(key * np.uint64(0xC6A4A7935BD1E995) + rows[:, k])
+def band_keys(low: np.ndarray, bands: int, rows: int) -> np.ndarray:
+    cut = low[: bands * rows].reshape(bands, rows)
+    key = np.arange(bands, dtype=np.uint64)
+    for k in range(rows):
+        key = _mix(key * np.uint64(0xC6A4A7935BD1E995) + cut[:, k])
     return key.view(np.int64)
 
 
@@ -100,16 +117,16 @@ def estimate(own: np.ndarray, others: np.ndarray) -> np.ndarray:
     return (1 - differ / MINIMA - 0.25) / 0.75
 
 
-def similar(a: int, b: int, both: np.ndarray | int) -> np.ndarray | bool:
-    return 100 * both >= SIMILARITY * (a + b - both)
+def similar(a: int, b: int, both: np.ndarray | int, similarity: int = SIMILARITY) -> np.ndarray | bool:
+    return 100 * both >= similarity * (a + b - both)
 
 
 def _set_hash(s: np.ndarray) -> bytes:
     return hashlib.blake2b(s.tobytes(), digest_size=16).digest()
 
 
-def _signed(batches):
-    words = Words()
+def _signed(batches, similarity: int):
+    words, (bands, rows) = Words(), banding(similarity)
     for batch in batches:
         seen: dict = {}
         out = []
@@ -118,7 +135,7 @@ def _signed(batches):
             key = _set_hash(s)
             if key not in seen:
                 low = minima(s) if len(s) else None
-                seen[key] = (len(s), key, signature(low).tobytes() if len(s) else None, band_keys(low).tolist() if len(s) else [])
+                seen[key] = (len(s), key, signature(low).tobytes() if len(s) else None, band_keys(low, bands, rows).tolist() if len(s) else [])
             out.append(seen[key])
         kinds = [pa.int64(), pa.binary(), pa.binary(), pa.list_(pa.int64())]
         columns = [pa.array(list(c), k) for c, k in zip(zip(*out, strict=True) if out else [[]] * 4, kinds, strict=True)]
@@ -140,7 +157,7 @@ class _Forest:
         self.up[max(i, j)] = min(i, j)
 
 
-def compare(nodes: list[int], sets: list[np.ndarray], signatures: np.ndarray, sides: list[int] | None = None) -> list[tuple[int, int]]:
+def compare(nodes: list[int], sets: list[np.ndarray], signatures: np.ndarray, sides: list[int] | None = None, similarity: int = SIMILARITY) -> list[tuple[int, int]]:
     """Spanning links among the sets of one cluster (or only between the two sides of a pair of blocks)."""
     n = len(nodes)
     order = sorted(range(n), key=lambda i: (len(sets[i]), nodes[i]))
@@ -156,12 +173,12 @@ def compare(nodes: list[int], sets: list[np.ndarray], signatures: np.ndarray, si
             own[np.searchsorted(universe, sets[i])] = 1
             bits[k, :width] = np.packbits(own)
         bits = bits.view(np.uint64)
-    links = []
+    links, least = [], margin(similarity)
     for k in range(1, n):
-        first = int(np.searchsorted(sizes[:k], -(-SIMILARITY * sizes[k] // 100)))  # a smaller set can't be similar enough
+        first = int(np.searchsorted(sizes[:k], -(-similarity * sizes[k] // 100)))  # a smaller set can't be similar enough
         if first == k:
             continue
-        near = first + np.flatnonzero(estimate(signs[k], signs[first:k]) >= MARGIN)
+        near = first + np.flatnonzero(estimate(signs[k], signs[first:k]) >= least)
         if side is not None:
             near = near[side[near] != side[k]]
         mine = forest.root(k)
@@ -173,20 +190,20 @@ def compare(nodes: list[int], sets: list[np.ndarray], signatures: np.ndarray, si
             else:
                 own = sets[order[k]]
                 both = np.array([(own.take(np.searchsorted(own, sets[order[j]]), mode="clip") == sets[order[j]]).sum() for j in part])
-            for j in np.array(part)[similar(sizes[k], sizes[part], both)].tolist():
+            for j in np.array(part)[similar(sizes[k], sizes[part], both, similarity)].tolist():
                 if forest.root(j) != forest.root(k):
                     forest.join(j, k)
                     links.append((nodes[order[j]], nodes[order[k]]))
     return links
 
 
-def _linked(batches):
+def _linked(batches, similarity: int):
     """Rows sorted by (cluster, left, right): one comparison for each task key as it ends."""
     now, nodes, sets, signs, sides = None, [], [], [], []
 
     def done():
         left, right = now[1:]
-        found = compare(nodes, sets, np.stack(signs), sides if left != right else None) if len(nodes) > 1 else []
+        found = compare(nodes, sets, np.stack(signs), sides if left != right else None, similarity) if len(nodes) > 1 else []
         return pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.int64())], names=["a", "b"])
 
     for batch in batches:
@@ -217,10 +234,10 @@ def _members(batches):
             yield pa.RecordBatch.from_arrays([*[rest[k] for k in ("cluster", "blocks", "block", "node", "signature")], pa.array([found[i].tobytes() for i in keep], pa.binary())], names=["cluster", "blocks", "block", "node", "signature", "members"])
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """docs' rows as doc_id, n_shingles, component_id, kept (row for row)."""
+def near_duplicates(docs: DataFrame, similarity: int = SIMILARITY) -> DataFrame:
+    """docs' rows as doc_id, n_shingles, component_id, kept (row for row); similarity: per cent from which pairs are linked."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    signed = rows.mapInArrow(_signed, "doc_id long, n_shingles long, set_hash binary, signature binary, bands array<long>")
+    signed = rows.mapInArrow(partial(_signed, similarity=similarity), "doc_id long, n_shingles long, set_hash binary, signature binary, bands array<long>")
     signed = materialize(signed.withColumn("row", F.monotonically_increasing_id()), "minhash")
     # one class per distinct set; its node is the number of one of its rows
     classes = signed.where("n_shingles > 0").groupBy("set_hash").agg(F.min(F.struct("row", "doc_id")).alias("first"), F.min("doc_id").alias("least_doc"), F.min("n_shingles").alias("n_shingles"), F.first("signature").alias("signature"), F.first("bands").alias("bands"))
@@ -239,7 +256,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     others = F.sequence(F.lit(0), F.col("blocks") - 1)
     dealt = sets.withColumn("other", F.explode(others)).withColumns({"left": F.least("block", "other"), "right": F.greatest("block", "other")}).drop("other", "blocks")
     spread = dealt.repartition(partitions(docs.sparkSession), "cluster", "left", "right").sortWithinPartitions("cluster", "left", "right")
-    links = spread.select("cluster", "left", "right", "block", "node", "members", "signature").mapInArrow(_linked, "a long, b long")
+    links = spread.select("cluster", "left", "right", "block", "node", "members", "signature").mapInArrow(partial(_linked, similarity=similarity), "a long, b long")
     groups = connected(links)
     tidy(docs.sparkSession)
     own = classes.select("set_hash", "node", "least_doc").join(groups, "node", "left").withColumn("group", F.coalesce("component", "node"))

@@ -58,3 +58,18 @@ def test_run_equals_the_stages(spark, folder):
     want = spark.read.parquet(f"{path}/packing")
     got = pipeline.run(spark, path).select(*want.columns)
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_near_dedup_links_from_80_per_cent(spark):
+    from recordloom.llm import minhash
+
+    assert minhash.banding(85) == (24, 6) and minhash.margin(85) == 0.71 and minhash.banding(80) == (29, 5)
+    rows = []
+    for k in range(20):
+        for kind, n in enumerate((45, 43)):  # one changed word of n + 4: 40 of 50 shingles shared, 38 of 48
+            own = [f"k{k}n{kind}w{i}" for i in range(n + 4)]
+            rows += [(100 * k + 10 * kind, " ".join(own)), (100 * k + 10 * kind + 1, " ".join([*own[:20], "changed", *own[21:]]))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    left = {r["doc_id"] for r in pipeline.near_dedup(spark, docs, "").collect()}
+    assert left == {d for d, _ in rows} - {100 * k + 1 for k in range(20)}
+    assert minhash.near_duplicates(docs, 85).where("not kept").count() == 0
