@@ -183,6 +183,11 @@ def consonant_skeletons(t):
     return t.norm.where(~F.col("glued").rlike(r"\d") & ~F.col("glued").contains("incorporated")).select("id", text.skeleton(F.col("glued")).alias("skeleton"))
 
 
+@query()
+def consonant_skeletons_full(t):
+    return t.norm.select("id", text.skeleton(F.col("glued")).alias("skeleton"))
+
+
 # ---- blocking --------------------------------------------------------------------------------------------------------
 _NAME_F = "list_distinct(list_transform({0}, lambda w: 'w:' || w) || list_transform(range(1, length('#' || glued || '#') - 1), lambda i: 'g:' || substr('#' || glued || '#', i, 3)))".format(_words("core"))
 _W = "CASE substr(feature, 1, 1) WHEN 'g' THEN 0.6 WHEN 'n' THEN 1.5 WHEN 'p' THEN 1.2 WHEN 'x' THEN 0.5 WHEN 'y' THEN 0.5 ELSE 1.0 END"

@@ -196,3 +196,10 @@ def test_index_over_every_family(spark, world):
     assert all(abs(got[k]["score"] - v) < 1e-6 and got[k]["mask"] == m for k, (v, m) in want.items())
     strong = sum(1 << blocking.KEY_TYPES.index(k) for k in ("core", "sorted", "addr_post", "name_addr"))
     assert sum(not m & strong for _, m in want.values()) > 0  # those that the query with SQL leaves out
+
+
+def test_skeletons_of_every_name(spark):
+    names = ["K12x Bakerry", "mississippi", "acme incorporated", "k1122xx puzzz", "", None, "Aeiou", "bbookkeeper"]
+    norm = spark.createDataFrame(list(enumerate(names)), "id long, glued string")
+    want = {i: re.sub(r"(.)\1+", r"\1", re.sub("[aeiouyhw]", "", (x or "").lower())) for i, x in enumerate(names)}
+    assert dict(map(tuple, catalog.consonant_skeletons_full(SimpleNamespace(norm=norm)).collect())) == want
