@@ -47,11 +47,11 @@ def comparison_features(pairs: DataFrame) -> DataFrame:
     return pairs.withColumns(out)
 
 
-def hard_negatives(s1: DataFrame, rec: DataFrame, truth: DataFrame, max_group: int = 500) -> DataFrame:
+def hard_negatives(s1: DataFrame, rec: DataFrame, truth: DataFrame, max_group: int | None = 500) -> DataFrame:
     """(s1, rec) that share one of the four views exactly and aren't true pairs. Keys that more than max_group records on
-    a side have say nothing and are left out, so no key makes a square of pairs."""
+    a side have are left out, so no key makes a square of pairs; with None every key counts."""
     def by(view: str) -> DataFrame:
-        side = lambda d, name: (lambda k: k.join(k.groupBy("key").agg(F.count("*").alias("_n")).where(F.col("_n") <= max_group).drop("_n"), "key"))(d.select(F.col("id").alias(name), F.col(view).alias("key")).where("key <> ''"))
+        side = lambda d, name: (lambda k: k.join(k.groupBy("key").agg(F.count("*").alias("_n")).where(F.lit(True) if max_group is None else F.col("_n") <= max_group).drop("_n"), "key"))(d.select(F.col("id").alias(name), F.col(view).alias("key")).where("key <> ''"))
         return side(s1, "s1").join(side(rec, "rec"), "key").select("s1", "rec")
 
     hits = reduce(DataFrame.union, [by(v) for v in ("name_basic", "name_latin", "addr_basic", "addr_latin")]).distinct()

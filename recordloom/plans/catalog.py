@@ -690,6 +690,12 @@ def hard_negative_pairs(t):
     return explore.hard_negatives(views.where("src = 1"), views.where("src = 2"), t.truth)
 
 
+@query()
+def hard_negative_pairs_full(t):
+    views = scratch.table(explore.with_views(t.records), "views")
+    return explore.hard_negatives(views.where("src = 1"), views.where("src = 2"), t.truth, None)
+
+
 @query()
 def comparison_features(t):
     views = scratch.table(explore.with_views(t.records), "views")

@@ -203,3 +203,12 @@ def test_skeletons_of_every_name(spark):
     norm = spark.createDataFrame(list(enumerate(names)), "id long, glued string")
     want = {i: re.sub(r"(.)\1+", r"\1", re.sub("[aeiouyhw]", "", (x or "").lower())) for i, x in enumerate(names)}
     assert dict(map(tuple, catalog.consonant_skeletons_full(SimpleNamespace(norm=norm)).collect())) == want
+
+
+def test_hard_negatives_of_a_hot_key(spark):
+    rows = [(i, 1, "Zebra", f"{i} Road", "US") for i in range(501)] + [(1000, 2, "zebra", "x", "US"), (1001, 2, "zebra", "y", "US")]
+    records = spark.createDataFrame(rows, "id long, src byte, name string, addr string, country string")
+    truth = spark.createDataFrame([(0, 1000)], "s1 long, rec long")
+    got = catalog.hard_negative_pairs_full(SimpleNamespace(records=records, truth=truth)).collect()
+    assert len(got) == 1001 and {tuple(r) for r in got} == {(s, r) for s in range(501) for r in (1000, 1001)} - {(0, 1000)}
+    assert catalog.hard_negative_pairs(SimpleNamespace(records=records, truth=truth)).count() == 0  # with the cap of its SQL
