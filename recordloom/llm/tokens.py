@@ -1,8 +1,8 @@
 """Token ids by the public byte-level BPE, memoised by pre-token.
 
 BPE never merges across the pre-tokenizer's pieces, so a text's ids are those of its pieces in order. Each distinct
-piece is encoded by the tokenizers library's model once and kept as packed 16-bit ids; a text with characters outside the range
-where our pattern equals the library's is given to the library whole.
+piece is encoded by the tokenizers library's model once and kept as packed 16-bit ids; a text that holds an added token, or
+characters outside the range where our pattern equals the library's, is given to the library whole.
 """
 
 from __future__ import annotations
@@ -41,7 +41,7 @@ class Encoder(dict):
 
         super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         if self.tokenizer.get_vocab_size() > 1 << 16:
             raise ValueError("ids are packed in 16 bits")
         self.merge, self.bytes = self.tokenizer.model.tokenize, _alphabet()
@@ -56,7 +56,7 @@ class Encoder(dict):
     def encode_all(self, texts: Iterable[str | None]) -> Iterator[np.ndarray]:
         """Ids of each text, without an end id, in order. Null is empty."""
         for text in texts:
-            if not text or _PLAIN.fullmatch(text):
+            if not text or (_PLAIN.fullmatch(text) and not any(a in text for a in self.added)):
                 packed = b"".join(map(self.__getitem__, _PIECES.findall(text or "")))
             else:
                 packed = array("H", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
