@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import time
 import uuid
 from contextlib import contextmanager
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Word separators fixed by the contracts: space and the control characters 9 to 13.
@@ -19,12 +20,15 @@ _recording: list[list[str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or (unset, as in tests) one of our own."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, a local session (as in tests)
+    gets one of its own; a cluster would lose rows in a machine-local folder, so there it is an error."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         set_before = spark.sparkContext._jsc.sc().getCheckpointDir()
         if set_before.isDefined():
             return set_before.get()
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir isn't set: intermediate tables need a folder that all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="recordloom-")
         spark.sparkContext.setCheckpointDir(found)
     return found
@@ -41,15 +45,12 @@ def materialize(df: DataFrame, name: str, compression: str = "zstd") -> DataFram
 
 
 def tidy(spark: SparkSession) -> None:
-    """Let Spark drop the shuffle files of finished stages now. Its cleaner follows the driver's garbage collection, and
-    plans can only be collected once the listeners have seen the end of their execution."""
-    import gc
-
+    """Let Spark drop the shuffle files of finished stages now: its cleaner follows the driver's garbage collection. A hint
+    only, with nothing to wait for; files that it misses go with the next one or with the session."""
     gc.collect()
-    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(60_000)
     for _ in range(2):  # the second round meets what the first one's finalizers let go
+        time.sleep(0.2)  # listeners hold plans until they have seen the end of an execution
         spark.sparkContext._jvm.System.gc()
-        time.sleep(0.2)
 
 
 @contextmanager
@@ -81,18 +82,21 @@ def crc_mod(doc_id: Column, n: int) -> Column:
     return F.crc32(F.encode(doc_id.cast("string"), "UTF-8")) % n
 
 
-def bounded_ids(rows: DataFrame, per_class: int, classes: str, key: str = "doc_id") -> DataFrame:
-    """At most per_class ids of each class, picked by hash: the documented bound of every training sample.
+def bounded_ids(rows: DataFrame, per_class: int, classes: str, most: int, key: str = "doc_id") -> DataFrame:
+    """At most per_class keys of each class, of at most `most` classes (the largest, then the least): the documented bound
+    of every training sample.
 
-    A class with many more rows is thinned by hash to about four times the bound first, so that ranking it needs no task
-    that reads the class. classes has few values; their counts are joined by whatever way their size allows.
+    Keys are picked by hash. The classes' sizes are counted first (partial counts, then a row per class; `most` of them come
+    to the driver), and every class is thinned by hash to about four times its bound while it is scanned, before anything
+    is shuffled by class: the ranking never meets a large class, however the classes are spread.
     """
-    from pyspark.sql import Window
-
-    ids = rows.select(key, classes)
-    counts = ids.groupBy(classes).agg(F.count("*").alias("_n"))
-    share = F.pmod(F.xxhash64(key, F.lit("thin")), F.lit(1 << 30)) < F.lit(float((1 << 30) * 4 * per_class)) / F.col("_n")
-    thin = ids.join(counts, classes).where(share).select(key, classes).distinct()
+    ids = rows.select(key, classes).where(F.col(classes).isNotNull())
+    sizes = ids.groupBy(classes).agg(F.count("*").alias("_n")).orderBy(F.desc("_n"), classes).limit(most).collect()
+    place, many = F.xxhash64(key, F.lit("thin")), 1 << 30
+    share = F.create_map(*[F.lit(x) for r in sizes for x in (r[classes], min(many, 4 * per_class * many // r["_n"] + 1))]) if sizes else None
+    if share is None:
+        return ids.limit(0)
+    thin = ids.where(F.pmod(place, F.lit(many)) < F.coalesce(F.try_element_at(share, F.col(classes)), F.lit(0))).distinct()
     w = Window.partitionBy(classes).orderBy(F.xxhash64(key), F.col(key))
     return thin.withColumn("_rank", F.row_number().over(w)).where(F.col("_rank") <= per_class).drop("_rank")
 

@@ -3,11 +3,12 @@
 Features are hashed byte trigrams of the lower-cased text, as shares of all its trigrams, so a document's margin is the
 mean of the weights of its trigrams and whole texts of any length are scored in one pass. Every binary model is a linear
 SVM with squared hinge loss, fitted by Newton steps on the active rows. Training takes at most ``PER_LANGUAGE``
-documents of a language, picked by hash.
+documents of a language, picked by hash, and a family's model at most ``PER_FAMILY`` of them.
 
 Defined results: null text, or text without a letter, is `und` with score 0; with no training rows everything is `und`;
-one learned language is always predicted with score 1; null languages are never learned; repeated rows are predicted
-alike; other columns are kept by ``predict``.
+one learned language is always predicted with score 1; null languages are never learned; with more than ``MAX_LANGUAGES``
+the most frequent (ties: the least name) are learned; repeated rows are predicted alike; an empty table gives no rows and
+nothing to learn; a very long text is scored whole, its weights summed in blocks; other columns are kept by ``predict``.
 """
 
 from __future__ import annotations
@@ -25,6 +26,8 @@ DIMS = 1 << 13
 #: The bound of the training sample, and that on the number of languages with a model.
 PER_LANGUAGE = 600
 MAX_LANGUAGES = 64
+#: Rows that one model of two families is fitted on at most, so that its kernel matrix stays small.
+PER_FAMILY = 2400
 UND = "und"
 #: Fixed table: language -> family. A language that isn't listed is a family of its own.
 FAMILIES = {
@@ -60,21 +63,36 @@ def svm(x: np.ndarray, y: np.ndarray, c: float = 1.0, steps: int = 12) -> np.nda
     return np.append(a @ x, a.sum())
 
 
-def fit(texts: list[str], langs: list[str]) -> dict:
-    """{"families": {...}, "models": {(a, b): weights, positive for a}} over families and over languages of a family."""
+def counted(text: str) -> tuple[bytes, bytes, int]:
+    """Places of the text's trigrams, how often each comes, and how many there are."""
+    at, n = np.unique(trigrams(text), return_counts=True)
+    return at.astype("<u2").tobytes(), n.astype("<u4").tobytes(), int(n.sum())
+
+
+def fit(rows: list[tuple[bytes, bytes, int]], langs: list[str]) -> dict:
+    """rows as ``counted``. {"family": {...}, "models": {(a, b): weights, positive for a}} over families and over the languages
+    of each family."""
     known = sorted(set(langs))
     family = {k: FAMILIES.get(k, f"={k}") for k in known}
-    x = np.zeros((len(texts), DIMS), np.float32)
-    for i, t in enumerate(texts):
-        at = trigrams(t)
-        x[i] = np.sqrt(DIMS) * np.bincount(at, minlength=DIMS) / len(at)
     lang = np.array(langs)
     group = np.array([family[k] for k in langs]) if langs else lang
+
+    def shares(picked: np.ndarray) -> np.ndarray:
+        x = np.zeros((len(picked), DIMS), np.float32)
+        for k, i in enumerate(picked.tolist()):
+            at, n, total = rows[i]
+            x[k, np.frombuffer(at, "<u2")] = np.sqrt(DIMS) * np.frombuffer(n, "<u4") / total
+        return x
+
+    def fewer(all_of: np.ndarray) -> np.ndarray:
+        """At most half of PER_FAMILY, taken at equal steps: every language keeps its share."""
+        return all_of[:: -(-2 * len(all_of) // PER_FAMILY)] if 2 * len(all_of) > PER_FAMILY else all_of
+
     models = {}
     for names, labels in ((sorted(set(family.values())), group), *[([k for k in known if family[k] == f], lang) for f in sorted(set(family.values()))]):
         for a, b in combinations(names, 2):
-            rows = (labels == a) | (labels == b)
-            w = svm(x[rows], np.where(labels[rows] == a, 1.0, -1.0))
+            both = np.concatenate([fewer(np.flatnonzero(labels == a)), fewer(np.flatnonzero(labels == b))])
+            w = svm(shares(both), np.where(labels[both] == a, 1.0, -1.0))
             models[a, b] = np.append(w[:-1] * np.sqrt(DIMS), w[-1]).astype(np.float32)
     return {"family": family, "models": models}
 
@@ -116,19 +134,22 @@ def train(docs: DataFrame, per_language: int = PER_LANGUAGE) -> dict:
     import pickle
 
     rows = docs.select(F.col("doc_id"), F.col("text"), F.col("lang")).where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (crc_mod(F.col("doc_id"), 3) != 1))
-    sample = bounded_ids(rows, per_language, "lang").limit(per_language * MAX_LANGUAGES)
+    sample = bounded_ids(rows, per_language, "lang", MAX_LANGUAGES)
     picked = rows.join(F.broadcast(sample), ["doc_id", "lang"])  # at most per_language * MAX_LANGUAGES ids
 
-    def fitted(batches):
-        texts, langs = [], []
+    def featured(batches):
         for batch in batches:
-            texts += batch["text"].to_pylist()
-            langs += batch["lang"].to_pylist()
-        order = sorted(i for i in range(len(texts)) if has_letter(texts[i]))
-        order.sort(key=lambda i: (langs[i], texts[i]))
-        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(_packed(fit([texts[i] for i in order], [langs[i] for i in order])))])], names=["model"])
+            found = [(*counted(t), k) for t, k in zip(batch["text"].to_pylist(), batch["lang"].to_pylist(), strict=True) if has_letter(t)]
+            kinds = {"at": pa.binary(), "n": pa.binary(), "total": pa.int64(), "lang": pa.string()}
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], k) for i, k in enumerate(kinds.values())], names=list(kinds))
+
+    def fitted(batches):
+        rows = sorted(x for batch in batches for x in zip(*(batch[k].to_pylist() for k in ("lang", "at", "n", "total")), strict=True))
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(_packed(fit([x[1:] for x in rows], [x[0] for x in rows])))], pa.binary())], names=["model"])
 
-    found = picked.select("text", "lang").coalesce(1).mapInArrow(fitted, "model binary").first()
+    # only the sample's trigram counts (at most 48 KB a document) move to the one task that fits them: the scan stays spread
+    found = picked.select("text", "lang").mapInArrow(featured, "at binary, n binary, total long, lang string").repartition(1).mapInArrow(fitted, "model binary").first()
     return pickle.loads(found["model"]) if found else _packed(fit([], []))
 
 

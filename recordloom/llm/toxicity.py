@@ -5,9 +5,13 @@ beginnings that tell its classes apart; from the second on a model also takes th
 While training, those are out-of-fold predictions, so later models learn from probabilities as uncertain as in use.
 Training takes at most ``PER_CLASS`` labelled documents of each combination of labels, picked by hash.
 
+Folds go by the text's hash, so an out-of-fold score never comes from a model that has seen a copy of its document.
+
 Defined results: null or empty text has no features and gets the models' bias alone; a category with one class in its
 labels gets that class's rate; rows with a null label aren't trained on; without labelled documents all probabilities are
-0; repeated rows are scored alike; a repeated label row counts once, and a document with several labels has the largest.
+0; repeated rows are scored alike; a repeated label row counts once, and a document with several labels has the largest;
+an empty table of documents gives no rows; of a very long text the set of distinct words is held; columns named like an
+added one are replaced, all others kept.
 """
 
 from __future__ import annotations
@@ -170,21 +174,26 @@ def train(docs: DataFrame, labels: DataFrame, categories: dict[str, str], per_cl
     own = labels.select("doc_id", *[F.expr(e).cast("int").alias(k) for k, e in categories.items()]).dropna()
     own = own.groupBy("doc_id").agg(*[F.max(k).alias(k) for k in names])
     own = own.withColumn("_class", F.concat_ws("", *names))
-    sample = bounded_ids(own, per_class, "_class").limit(per_class * MAX_CLASSES)
+    sample = bounded_ids(own, per_class, "_class", MAX_CLASSES)
     rows = docs.select("doc_id", "text").join(F.broadcast(sample.join(own, ["doc_id", "_class"])), "doc_id")  # at most per_class * MAX_CLASSES ids
 
-    def fitted(batches):
-        texts, ys, folds = [], [], []
+    def reduced(batches):
+        """What the models look at: each text's set of words, and its fold."""
         for batch in batches:
-            texts += [t.as_py() or "" for t in batch["text"]]
-            ys += list(zip(*(batch[k].to_pylist() for k in names), strict=True))
-            folds += [zlib.crc32(str(d).encode()) % FOLDS for d in batch["doc_id"].to_pylist()]
-        if texts:
-            order = sorted(range(len(texts)), key=lambda i: (texts[i], ys[i]))
-            model = fit_chain([texts[i] for i in order], np.array([ys[i] for i in order]), np.array([folds[i] for i in order]))
+            texts = [t.as_py() or "" for t in batch["text"]]
+            own = pa.array([" ".join(sorted(tokens(t))) for t in texts], pa.string())
+            fold = pa.array([zlib.crc32(t.encode("utf-8", "replace")) % FOLDS for t in texts], pa.int32())  # copies share a fold
+            yield pa.RecordBatch.from_arrays([own, fold, *[batch[k] for k in names]], names=["_words", "_fold", *names])
+
+    def fitted(batches):
+        rows = sorted(x for batch in batches for x in zip(*(batch[k].to_pylist() for k in ("_words", "_fold", *names)), strict=True))
+        if rows:
+            model = fit_chain([x[0] for x in rows], np.array([x[2:] for x in rows]), np.array([x[1] for x in rows]))
             yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], names=["model"])
 
-    found = rows.coalesce(1).mapInArrow(fitted, "model binary").first()
+    # only the sample moves to the one task that fits it: the scan stays spread
+    kinds = ", ".join(f"`{k}` int" for k in names)
+    found = rows.select("text", *names).mapInArrow(reduced, f"_words string, _fold int, {kinds}").repartition(1).mapInArrow(fitted, "model binary").first()
     return found and pickle.loads(found["model"])
 
 

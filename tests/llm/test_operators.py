@@ -14,7 +14,7 @@ sys.path.insert(0, str(Path(__file__).parent))
 import brute
 
 from recordloom.llm import audio, chat, components, language, minhash, packing, pieces, quality, queries, repeats, tokens, toxicity, wavelet
-from recordloom.llm.core import materialize, recorded, release
+from recordloom.llm.core import bounded_ids, materialize, recorded, release
 
 WORDS = ["alpha", "beta", "gamma", "delta", "river", "stone", "cloud", "ember", "falcon", "garden", "harbor", "island"]
 
@@ -48,7 +48,10 @@ def empty(spark):
 
 @pytest.fixture(scope="module")
 def tokenizer():
-    return tokens.encoder(tokens.default_path()).tokenizer
+    """The library as it loads the file, apart from the operators' own object."""
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(tokens.default_path())
 
 
 def by_id(df):
@@ -58,7 +61,7 @@ def by_id(df):
 
 
 def test_token_memo_equals_the_library(tokenizer):
-    texts = [t or "" for t in TEXTS] + ["a  b\t\nc", "'90s don't ", "1½²x", " ſtraße ʰa", "\x1c\x1d", "é b"]
+    texts = [t or "" for t in TEXTS] + ["a  b\t\nc", "'90s don't ", "1½²x", " ſtraße ʰa", "\x1c\x1d", "é b", "a <|endoftext|> b", "<|endoftext|>", "漢 <|endoftext|><|endoftext|>", "<|endoftext"]
     assert [x.tolist() for x in tokens.encoder(tokens.default_path()).encode_all(texts)] == [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
 
 
@@ -305,6 +308,77 @@ def test_language(spark, empty):
     assert {r["lang_pred"] for r in language.predict(df, nothing).collect()} == {"und"} and language.predict(empty, nothing).count() == 0
 
 
+def test_language_models_against_plain_versions():
+    rng = np.random.default_rng(3)
+    kinds = {"en": "the of and", "de": "der und ich", "fr": "les que oux", "es": "los que ado"}
+    langs = [k for k in kinds for _ in range(30)]
+    texts = [" ".join(rng.choice([*kinds[k].split(), "abc", "xyz"], 25)) for k in langs]
+    model = language.fit([language.counted(t) for t in texts], langs)
+    x = np.array([np.bincount(language.trigrams(t), minlength=language.DIMS) / len(language.trigrams(t)) for t in texts])
+    assert set(model["models"]) == {("germanic", "romance"), ("de", "en"), ("es", "fr")}
+    for (a, b), w in model["models"].items():
+        label = np.array([model["family"][k] if a == "germanic" else k for k in langs])
+        rows = (label == a) | (label == b)
+        y, own = np.where(label[rows] == a, 1.0, -1.0), np.column_stack([x[rows] * np.sqrt(language.DIMS), np.ones(rows.sum())])
+        plain = np.append(w[:-1] / np.sqrt(language.DIMS), w[-1]).astype(float)
+        # squared hinge with C = 1 and balanced classes: the loss's slope vanishes at its minimum
+        slack = np.maximum(0, 1 - y * (own @ plain)) * len(y) / (2 * np.where(y > 0, (y > 0).sum(), (y < 0).sum()))
+        assert np.abs(plain - 2 * (slack * y) @ own).max() < 1e-3 * np.abs(plain).max()
+    packed = language._packed(model)
+    for t, row in zip(texts, x, strict=True):
+        margin = {pair: row @ w[:-1] + w[-1] for pair, w in model["models"].items()}
+        near, far = ("de", "en"), ("es", "fr")
+        duel = near if margin["germanic", "romance"] > 0 else far  # the family first, then the pair inside it
+        assert language.classify(t, packed)[0] == duel[int(margin[duel] < 0)]
+
+
+def test_bounded_ids_of_one_large_class(spark):
+    rows = spark.range(20_000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 50 > 0, "big").otherwise(F.concat(F.lit("c"), (F.col("id") % 7).cast("string"))).alias("k"))
+    rows = rows.union(rows.limit(10)).union(spark.createDataFrame([(1, None)], rows.schema))
+    picked = bounded_ids(rows, 30, "k", 4)
+    got = picked.groupBy("k").count().collect()
+    assert {r["k"]: r["count"] for r in got} == {"big": 30, "c0": 30, "c1": 30, "c2": 30}
+    assert picked.distinct().count() == 120 and sorted(map(tuple, picked.collect())) == sorted(map(tuple, bounded_ids(rows.repartition(7), 30, "k", 4).collect()))
+    assert bounded_ids(rows.limit(0), 30, "k", 4).count() == 0
+
+
+def test_toxicity_chain_against_plain_versions():
+    rng = np.random.default_rng(4)
+    vocabulary = [f"word{chr(97 + i)}" for i in range(12)] + ["vile", "scum"]
+    y = np.array([(i % 3 == 0, i % 4 == 0) for i in range(240)]).astype(int)
+    texts = [" ".join([*rng.choice(vocabulary[:12], 8), *(["scum"] if b and rng.random() < 0.9 else []), *(["vile"] if a and rng.random() < 0.9 else [])]) for a, b in y]
+    folds = rng.integers(0, 3, 240)
+    model = toxicity.fit_chain(texts, y, folds)
+    names = sorted({p for t in texts for w in t.split() for p in toxicity.parts(w)})
+    x = np.array([[n in {p for w in toxicity.tokens(t) for p in toxicity.parts(w)} for n in names] for t in texts], float)
+    earlier = np.zeros((240, 0))
+    for k in range(2):
+        def sloped(w, chain, bias, rows, k=k, earlier=earlier):
+            """Slope of the balanced logistic loss with l2 1e-3 at a model: none over the features it uses, the chain and the bias."""
+            used = w != 0
+            own, on = np.column_stack([x[rows][:, used], earlier[rows]]), y[rows, k]
+            m = own @ np.concatenate([w[used], chain]) + bias
+            e = (1 / (1 + np.exp(-m)) - on) * np.where(on > 0, 0.5 / on.sum(), 0.5 / (1 - on).sum())
+            return max(np.abs(own.T @ e + 1e-3 * np.concatenate([w[used], chain])).max(), abs(e.sum()))
+
+        w = np.array([model["weights"].get(n, np.zeros(2))[k] for n in names])
+        assert sloped(w, model["chains"][k], model["biases"][k], np.arange(240)) < 1e-3
+        out = np.zeros(240)
+        for f in range(3):  # out of fold: no model scores a row that it has seen
+            rows = toxicity.Rows(texts)
+            fw, chain, bias = rows.fit(y[:, k].astype(float), earlier, folds != f)
+            full = np.array([dict(zip(rows.names, fw, strict=True)).get(n, 0.0) for n in names])
+            assert sloped(full, chain, bias, np.flatnonzero(folds != f)) < 1e-3
+            out[folds == f] = (x @ full + earlier @ chain + bias)[folds == f]
+        earlier = np.column_stack([earlier, np.clip(out, -6, 6)])
+    assert len(model["chains"][1]) == 1
+    scorer = toxicity.Scorer(model)
+    for i, t in enumerate(texts[:50]):
+        first = sum(model["weights"][p][0] for p in names if p in model["weights"] and x[i, names.index(p)]) + model["biases"][0]
+        second = sum(model["weights"][p][1] for p in names if p in model["weights"] and x[i, names.index(p)]) + model["chains"][1][0] * np.clip(first, -6, 6) + model["biases"][1]
+        assert np.allclose(scorer.score(t), [1 / (1 + np.exp(-m)) for m in (first, second)])
+
+
 def test_toxicity(spark, empty):
     bad = ["vile", "scumbag", "wretch", "idiotic"]
     rng = np.random.default_rng(2)
