@@ -13,8 +13,9 @@ one at 80 with (1 - 0.8^5)^29 = 1e-5, and either is underestimated by the margin
 below 1e-4.
 
 Defined results: empty or null text has an empty set, linked with nothing; a text of fewer words than a shingle is one
-shingle; repeated rows (also of one doc_id with several texts) are judged each; null doc_ids are linked like others and
-reported with component null only if the whole group has none; an empty table gives no rows; columns are kept.
+shingle; repeated rows (also of one doc_id with several texts) are judged each; null doc_ids are linked like others,
+reported with component null only if the whole group has none, and not kept beside a row with an id; a very long text's
+set is held whole by one task; an empty table gives no rows; columns other than doc_id and text are ignored.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ from functools import partial
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from recordloom.llm.components import connected
@@ -139,7 +140,7 @@ def _signed(batches, similarity: int):
             out.append(seen[key])
         kinds = [pa.int64(), pa.binary(), pa.binary(), pa.list_(pa.int64())]
         columns = [pa.array(list(c), k) for c, k in zip(zip(*out, strict=True) if out else [[]] * 4, kinds, strict=True)]
-        yield pa.RecordBatch.from_arrays([batch["doc_id"], *columns], names=["doc_id", "n_shingles", "set_hash", "signature", "bands"])
+        yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["text_hash"], *columns], names=["doc_id", "text_hash", "n_shingles", "set_hash", "signature", "bands"])
 
 
 class _Forest:
@@ -224,33 +225,44 @@ def _linked(batches, similarity: int):
 
 
 def _members(batches):
-    """The set of every document that stands for a class: only where the text still gives the class's set."""
-    words = Words()
+    """The set of every document that stands for a class, once for each task: a class's row may be repeated any number of times."""
+    words, seen = Words(), set()
     for batch in batches:
-        found = [shingles(t.as_py(), words) for t in batch["text"]]
-        keep = [i for i, (s, h) in enumerate(zip(found, batch["set_hash"], strict=True)) if _set_hash(s) == h.as_py()]
+        keep, sets = [], []
+        for i, (node, text, key) in enumerate(zip(batch["node"].to_pylist(), batch["text"], batch["set_hash"], strict=True)):
+            if node in seen:
+                continue
+            s = shingles(text.as_py(), words)
+            if _set_hash(s) == key.as_py():
+                seen.add(node)
+                keep.append(i)
+                sets.append(s.tobytes())
         if keep:
             rest = batch.take(pa.array(keep))
-            yield pa.RecordBatch.from_arrays([*[rest[k] for k in ("cluster", "blocks", "block", "node", "signature")], pa.array([found[i].tobytes() for i in keep], pa.binary())], names=["cluster", "blocks", "block", "node", "signature", "members"])
+            yield pa.RecordBatch.from_arrays([*[rest[k] for k in ("cluster", "blocks", "block", "node", "signature")], pa.array(sets, pa.binary())], names=["cluster", "blocks", "block", "node", "signature", "members"])
 
 
-def near_duplicates(docs: DataFrame, similarity: int = SIMILARITY) -> DataFrame:
-    """docs' rows as doc_id, n_shingles, component_id, kept (row for row); similarity: per cent from which pairs are linked."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    signed = rows.mapInArrow(partial(_signed, similarity=similarity), "doc_id long, n_shingles long, set_hash binary, signature binary, bands array<long>")
+def _with_hash(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_hash"))
+
+
+def _groups(docs: DataFrame, similarity: int) -> DataFrame:
+    """docs' rows as doc_id, text_hash, n_shingles, group (null for empty sets) and component_id, the group's least doc_id."""
+    rows = _with_hash(docs)
+    signed = rows.mapInArrow(partial(_signed, similarity=similarity), "doc_id long, text_hash long, n_shingles long, set_hash binary, signature binary, bands array<long>")
     signed = materialize(signed.withColumn("row", F.monotonically_increasing_id()), "minhash")
     # one class per distinct set; its node is the number of one of its rows
-    classes = signed.where("n_shingles > 0").groupBy("set_hash").agg(F.min(F.struct("row", "doc_id")).alias("first"), F.min("doc_id").alias("least_doc"), F.min("n_shingles").alias("n_shingles"), F.first("signature").alias("signature"), F.first("bands").alias("bands"))
-    classes = materialize(classes.select("set_hash", F.col("first.row").alias("node"), F.col("first.doc_id").alias("of_doc"), "least_doc", "n_shingles", "signature", "bands"), "classes")
+    classes = signed.where("n_shingles > 0").groupBy("set_hash").agg(F.min(F.struct("row", "doc_id", "text_hash")).alias("first"), F.min("doc_id").alias("least_doc"), F.min("n_shingles").alias("n_shingles"), F.first("signature").alias("signature"), F.first("bands").alias("bands"))
+    classes = materialize(classes.select("set_hash", F.col("first.row").alias("node"), F.col("first.doc_id").alias("of_doc"), F.col("first.text_hash").alias("of_text"), "least_doc", "n_shingles", "signature", "bands"), "classes")
     keyed = classes.select("node", F.explode("bands").alias("key"))
     buckets = keyed.groupBy("key").agg(F.min("node").alias("hub"), F.count("*").alias("n")).where("n > 1")
     stars = keyed.join(buckets, "key").where("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b"))
     clusters = connected(stars).withColumnRenamed("component", "cluster")
     tidy(docs.sparkSession)
-    sized = classes.select("node", "set_hash", "of_doc", "n_shingles", "signature").join(clusters, "node")
+    sized = classes.select("node", "set_hash", "of_doc", "of_text", "n_shingles", "signature").join(clusters, "node")
     blocks = sized.groupBy("cluster").agg(F.ceil(F.sum("n_shingles") / CLUSTER_SHINGLES).cast("int").alias("blocks"))
     sized = sized.join(blocks, "cluster").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    texts = rows.join(sized.withColumnRenamed("of_doc", "_of"), F.col("doc_id").eqNullSafe(F.col("_of"))).select("text", "cluster", "blocks", "block", "node", "signature", "set_hash")
+    texts = rows.join(sized, (F.col("text_hash") == F.col("of_text")) & F.col("doc_id").eqNullSafe(F.col("of_doc"))).select("text", "cluster", "blocks", "block", "node", "signature", "set_hash")
     sets = texts.mapInArrow(_members, "cluster long, blocks int, block int, node long, signature binary, members binary")
     # a block meets itself and every other block of its cluster
     others = F.sequence(F.lit(0), F.col("blocks") - 1)
@@ -261,7 +273,27 @@ def near_duplicates(docs: DataFrame, similarity: int = SIMILARITY) -> DataFrame:
     tidy(docs.sparkSession)
     own = classes.select("set_hash", "node", "least_doc").join(groups, "node", "left").withColumn("group", F.coalesce("component", "node"))
     least = own.groupBy("group").agg(F.min("least_doc").alias("component_id"))
-    answer = own.join(least, "group").select("set_hash", "component_id")
-    out = signed.select("doc_id", "n_shingles", "set_hash").join(answer, "set_hash", "left")
-    out = out.select("doc_id", "n_shingles", F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
-    return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    answer = own.join(least, "group").select("set_hash", "group", "component_id")
+    out = signed.select("doc_id", "text_hash", "n_shingles", "set_hash").join(answer, "set_hash", "left")
+    return out.select("doc_id", "text_hash", "n_shingles", "group", F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+
+
+def near_duplicates(docs: DataFrame, similarity: int = SIMILARITY) -> DataFrame:
+    """docs' rows as doc_id, n_shingles, component_id, kept (row for row); similarity: per cent from which pairs are linked."""
+    out = _groups(docs, similarity).select("doc_id", "n_shingles", "component_id")
+    return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+
+
+def one_of_each_group(docs: DataFrame, similarity: int = SIMILARITY) -> DataFrame:
+    """The rows of docs without near-duplicates: of each group the row of the least doc_id (null ids last; then of the least
+    text hash) stays, and only one of rows that are repeated; rows without words stay. All columns as they are."""
+    found = _groups(docs, similarity).where(F.col("group").isNotNull())
+    place = F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash")
+    same = found.groupBy("group", "doc_id", "text_hash").agg(F.count("*").alias("n"))
+    heads = materialize(same.groupBy("group").agg(F.min_by(F.struct("doc_id", "text_hash", "n"), place).alias("h")).select("h.*"), "heads")
+    rows = docs.select(F.struct("*").alias("_doc"), F.col("doc_id").cast("long").alias("_id"), F.xxhash64("text").alias("_hash"))
+    bare = ~F.coalesce(F.col("_doc.text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    kept = rows.where(~bare).join(heads, (F.col("_hash") == F.col("text_hash")) & F.col("_id").eqNullSafe(F.col("doc_id")))
+    again = Window.partitionBy("_hash", "_id").orderBy(F.lit(0))
+    once = kept.where("n > 1").withColumn("_nth", F.row_number().over(again)).where("_nth = 1")  # ranked before the shuffle too
+    return rows.where(bare).select("_doc.*").unionAll(kept.where("n = 1").select("_doc.*")).unionAll(once.select("_doc.*"))
