@@ -221,6 +221,18 @@ def test_near_duplicates(spark, docs, empty):
     assert len(twice) == 3 and all(r["component_id"] == 1 for r in twice)
 
 
+def test_one_of_each_group_and_null_ids(spark):
+    other = sentence(77, 60)
+    rows = [(3, BASE, 1), (5, BASE, 2), (5, other, 3), (None, BASE, 4), (None, "alone " + sentence(78, 50), 5), (None, "", 6), (9, None, 7), (9, None, 8), (3, BASE, 9), (None, sentence(79, 50), 10), (None, sentence(79, 50), 11)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, `group` int").repartition(3)
+    got = {(r["doc_id"], r["component_id"], r["kept"]) for r in minhash.near_duplicates(df).collect()}
+    assert (None, 3, False) in got and (5, 3, False) in got and (5, 5, True) in got and (None, None, True) in got
+    left = minhash.one_of_each_group(df).collect()
+    assert left[0].asDict().keys() == {"doc_id", "text", "group"}
+    assert sorted((r["doc_id"] or 0, r["text"] or "") for r in left) == sorted((d or 0, t or "") for d, t, n in rows if n in (1, 3, 5, 6, 7, 8, 10))
+    assert minhash.one_of_each_group(df.limit(0)).count() == 0
+
+
 @pytest.mark.parametrize("limit", [1 << 21, 900])
 def test_near_duplicate_families(spark, monkeypatch, limit):
     """Copies of copies, chains and classes over block borders."""
@@ -284,15 +296,66 @@ def test_merge_dropout_of_every_occurrence():
         cuts[k] = [x.replace(" ", "|") for x in re.findall(r"▁(?:(?!▁).)*y(?= ?▁)", shown) if x.replace(" ", "") == "▁extraordinary"]
     assert min(len(set(c)) for c in cuts.values()) > 4  # inside one document
     assert len({c[0] for c in cuts.values()}) > 4  # among documents
-    for n in (30, 63, 64, 200):
-        symbols = list("▁" + long[:n])
-        for bits in (0, 0b1011, 1 << 40, int.from_bytes(pieces.skips(n, np.array(3), np.arange(30), 0.1).tobytes(), "little")):
-            assert pieces._by_list(symbols[:], model.rank.get, bits) == pieces._by_heap(symbols[:], model.rank.get, bits)
     for rate in (0.0, 0.1, 0.5, 1.0):
-        found = pieces.skips(7, np.arange(20_000), np.array(0), rate)
+        found = pieces.skips(7, np.arange(20_000), 0, rate)
         assert max(abs((found >> np.uint32(i) & 1).mean() - rate) for i in range(32)) < 0.02
 
 
+def plain_agenda(unit, model, skipped):
+    """The agenda as its definition says: all candidates anew at each step, the best rank first, then the leftmost."""
+    symbols, gone, steps = list(unit.replace(" ", "▁")), set(), 0
+    while True:
+        ways = [(model.rank[a + b], i) for i, (a, b) in enumerate(zip(symbols, symbols[1:], strict=False)) if a + b in model.rank and i not in gone]
+        if not ways:
+            return [model.ids[s] for s in symbols], steps
+        _, i = min(ways)
+        steps += 1
+        if skipped >> (steps - 1) & 1:
+            gone.add(i)
+            continue
+        symbols[i : i + 2] = [symbols[i] + symbols[i + 1]]
+        # places behind move up; the pairs beside the new symbol are new candidates
+        gone = {g - (g > i) for g in gone if g not in (i - 1, i, i + 1)}
+
+
+@pytest.mark.parametrize("rate", [0.1, 0.5])
+def test_merge_dropout_against_a_plain_agenda(rate):
+    model = pieces.model_at(pieces.default_path())
+    rng = np.random.default_rng(6)
+    letters = list("etaoinshrdlucmfwypvbgkqjxzéüñß")
+    units = [" " * (k % 3) + "".join(rng.choice(letters, n)) for n in (*range(1, 30), 40, 63, 64, 65, 100, 200) for k in range(12)]
+    units += [" internationalization", " the", " thethethethethethethethe", "aaaaaaaaaaaaaaaaaaaaaaaaaaaaaa", "....", " !!", "\t"] * 4
+    if any(len(set(u) - set("".join(model.ids))) for u in units):
+        units = [u for u in units if set(u.replace(" ", "▁")) <= set(model.ids)]
+    words = 3 * 210 // 32 + 1
+    bits = pieces.skips(99, np.arange(len(units))[:, None], np.arange(words), rate)
+    table = pieces.Pieces(model, rate, 1)
+    ids, begin, size, steps = table._cut_all(units, bits)
+    for k, unit in enumerate(units):
+        skipped = int.from_bytes(bits[k].tobytes(), "little")
+        want = plain_agenda(unit, model, skipped)
+        assert (ids[begin[k] : begin[k] + size[k]].tolist(), steps[k]) == want == pieces.segment(unit, model, skipped)
+    text = "".join(f" {u.strip()}" for u in units if u.strip())
+    got, at = table.encode(text).tolist(), 0
+    cut = (pieces._PLAIN_UNITS if pieces._PLAIN.fullmatch(text) else pieces._UNITS).findall(" " + text)
+    own = pieces.skips(pieces.variant(text, 1), np.arange(len(cut))[:, None], np.arange(words), rate)
+    for unit, b in zip(cut, own, strict=True):
+        want = plain_agenda(unit, model, int.from_bytes(b.tobytes(), "little"))[0]
+        assert got[at : at + len(want)] == want
+        at += len(want)
+    assert at == len(got)
+
+
+def test_merge_dropout_memory_starts_anew(monkeypatch):
+    model = pieces.model_at(pieces.default_path())
+    texts = [sentence(k, 40) + " 漢字 ▁ " + "ab" * 80 for k in range(30)] + ["", "x"]
+    want = [x.tolist() for x in pieces.Pieces(model, 0.1, 17).encode_all(texts)]
+    monkeypatch.setattr(pieces, "MEMORY", 50)
+    monkeypatch.setattr(pieces, "BATCH", 100)
+    table = pieces.Pieces(model, 0.1, 17)
+    assert [x.tolist() for x in table.encode_all(texts)] == want == [table.encode(t).tolist() for t in texts]
+
+
 def test_language(spark, empty):
     sounds = {"en": "the of and tion ing", "de": "der und schaft ung ich", "fr": "eau les que ment oux", "es": "cion los que mente ado"}
     rng = np.random.default_rng(1)
