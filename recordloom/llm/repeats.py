@@ -33,6 +33,7 @@ from recordloom.llm.core import materialize, partitions, tidy
 
 LENGTH = 50
 SEED = 16
+ADDED = ("n_bytes", "n_removed", "n_spans", "kept_sha256")
 CHUNK_BYTES = 1 << 21
 U = np.uint64
 _P = 0x9E3779B97F4A7C15
@@ -538,7 +539,7 @@ def maximal_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
 
 def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", prefix: str = "") -> DataFrame:
     """docs with the repeated bytes taken out of text, and n_bytes, n_removed, n_spans, kept_sha256 added (after prefix)."""
-    added = [(prefix + k, StringType() if k == "kept_sha256" else LongType()) for k in ("n_bytes", "n_removed", "n_spans", "kept_sha256")]
+    added = [(prefix + k, StringType() if k == "kept_sha256" else LongType()) for k in ADDED]
     docs = docs.drop(*[k for k, _ in added])
     chunks, found, resolved = _stages(docs, doc_id, text)
     members = found.where("kind = 'member'").groupBy("bucket").agg(F.collect_list(F.struct("chunk", "data")).alias("members"))
