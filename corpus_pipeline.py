@@ -1,7 +1,12 @@
 """From raw documents to packed training sequences, each stage one operator of recordloom.llm.
 
 Stages take (spark, docs, sf_dir); what each returns is written as Parquet and read again as the next one's docs. All
-but the last return the columns of docs as they came, whatever else they are called.
+but the last return the columns of docs as they came, whatever else they are called: columns that a stage adds on the way get
+names that docs doesn't use.
+
+Defined results: null and empty texts fail the quality rules, so later stages don't see them in a run (each takes them all
+the same); rows of one doc_id with several texts are judged one by one; of rows that are repeated exactly, near-dedup keeps
+one; null doc_ids stay, behind others in near-dedup and ahead of them in repeat removal; an empty table stays empty.
 """
 
 from __future__ import annotations
@@ -36,13 +41,21 @@ def _stage(function):
     return run
 
 
+def _unused(docs: DataFrame, *names: str) -> str:
+    """What to put before these names so that docs has none of them."""
+    taken, prefix = {c.lower() for c in docs.columns}, "_"
+    while any((prefix + k).lower() in taken for k in names):
+        prefix += "_"
+    return prefix
+
+
 @_stage
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the base rules and no rule's certified cutoff."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    stats = materialize(quality.with_stats(docs.select("doc_id", "lang", "text")).drop("text"), "quality")
-    cutoffs = materialize(quality.calibrate(stats, labels), "cutoffs")
-    rows = quality.with_stats(docs.select(F.struct("*").alias("_doc"), "lang", "text"))
+    # the statistics cost far more than a second reading of the rows, so they are computed once and kept beside them
+    rows = materialize(quality.with_stats(docs.select(F.struct("*").alias("_doc"), "doc_id", "lang", "text")).drop("text"), "quality")
+    cutoffs = materialize(quality.calibrate(rows, labels), "cutoffs")
     return quality.judge(rows, cutoffs).where("kept").select("_doc.*")
 
 
@@ -50,21 +63,21 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a recognised language."""
     model = language.train(docs)
-    names = ("_lang_pred", "_lang_score")
+    before = _unused(docs, "lang_pred", "lang_score")
+    names = (f"{before}lang_pred", f"{before}lang_score")
     return language.predict(docs, model, names).where(F.col(names[0]) != language.UND).select(*docs.columns)
 
 
 @_stage
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates."""
-    gone = materialize(minhash.near_duplicates(docs, SIMILARITY).where("not kept").select("doc_id").distinct(), "dropped")
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    return minhash.one_of_each_group(docs, SIMILARITY)
 
 
 @_stage
 def repeat_removal(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the passages that an earlier document has; n_chars counted again."""
-    cleaned = repeats.remove_repeats(docs, prefix="_")
+    cleaned = repeats.remove_repeats(docs, prefix=_unused(docs, *repeats.ADDED))
     return cleaned.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 
