@@ -73,3 +73,41 @@ def test_near_dedup_links_from_80_per_cent(spark):
     left = {r["doc_id"] for r in pipeline.near_dedup(spark, docs, "").collect()}
     assert left == {d for d, _ in rows} - {100 * k + 1 for k in range(20)}
     assert minhash.near_duplicates(docs, 85).where("not kept").count() == 0
+
+
+ODD = "doc_id long, text string, lang string, source string, n_chars long, _lang_pred string, _n_bytes string, n_words string, kept string, row string, `group` string, _doc string"
+
+
+def odd_rows():
+    rng = np.random.default_rng(1)
+    make = lambda n: " ".join(f"v{x}" for x in rng.integers(0, 9000, n))
+    base, other, long = make(70), make(70), make(30_000)
+    texts = [(3, base), (5, other), (5, base), (5, other), (None, make(60)), (None, None), (7, ""), (8, long), (9, "short"), (None, base), (11, make(90))]
+    return [(d, t, "en", "s", -1, "mine", "mine", "mine", "mine", "mine", "mine", "mine") for d, t in texts]
+
+
+def test_odd_rows_go_through_every_stage(spark, folder, tmp_path):
+    """Repeated rows, one id with two texts, null ids and texts, a long text, and columns named as the stages' own."""
+    path, _ = folder
+    rows = odd_rows()
+    docs = spark.createDataFrame(rows, ODD).repartition(3)
+    good = [r for r in rows if r[1] and len(r[1].split()) >= 10]
+    want = {"quality rules": good, "language ID": good, "near-dedup": [r for i, r in enumerate(good) if i in (0, 1, 4, 5, 7)]}
+    assert [r[0] for r in want["near-dedup"]] == [3, 5, None, 8, 11]
+    for name, stage in pipeline.STAGES:
+        out = stage(spark, docs, path)
+        out.write.parquet(str(tmp_path / name))
+        docs = spark.read.parquet(str(tmp_path / name))
+        if name in want:
+            assert sorted(map(str, map(tuple, docs.collect()))) == sorted(map(str, want[name]))
+        if name == "repeat removal":
+            assert docs.columns == [f.name for f in spark.createDataFrame([], ODD).schema]
+            assert all(set(r[5:]) == {"mine"} and r["n_chars"] == len(r["text"]) for r in docs.collect()) and docs.count() == 5
+    assert {r["doc_id"] for r in docs.collect()} == {3, 5, None, 8, 11}
+
+
+def test_an_empty_table_stays_empty(spark, folder):
+    path, _ = folder
+    docs = spark.createDataFrame([], ODD)
+    for _, stage in pipeline.STAGES:
+        assert stage(spark, docs, path).count() == 0
