@@ -2,19 +2,25 @@
 
 Every 50-byte window has an anchor: its rightmost 16-byte string of least hash. The anchor depends on the window's bytes
 only, so equal windows have equal anchors at equal places, and it is enough to compare the windows that an anchor owns:
-its region (at most 84 bytes). Regions are counted by (anchor, region) hash in sorted, packed lists, once a chunk of
-documents. Where all regions of an anchor are equal they are one class whose least document decides. For the others the
-distinct regions' bytes are fetched, and each task builds the enhanced suffix array of its regions (window suffixes,
-sorted, with common prefix lengths) and scans it with a stack: every interval of the common-prefix tree whose
-occurrences have different left neighbours is a maximal repeat group, reported with its length, number of occurrences
-and least document; together they give, for each window, the least document that has it.
+its region (at most 84 bytes). Regions are gathered by (anchor, region) hash in sorted, packed lists, once a chunk of
+documents; anchors of one document need nothing more. For every anchor that several documents have, the bytes of its
+distinct regions (classes) are fetched, and each task builds the enhanced suffix array of its classes (window suffixes,
+sorted, with common prefix lengths) and scans it with a stack: every interval of the common-prefix tree whose occurrences
+have different left neighbours is a maximal repeat group, and so is a class that occurs more than once. The groups together
+give, for each window, the least document that has it; a window is removed when its document is later than that one.
 
-A window is removed when its document is later than that one. Chunks are written once and addressed by (chunk, entry),
-so repeated doc_ids and ties are exact.
+Classes stand for all their occurrences, which share anchor and region hash (64 bits each); before a byte is removed a
+third hash of the region must agree with that of the fetched bytes, else the byte stays. Chunks are written once and
+addressed by (chunk, entry), so repeated doc_ids and ties are exact.
+
+``maximal_repeats`` lists the groups with all occurrences. Groups of neighbouring regions that have the same occurrences are
+joined, so a repeat is reported whole, however long, as long as no part of it that fills a region occurs more often; where
+one does, the repeat is reported in parts, and that part as a group of its own.
 
 Defined results: null or empty text has no bytes; texts under 50 bytes keep all; two rows of the same doc_id never
 remove each other's bytes; null doc_ids are taken as the earliest (least long); very long documents are a chunk of
-their own; an empty table gives no rows; all other columns are carried along unchanged.
+their own; an empty table gives no rows; columns named like an added one are replaced (``prefix`` avoids that), all other
+columns are carried along unchanged.
 """
 
 from __future__ import annotations
@@ -25,7 +31,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
@@ -38,8 +44,13 @@ CHUNK_BYTES = 1 << 21
 U = np.uint64
 _P = 0x9E3779B97F4A7C15
 _MASK = (1 << 64) - 1
-#: An entry of a packed list: hashes, least doc_id of the chunk, place in the chunk, size, place of the anchor, several documents?
-ENTRY = np.dtype([("anchor", "<u8"), ("region", "<u8"), ("doc", "<i8"), ("at", "<u4"), ("size", "u1"), ("seed", "u1"), ("several", "u1")])
+_CHECK = 0xD1342543DE82EF95
+#: Bytes of input for each bucket of anchors.
+BUCKET_BYTES = 1 << 23
+ONCE, REPEATED, SEVERAL = 0, 1, 2
+#: An entry of a packed list: hashes, least doc_id of the chunk, place in the chunk, size, and whether it comes once, again in
+#: one document, or in several documents of the chunk.
+ENTRY = np.dtype([("anchor", "<u8"), ("region", "<u8"), ("doc", "<i8"), ("at", "<u4"), ("size", "u1"), ("spread", "u1")])
 
 
 def _spread(h: np.ndarray) -> np.ndarray:
@@ -84,7 +95,7 @@ class Chunk:
         n = len(self.buf) - LENGTH + 1
         if n <= 0:
             none = np.zeros(0, np.int64)
-            return {"doc": none, "at": none, "windows": none, "seed": none, "anchor": none.astype(U), "region": none.astype(U)}
+            return {"doc": none, "at": none, "windows": none, "anchor": none.astype(U), "region": none.astype(U)}
         seeds, at = _anchors(self.buf)
         inside = np.zeros(n + 1, np.int8)  # windows that don't cross a document's end
         starts, stops = self.ends - self.lengths, self.ends - LENGTH + 1
@@ -104,7 +115,7 @@ class Chunk:
         anchor = at[first]
         doc = np.searchsorted(self.ends, first, side="right")
         region = _string_hash(prefix, first, size, powers) ^ (anchor - first).astype(U) * U(0xA24BAED4963EE407)
-        return {"doc": doc, "at": first, "windows": windows, "seed": anchor - first, "anchor": _spread(seeds[anchor] + U(_P)), "region": region}  # minima are small numbers: spread them again
+        return {"doc": doc, "at": first, "windows": windows, "anchor": _spread(seeds[anchor] + U(_P)), "region": region}  # minima are small numbers: spread them again
 
     def entries(self) -> tuple[np.ndarray, dict[str, np.ndarray], np.ndarray]:
         """The chunk's distinct (anchor, region)s, sorted; its occurrences; the entry of each of them."""
@@ -119,23 +130,30 @@ class Chunk:
         if len(first):
             pick = order[first]  # any occurrence: the bytes are the same
             out["anchor"], out["region"], out["doc"] = a[first], g[first], np.minimum.reduceat(d, first)
-            out["several"] = np.maximum.reduceat(d, first) != out["doc"]
-            out["at"], out["size"], out["seed"] = r["at"][pick], r["windows"][pick] + LENGTH - 1, r["seed"][pick]
+            again = np.diff(np.append(first, len(a))) > 1
+            out["spread"] = np.where(np.maximum.reduceat(d, first) != out["doc"], SEVERAL, np.where(again, REPEATED, ONCE))
+            out["at"], out["size"] = r["at"][pick], r["windows"][pick] + LENGTH - 1
         entry = np.empty(len(a), np.int64)
         entry[order] = np.cumsum(new) - 1
         return out, r, entry
 
 
-def _prefix_hashes(buf: np.ndarray) -> np.ndarray:
+def _prefix_hashes(buf: np.ndarray, p: int = _P) -> np.ndarray:
     """H[i] = hash of the first i bytes, mod 2^64: a scan by blocks, each a weighted running sum."""
-    # sum of b[j] * P^-j, times P^i: P is odd, so it has an inverse mod 2^64
-    inverse = pow(_P, -1, 1 << 64)
+    # sum of b[j] * p^-j, times p^i: p is odd, so it has an inverse mod 2^64
+    inverse = pow(p, -1, 1 << 64)
     n = len(buf)
     down = _powers(inverse, n)
     total = np.empty(n + 1, U)
     total[0] = 0
     np.cumsum((buf.astype(U) + U(1)) * down, out=total[1:])
-    return total * _powers(_P, n + 1) * U(inverse)
+    return total * _powers(p, n + 1) * U(inverse)
+
+
+def _check_hashes(buf: np.ndarray, at: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """A hash of substrings by another base than the regions' own."""
+    powers = np.array([pow(_CHECK, k, 1 << 64) for k in range(2 * LENGTH)], U)
+    return _string_hash(_prefix_hashes(buf, _CHECK), at, size, powers)
 
 
 _power_tables: dict[int, np.ndarray] = {}
@@ -205,7 +223,7 @@ def _pack(entries: np.ndarray) -> bytes:
     docs, place = np.unique(entries["doc"], return_inverse=True)
     planes = lambda x: np.ascontiguousarray(x).view(np.uint8).reshape(-1, 4).T.tobytes()
     parts += [np.uint64(len(docs)).tobytes(), docs.tobytes(), planes(place.astype("<u4")), planes(entries["at"])]
-    parts += [np.ascontiguousarray(entries[k]).tobytes() for k in ("size", "seed", "several")]
+    parts += [np.ascontiguousarray(entries[k]).tobytes() for k in ("size", "spread")]
     return zstandard.compress(b"".join(parts), 1)
 
 
@@ -226,18 +244,19 @@ def _unpack(data: bytes) -> np.ndarray:
     docs = take(8, int(take(8, 1, False)[0]), False).view("<i8")
     out["doc"] = docs[take(4, n, True)]
     out["at"] = take(4, n, True)
-    for k in ("size", "seed", "several"):
+    for k in ("size", "spread"):
         out[k] = take(1, n, False)
     return out
 
 
 KINDS = "kind string, bucket int, chunk long, data binary"
-REPLY = np.dtype([("entry", "<u4"), ("doc", "<i8")])
-MEMBER = np.dtype([("anchor", "<u8"), ("region", "<u8"), ("entry", "<u4")])
+MEMBER = np.dtype([("entry", "<u4"), ("kind", "<u4")])  # kind: number of the class in its bucket
+CLASS = np.dtype([("kind", "<u4"), ("doc", "<i8"), ("at", "<u4"), ("size", "u1"), ("again", "u1")])
 
 
-def _compared(batches):
-    """Per bucket: replies (entry, least document) where an anchor has one region; else members and fetches."""
+def _compared(batches, everything: bool):
+    """Per bucket, of the anchors that several documents have: the classes, each at one place (fetch), and the entries that
+    belong to them (member); unless everything is asked for, without those entries that no document is earlier than."""
     now, lists = None, []
 
     def done():
@@ -251,31 +270,29 @@ def _compared(batches):
         new_anchor[1:] = e["anchor"][1:] != e["anchor"][:-1]
         new_region = new_anchor.copy()
         new_region[1:] |= e["region"][1:] != e["region"][:-1]
-        anchor, region = np.cumsum(new_anchor) - 1, np.cumsum(new_region) - 1
-        firsts, heads = np.flatnonzero(new_anchor), np.flatnonzero(new_region)
+        anchor, firsts = np.cumsum(new_anchor) - 1, np.flatnonzero(new_anchor)
         if not len(e):
             return
         low, high = np.minimum.reduceat(e["doc"], firsts), np.maximum.reduceat(e["doc"], firsts)
-        several = np.maximum.reduceat(e["several"], firsts) > 0
-        kinds = np.bincount(anchor[heads])
-        shared = (low != high) | several  # else the anchor is in one document only
-        alone = (shared & (kinds == 1))[anchor]
-        mixed = (shared & (kinds > 1))[anchor]
-        least = e["doc"][heads][region]
-        reply = alone & ((e["doc"] > least) | (e["several"] > 0))
+        shared = ((low != high) | (np.maximum.reduceat(e["spread"], firsts) == SEVERAL))[anchor]  # else the anchor is in one document only
+        heads = np.flatnonzero(new_region)
+        again = (np.maximum.reduceat(e["spread"], heads) > ONCE) | (np.diff(np.append(heads, len(e))) > 1)
+        region = np.cumsum(new_region) - 1
+        kind = np.cumsum(new_region & shared) - 1
+        named = shared if everything else shared & ((e["doc"] > low[anchor]) | (e["spread"] == SEVERAL))
         names, buckets, chunks, data = [], [], [], []
 
-        def put(kind, which, values):
-            for s in np.unique(source[which]):
-                mine = which[source[which] == s]
-                names.append(kind)
+        def put(name, which, values):
+            which = which[np.argsort(source[which], kind="stable")]
+            edges = np.flatnonzero(np.diff(source[which], prepend=-1))
+            for first, stop in zip(edges, np.append(edges[1:], len(which)), strict=True):
+                names.append(name)
                 buckets.append(now)
-                chunks.append(lists[s][0])
-                data.append(values(mine).tobytes())
+                chunks.append(lists[source[which[first]]][0])
+                data.append(values(which[first:stop]).tobytes())
 
-        put("reply", np.flatnonzero(reply), lambda i: _structured(REPLY, entry=entry[i], doc=least[i]))
-        put("member", np.flatnonzero(mixed), lambda i: _structured(MEMBER, anchor=e["anchor"][i], region=e["region"][i], entry=entry[i]))
-        put("fetch", np.flatnonzero(mixed & new_region), lambda i: e[i])
+        put("member", np.flatnonzero(named), lambda i: _structured(MEMBER, entry=entry[i], kind=kind[i]))
+        put("fetch", np.flatnonzero(shared & new_region), lambda i: _structured(CLASS, kind=kind[i], doc=e["doc"][i], at=e["at"][i], size=e["size"][i], again=again[region[i]]))
         yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(buckets, pa.int32()), pa.array(chunks, pa.int64()), pa.array(data, pa.binary())], names=["kind", "bucket", "chunk", "data"])
 
     for batch in batches:
@@ -289,21 +306,21 @@ def _compared(batches):
         yield from done()
 
 
-def _structured(kind: np.dtype, **columns) -> np.ndarray:
-    out = np.empty(len(next(iter(columns.values()))), kind)
+def _structured(dtype: np.dtype, /, **columns) -> np.ndarray:
+    out = np.empty(len(next(iter(columns.values()))), dtype)
     for k, v in columns.items():
         out[k] = v
     return out
 
 
 def _fetched(batches):
-    """The bytes of asked regions: per bucket, entries and concatenated bytes."""
+    """The bytes of asked regions: per bucket, classes and concatenated bytes."""
     for batch in batches:
         names, data = [], []
         for row in _pylist(batch):
             chunk = Chunk(row)
             for ask in row["asks"]:
-                e = np.frombuffer(ask["data"], ENTRY)
+                e = np.frombuffer(ask["data"], CLASS)
                 size = e["size"].astype(np.int64)
                 place = np.repeat(e["at"].astype(np.int64) - np.concatenate([[0], np.cumsum(size)[:-1]]), size) + np.arange(size.sum())
                 names.append(ask["bucket"])
@@ -325,20 +342,56 @@ class SuffixArray:
         """regions: bytes of all regions, one after the other."""
         starts = np.cumsum(sizes) - sizes
         windows = sizes - LENGTH + 1
-        self.region = np.repeat(np.arange(len(sizes)), windows)
-        self.offset = np.arange(windows.sum()) - np.repeat(np.cumsum(windows) - windows, windows)
-        at, left = starts[self.region] + self.offset, sizes[self.region] - self.offset
-        padded = np.concatenate([regions + np.uint8(1), np.zeros(self.WIDTH, np.uint8)])  # UTF-8 has no byte 255; 0 ends a region
-        table = np.lib.stride_tricks.sliding_window_view(padded, self.WIDTH)[at]
-        table = np.where(np.arange(self.WIDTH) < left[:, None], table, np.uint8(0))
-        self.order = np.argsort(np.ascontiguousarray(table).view(f"S{self.WIDTH}").ravel(), kind="stable")
-        table = table[self.order]
-        differ = table[1:] != table[:-1]
-        common = np.where(differ.any(axis=1), differ.argmax(axis=1), self.WIDTH)
-        left = left[self.order]
-        self.lcp = np.minimum(common, np.minimum(left[1:], left[:-1]))
-        self.left = np.where(self.offset > 0, padded[at - 1].astype(np.int64), 256 + self.region)[self.order]  # no left neighbour: unlike any other
-        self.region, self.offset = self.region[self.order], self.offset[self.order]
+        region = np.repeat(np.arange(len(sizes)), windows)
+        offset = np.arange(windows.sum()) - np.repeat(np.cumsum(windows) - windows, windows)
+        at, left = starts[region] + offset, sizes[region] - offset
+        padded = np.concatenate([regions + np.uint8(1), np.zeros(self.WIDTH + 8, np.uint8)])  # UTF-8 has no byte 255; 0 ends a region
+        self._eights = np.ndarray(len(padded) - 7, ">u8", padded, strides=(1,))
+        order = self._sorted(at, left)
+        self.region, self.offset, at, left = region[order], offset[order], at[order], left[order]
+        self.lcp = np.minimum(self._common(at, left), np.minimum(left[1:], left[:-1]))
+        self.left = np.where(self.offset > 0, padded[at - 1].astype(np.int64), 256 + self.region)  # no left neighbour: unlike any other
+
+    def _word(self, at: np.ndarray, left: np.ndarray, k: int) -> np.ndarray:
+        """Bytes 8k to 8k + 7 of suffixes as numbers that sort like them, 0 behind a region's end."""
+        over = np.clip(8 * (8 - (left - 8 * k)), 0, 64)
+        here = self._eights[np.minimum(at + 8 * k, len(self._eights) - 1)].astype(U)
+        return np.where(over < 64, here >> np.minimum(over, 63).astype(U) << np.minimum(over, 63).astype(U), U(0))
+
+    def _sorted(self, at: np.ndarray, left: np.ndarray) -> np.ndarray:
+        """Order of the suffixes: by their first eight bytes, then those that are still alike by the next eight, and so on."""
+        if not len(at):
+            return np.zeros(0, np.int64)
+        order = np.argsort(key := self._word(at, left, 0), kind="stable")
+        key = key[order]
+        alike = np.arange(len(at))  # places in order that aren't settled; group: where their group begins
+        group = np.maximum.accumulate(np.where(np.diff(key, prepend=key[0] + U(1)) != 0, alike, 0))
+        for k in range(1, -(-self.WIDTH // 8) + 1):
+            size = np.diff(np.append(np.flatnonzero(np.diff(group, prepend=-1)), len(group)))
+            more = np.repeat(size > 1, size)
+            alike, group = alike[more], group[more]
+            if not len(alike):
+                break
+            own = order[alike]
+            key = self._word(at[own], left[own], k)
+            by = np.lexsort((key, group))
+            order[alike], key = own[by], key[by]
+            new = np.ones(len(by), bool)  # groups stay where they are
+            new[1:] = (group[1:] != group[:-1]) | (key[1:] != key[:-1])
+            group = alike[np.maximum.accumulate(np.where(new, np.arange(len(by)), 0))]
+        return order
+
+    def _common(self, at: np.ndarray, left: np.ndarray) -> np.ndarray:
+        """Equal bytes at the beginning of neighbours."""
+        out = np.zeros(max(0, len(at) - 1), np.int64)
+        alike = np.arange(len(out))
+        for k in range(-(-self.WIDTH // 8)):
+            if not len(alike):
+                break
+            differ = self._word(at[alike], left[alike], k) ^ self._word(at[alike + 1], left[alike + 1], k)
+            out[alike] += sum((differ < U(1 << 64 - 8 * n)).astype(np.int64) for n in range(1, 9))  # leading bytes without a difference
+            alike = alike[differ == 0]
+        return out
 
     def maximal_repeats(self) -> list[tuple[int, int, int]]:
         """(length, first, stop) of the tree's intervals of LENGTH or more with different left neighbours."""
@@ -363,11 +416,14 @@ class SuffixArray:
         return found
 
 
-GROUP = np.dtype([("length", "<i4"), ("occurrences", "<i8"), ("doc", "<i8"), ("region", "<u8"), ("offset", "<i4")])
+#: An occurrence of a group in a class of its bucket.
+OCCURRENCE = np.dtype([("group", "<u4"), ("kind", "<u4"), ("offset", "u1"), ("length", "u1")])
+RUN = np.dtype([("first", "u1"), ("windows", "u1"), ("doc", "<i8")])
 
 
-def _resolved(batches):
-    """Per bucket: for every distinct region, the least document of each of its windows, as runs."""
+def _resolved(batches, everything: bool):
+    """Per bucket: for every class, the least document of each of its windows, as runs, and its check hash; if everything is
+    asked for, also the occurrences of the groups in the classes."""
     now, held = None, []
 
     def done():
@@ -375,33 +431,43 @@ def _resolved(batches):
         for data in held:
             raw = zstandard.decompress(data)
             n = int.from_bytes(raw[:8], "little")
-            entries.append(np.frombuffer(raw, ENTRY, n, 8))
-            text.append(np.frombuffer(raw, np.uint8, offset=8 + n * ENTRY.itemsize))
+            entries.append(np.frombuffer(raw, CLASS, n, 8))
+            text.append(np.frombuffer(raw, np.uint8, offset=8 + n * CLASS.itemsize))
         e, text = np.concatenate(entries), np.concatenate(text)
-        array = SuffixArray(text, e["size"].astype(np.int64))
-        least = e["doc"][array.region].copy()
+        length = e["size"].astype(np.int64)
+        checks = np.empty(len(e), U)
+        checks[e["kind"]] = _check_hashes(text, np.cumsum(length) - length, length)
+        array = SuffixArray(text, length)
         groups = array.maximal_repeats()
-        size = e["size"].astype(np.int64) - LENGTH + 1
+        size = length - LENGTH + 1
         base = np.cumsum(size) - size
-        low = np.empty(size.sum(), np.int64)
-        low[base[array.region] + array.offset] = least
-        length, first, stop = (np.array(x, np.int64) for x in (zip(*groups, strict=True) if groups else ([], [], [])))
-        report = np.empty(len(groups), GROUP)
+        low = np.repeat(e["doc"], size)  # a class is a group of its own: all of it has its least document
+        reach, first, stop = (np.array(x, np.int64) for x in (zip(*groups, strict=True) if groups else ([], [], [])))
+        occurrences = b""
         if groups:
             # least document of each interval; the appended place keeps its end in range
-            doc = np.minimum.reduceat(np.append(least, np.iinfo(np.int64).max), np.column_stack([first, stop]).ravel())[::2]
-            report["length"], report["occurrences"], report["doc"], report["region"], report["offset"] = length, stop - first, doc, e["region"][array.region[first]], array.offset[first]
+            doc = np.minimum.reduceat(np.append(e["doc"][array.region], np.iinfo(np.int64).max), np.column_stack([first, stop]).ravel())[::2]
             # all windows inside every occurrence of every group
             group, k = _spread_out(stop - first)
             row = first[group] + k
             start = base[array.region[row]] + array.offset[row]
-            part, k = _spread_out((length - LENGTH + 1)[group])
+            part, k = _spread_out((reach - LENGTH + 1)[group])
             np.minimum.at(low, start[part] + k, doc[group[part]])
+            if everything:
+                occurrences = _structured(OCCURRENCE, group=group, kind=e["kind"][array.region[row]], offset=array.offset[row], length=reach[group]).tobytes()
+        if everything:
+            # a class that comes more than once is a leaf of several occurrences, unless other regions begin with all of it
+            beside = np.maximum(np.append(array.lcp, 0), np.append(0, array.lcp))
+            leaf = (array.offset == 0) & (e["again"][array.region] > 0) & (beside < length[array.region])
+            again = np.sort(array.region[leaf])
+            occurrences += _structured(OCCURRENCE, group=len(groups) + np.arange(len(again)), kind=e["kind"][again], offset=np.zeros(len(again)), length=length[again]).tobytes()
         of = np.repeat(np.arange(len(e)), size)
         new = np.flatnonzero(np.concatenate([[True], (of[1:] != of[:-1]) | (low[1:] != low[:-1])]))
-        runs = _structured(RUN, first=new - base[of[new]], windows=np.append(new[1:], len(low)) - new, doc=low[new])
-        counts = np.bincount(of[new], minlength=len(e))
-        return pa.RecordBatch.from_arrays([pa.array([now], pa.int32()), pa.array([e["region"].tobytes()]), pa.array([counts.astype("<u1").tobytes()]), pa.array([runs.tobytes()]), pa.array([report.tobytes()])], names=["bucket", "regions", "counts", "runs", "groups"])
+        new = new[np.argsort(e["kind"][of[new]], kind="stable")]  # runs by class
+        stops = np.append(np.flatnonzero(np.concatenate([[True], (of[1:] != of[:-1]) | (low[1:] != low[:-1])])), len(low))
+        runs = _structured(RUN, first=new - base[of[new]], windows=stops[np.searchsorted(stops, new) + 1] - new, doc=low[new])
+        counts = np.bincount(e["kind"][of[new]], minlength=len(e))
+        return pa.RecordBatch.from_arrays([pa.array([now], pa.int32()), *[pa.array([x], pa.binary()) for x in (checks.tobytes(), counts.astype("<u1").tobytes(), runs.tobytes(), occurrences)]], names=["bucket", "checks", "counts", "runs", "occurrences"])
 
     for batch in batches:
         for bucket, data in zip(batch["bucket"].to_pylist(), batch["data"].to_pylist(), strict=True):
@@ -414,70 +480,64 @@ def _resolved(batches):
         yield done()
 
 
-RUN = np.dtype([("first", "u1"), ("windows", "u1"), ("doc", "<i8")])
-
-
 def _spread_out(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Owner and number within its owner of each of sum(counts) things."""
     owner = np.repeat(np.arange(len(counts)), counts)
     return owner, np.arange(len(owner)) - np.repeat(np.cumsum(counts) - counts, counts)
 
 
-ANSWER = np.dtype([("entry", "<u4"), ("first", "u1"), ("windows", "u1"), ("doc", "<i8")])
+ANSWER = np.dtype([("entry", "<u4"), ("first", "u1"), ("windows", "u1"), ("doc", "<i8"), ("check", "<u8")])
 
 
 def _answered(batches):
-    """Members of a bucket (grouped by chunk) with their regions' runs: answers for each chunk."""
+    """Members of a bucket with the runs of their classes: answers for their chunk."""
     for batch in batches:
         for row in _pylist(batch):
-            regions = np.frombuffer(row["regions"], "<u8")
-            counts = np.frombuffer(row["counts"], "u1").astype(np.int64)
+            checks, counts = np.frombuffer(row["checks"], "<u8"), np.frombuffer(row["counts"], "u1").astype(np.int64)
             runs, stops = np.frombuffer(row["runs"], RUN), np.cumsum(counts)
-            order = np.argsort(regions)
-            chunks, data = [], []
-            for m in row["members"]:
-                e = np.frombuffer(m["data"], MEMBER)
-                which = order[np.searchsorted(regions, e["region"], sorter=order)]
-                n = counts[which]
-                pick = np.repeat(stops[which] - n - (np.cumsum(n) - n), n) + np.arange(n.sum())
-                chunks.append(m["chunk"])
-                data.append(_structured(ANSWER, entry=np.repeat(e["entry"], n), first=runs["first"][pick], windows=runs["windows"][pick], doc=runs["doc"][pick]).tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(chunks, pa.int64()), pa.array(data, pa.binary())], names=["chunk", "data"])
-
-
-def _covered(chunk: Chunk, replies: list[bytes], answers: list[bytes]) -> np.ndarray:
-    """Which bytes of the chunk go."""
-    n = len(chunk.buf)
-    if not (replies or answers) or not n:
-        return np.zeros(n, bool)
-    entries, r, entry = chunk.entries()
-    doc_id = chunk.docs[r["doc"]]
-    mark = np.zeros(n + LENGTH, np.int32)
+            e = np.frombuffer(row["data"], MEMBER)
+            n = counts[e["kind"]]
+            pick = np.repeat(stops[e["kind"]] - n - (np.cumsum(n) - n), n) + np.arange(n.sum())
+            answer = _structured(ANSWER, entry=np.repeat(e["entry"], n), first=runs["first"][pick], windows=runs["windows"][pick], doc=runs["doc"][pick], check=np.repeat(checks[e["kind"]], n))
+            yield pa.RecordBatch.from_arrays([pa.array([row["chunk"]], pa.int64()), pa.array([zstandard.compress(answer.tobytes(), 1)], pa.binary())], names=["chunk", "data"])
 
-    def cover(at: np.ndarray, windows: np.ndarray) -> None:
-        np.add.at(mark, at, 1)
-        np.add.at(mark, at + windows + LENGTH - 1, -1)
 
-    by_entry = np.argsort(entry, kind="stable")
-    bounds = np.searchsorted(entry[by_entry], np.arange(len(entries) + 1))
+class Places:
+    """A chunk's occurrences by entry."""
 
-    def occurrences(which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def __init__(self, chunk: Chunk):
+        self.chunk = chunk
+        self.entries, self.all, entry = chunk.entries()
+        self.order = np.argsort(entry, kind="stable")
+        self.bounds = np.searchsorted(entry[self.order], np.arange(len(self.entries) + 1))
+
+    def of(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Occurrences of each entry asked for, and the place in the question of each."""
-        k = bounds[which + 1] - bounds[which]
-        pick = np.repeat(bounds[which] - (np.cumsum(k) - k), k) + np.arange(k.sum())
-        return by_entry[pick], np.repeat(np.arange(len(which)), k)
-
-    for data in replies:
-        reply = np.frombuffer(data, REPLY)
-        at, asked = occurrences(reply["entry"].astype(np.int64))
-        at = at[doc_id[at] > reply["doc"][asked]]
-        cover(r["at"][at], r["windows"][at])
+        k = self.bounds[which + 1] - self.bounds[which]
+        pick = np.repeat(self.bounds[which] - (np.cumsum(k) - k), k) + np.arange(k.sum())
+        return self.order[pick], np.repeat(np.arange(len(which)), k)
+
+    def checks(self) -> np.ndarray:
+        """The check hash of every entry."""
+        return _check_hashes(self.chunk.buf, self.entries["at"].astype(np.int64), self.entries["size"].astype(np.int64))
+
+
+def _covered(chunk: Chunk, answers: list[bytes]) -> np.ndarray:
+    """Which bytes of the chunk go: the windows that an earlier document has, where the region is the one that was compared."""
+    n = len(chunk.buf)
+    if not answers or not n:
+        return np.zeros(n, bool)
+    places = Places(chunk)
+    doc_id, mark, checks = chunk.docs[places.all["doc"]], np.zeros(n + LENGTH, np.int32), places.checks()
     for data in answers:
-        answer = np.frombuffer(data, ANSWER)
-        at, asked = occurrences(answer["entry"].astype(np.int64))
+        answer = np.frombuffer(zstandard.decompress(data), ANSWER)
+        answer = answer[checks[answer["entry"]] == answer["check"]]
+        at, asked = places.of(answer["entry"].astype(np.int64))
         later = doc_id[at] > answer["doc"][asked]
         at, asked = at[later], asked[later]
-        cover(r["at"][at] + answer["first"][asked], answer["windows"][asked].astype(np.int64))
+        start = places.all["at"][at] + answer["first"][asked]
+        mark += np.bincount(start, minlength=len(mark)).astype(np.int32)
+        mark -= np.bincount(start + answer["windows"][asked].astype(np.int64) + LENGTH - 1, minlength=len(mark)).astype(np.int32)
     return np.cumsum(mark)[:n] > 0
 
 
@@ -486,7 +546,7 @@ def _kept(batches, names: list[str], text: str, prefix: str):
     for batch in batches:
         for row in _pylist(batch):
             chunk = Chunk(row)
-            gone = _covered(chunk, row["replies"] or [], row["answers"] or [])
+            gone = _covered(chunk, row["answers"] or [])
             rest = pa.ipc.open_stream(row["rest"]).read_next_batch()
             out = {"n_bytes": [], "n_removed": [], "n_spans": [], "kept_sha256": [], text: []}
             for stop, length, known in zip(chunk.ends.tolist(), chunk.lengths.tolist(), row["known"], strict=True):
@@ -508,45 +568,89 @@ def _dealt(rows: DataFrame) -> DataFrame:
     return rows.repartitionById(n, F.col("bucket") % n)
 
 
-def _stages(docs: DataFrame, doc_id: str, text: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+def _stages(docs: DataFrame, doc_id: str, text: str, everything: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """chunks; members and fetches by bucket; the resolved buckets."""
     spark = docs.sparkSession
-    buckets = 2 * partitions(spark)
     chunks = materialize(docs.withColumn(doc_id, F.col(doc_id).cast("long")).mapInArrow(lambda b: _chunks(b, doc_id, text), CHUNKS), "chunks", "none")
+    size = chunks.agg(F.sum("n_bytes")).first()[0] or 0
+    buckets = min(1 << 30, max(2 * partitions(spark), -(-size // BUCKET_BYTES)))  # a bucket's work is bounded whatever the input
     lists = chunks.mapInArrow(lambda b: _lists(b, buckets), "bucket int, chunk long, base long, entries binary")
     lists = _dealt(lists).sortWithinPartitions("bucket", "chunk")
-    found = materialize(lists.mapInArrow(_compared, KINDS), "repeats")
+    found = materialize(lists.mapInArrow(lambda b: _compared(b, everything), KINDS), "repeats")
     tidy(spark)  # the lists are the largest shuffle
     asks = found.where("kind = 'fetch'").groupBy("chunk").agg(F.collect_list(F.struct("bucket", "data")).alias("asks"))  # bounded by the chunk
     fetched = chunks.drop("rest", "known").join(asks, "chunk").mapInArrow(_fetched, "bucket int, data binary")
     fetched = _dealt(fetched).sortWithinPartitions("bucket")
-    resolved = materialize(fetched.mapInArrow(_resolved, "bucket int, regions binary, counts binary, runs binary, groups binary"), "resolved")
+    resolved = materialize(fetched.mapInArrow(lambda b: _resolved(b, everything), "bucket int, checks binary, counts binary, runs binary, occurrences binary"), "resolved")
     tidy(spark)
-    return chunks, found, resolved
+    return chunks, found.where("kind = 'member'").select("bucket", "chunk", "data"), resolved
 
 
-def maximal_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """length, occurrences (in distinct regions), doc_id (the least): the groups of the common-prefix intervals."""
-    resolved = _stages(docs.select(doc_id, text), doc_id, text)[2]
+def _placed(batches):
+    """Members of a bucket with the groups' occurrences in their classes: (group, entry, offset, length) for their chunk."""
+    for batch in batches:
+        for row in _pylist(batch):
+            found = np.frombuffer(row["occurrences"], OCCURRENCE)
+            found = found[np.argsort(found["kind"], kind="stable")]
+            e = np.frombuffer(row["data"], MEMBER)
+            first, stop = (np.searchsorted(found["kind"], e["kind"], side=side) for side in ("left", "right"))
+            of, k = _spread_out(stop - first)
+            own = found[first[of] + k]
+            n = len(own)
+            columns = [pa.array(np.full(n, row["chunk"]), pa.int64()), pa.array(row["bucket"] << 32 | own["group"].astype(np.int64)), pa.array(e["entry"][of].astype(np.int64)), pa.array(own["offset"].astype(np.int64)), pa.array(own["length"].astype(np.int64))]
+            yield pa.RecordBatch.from_arrays(columns, names=["chunk", "group", "entry", "offset", "length"])
+
+
+def _located(batches):
+    """Every occurrence of the asked groups in the chunk's documents."""
+    for batch in batches:
+        for row in _pylist(batch):
+            chunk, asks = Chunk(row), row["asks"]
+            places = Places(chunk)
+            group, entry, offset, length = (np.array([a[k] for a in asks], np.int64) for k in ("group", "entry", "offset", "length"))
+            at, asked = places.of(entry)
+            doc = places.all["doc"][at]
+            start = places.all["at"][at] + offset[asked] - (chunk.ends - chunk.lengths)[doc]
+            least = np.iinfo(np.int64).min
+            ids = chunk.docs[doc]
+            columns = [pa.array(group[asked]), pa.array(length[asked]), pa.array(ids, mask=ids == least), pa.array(np.full(len(doc), row["chunk"])), pa.array(doc), pa.array(start)]
+            yield pa.RecordBatch.from_arrays(columns, names=["group", "length", "doc_id", "chunk", "nth", "start"])
 
-    def listed(batches):
-        for batch in batches:
-            for data in batch["groups"].to_pylist():
-                g = np.frombuffer(data, GROUP)
-                yield pa.RecordBatch.from_arrays([pa.array(g["length"].astype(np.int64)), pa.array(g["occurrences"].copy()), pa.array(g["doc"].copy())], names=["length", "occurrences", "doc_id"])
 
-    return resolved.select("groups").mapInArrow(listed, "length long, occurrences long, doc_id long")
+def maximal_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """Groups of repeated strings that two or more documents have, one row for each occurrence: repeat (a number), length (in
+    bytes), occurrences (how many), doc_id, start (in bytes, in that document).
+
+    A group is an interval of a bucket's tree; intervals whose occurrences are the same but for a shift, and whose windows
+    adjoin, are joined to one group. Sums over the occurrences that don't change with the shift tell which are."""
+    chunks, members, resolved = _stages(docs.select(doc_id, text), doc_id, text, everything=True)
+    asks = resolved.select("bucket", "occurrences").join(members, "bucket").mapInArrow(_placed, "chunk long, group long, entry long, offset long, length long")
+    asks = asks.groupBy("chunk").agg(F.collect_list(F.struct("group", "entry", "offset", "length")).alias("asks"))  # bounded by the chunk
+    found = chunks.select("chunk", "doc_ids", "lengths", "n_bytes", "bytes").join(asks, "chunk").mapInArrow(_located, "group long, length long, doc_id long, chunk long, nth long, start long")
+    found = materialize(found, "occurrences")
+    wide = lambda c: c.cast("decimal(38,0)")
+    mark = wide(F.xxhash64("chunk", "nth") % (1 << 30))
+    least = F.min(F.struct("chunk", "nth", "start")).alias("first")
+    groups = found.groupBy("group").agg(F.first("length").alias("length"), F.count("*").alias("n"), least, F.sum(mark).alias("m0"), F.sum(mark * wide(F.col("start"))).alias("m1"))
+    several = found.groupBy("group").agg(F.min(F.struct("chunk", "nth")).alias("a"), F.max(F.struct("chunk", "nth")).alias("b")).where("a <> b").select("group")
+    groups = groups.join(several, "group").withColumn("m1", F.col("m1") - F.col("m0") * wide(F.col("first.start")))
+    line = Window.partitionBy("n", "m0", "m1", "first.chunk", "first.nth").orderBy("first.start", "group")
+    end = F.col("first.start") + F.col("length")
+    before = F.max(end).over(line.rowsBetween(Window.unboundedPreceding, -1))
+    groups = groups.withColumn("head", F.coalesce(F.col("first.start") > before - LENGTH + 1, F.lit(True)))
+    groups = groups.withColumn("nth_of_line", F.sum(F.col("head").cast("int")).over(line))
+    joined = groups.groupBy("n", "m0", "m1", F.col("first.chunk").alias("c"), F.col("first.nth").alias("d"), "nth_of_line").agg(F.min_by("group", F.struct("first.start", "group")).alias("group"), (F.max(end) - F.min("first.start")).alias("length"))
+    return found.drop("length").join(joined.select("group", "length", F.col("n").alias("occurrences")), "group").select(F.col("group").alias("repeat"), "length", "occurrences", "doc_id", "start")
 
 
 def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", prefix: str = "") -> DataFrame:
     """docs with the repeated bytes taken out of text, and n_bytes, n_removed, n_spans, kept_sha256 added (after prefix)."""
     added = [(prefix + k, StringType() if k == "kept_sha256" else LongType()) for k in ADDED]
     docs = docs.drop(*[k for k, _ in added])
-    chunks, found, resolved = _stages(docs, doc_id, text)
-    members = found.where("kind = 'member'").groupBy("bucket").agg(F.collect_list(F.struct("chunk", "data")).alias("members"))
-    answers = resolved.drop("groups").join(members, "bucket").mapInArrow(_answered, "chunk long, data binary")
-    replies = found.where("kind = 'reply'").select("chunk", "data").groupBy("chunk").agg(F.collect_list("data").alias("replies"))  # bounded by the chunk
-    answers = answers.groupBy("chunk").agg(F.collect_list("data").alias("answers"))
-    joined = chunks.join(replies, "chunk", "left").join(answers, "chunk", "left")
+    chunks, members, resolved = _stages(docs, doc_id, text)
+    answers = members.join(resolved.drop("occurrences"), "bucket").mapInArrow(_answered, "chunk long, data binary")
+    answers = answers.groupBy("chunk").agg(F.collect_list("data").alias("answers"))  # bounded by the chunk
+    joined = chunks.join(answers, "chunk", "left")
     fields = [StructField(f.name, LongType() if f.name == doc_id else f.dataType) for f in docs.schema.fields] + [StructField(k, t) for k, t in added]
     names = [f.name for f in fields]
     return joined.mapInArrow(lambda b: _kept(b, names, text, prefix), StructType(fields))

@@ -37,6 +37,35 @@ def repeats(docs):
     return out
 
 
+def window_places(docs):
+    """{50-byte string: its places (doc, start)}"""
+    at = {}
+    for d, t in docs:
+        b = (t or "").encode()
+        for i in range(len(b) - 49):
+            at.setdefault(b[i : i + 50], set()).add((d, i))
+    return at
+
+
+def unbranched_repeats(docs):
+    """{(string, its places)} of the repeats of two or more documents whose every window has the same places but for the
+    shift, as long as they can be made."""
+    texts, at = {d: (t or "").encode() for d, t in docs}, window_places(docs)
+    moved = lambda places, k: frozenset((d, i + k) for d, i in places)
+    out = set()
+    for places in at.values():
+        if len({d for d, _ in places}) < 2:
+            continue
+        d, i = min(places)
+        first, last = i, i
+        while first > 0 and moved(at[texts[d][first - 1 : first + 49]], i - first + 1) == moved(places, 0):
+            first -= 1
+        while last + 51 <= len(texts[d]) and moved(at[texts[d][last + 1 : last + 51]], i - last - 1) == moved(places, 0):
+            last += 1
+        out.add((texts[d][first : last + 50], moved(places, first - i)))
+    return out
+
+
 def shingle_set(text):
     words = WORD.findall((text or "").translate({c: c + 32 for c in range(65, 91)}))
     return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()

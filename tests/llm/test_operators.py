@@ -119,10 +119,71 @@ def test_maximal_repeats_of_a_suffix_array():
     assert max(groups) == 60 and all(50 <= g <= 60 for g in groups)
 
 
-def test_maximal_repeats_operator(spark):
-    df = spark.createDataFrame([(1, sentence(8, 30) + " mid " + sentence(9, 10)), (2, "other start " + sentence(8, 30) + " end"), (3, "third " + sentence(8, 30) + " fin")], "doc_id long, text string")
-    rows = repeats.maximal_repeats(df).collect()
-    assert any(r["occurrences"] == 3 and r["doc_id"] == 1 for r in rows) and all(r["length"] >= 50 and r["occurrences"] >= 2 for r in rows)
+def repeats_of(rows, texts):
+    """{(string, places)} of maximal_repeats, each checked: equal bytes at all places, and no place left out."""
+    groups = {}
+    for r in rows:
+        groups.setdefault((r["repeat"], r["length"], r["occurrences"]), set()).add((r["doc_id"], r["start"]))
+    out = set()
+    for (_, length, n), places in groups.items():
+        strings = {texts[d].encode()[i : i + length] for d, i in places}
+        assert len(strings) == 1 and len(places) == n > 1 and length >= 50 and len({d for d, _ in places}) > 1
+        own = strings.pop()
+        everywhere = {(d, i) for d, t in texts.items() for i in range(len(t.encode())) if t.encode().startswith(own, i)}
+        assert len(own) == length and places == everywhere
+        out.add((own, frozenset(places)))
+    assert len(out) == len(groups)
+    return out
+
+
+def whole(repeat, groups):
+    """Is the repeat, with just its places, inside one group?"""
+    own, places = repeat
+    return any(frozenset((d, i + k) for d, i in p) == places for s, p in groups if len(p) == len(places) for k in range(len(s) - len(own) + 1) if s.startswith(own, k))
+
+
+def test_maximal_repeats_have_all_occurrences(spark, monkeypatch):
+    a, b, c = sentence(8, 30), sentence(9, 60), sentence(10, 25)
+    texts = {1: a + " mid " + b, 2: "other start " + a + " end", 3: "third " + a + " fin " + b + "!", 4: b, 5: c + " x " + c, 6: c, 7: "no repeat here", 8: sentence(11, 300), 9: sentence(11, 300), 10: "", 11: "q" * 300, 12: "q" * 290}
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(3)
+    for size in (1 << 21, 400):
+        monkeypatch.setattr(repeats, "CHUNK_BYTES", size)
+        got = repeats_of(repeats.maximal_repeats(df).collect(), texts)
+        plain = brute.unbranched_repeats(texts.items())
+        assert len(plain) > 5 and all(whole(x, got) for x in plain)
+        # whole repeats of any length: copies, and what three documents have
+        assert (texts[8].encode(), frozenset({(8, 0), (9, 0)})) in got
+        assert any(len(s) >= len(a) and len(p) == 3 for s, p in got) and any(s.startswith(c.encode()) and len(p) == 3 for s, p in got)
+        # every repeated window is in a group that has just its places
+        inside = {}
+        for s, p in got:
+            for i in range(len(s) - 49):
+                inside.setdefault(s[i : i + 50], []).append(frozenset((d, j + i) for d, j in p))
+        for w, p in brute.window_places(texts.items()).items():
+            if len({d for d, _ in p}) > 1:
+                assert frozenset(p) in inside[w]
+    assert repeats.maximal_repeats(df.limit(0)).count() == 0
+
+
+def test_maximal_repeats_of_random_texts(spark):
+    rng = np.random.default_rng(12)
+    parts = ["".join(rng.choice(list("abcd"), n)) for n in (40, 55, 70, 90, 130)]
+    texts = {i: "".join(parts[k] for k in rng.integers(0, 5, rng.integers(1, 6))) for i in range(25)}
+    got = repeats_of(repeats.maximal_repeats(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect(), texts)
+    assert all(whole(x, got) for x in brute.unbranched_repeats(texts.items()))
+
+
+def test_a_region_whose_bytes_differ_from_the_compared_ones_stays(spark, monkeypatch):
+    """Were two regions' hashes to agree by chance, the check hash would keep the bytes."""
+    row = {"doc_ids": np.array([2], "<i8").tobytes(), "lengths": np.array([len(BASE)], "<i8").tobytes(), "n_bytes": len(BASE), "bytes": repeats.zstandard.compress(BASE.encode())}
+    chunk = repeats.Chunk(row)
+    places = repeats.Places(chunk)
+    n = len(places.entries)
+    answer = repeats._structured(repeats.ANSWER, entry=np.arange(n), first=np.zeros(n), windows=places.entries["size"] - 49, doc=np.ones(n), check=places.checks())
+    pack = lambda a: [repeats.zstandard.compress(a.tobytes())]
+    assert repeats._covered(chunk, pack(answer)).all()
+    answer["check"] ^= np.uint64(1)
+    assert not repeats._covered(chunk, pack(answer)).any()
 
 
 def test_packing(docs, empty, tokenizer):
