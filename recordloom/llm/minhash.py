@@ -289,11 +289,13 @@ def one_of_each_group(docs: DataFrame, similarity: int = SIMILARITY) -> DataFram
     text hash) stays, and only one of rows that are repeated; rows without words stay. All columns as they are."""
     found = _groups(docs, similarity).where(F.col("group").isNotNull())
     place = F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash")
-    same = found.groupBy("group", "doc_id", "text_hash").agg(F.count("*").alias("n"))
-    heads = materialize(same.groupBy("group").agg(F.min_by(F.struct("doc_id", "text_hash", "n"), place).alias("h")).select("h.*"), "heads")
+    same = found.groupBy("group", "doc_id", "text_hash").agg(F.count("*").alias("n"))  # rows without words have no group
+    best = same.groupBy("group").agg(F.min(place).alias("best"))
+    judged = materialize(same.join(best, "group").select("doc_id", "text_hash", "n", (place == F.col("best")).alias("head")), "judged")
     rows = docs.select(F.struct("*").alias("_doc"), F.col("doc_id").cast("long").alias("_id"), F.xxhash64("text").alias("_hash"))
-    bare = ~F.coalesce(F.col("_doc.text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
-    kept = rows.where(~bare).join(heads, (F.col("_hash") == F.col("text_hash")) & F.col("_id").eqNullSafe(F.col("doc_id")))
+    found = (F.col("_hash") == F.col("text_hash")) & F.col("_id").eqNullSafe(F.col("doc_id"))
+    # what goes is joined, not what stays: it is less, and as long as Spark may broadcast it no text moves
+    kept = rows.join(judged.where("not head or n > 1"), found, "left_anti")
     again = Window.partitionBy("_hash", "_id").orderBy(F.lit(0))
-    once = kept.where("n > 1").withColumn("_nth", F.row_number().over(again)).where("_nth = 1")  # ranked before the shuffle too
-    return rows.where(bare).select("_doc.*").unionAll(kept.where("n = 1").select("_doc.*")).unionAll(once.select("_doc.*"))
+    once = rows.join(judged.where("head and n > 1"), found, "left_semi").withColumn("_nth", F.row_number().over(again)).where("_nth = 1")  # ranked before the shuffle too
+    return kept.select("_doc.*").unionAll(once.select("_doc.*"))

@@ -283,6 +283,8 @@ def _compared(batches, everything: bool):
         names, buckets, chunks, data = [], [], [], []
 
         def put(name, which, values):
+            if not len(which):
+                return
             which = which[np.argsort(source[which], kind="stable")]
             edges = np.flatnonzero(np.diff(source[which], prepend=-1))
             for first, stop in zip(edges, np.append(edges[1:], len(which)), strict=True):

@@ -106,6 +106,8 @@ def test_repeats_of_one_doc_id_and_random_texts(spark):
     texts = [(i, "".join(parts[k] for k in rng.integers(0, 12, rng.integers(1, 6)))) for i in range(60)]
     got = by_id(repeats.remove_repeats(spark.createDataFrame(texts, "doc_id long, text string").repartition(4)))
     assert {d: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for d, r in got.items()} == brute.repeats(texts)
+    alone = repeats.remove_repeats(spark.createDataFrame([(k, sentence(90 + k, 40)) for k in range(3)], "doc_id long, text string").repartition(1))
+    assert [r["n_removed"] for r in alone.collect()] == [0, 0, 0]
     twice = repeats.remove_repeats(spark.createDataFrame([(1, BASE), (1, BASE), (2, BASE)], "doc_id long, text string")).collect()
     assert sorted((r["doc_id"], r["n_removed"]) for r in twice) == [(1, 0), (1, 0), (2, len(BASE))]
 
