@@ -1,7 +1,9 @@
 """python -m recordloom COMMAND --data FOLDER --work FOLDER: the linkage pipeline, stage by stage.
 
-raw: TSV sources and truth to tables. norm: learn the lexicon and normalise. block: candidates. train: models, scores and
-threshold of the train split. predict: match lists of a split. validate: faults of match lists. profile: a report.
+raw: TSV sources and truth to tables. slice: a density-preserving share of them. norm: learn the lexicon and normalise. block:
+candidates. train: models, scores and threshold of the train split. predict: scores and match lists of a split by the saved
+models. evaluate: quality of the train split's decisions. retune: the threshold anew from saved scores. decide: match lists
+anew from saved scores and a threshold. validate: faults of match lists. profile: a report.
 """
 
 from __future__ import annotations
@@ -12,19 +14,21 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from recordloom.functions.ids import decode_id
-from recordloom.operators import profile, validate
+from recordloom.operators import decide, evaluate, profile, validate
 from recordloom.plans import linkage
 from recordloom.plans.stages import Stages
-from recordloom.sources import sinks
+from recordloom.sources import scratch, sinks
 from recordloom.sources import tables as sources
 
 
 def main(argv: list[str] | None = None) -> None:
     parser = argparse.ArgumentParser(prog="recordloom", description=__doc__, formatter_class=argparse.RawDescriptionHelpFormatter)
-    parser.add_argument("command", choices=("raw", "norm", "block", "train", "predict", "validate", "profile"))
+    parser.add_argument("command", choices=("raw", "slice", "norm", "block", "train", "predict", "evaluate", "retune", "decide", "validate", "profile"))
     parser.add_argument("--data", required=True)
     parser.add_argument("--work", required=True)
     parser.add_argument("--split", default="train")
+    parser.add_argument("--threshold", type=float)
+    parser.add_argument("--share", type=float, default=0.1)
     parser.add_argument("--force", action="store_true")
     a = parser.parse_args(argv)
     spark = SparkSession.builder.appName("recordloom").getOrCreate()
@@ -36,6 +40,12 @@ def main(argv: list[str] | None = None) -> None:
         inputs = [f"{a.work}/raw_train", f"{a.work}/raw_{split}"]
         return stages.run(f"norm_{split}", lambda: linkage.normalize(raw(split), linkage.learn_lexicon(raw("train"), truth())), inputs, {"split": split}, a.force and a.command == "norm")
 
+    def write_lists(threshold: float) -> None:
+        """Match lists of the split from its saved scores."""
+        people = norm(a.split).where("src = 1").select(F.col("id").alias("s1"))
+        kept = decide.assign(spark.read.parquet(f"{a.work}/scores_{a.split}"), "p2", threshold)
+        sinks.write_tsv(sinks.grouped_lists(kept, people).toDF("source1_entity_id", "matched_entity_ids"), f"{a.work}/matches_{a.split}")
+
     if a.command == "raw":
         print(raw(a.split).count(), "records")
     elif a.command == "norm":
@@ -43,18 +53,26 @@ def main(argv: list[str] | None = None) -> None:
     elif a.command == "block":
         rows = norm(a.split)
         print(stages.run(f"candidates_{a.split}", lambda: linkage.candidates(rows), [f"{a.work}/norm_{a.split}"], {"split": a.split}, a.force).count(), "pairs")
-    elif a.command in ("train", "predict"):
+    elif a.command == "slice":
+        sources.dev_slice(raw("train"), truth(), a.share).write.mode("overwrite").parquet(f"{a.work}/slice")
+        print(spark.read.parquet(f"{a.work}/slice").count(), "records")
+    elif a.command == "train":
         scored, fitted = linkage.train(norm("train"), truth())
-        if a.command == "train":
-            scored.write.mode("overwrite").parquet(f"{a.work}/scores_train")
-            for name, models in (("pruner", fitted.pruner), ("first", fitted.first), ("second", fitted.second)):
-                for i, m in enumerate(models):
-                    m.write().overwrite().save(f"{a.work}/models/{name}_{i}")
-            print("threshold", fitted.threshold)
-        else:
-            rows = norm(a.split)
-            people = rows.where("src = 1").select(F.col("id").alias("s1"))
-            sinks.write_tsv(sinks.grouped_lists(linkage.predict(rows, fitted), people).toDF("source1_entity_id", "matched_entity_ids"), f"{a.work}/matches_{a.split}")
+        scored.write.mode("overwrite").parquet(f"{a.work}/scores_train")
+        linkage.save(spark, fitted, f"{a.work}/models")
+        print("threshold", fitted.threshold)
+    elif a.command == "predict":
+        fitted = linkage.load(spark, f"{a.work}/models")
+        linkage.score(norm(a.split), fitted).write.mode("overwrite").parquet(f"{a.work}/scores_{a.split}")
+        write_lists(a.threshold or fitted.threshold)
+    elif a.command == "evaluate":
+        scored = spark.read.parquet(f"{a.work}/scores_train")
+        kept = decide.assign(scored, "p2", a.threshold or linkage.load(spark, f"{a.work}/models").threshold)
+        print(sinks.markdown_table(evaluate.macro_f05(kept, truth(), scored.select("s1").distinct()), "Quality"))
+    elif a.command == "retune":
+        print("threshold", linkage.retune(spark.read.parquet(f"{a.work}/scores_train"), truth()))
+    elif a.command == "decide":
+        write_lists(a.threshold or linkage.load(spark, f"{a.work}/models").threshold)
     elif a.command == "validate":
         lists = sources.read_tsv(spark, f"{a.work}/matches_{a.split}", sources.TRUTH_COLUMNS).toDF("s1_id", "ids")
         ids = raw(a.split).select(decode_id(F.col("id")).alias("id"), "src")
@@ -63,6 +81,7 @@ def main(argv: list[str] | None = None) -> None:
     else:
         print(sinks.markdown_table(profile.null_counts(raw(a.split)), "Missing values"))
         print(sinks.markdown_table(profile.text_profile(raw(a.split), "name", ["country"]), "Names"))
+    scratch.clear(spark)
 
 
 if __name__ == "__main__":

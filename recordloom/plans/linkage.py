@@ -7,7 +7,8 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.ml import PipelineModel
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from recordloom.functions.text import INDIC, normalize_address, normalize_name
@@ -60,6 +61,9 @@ def rule_score(features: DataFrame) -> DataFrame:
     return features.withColumn("p", 1 / (1 + F.exp(-z)))
 
 
+_PASSES = ("pruner", "first", "second")
+
+
 @dataclass
 class Fitted:
     pruner: list
@@ -69,6 +73,29 @@ class Fitted:
     threshold: float
 
 
+def save(spark: SparkSession, fitted: Fitted, folder: str) -> None:
+    """Models as pyspark.ml folders, columns and threshold as a table beside them."""
+    rows = []
+    for name, members, columns in zip(_PASSES, (fitted.pruner, fitted.first, fitted.second), fitted.columns, strict=True):
+        for i, m in enumerate(members):
+            m.write().overwrite().save(f"{folder}/{name}_{i}")
+        rows.append((name, len(members), columns, float(fitted.threshold)))
+    spark.createDataFrame(rows, "name string, members int, columns array<string>, threshold double").coalesce(1).write.mode("overwrite").parquet(f"{folder}/about")
+
+
+def load(spark: SparkSession, folder: str) -> Fitted:
+    """What save wrote."""
+    about = {r["name"]: r for r in spark.read.parquet(f"{folder}/about").collect()}  # a row per pass
+    members = [[PipelineModel.load(f"{folder}/{k}_{i}") for i in range(about[k]["members"])] for k in _PASSES]
+    return Fitted(*members, tuple(list(about[k]["columns"]) for k in _PASSES), about[_PASSES[0]]["threshold"])
+
+
+def retune(scored: DataFrame, truth: DataFrame, p: str = "p2") -> float:
+    """The threshold again, from saved out-of-fold scores alone (holdout rows left out)."""
+    fit_rows = scored.where("NOT ho")
+    return decide.tune_threshold(fit_rows, truth, fit_rows.select("s1").distinct(), p)
+
+
 def train(norm: DataFrame, truth: DataFrame, checkpoint=table, channels: dict | None = None) -> tuple[DataFrame, Fitted]:
     """Scored pairs (p1, p2, out of fold) and the fitted models. checkpoint(df, name) writes a table and reads it back."""
     cand = checkpoint(evaluate.attach_labels(candidates(norm, channels), truth), "candidates")
@@ -83,16 +110,18 @@ def train(norm: DataFrame, truth: DataFrame, checkpoint=table, channels: dict |
     cols2 = [*cols, *[c for c in clustered.columns if c.startswith(("cl_", "p1"))]]
     p2, second = models.out_of_fold(clustered, cols2, "p2")
     p2 = checkpoint(p2, "pass2")
-    fit_rows = p2.where("NOT ho")
-    people = fit_rows.select("s1").distinct()
-    t = decide.tune_threshold(fit_rows, truth, people, "p2")
-    return p2, Fitted(pruner, first, second, (cheap, cols, cols2), t)
+    return p2, Fitted(pruner, first, second, (cheap, cols, cols2), retune(p2, truth))
 
 
-def predict(norm: DataFrame, fitted: Fitted, checkpoint=table, channels: dict | None = None) -> DataFrame:
-    """(rec, s1, p2) of accepted pairs on new records."""
+def score(norm: DataFrame, fitted: Fitted, checkpoint=table, channels: dict | None = None) -> DataFrame:
+    """Candidates of new records with p1 and p2."""
     cand = candidates(norm, channels)
     kept = ranking.prune(models.mean_of(fitted.pruner, models.with_columns_of(cand, fitted.columns[0]), "p_prune"))
     feats = checkpoint(models.mean_of(fitted.first, models.with_columns_of(pairs.pair_features(kept, norm), fitted.columns[1]), "p1"), "pass1")
     clustered = models.with_columns_of(pairs.cluster_features(feats, norm, "p1", 0.5), fitted.columns[2])
-    return decide.assign(models.mean_of(fitted.second, clustered, "p2"), "p2", fitted.threshold)
+    return models.mean_of(fitted.second, clustered, "p2")
+
+
+def predict(norm: DataFrame, fitted: Fitted, checkpoint=table, channels: dict | None = None) -> DataFrame:
+    """(rec, s1, p2) of accepted pairs on new records."""
+    return decide.assign(score(norm, fitted, checkpoint, channels), "p2", fitted.threshold)

@@ -6,10 +6,20 @@ import hashlib
 import inspect
 import json
 from collections.abc import Callable
+from functools import cache
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+@cache
+def library_code() -> str:
+    """A digest of the modules that stages are made of: a maker's own text is mostly one call into them."""
+    root = Path(__file__).resolve().parent.parent
+    folders = ("functions", "operators", "plans", "sources")
+    return hashlib.sha1(b"\0".join(f.read_bytes() for k in folders for f in sorted((root / k).rglob("*.py")))).hexdigest()
+
+
 class Stages:
     """Tables under a root that any Hadoop file system serves. A stage is its Parquet folder and a manifest beside it."""
 
@@ -31,7 +41,7 @@ class Stages:
         return sorted(out)
 
     def fingerprint(self, code: Callable, inputs: list[str], parameters: dict | None = None) -> str:
-        said = json.dumps([inspect.getsource(code), parameters or {}, [self._status(p) for p in inputs]], sort_keys=True, default=str)
+        said = json.dumps([library_code(), inspect.getsource(code), parameters or {}, [self._status(p) for p in inputs]], sort_keys=True, default=str)
         return hashlib.sha1(said.encode()).hexdigest()
 
     def table(self, name: str) -> DataFrame:

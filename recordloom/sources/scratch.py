@@ -8,20 +8,36 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Scratch tables by application.
+_made: dict[str, list[str]] = {}
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir as the cluster sets it; where it is unset (tests), a folder of our own."""
+    """spark.checkpoint.dir as the cluster sets it; where it is unset, a local session has a folder of its own. On a cluster
+    a machine-local folder would lose rows, so there it has to be set."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found
     own = spark.sparkContext._jsc.sc().getCheckpointDir()
     if own.isDefined():
         return own.get()
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir isn't set: intermediate tables need a folder that all executors share")
     spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="recordloom-"))
     return spark.sparkContext._jsc.sc().getCheckpointDir().get()
 
 
+def clear(spark: SparkSession) -> None:
+    """Delete this session's scratch tables: once nothing lazy reads them any more."""
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    while _made.get(spark.sparkContext.applicationId):
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_made[spark.sparkContext.applicationId].pop())
+        path.getFileSystem(conf).delete(path, True)
+
+
 def table(df: DataFrame, name: str = "table") -> DataFrame:
     """df written once and read back: computed once, and a lost executor costs no more than a read."""
     path = f"{shared_folder(df.sparkSession).rstrip('/')}/recordloom-scratch/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _made.setdefault(df.sparkSession.sparkContext.applicationId, []).append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

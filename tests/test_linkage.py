@@ -42,7 +42,7 @@ def test_blocking_finds_true_pairs(world):
     assert evaluate.blocking_recall(ranked, world["truth"]).first()["recall"] > 0.9
 
 
-def test_train_and_predict(spark, world, monkeypatch):
+def test_train_and_predict(spark, world, monkeypatch, tmp_path):
     import functools
 
     monkeypatch.setattr(models, "fit_trees", functools.partial(models.fit_trees, rounds=3, depth=3))
@@ -53,6 +53,11 @@ def test_train_and_predict(spark, world, monkeypatch):
     got = evaluate.macro_f05(decide.assign(scored, "p2", fitted.threshold), world["truth"], people).first()
     assert got["macro_f05"] > 0.8 and got["pair_p"] > 0.9
     accepted = linkage.predict(world["norm"], fitted, channels=CHANNELS)
+    linkage.save(spark, fitted, str(tmp_path))
+    again = linkage.load(spark, str(tmp_path))
+    assert (again.columns, again.threshold, len(again.second)) == (fitted.columns, fitted.threshold, len(fitted.second))
+    assert sorted(map(tuple, linkage.predict(world["norm"], again, channels=CHANNELS).collect())) == sorted(map(tuple, accepted.collect()))
+    assert linkage.retune(scored, world["truth"]) == fitted.threshold
     assert accepted.groupBy("rec").count().where("count > 1").isEmpty() and accepted.count() > 100
     lists = sinks.grouped_lists(accepted, people)
     assert validate.violations(lists, world["s1"].select(F.concat(F.lit("S1-"), F.col("id").cast("string")).alias("id"))).isEmpty()
