@@ -354,43 +354,46 @@ class SuffixArray:
         self.lcp = np.minimum(self._common(at, left), np.minimum(left[1:], left[:-1]))
         self.left = np.where(self.offset > 0, padded[at - 1].astype(np.int64), 256 + self.region)  # no left neighbour: unlike any other
 
-    def _word(self, at: np.ndarray, left: np.ndarray, k: int) -> np.ndarray:
-        """Bytes 8k to 8k + 7 of suffixes as numbers that sort like them, 0 behind a region's end."""
-        over = np.clip(8 * (8 - (left - 8 * k)), 0, 64)
-        here = self._eights[np.minimum(at + 8 * k, len(self._eights) - 1)].astype(U)
-        return np.where(over < 64, here >> np.minimum(over, 63).astype(U) << np.minimum(over, 63).astype(U), U(0))
+    def _word(self, at: np.ndarray, left: np.ndarray, begin: int) -> np.ndarray:
+        """Bytes begin to begin + 7 of suffixes as numbers that sort like them, 0 behind a region's end."""
+        over = np.clip(8 * (8 - (left - begin)), 0, 64).astype(U)
+        here = self._eights[np.minimum(at + begin, len(self._eights) - 1)].astype(U)
+        return np.where(over < U(64), here >> np.minimum(over, U(63)) << np.minimum(over, U(63)), U(0))
 
     def _sorted(self, at: np.ndarray, left: np.ndarray) -> np.ndarray:
-        """Order of the suffixes: by their first eight bytes, then those that are still alike by the next eight, and so on."""
+        """Order of the suffixes: by their first eight bytes, then those that are still alike by further bytes, and so on."""
         if not len(at):
             return np.zeros(0, np.int64)
-        order = np.argsort(key := self._word(at, left, 0), kind="stable")
+        order = np.argsort(key := self._word(at, left, 0))
         key = key[order]
-        alike = np.arange(len(at))  # places in order that aren't settled; group: where their group begins
-        group = np.maximum.accumulate(np.where(np.diff(key, prepend=key[0] + U(1)) != 0, alike, 0))
-        for k in range(1, -(-self.WIDTH // 8) + 1):
-            size = np.diff(np.append(np.flatnonzero(np.diff(group, prepend=-1)), len(group)))
-            more = np.repeat(size > 1, size)
-            alike, group = alike[more], group[more]
+        alike = np.arange(len(at))  # places in order that aren't settled
+        new = np.concatenate([[True], key[1:] != key[:-1]])  # where a group of suffixes without a difference yet begins
+        begin = 8
+        while begin < self.WIDTH:
+            more = ~(new & np.append(new[1:], True))  # groups of two and more
+            alike, new = alike[more], new[more]
             if not len(alike):
                 break
+            group = np.cumsum(new) - 1
+            width = (64 - int(group[-1]).bit_length()) // 8  # bytes that fit behind the group's number
             own = order[alike]
-            key = self._word(at[own], left[own], k)
-            by = np.lexsort((key, group))
-            order[alike], key = own[by], key[by]
-            new = np.ones(len(by), bool)  # groups stay where they are
-            new[1:] = (group[1:] != group[:-1]) | (key[1:] != key[:-1])
-            group = alike[np.maximum.accumulate(np.where(new, np.arange(len(by)), 0))]
+            key = self._word(at[own], left[own], begin) >> U(64 - 8 * width)
+            if width < 8:
+                key |= group.astype(U) << U(8 * width)
+            by = np.argsort(key)
+            order[alike], key = own[by], key[by]  # groups stay where they are
+            new |= np.concatenate([[True], key[1:] != key[:-1]])
+            begin += width
         return order
 
     def _common(self, at: np.ndarray, left: np.ndarray) -> np.ndarray:
         """Equal bytes at the beginning of neighbours."""
         out = np.zeros(max(0, len(at) - 1), np.int64)
         alike = np.arange(len(out))
-        for k in range(-(-self.WIDTH // 8)):
+        for begin in range(0, self.WIDTH, 8):
             if not len(alike):
                 break
-            differ = self._word(at[alike], left[alike], k) ^ self._word(at[alike + 1], left[alike + 1], k)
+            differ = self._word(at[alike], left[alike], begin) ^ self._word(at[alike + 1], left[alike + 1], begin)
             out[alike] += sum((differ < U(1 << 64 - 8 * n)).astype(np.int64) for n in range(1, 9))  # leading bytes without a difference
             alike = alike[differ == 0]
         return out
@@ -492,16 +495,20 @@ ANSWER = np.dtype([("entry", "<u4"), ("first", "u1"), ("windows", "u1"), ("doc",
 
 
 def _answered(batches):
-    """Members of a bucket with the runs of their classes: answers for their chunk."""
+    """Members of a bucket (grouped by chunk) with the runs of their classes: answers for each chunk."""
     for batch in batches:
         for row in _pylist(batch):
             checks, counts = np.frombuffer(row["checks"], "<u8"), np.frombuffer(row["counts"], "u1").astype(np.int64)
             runs, stops = np.frombuffer(row["runs"], RUN), np.cumsum(counts)
-            e = np.frombuffer(row["data"], MEMBER)
-            n = counts[e["kind"]]
-            pick = np.repeat(stops[e["kind"]] - n - (np.cumsum(n) - n), n) + np.arange(n.sum())
-            answer = _structured(ANSWER, entry=np.repeat(e["entry"], n), first=runs["first"][pick], windows=runs["windows"][pick], doc=runs["doc"][pick], check=np.repeat(checks[e["kind"]], n))
-            yield pa.RecordBatch.from_arrays([pa.array([row["chunk"]], pa.int64()), pa.array([zstandard.compress(answer.tobytes(), 1)], pa.binary())], names=["chunk", "data"])
+            chunks, data = [], []
+            for m in row["members"]:
+                e = np.frombuffer(m["data"], MEMBER)
+                n = counts[e["kind"]]
+                pick = np.repeat(stops[e["kind"]] - n - (np.cumsum(n) - n), n) + np.arange(n.sum())
+                answer = _structured(ANSWER, entry=np.repeat(e["entry"], n), first=runs["first"][pick], windows=runs["windows"][pick], doc=runs["doc"][pick], check=np.repeat(checks[e["kind"]], n))
+                chunks.append(m["chunk"])
+                data.append(zstandard.compress(answer.tobytes(), 1))
+            yield pa.RecordBatch.from_arrays([pa.array(chunks, pa.int64()), pa.array(data, pa.binary())], names=["chunk", "data"])
 
 
 class Places:
@@ -530,16 +537,16 @@ def _covered(chunk: Chunk, answers: list[bytes]) -> np.ndarray:
     if not answers or not n:
         return np.zeros(n, bool)
     places = Places(chunk)
-    doc_id, mark, checks = chunk.docs[places.all["doc"]], np.zeros(n + LENGTH, np.int32), places.checks()
-    for data in answers:
-        answer = np.frombuffer(zstandard.decompress(data), ANSWER)
-        answer = answer[checks[answer["entry"]] == answer["check"]]
-        at, asked = places.of(answer["entry"].astype(np.int64))
-        later = doc_id[at] > answer["doc"][asked]
+    answer = np.concatenate([np.frombuffer(zstandard.decompress(data), ANSWER) for data in answers])
+    answer = answer[places.checks()[answer["entry"]] == answer["check"]]
+    doc_id, mark = chunk.docs[places.all["doc"]], np.zeros(n + LENGTH, np.int32)
+    for part in np.array_split(answer, 1 + len(answer) // (1 << 18)):  # a few million windows at a time
+        at, asked = places.of(part["entry"].astype(np.int64))
+        later = doc_id[at] > part["doc"][asked]
         at, asked = at[later], asked[later]
-        start = places.all["at"][at] + answer["first"][asked]
+        start = places.all["at"][at] + part["first"][asked]
         mark += np.bincount(start, minlength=len(mark)).astype(np.int32)
-        mark -= np.bincount(start + answer["windows"][asked].astype(np.int64) + LENGTH - 1, minlength=len(mark)).astype(np.int32)
+        mark -= np.bincount(start + part["windows"][asked].astype(np.int64) + LENGTH - 1, minlength=len(mark)).astype(np.int32)
     return np.cumsum(mark)[:n] > 0
 
 
@@ -585,22 +592,25 @@ def _stages(docs: DataFrame, doc_id: str, text: str, everything: bool = False) -
     fetched = _dealt(fetched).sortWithinPartitions("bucket")
     resolved = materialize(fetched.mapInArrow(lambda b: _resolved(b, everything), "bucket int, checks binary, counts binary, runs binary, occurrences binary"), "resolved")
     tidy(spark)
-    return chunks, found.where("kind = 'member'").select("bucket", "chunk", "data"), resolved
+    members = found.where("kind = 'member'").groupBy("bucket").agg(F.collect_list(F.struct("chunk", "data")).alias("members"))  # bounded by the bucket
+    return chunks, members, resolved
 
 
 def _placed(batches):
-    """Members of a bucket with the groups' occurrences in their classes: (group, entry, offset, length) for their chunk."""
+    """Members of a bucket (grouped by chunk) with the groups' occurrences in their classes: (group, entry, offset, length) for
+    each chunk."""
     for batch in batches:
         for row in _pylist(batch):
             found = np.frombuffer(row["occurrences"], OCCURRENCE)
             found = found[np.argsort(found["kind"], kind="stable")]
-            e = np.frombuffer(row["data"], MEMBER)
-            first, stop = (np.searchsorted(found["kind"], e["kind"], side=side) for side in ("left", "right"))
-            of, k = _spread_out(stop - first)
-            own = found[first[of] + k]
-            n = len(own)
-            columns = [pa.array(np.full(n, row["chunk"]), pa.int64()), pa.array(row["bucket"] << 32 | own["group"].astype(np.int64)), pa.array(e["entry"][of].astype(np.int64)), pa.array(own["offset"].astype(np.int64)), pa.array(own["length"].astype(np.int64))]
-            yield pa.RecordBatch.from_arrays(columns, names=["chunk", "group", "entry", "offset", "length"])
+            for m in row["members"]:
+                e = np.frombuffer(m["data"], MEMBER)
+                first, stop = (np.searchsorted(found["kind"], e["kind"], side=side) for side in ("left", "right"))
+                of, k = _spread_out(stop - first)
+                own = found[first[of] + k]
+                n = len(own)
+                columns = [pa.array(np.full(n, m["chunk"]), pa.int64()), pa.array(row["bucket"] << 32 | own["group"].astype(np.int64)), pa.array(e["entry"][of].astype(np.int64)), pa.array(own["offset"].astype(np.int64)), pa.array(own["length"].astype(np.int64))]
+                yield pa.RecordBatch.from_arrays(columns, names=["chunk", "group", "entry", "offset", "length"])
 
 
 def _located(batches):
