@@ -12,7 +12,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from recordloom.functions.text import words
+from recordloom.functions.text import phonetic_skeleton, words
 from recordloom.sources.scratch import table
 
 WEIGHTS = {"g": 0.6, "n": 1.5, "p": 1.2, "x": 0.5, "y": 0.5}  # fixed: weight of a feature by its first letter, else 1
@@ -139,31 +139,66 @@ def block(s1: DataFrame, rec: DataFrame, channels: dict | None = None) -> DataFr
 
 
 # ---- inverted index over key families ------------------------------------------------------------------------------
-#: Fixed: key families by bit, with their caps on document frequency.
-KEY_TYPES = ("core", "tok", "skel", "pre", "addr_post", "name_addr", "sorted", "acronym")
-KEY_CAPS = {"core": 500, "tok": 2000, "skel": 500, "pre": 2000, "addr_post": 500, "name_addr": 1000, "sorted": 500, "acronym": 300}
+#: Fixed: key families by bit (two bits are set by other channels and have no keys), and their caps on document frequency.
+KEY_TYPES = ("core", "tok", "skelbi", "pre", "addrpc", "nameaddr", "addrbi", "join", "tfidf", "sorted", "acro", "subset", "embed")
+KEY_CAPS = {"core": 300, "tok": 100, "skelbi": 100, "pre": 100, "addrpc": 100, "nameaddr": 100, "addrbi": 50, "join": 100, "sorted": 300, "acro": 100, "subset": 100}
+#: Fixed: address words that name no street.
+STREET_WORDS = (
+    "road", "street", "lane", "avenue", "nagar", "floor", "building", "near", "opposite", "sector", "plot", "flat", "house", "shop", "office", "block", "phase", "main", "cross", "colony",
+    "drive", "court", "place", "suite", "apartment", "complex", "tower", "rue", "boulevard", "chemin", "allée",
+)
+
+
+def _runs(t: Column, size: int, most: int) -> Column:
+    """The first `most` runs of neighbouring tokens, each as an array."""
+    n = F.least(F.size(t) - (size - 1), F.lit(most))
+    return F.when(n < 1, F.array().cast("array<array<string>>")).otherwise(F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: F.slice(t, i, F.lit(size))))
+
+
+def _name_families(t: Column, name: Column) -> dict[str, Column]:
+    n, none = F.size(t), F.array().cast("array<string>")
+    if_ = lambda c, v: F.when(c, v).otherwise(none)
+    glued = lambda runs: F.transform(runs, lambda x: F.array_join(x, ""))
+    first = F.get(t, F.lit(0))
+    pairs = F.transform(_runs(F.transform(t, phonetic_skeleton), 2, 6), lambda x: F.array_join(x, "|"))
+    return {
+        "core": if_(n > 0, F.array(name)),
+        "tok": F.filter(t, lambda w: F.length(w) >= 2),
+        "skelbi": F.when(n == 1, F.transform(t, phonetic_skeleton)).otherwise(pairs),
+        "pre": if_(n > 0, F.array(F.array_join(F.transform(F.slice(t, 1, 2), lambda w: F.substring(w, 1, 4)), "|"))),
+        "join": F.concat(glued(_runs(t, 2, 3)), glued(_runs(t, 3, 2)), if_(n.between(2, 5), F.array(F.array_join(t, ""))), F.filter(t, lambda w: F.length(w) >= 8)),
+        "sorted": if_(n >= 2, F.array(F.array_join(F.array_sort(F.array_distinct(t)), " "))),
+        "acro": F.when(n >= 2, F.array(F.array_join(F.transform(t, lambda w: F.substring(w, 1, 1)), ""))).otherwise(F.filter(t, lambda w: F.length(w).between(2, 5) & w.rlike(r"^\p{L}+$"))),
+    }
+
+
+def _address_families(t: Column, a: Column) -> dict[str, Column]:
+    """Keys of names with the address words a; all need a name."""
+    lead = phonetic_skeleton(F.coalesce(F.get(t, F.lit(0)), F.lit("")))
+    digits = lambda low, high: F.slice(F.filter(a, lambda w: w.rlike(rf"^\d{{{low},{high}}}$")), 1, 2)
+    letters = F.filter(a, lambda w: (F.length(w) >= 4) & w.rlike(r"^\p{L}+$"))
+    house = F.get(F.filter(a, lambda w: w.rlike(r"^\d") & (F.length(w) <= 6)), F.lit(0))
+    street = F.get(F.filter(letters, lambda w: ~w.isin(*STREET_WORDS)), F.lit(0))
+    anchor, none = F.coalesce(house, street), F.array().cast("array<string>")
+    long = F.slice(F.filter(F.array_distinct(t), lambda w: F.length(w) >= 3), 1, 5)
+    pairs = F.flatten(F.transform(long, lambda x, i: F.transform(F.slice(long, i + 2, F.lit(5)), lambda y: F.concat_ws("|", x, y))))
+    return {
+        "addrpc": F.transform(digits(5, 6), lambda w: F.concat_ws("|", w, F.substring(lead, 1, 3))),
+        "nameaddr": F.transform(F.concat(digits(1, 4), F.slice(letters, 1, 2)), lambda w: F.concat_ws("|", lead, w)),
+        "addrbi": F.concat(F.transform(_runs(a, 2, 2), lambda x: F.concat(F.lit("b|"), F.array_join(x, "|"))), F.when(house.isNotNull() & street.isNotNull(), F.array(F.concat_ws("|", F.lit("h"), house, street))).otherwise(none)),
+        "subset": F.when(anchor.isNull(), none).otherwise(F.transform(F.concat(long, pairs), lambda w: F.concat_ws("|", w, anchor))),
+    }
 
 
 def record_keys(records: DataFrame) -> DataFrame:
-    """(id, country, kind, key) of every key family; a key once per record."""
-    from recordloom.functions.text import skeleton
-
-    tokens, numbers = words(F.col("core")), words(F.col("anum"))
-    one = lambda c: F.when(F.coalesce(c, F.lit("")) != "", F.array(c)).otherwise(F.array().cast("array<string>"))
-    first_number = F.coalesce(F.get(numbers, F.lit(0)), F.lit(""))
-    families = {
-        "core": one(F.col("glued")),
-        "tok": F.filter(tokens, lambda x: F.length(x) >= 4),
-        "skel": one(skeleton(F.col("glued"))),
-        "pre": F.when(F.length("glued") >= 5, F.array(F.substring("glued", 1, 5))).otherwise(F.array().cast("array<string>")),
-        "addr_post": F.transform(words(F.col("post")), lambda p: F.concat_ws("|", p, first_number)),
-        "name_addr": F.when(first_number != "", F.transform(tokens, lambda x: F.concat_ws("|", x, first_number))).otherwise(F.array().cast("array<string>")),
-        "sorted": one(sorted_key(F.col("core"))),
-        "acronym": F.when(F.size(tokens) >= 3, F.array(F.array_join(F.transform(tokens, lambda x: F.substring(x, 1, 1)), ""))).otherwise(F.array().cast("array<string>")),
-    }
+    """(id, country, kind, key) of every key family; a key once per record. The address words are numbers, words, postcodes."""
+    rows = records.select("id", "country", "core", words(F.col("core")).alias("_t"), words(F.concat_ws(" ", "anum", "atok", "post")).alias("_a"))
+    t, a = F.col("_t"), F.col("_a")
     of = lambda kind: lambda x: F.struct(F.lit(kind).alias("kind"), x.alias("key"))
+    named = F.size(t) > 0
+    families = _name_families(t, F.col("core")) | {k: F.when(named, v).otherwise(F.array().cast("array<string>")) for k, v in _address_families(t, a).items()}
     tagged = [F.transform(F.array_distinct(v), of(k)) for k, v in families.items()]
-    return records.select("id", "country", F.explode(F.concat(*tagged)).alias("k")).select("id", "country", "k.kind", "k.key")
+    return rows.select("id", "country", F.explode(F.concat(*tagged)).alias("k")).select("id", "country", "k.kind", "k.key")
 
 
 def build_index(keys: DataFrame, population: DataFrame, caps: dict[str, int] | None = None) -> DataFrame:
@@ -192,6 +227,32 @@ def has_bits(mask: Column, *kinds: str) -> Column:
     return mask.bitwiseAND(F.lit(sum(1 << KEY_TYPES.index(k) for k in kinds))) != 0
 
 
+def keep_candidates(pairs: DataFrame, k: int = 50, channel_k: int = 5, reverse_k: int = 3, score: str = "score") -> DataFrame:
+    """The candidates that go on, with their ranks: among the best k of the entity by key score, the best channel_k by cosine,
+    the best reverse_k of the record, or the same name and an address key, whatever the rank."""
+    own, theirs = Window.partitionBy("s1"), Window.partitionBy("cand")
+    ranked = pairs.withColumns({
+        "rank": F.row_number().over(own.orderBy(F.desc(score), "cand")), "channel_rank": F.row_number().over(own.orderBy(F.desc("cos"), "cand")),
+        "reverse_rank": F.row_number().over(theirs.orderBy(F.desc(score), "s1")),
+    })
+    by_channel = (F.col("cos") > 0) & (F.col("channel_rank") <= channel_k)
+    sure = has_bits(F.col("mask"), "core") & has_bits(F.col("mask"), "nameaddr", "addrbi")
+    return ranked.where((F.col("rank") <= k) | by_channel | (F.col("reverse_rank") <= reverse_k) | sure)
+
+
+def new_neighbours(pairs: DataFrame, neighbours: DataFrame, top: int = 5) -> DataFrame:
+    """Neighbours (s1, cand, cos, rank) within the top that aren't candidates yet; a pair that comes twice has its best cosine."""
+    best = neighbours.where(F.col("rank") <= top).groupBy("s1", "cand").agg(F.max("cos").alias("cos"))
+    return best.join(pairs.select("s1", "cand"), ["s1", "cand"], "left_anti")
+
+
+def shared_address(pairs: DataFrame, norm: DataFrame, least: int = 1) -> DataFrame:
+    """Development restriction: pairs whose addresses have at least so many words in common."""
+    side = lambda key, name: norm.select(F.col("id").alias(key), words(F.col("atok")).alias(name))
+    both = pairs.join(side("s1", "_a"), "s1").join(side("rec", "_b"), "rec")
+    return both.where(F.size(F.array_intersect("_a", "_b")) >= least).drop("_a", "_b")
+
+
 def merge_candidates(a: DataFrame, b: DataFrame, bit: int) -> DataFrame:
     """Full outer merge of index hits (s1, cand, score, mask) and channel hits (s1, cand, cos): gaps filled, masks or-ed."""
     out = a.join(b.select("s1", "cand", "cos"), ["s1", "cand"], "full_outer")

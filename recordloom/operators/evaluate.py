@@ -76,20 +76,21 @@ def grouped_metrics(rows: DataFrame, slices: list[str], value: str) -> DataFrame
     return rows.sparkSession.sql(f"SELECT CASE {labels} END AS slice, coalesce({keys}) AS key, count(*) AS n, avg({value}) AS mean FROM _grouped_metrics GROUP BY {names} GROUPING SETS ({sets})")
 
 
-def precision_recall_curve(scored: DataFrame, p: str = "p", y: str = "y", bins: int = 1000) -> DataFrame:
-    """(bin, tp, fp, precision, recall) at each score step, from the top down. Scores are binned, so the running sums go
-    over at most `bins` rows, whatever the input."""
-    b = scored.groupBy(F.least(F.floor(F.col(p) * bins), F.lit(bins - 1)).cast("int").alias("bin")).agg(F.sum(y).cast("long").alias("pos"), F.count("*").alias("n"))
-    w = Window.orderBy(F.desc("bin")).rowsBetween(Window.unboundedPreceding, 0)
-    total = Window.partitionBy()
-    out = b.withColumns({"tp": F.sum("pos").over(w), "fp": F.sum(F.col("n") - F.col("pos")).over(w), "_all": F.sum("pos").over(total)})
-    return out.select("bin", "tp", "fp", (F.col("tp") / (F.col("tp") + F.col("fp"))).alias("precision"), (F.col("tp") / F.greatest("_all", F.lit(1))).alias("recall"))
+def precision_recall_curve(scored: DataFrame, p: str = "p", y: str = "y") -> DataFrame:
+    """(p, tp, fp, precision, recall) at each distinct score, from the top down; running sums go over range partitions."""
+    from recordloom.operators.runs import running_sums
+
+    by = scored.groupBy(F.col(p).alias("p")).agg(F.sum(y).cast("long").alias("pos"), F.count("*").alias("n"))
+    rows = running_sums(by, "p", {"pos": "tp", "n": "_n"}, descending=True)
+    every = scored.agg(F.sum(y).cast("long").alias("n")).first()["n"] or 0
+    out = rows.withColumn("fp", F.col("_n") - F.col("tp"))
+    return out.select("p", F.col("tp").cast("long").alias("tp"), F.col("fp").cast("long").alias("fp"), (F.col("tp") / F.col("_n")).alias("precision"), (F.col("tp") / F.lit(max(1, every))).alias("recall"))
 
 
-def best_threshold(scored: DataFrame, p: str = "p", y: str = "y", bins: int = 1000) -> DataFrame:
-    """The bin with the best F0.5 (highest on ties)."""
-    c = precision_recall_curve(scored, p, y, bins).withColumn("f05", f_beta(F.col("precision"), F.col("recall")))
-    return c.agg(F.max_by("bin", F.struct("f05", "bin")).alias("bin"), F.max("f05").alias("f05")).withColumn("threshold", F.col("bin") / bins)
+def best_threshold(scored: DataFrame, p: str = "p", y: str = "y") -> DataFrame:
+    """One row: the score from which accepting gives the best F0.5 (the highest on ties), and that F0.5."""
+    c = precision_recall_curve(scored, p, y).withColumn("f05", f_beta(F.col("precision"), F.col("recall")))
+    return c.agg(F.max_by("p", F.struct(F.round("f05", 12), "p")).alias("threshold"), F.max("f05").alias("f05"))
 
 
 def ranking_quality(scored: DataFrame, p: str = "p", y: str = "y") -> DataFrame:
@@ -116,6 +117,23 @@ def blocking_recall(pairs: DataFrame, truth: DataFrame, ranks: tuple[int, ...] =
     return per.agg((F.sum("hit") / F.sum("n")).alias("recall"), *[(F.coalesce(F.sum(f"at_{k}"), F.lit(0)) / F.sum("n")).alias(f"recall_at_{k}") for k in ranks], F.avg((F.col("hit") == F.col("n")).cast("double")).alias("all_found"), F.avg((F.col("hit") > 0).cast("double")).alias("any_found"))
 
 
+def family_shares(pairs: DataFrame, truth: DataFrame, kinds: dict[str, Column]) -> DataFrame:
+    """(family, hits, share): of the true pairs among the candidates, those that each key family found."""
+    true = pairs.join(truth.where("rec >= 0").select(F.col("rec").alias("cand"), "s1"), ["cand", "s1"], "left_semi")
+    sums = true.agg(F.count("*").alias("_n"), *[F.sum(c.cast("long")).alias(k) for k, c in kinds.items()])
+    rows = F.array(*[F.struct(F.lit(k).alias("family"), F.coalesce(k, F.lit(0)).alias("hits")) for k in kinds])
+    return sums.select(F.explode(rows).alias("f"), "_n").select("f.family", "f.hits", (F.col("f.hits") / F.greatest("_n", F.lit(1))).alias("share"))
+
+
+def reduction_ratio(pairs: DataFrame, s1: DataFrame, rec: DataFrame) -> DataFrame:
+    """(country, pairs, per_s1, reduction): how many of a country's possible pairs blocking leaves out."""
+    a = s1.groupBy("country").agg(F.count("*").alias("_a"))
+    b = rec.groupBy("country").agg(F.count("*").alias("_b"))
+    n = pairs.join(s1.select(F.col("id").alias("s1"), "country"), "s1").groupBy("country").agg(F.count("*").alias("pairs"))
+    out = a.join(b, "country", "left").join(n, "country", "left").fillna(0, ["_b", "pairs"])
+    return out.select("country", "pairs", (F.col("pairs") / F.col("_a")).alias("per_s1"), (1 - F.col("pairs") / F.greatest(F.col("_a") * F.col("_b"), F.lit(1))).alias("reduction"))
+
+
 def loss_parts(counts: DataFrame) -> DataFrame:
     """What macro F0.5 would be without false positives, and with all misses found: (now, no_fp, no_fn)."""
     now = score_entities(counts)

@@ -166,28 +166,49 @@ def basic_documents(t):
     return rows.select("doc_id", F.length("b").alias("n_plain"), F.md5(F.col("b").cast("binary")).alias("digest"))
 
 
-@query(r"""SELECT doc_id, length(text)::BIGINT AS n_chars, len(list_filter(string_split_regex(text, '\s+'), lambda x: x <> ''))::BIGINT AS n_tokens,
-  len(regexp_extract_all(text, '\p{Nd}'))::BIGINT AS n_digits, len(regexp_extract_all(text, '\p{L}'))::BIGINT AS n_letters, len(regexp_extract_all(text, '\p{P}'))::BIGINT AS n_punct, len(regexp_extract_all(text, '[^\x00-\x7f]'))::BIGINT AS n_non_ascii FROM documents""")
+@query(r"""SELECT doc_id, length(t)::BIGINT AS n_chars, len(list_filter(string_split_regex(t, '\s+'), lambda x: x <> ''))::BIGINT AS n_tokens,
+  len(regexp_extract_all(t, '\p{Nd}'))::BIGINT AS n_digits, len(regexp_extract_all(t, '\p{L}'))::BIGINT AS n_letters, len(regexp_extract_all(t, '\p{P}'))::BIGINT AS n_punct, len(regexp_extract_all(t, '[^\x00-\x7f]'))::BIGINT AS n_non_ascii,
+  len(regexp_extract_all(t, '\p{Cc}'))::BIGINT AS n_control, len(regexp_extract_all(t, '\p{M}'))::BIGINT AS n_marks, len(regexp_extract_all(t, '[\x{a0}\x{2000}-\x{200b}\x{202f}\x{205f}\x{3000}]'))::BIGINT AS n_odd_space FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents)""")
 def character_metrics(t):
-    m = text.metrics(F.col("text"))
-    return t.table("documents").select("doc_id", *[m[k].alias(k) for k in ("n_chars", "n_tokens", "n_digits", "n_letters", "n_punct", "n_non_ascii")])
+    return t.table("documents").select("doc_id", *[v.alias(k) for k, v in text.metrics(F.col("text")).items()])
 
 
-@query(r"""SELECT doc_id, CASE WHEN regexp_matches(text, '\p{Latin}') THEN 'Latin' ELSE 'none' END AS script FROM documents""")
+_SCRIPTED = "SELECT id, CASE id % 5 WHEN 0 THEN name WHEN 1 THEN translate(lower(name), 'abcdefghij', 'कखगघचछजझटठ') WHEN 2 THEN translate(lower(name), 'aeiou', 'অআইঈউ') WHEN 3 THEN translate(lower(name), 'abcdefghijklmnopqrstuvwxyz', 'அஆஇஈஉஊஎஏஐஒஓகஙசஞடணதநபமயரலவழ') ELSE cast(id AS string) END AS name FROM records"
+
+
+_LETTERS = ", ".join("len(regexp_extract_all(coalesce(name, ''), '\\p{" + k + "}')) AS " + k for k in text.SCRIPTS)
+
+
+@query(f"""WITH v AS ({_SCRIPTED}), c AS (SELECT id, {_LETTERS} FROM v), m AS (SELECT *, {' + '.join(text.SCRIPTS)} AS every, greatest({', '.join(text.SCRIPTS)}) AS most FROM c)
+SELECT id, CASE WHEN every = 0 THEN 'none' WHEN most < 0.8 * every THEN 'mixed' {' '.join(f"WHEN {k} = most THEN '{k}'" for k in text.SCRIPTS)} END AS script FROM m""")
 def dominant_scripts(t):
-    return t.table("documents").select("doc_id", text.dominant_script(F.col("text"), 0.8).alias("script"))
+    t.records.createOrReplaceTempView("records")
+    return t.spark.sql(_SCRIPTED).select("id", text.dominant_script(F.col("name"), 0.8).alias("script"))
 
 
-@query(r"SELECT id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(translate(lower(glued), 'aeiouyhw', ''), 'nn+', 'n', 'g'), 'gg+', 'g', 'g'), 'll+', 'l', 'g'), 'tt+', 't', 'g'), 'dd+', 'd', 'g') AS skeleton FROM norm WHERE NOT regexp_matches(glued, '\d') AND glued NOT LIKE '%incorporated%'")
-def consonant_skeletons(t):
-    return t.norm.where(~F.col("glued").rlike(r"\d") & ~F.col("glued").contains("incorporated")).select("id", text.skeleton(F.col("glued")).alias("skeleton"))
+def _collapsed(x: str) -> str:
+    """Doubled letters once."""
+    return f"list_transform([string_split({x}, '')], lambda l: array_to_string(list_filter(l, lambda c, i: i = 1 OR c <> l[i - 1]), ''))[1]"
 
 
-@query()
-def consonant_skeletons_full(t):
+@query(f"SELECT id, {_collapsed("translate(lower(glued), 'aeiouyhw', '')")} AS skeleton FROM norm")
+def consonant_skeletons(t):
     return t.norm.select("id", text.skeleton(F.col("glued")).alias("skeleton"))
 
 
+def _phonetic(w: str) -> str:
+    spelt = f"translate({w}, '{text.LOOKALIKES[0]}', '{text.LOOKALIKES[1]}')"
+    for a, b in text.SOUNDS:
+        spelt = f"replace({spelt}, '{a}', '{b}')"
+    bare = f"substr({spelt}, 1, 1) || translate(substr({spelt}, 2), 'aeiou', '')"
+    return f"CASE WHEN regexp_full_match({w}, '[0-9]+') THEN {w} ELSE coalesce(nullif({_collapsed(bare)}, ''), {w}) END"
+
+
+@query(f"SELECT token, {_phonetic('token')} AS sound FROM (SELECT DISTINCT unnest({_words('core')}) AS token FROM norm)")
+def phonetic_skeletons(t):
+    return names.token_table(t.norm, "core").select("token", text.phonetic_skeleton(F.col("token")).alias("sound"))
+
+
 # ---- blocking --------------------------------------------------------------------------------------------------------
 _NAME_F = "list_distinct(list_transform({0}, lambda w: 'w:' || w) || list_transform(range(1, length('#' || glued || '#') - 1), lambda i: 'g:' || substr('#' || glued || '#', i, 3)))".format(_words("core"))
 _W = "CASE substr(feature, 1, 1) WHEN 'g' THEN 0.6 WHEN 'n' THEN 1.5 WHEN 'p' THEN 1.2 WHEN 'x' THEN 0.5 WHEN 'y' THEN 0.5 ELSE 1.0 END"
@@ -198,7 +219,7 @@ idf AS (SELECT country, feature, ln(1 + n / count(*)) * {_W} AS idf FROM feats J
 rows_ AS (SELECT id, src, country, feature, idf / sqrt(sum(idf * idf) OVER (PARTITION BY id)) AS w FROM feats JOIN idf USING (country, feature)),
 cos_ AS (SELECT q.id AS rec, s.id AS s1, sum(q.w * s.w) AS score FROM rows_ q JOIN rows_ s USING (country, feature) WHERE q.src = 2 AND s.src = 1 GROUP BY ALL HAVING sum(q.w * s.w) > 0.05)
 """
-_CAP = 60
+_CAP = blocking.CHANNELS["name"][1]
 
 
 def _split(t):
@@ -230,71 +251,85 @@ def pair_cosine(t):
     return blocking.row_cosine(t.truth.where("rec >= 0").select("rec", "s1"), q, s, "c_name").withColumn("c_name", short("c_name"))
 
 
+_ALPHA = "regexp_full_match(w, '[a-z]+')"
 _KEYS = rf"""
-k0 AS (SELECT id, src, country, core, glued, {_words("core")} AS t, {_words("anum")} AS n, {_words("post")} AS p FROM norm),
+k0 AS (SELECT id, src, country, core, {_words("core")} AS t, {_words("concat_ws(' ', anum, atok, post)")} AS a FROM norm),
+k1 AS (SELECT *, list_transform(t, lambda w: {_phonetic("w")}) AS sk, list_filter(a, lambda w: regexp_matches(w, '^\d') AND length(w) <= 6)[1] AS house,
+  list_filter(a, lambda w: length(w) >= 4 AND {_ALPHA} AND w NOT IN ({", ".join(f"'{w}'" for w in blocking.STREET_WORDS)}))[1] AS street,
+  list_filter(list_filter(t, lambda w, i: list_position(t, w) = i), lambda w: length(w) >= 3)[1:5] AS long_ FROM k0 WHERE len(t) > 0),
+k2 AS (SELECT *, coalesce(house, street) AS anchor FROM k1),
 keys AS (
-  SELECT id, src, country, 'core' AS kind, glued AS key FROM k0 WHERE glued <> ''
-  UNION ALL SELECT id, src, country, 'tok', unnest(list_distinct(list_filter(t, lambda x: length(x) >= 4))) FROM k0
-  UNION ALL SELECT id, src, country, 'pre', substr(glued, 1, 5) FROM k0 WHERE length(glued) >= 5
-  UNION ALL SELECT id, src, country, 'addr_post', unnest(list_distinct(list_transform(p, lambda x: x || '|' || coalesce(n[1], '')))) FROM k0
-  UNION ALL SELECT id, src, country, 'name_addr', unnest(list_distinct(list_transform(t, lambda x: x || '|' || n[1]))) FROM k0 WHERE len(n) > 0
-  UNION ALL SELECT id, src, country, 'sorted', array_to_string(list_sort(t), '') FROM k0 WHERE core <> ''
-  UNION ALL SELECT id, src, country, 'acronym', array_to_string(list_transform(t, lambda x: substr(x, 1, 1)), '') FROM k0 WHERE len(t) >= 3),
-caps(kind, cap, bit) AS (VALUES ('core', 500, 1), ('tok', 2000, 2), ('pre', 2000, 8), ('addr_post', 500, 16), ('name_addr', 1000, 32), ('sorted', 500, 64), ('acronym', 300, 128)),
+  SELECT id, src, country, 'core' AS kind, core AS key FROM k2
+  UNION ALL SELECT id, src, country, 'tok', unnest(list_distinct(list_filter(t, lambda w: length(w) >= 2))) FROM k2
+  UNION ALL SELECT id, src, country, 'skelbi', unnest(list_distinct(CASE WHEN len(t) = 1 THEN sk ELSE list_transform(range(1, least(len(t) - 1, 6) + 1), lambda i: sk[i] || '|' || sk[i + 1]) END)) FROM k2
+  UNION ALL SELECT id, src, country, 'pre', array_to_string(list_transform(t[1:2], lambda w: substr(w, 1, 4)), '|') FROM k2
+  UNION ALL SELECT id, src, country, 'join', unnest(list_distinct(list_transform(range(1, least(len(t) - 1, 3) + 1), lambda i: t[i] || t[i + 1]) || list_transform(range(1, least(len(t) - 2, 2) + 1), lambda i: t[i] || t[i + 1] || t[i + 2])
+    || CASE WHEN len(t) BETWEEN 2 AND 5 THEN [array_to_string(t, '')] ELSE [] END || list_filter(t, lambda w: length(w) >= 8))) FROM k2
+  UNION ALL SELECT id, src, country, 'sorted', array_to_string(list_sort(list_distinct(t)), ' ') FROM k2 WHERE len(t) >= 2
+  UNION ALL SELECT id, src, country, 'acro', array_to_string(list_transform(t, lambda w: substr(w, 1, 1)), '') FROM k2 WHERE len(t) >= 2
+  UNION ALL SELECT id, src, country, 'acro', t[1] FROM k2 WHERE len(t) = 1 AND regexp_full_match(t[1], '[a-z]{{2,5}}')
+  UNION ALL SELECT id, src, country, 'addrpc', unnest(list_distinct(list_transform(list_filter(a, lambda w: regexp_full_match(w, '\d{{5,6}}'))[1:2], lambda w: w || '|' || substr(sk[1], 1, 3)))) FROM k2
+  UNION ALL SELECT id, src, country, 'nameaddr', unnest(list_distinct(list_transform(list_filter(a, lambda w: regexp_full_match(w, '\d{{1,4}}'))[1:2] || list_filter(a, lambda w: length(w) >= 4 AND {_ALPHA})[1:2], lambda w: sk[1] || '|' || w))) FROM k2
+  UNION ALL SELECT id, src, country, 'addrbi', unnest(list_distinct(list_transform(range(1, least(len(a) - 1, 2) + 1), lambda i: 'b|' || a[i] || '|' || a[i + 1]) || CASE WHEN house IS NOT NULL AND street IS NOT NULL THEN ['h|' || house || '|' || street] ELSE [] END)) FROM k2
+  UNION ALL SELECT id, src, country, 'subset', unnest(list_distinct(list_transform(long_ || flatten(list_transform(range(1, len(long_) + 1), lambda i: list_transform(long_[i + 1:], lambda y: long_[i] || '|' || y))), lambda w: w || '|' || anchor))) FROM k2 WHERE anchor IS NOT NULL),
+caps(kind, cap, bit) AS (VALUES {", ".join(f"('{k}', {c}, {1 << blocking.KEY_TYPES.index(k)})" for k, c in blocking.KEY_CAPS.items())}),
 size AS (SELECT country, count(*) AS n FROM norm WHERE src = 2 GROUP BY country),
-idx AS (SELECT keys.country, keys.kind, key, log2((size.n + 1) / count(*)) AS weight FROM keys JOIN caps USING (kind) JOIN size USING (country) WHERE src = 2 GROUP BY keys.country, keys.kind, key, size.n, cap HAVING count(*) <= cap)
+idx AS (SELECT keys.country, keys.kind, key, log2((size.n + 1) / count(*)) AS weight FROM keys JOIN caps USING (kind) JOIN size USING (country) WHERE src = 2 GROUP BY keys.country, keys.kind, key, size.n, cap HAVING count(*) <= cap),
+hits AS (SELECT a.id AS s1, b.id AS cand, sum(weight) AS score, bit_or(bit) AS mask FROM keys a JOIN keys b ON a.src = 1 AND b.src = 2 AND a.country = b.country AND a.kind = b.kind AND a.key = b.key
+  JOIN idx ON idx.country = b.country AND idx.kind = b.kind AND idx.key = b.key JOIN caps ON caps.kind = b.kind GROUP BY a.id, b.id)
 """
 
 
 @query(f", {_KEYS} SELECT id, country, kind, key FROM keys")
 def blocking_keys(t):
-    return blocking.record_keys(t.norm).where("kind <> 'skel'")
+    return blocking.record_keys(t.norm)
 
 
 @query(f", {_KEYS} SELECT country, kind, key, round(weight, 9) AS weight FROM idx")
 def inverted_index(t):
     _, rec = _split(t)
-    return blocking.build_index(blocking.record_keys(rec).where("kind <> 'skel'"), rec).withColumn("weight", short("weight"))
+    return blocking.build_index(blocking.record_keys(rec), rec).withColumn("weight", short("weight"))
 
 
-_STRONG = "kind IN ('addr_post', 'name_addr', 'core', 'sorted')"
+def _key_hits(t):
+    s1, rec = _split(t)
+    keys = blocking.record_keys(rec)
+    return blocking.index_join(blocking.record_keys(s1), keys, blocking.build_index(keys, rec))
 
 
-@query(f", {_KEYS} SELECT a.id AS s1, b.id AS cand, round(sum(weight), 9) AS score, bit_or(bit)::INT AS mask FROM keys a JOIN keys b ON a.src = 1 AND b.src = 2 AND a.country = b.country AND a.kind = b.kind AND a.key = b.key JOIN idx ON idx.country = b.country AND idx.kind = b.kind AND idx.key = b.key JOIN caps ON caps.kind = b.kind WHERE a.{_STRONG} GROUP BY a.id, b.id")
+@query(f", {_KEYS} SELECT s1, cand, round(score, 9) AS score, mask::INT AS mask FROM hits")
 def inverted_index_join(t):
-    s1, rec = _split(t)
-    keys = blocking.record_keys(rec).where(_STRONG)
-    out = blocking.index_join(blocking.record_keys(s1).where(_STRONG), keys, blocking.build_index(keys, rec))
-    return out.withColumn("score", short("score"))
+    return _key_hits(t).withColumn("score", short("score"))
+
 
+_NAMES = ", ".join(f"CASE WHEN mask & {1 << i} > 0 THEN '{k}' END" for i, k in enumerate(blocking.KEY_TYPES))
 
-@query(f", {_KEYS}, j AS (SELECT a.id AS s1, b.id AS cand, bit_or(bit) AS mask FROM keys a JOIN keys b ON a.src = 1 AND b.src = 2 AND a.country = b.country AND a.kind = b.kind AND a.key = b.key JOIN idx ON idx.country = b.country AND idx.kind = b.kind AND idx.key = b.key JOIN caps ON caps.kind = b.kind WHERE a.{_STRONG} GROUP BY a.id, b.id) SELECT concat_ws('+', CASE WHEN mask & 1 > 0 THEN 'core' END, CASE WHEN mask & 16 > 0 THEN 'addr_post' END, CASE WHEN mask & 32 > 0 THEN 'name_addr' END, CASE WHEN mask & 64 > 0 THEN 'sorted' END) AS keys, count(*) AS n FROM j GROUP BY 1")
+
+@query(f", {_KEYS} SELECT concat_ws('+', {_NAMES}) AS keys, count(*) AS n FROM hits GROUP BY 1")
 def key_families(t):
-    return inverted_index_join(t).groupBy(blocking.mask_names(F.col("mask")).alias("keys")).agg(F.count("*").alias("n"))
+    return _key_hits(t).groupBy(blocking.mask_names(F.col("mask")).alias("keys")).agg(F.count("*").alias("n"))
 
 
-# Over every family: no SQL, since DuckDB has no back-reference for skeletons.
-@query()
-def blocking_keys_full(t):
-    return blocking.record_keys(t.norm)
+_CORE, _ADDRESS = 1 << blocking.KEY_TYPES.index("core"), sum(1 << blocking.KEY_TYPES.index(k) for k in ("nameaddr", "addrbi"))
 
 
-@query()
-def inverted_index_full(t):
-    _, rec = _split(t)
-    return blocking.build_index(blocking.record_keys(rec), rec).withColumn("weight", short("weight"))
+@query(f""", {_KEYS}, cos_ AS (SELECT s1, cand, round(score, 9) AS score, mask, (s1 * 31 + cand * 17) % 100 / 100 AS cos FROM hits),
+r AS (SELECT *, (row_number() OVER (PARTITION BY s1 ORDER BY score DESC, cand))::INT AS rank, (row_number() OVER (PARTITION BY s1 ORDER BY cos DESC, cand))::INT AS channel_rank, (row_number() OVER (PARTITION BY cand ORDER BY score DESC, s1))::INT AS reverse_rank FROM cos_)
+SELECT s1, cand, score, mask::INT AS mask, cos, rank, channel_rank, reverse_rank FROM r WHERE rank <= 4 OR (cos > 0 AND channel_rank <= 2) OR reverse_rank <= 1 OR (mask & {_CORE} > 0 AND mask & {_ADDRESS} > 0)""")
+def kept_candidates(t):
+    pairs = scratch.table(_key_hits(t).withColumn("score", short("score")).withColumn("cos", ((F.col("s1") * 31 + F.col("cand") * 17) % 100) / 100), "hits")
+    return blocking.keep_candidates(pairs, 4, 2, 1)
 
 
-@query()
-def inverted_index_join_full(t):
-    s1, rec = _split(t)
-    keys = blocking.record_keys(rec)
-    return blocking.index_join(blocking.record_keys(s1), keys, blocking.build_index(keys, rec)).withColumn("score", short("score"))
+@query(f", {_KEYS}, tr AS (SELECT s1, rec AS cand FROM truth WHERE rec >= 0), h AS (SELECT hits.* FROM hits SEMI JOIN tr USING (s1, cand)) SELECT family, count(*) FILTER (WHERE mask & bit > 0) AS hits, count(*) FILTER (WHERE mask & bit > 0) / count(*) AS share FROM h, (SELECT kind AS family, bit FROM caps) GROUP BY family")
+def family_shares(t):
+    return evaluate.family_shares(_key_hits(t), t.truth, {k: blocking.has_bits(F.col("mask"), k) for k in blocking.KEY_CAPS})
 
 
-@query()
-def key_families_full(t):
-    return inverted_index_join_full(t).groupBy(blocking.mask_names(F.col("mask")).alias("keys")).agg(F.count("*").alias("n"))
+@query(f""", {_KEYS}, p AS (SELECT country, count(*) AS pairs FROM hits JOIN s1 ON s1.id = hits.s1 GROUP BY country), a AS (SELECT country, count(*) AS a FROM s1 GROUP BY country), b AS (SELECT country, count(*) AS b FROM rec GROUP BY country)
+SELECT country, coalesce(pairs, 0) AS pairs, coalesce(pairs, 0) / a AS per_s1, 1 - coalesce(pairs, 0) / (a * b) AS reduction FROM a LEFT JOIN b USING (country) LEFT JOIN p USING (country)""")
+def reduction_ratio(t):
+    return evaluate.reduction_ratio(_key_hits(t).select("s1", "cand"), t.s1, t.rec)
 
 
 @query("""SELECT vec_id AS s1, cand, round(cos, 6) AS cos, rank FROM (SELECT a.vec_id, b.vec_id AS cand, list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS cos,
@@ -391,10 +426,11 @@ def token_jaccard(t):
 
 
 @query(f"""SELECT rec, s1, CASE WHEN len(x) = 0 OR len(y) = 0 THEN -1.0 ELSE (x[1] = y[1])::INT::DOUBLE END AS h_first_eq, CASE WHEN len(x) = 0 OR len(y) = 0 THEN -1.0 ELSE list_contains(x, y[1])::INT::DOUBLE END AS h_b0_in_a,
+CASE WHEN len(x) = 0 OR len(y) = 0 THEN -1.0 ELSE len(list_intersect(x, y)) / len(list_distinct(x || y)) END AS h_jac, CASE WHEN len(x) = 0 OR len(y) = 0 THEN -1.0 ELSE least(abs(x[1]::DOUBLE - y[1]::DOUBLE) / greatest(x[1]::DOUBLE, 1), 10) END AS h_rel,
 CASE WHEN len(x) = 0 OR len(y) = 0 THEN -1.0 ELSE least(abs(x[1]::DOUBLE - y[1]::DOUBLE), 1000) / 1000 END AS h_diff, len(x)::DOUBLE AS h_n_s1, len(y)::DOUBLE AS h_n_rec FROM (SELECT rec, s1, {_words("anum")} AS x, {_words("b_anum")} AS y FROM ({_PAIRED}))""")
 def house_numbers(t):
     f = pairs.number_features(text.words(F.col("a_anum")), text.words(F.col("b_anum")))
-    return _true_sides(t).select("rec", "s1", *[f[k].alias(k) for k in ("h_first_eq", "h_b0_in_a", "h_diff", "h_n_s1", "h_n_rec")])
+    return _true_sides(t).select("rec", "s1", *[v.alias(k) for k, v in f.items()])
 
 
 @query(f"""SELECT rec, s1, (len(list_distinct(y)) = len(list_intersect(x, y)) AND len(list_distinct(x)) = len(list_intersect(x, y)))::INT::DOUBLE AS l_eq, (len(list_distinct(y)) - len(list_intersect(x, y)))::DOUBLE AS l_added,
@@ -417,22 +453,6 @@ def weighted_token_overlap(t):
     return out.select("rec", "s1", *[short(c).alias(c) for c in ("n_wov", "n_cov_s1", "n_cov_rec")])
 
 
-@query()
-def pair_features(t):
-    return pairs.pair_features(t.scored.select("rec", "s1", "p").withColumnRenamed("p", "p_prune"), t.norm)
-
-
-@query()
-def cluster_features(t):
-    return pairs.cluster_features(t.scored.select("rec", "s1", F.col("p").alias("p1")), t.norm, "p1", 0.5)
-
-
-@query()
-def ratio_family(t):
-    a, b = F.col("a_core"), F.col("b_core")
-    return _true_sides(t).select("rec", "s1", *[f(a, b).alias(k) for k, f in similarity.SCORERS.items()])
-
-
 # ---- decisions and evaluation ------------------------------------------------------------------------------------------
 _BEST = "best AS (SELECT rec, s1, p FROM scored QUALIFY row_number() OVER (PARTITION BY rec ORDER BY p DESC, s1) = 1)"
 
@@ -506,20 +526,19 @@ def slice_metrics(t):
     return evaluate.grouped_metrics(t.records.withColumn("v", F.col("id") % 100), ["country", "src"], "v").withColumn("mean", short("mean"))
 
 
-_BINS = "y AS (SELECT least(floor(p * 1000), 999)::INT AS bin, (s1 = rec - 20000000000)::INT AS y, p FROM scored), b AS (SELECT bin, sum(y) AS pos, count(*) AS n FROM y GROUP BY bin), cum AS (SELECT bin, sum(pos) OVER w AS tp, sum(n - pos) OVER w AS fp, (SELECT sum(pos) FROM b) AS every FROM b WINDOW w AS (ORDER BY bin DESC ROWS UNBOUNDED PRECEDING))"
+_CURVE = "y AS (SELECT (s1 = rec - 20000000000)::INT AS y, p FROM scored), b AS (SELECT p, sum(y) AS pos, count(*) AS n FROM y GROUP BY p), cum AS (SELECT p, sum(pos) OVER w AS tp, sum(n - pos) OVER w AS fp, (SELECT sum(pos) FROM b) AS every FROM b WINDOW w AS (ORDER BY p DESC ROWS UNBOUNDED PRECEDING))"
 
 
-@query(f", {_BINS} SELECT bin, tp::BIGINT AS tp, fp::BIGINT AS fp, round(tp / (tp + fp), 9) AS precision, round(tp / every, 9) AS recall FROM cum")
+@query(f", {_CURVE} SELECT p, tp::BIGINT AS tp, fp::BIGINT AS fp, round(tp / (tp + fp), 9) AS precision, round(tp / every, 9) AS recall FROM cum")
 def precision_recall_curve(t):
-    out = evaluate.precision_recall_curve(_labelled(t))
-    return out.select("bin", "tp", "fp", short("precision").alias("precision"), short("recall").alias("recall"))
+    return evaluate.precision_recall_curve(_labelled(t)).withColumns({"precision": short("precision"), "recall": short("recall")})
 
 
 def _labelled(t):
     return t.scored.select("rec", "s1", "p", (F.col("s1") == F.col("rec") - 20000000000).cast("int").alias("y"))
 
 
-@query(f", {_BINS}, f AS (SELECT bin, CASE WHEN tp = 0 THEN 0.0 ELSE 1.25 * (tp / (tp + fp)) * (tp / every) / (0.25 * tp / (tp + fp) + tp / every) END AS f05 FROM cum) SELECT bin, round(f05, 9) AS f05, bin / 1000 AS threshold FROM f ORDER BY round(f05, 12) DESC, bin DESC LIMIT 1")
+@query(f", {_CURVE}, f AS (SELECT p, CASE WHEN tp = 0 THEN 0.0 ELSE 1.25 * (tp / (tp + fp)) * (tp / every) / (0.25 * tp / (tp + fp) + tp / every) END AS f05 FROM cum) SELECT p AS threshold, round(f05, 9) AS f05 FROM f ORDER BY round(f05, 12) DESC, p DESC LIMIT 1")
 def best_f05_threshold(t):
     return evaluate.best_threshold(_labelled(t)).withColumn("f05", short("f05"))
 
@@ -579,9 +598,18 @@ def country_drift(t):
     return profile.drift(t.s1, t.rec.where("name <> ''"), "country")
 
 
-@query("SELECT flag, count(*) AS n, count(*) / (SELECT count(*) FROM rec) AS share FROM (SELECT 'empty' AS flag FROM rec WHERE trim(name) = '' UNION ALL SELECT 'url' FROM rec WHERE regexp_matches(name, '(?i)https?://|www\\.') UNION ALL SELECT 'upper' FROM rec WHERE regexp_matches(name, '[A-Z]') AND NOT regexp_matches(name, '[a-z]')) GROUP BY flag")
+_ODD = r"""SELECT id, name FROM rec UNION ALL SELECT id, CASE id % 7 WHEN 0 THEN NULL WHEN 1 THEN 'N A' WHEN 2 THEN '12 345' WHEN 3 THEN 'info@firm.example' WHEN 4 THEN 'A &amp; B <b>' WHEN 5 THEN '--' ELSE repeat('long name ', 300) END FROM s1"""
+
+
+@query(rf"""WITH v AS ({_ODD}), e AS (SELECT coalesce(name, '') AS s FROM v),
+f AS (SELECT unnest([CASE WHEN trim(s) = '' THEN 'empty' END, CASE WHEN lower(trim(s)) IN ({_PLACE}) THEN 'placeholder' END, CASE WHEN regexp_full_match(s, '[0-9\s]+') THEN 'digits_only' END,
+  CASE WHEN NOT regexp_matches(s, '\p{{L}}') AND trim(s) <> '' THEN 'no_letters' END, CASE WHEN regexp_matches(s, '[^\x00-\x7f]') THEN 'non_ascii' END, CASE WHEN regexp_matches(s, '(?i)https?://|www\.') THEN 'url' END,
+  CASE WHEN regexp_matches(s, '[^\s@]+@[^\s@]+\.[^\s@]+') THEN 'email' END, CASE WHEN regexp_matches(s, '&\w+;|<[a-zA-Z/]') THEN 'html' END, CASE WHEN regexp_matches(s, '\p{{Lu}}') AND NOT regexp_matches(s, '\p{{Ll}}') THEN 'upper' END, CASE WHEN length(s) > 2000 THEN 'long' END]) AS flag FROM e)
+SELECT flag, count(*) AS n, count(*) / (SELECT count(*) FROM e) AS share FROM f WHERE flag IS NOT NULL GROUP BY flag""")
 def edge_case_flags(t):
-    return profile.flag_shares(t.rec, "name").where("flag IN ('empty', 'url', 'upper')")
+    t.s1.createOrReplaceTempView("s1")
+    t.rec.createOrReplaceTempView("rec")
+    return profile.flag_shares(t.spark.sql(_ODD), "name")
 
 
 @query("SELECT a_missing, count(*) AS n, round(avg(p), 9) AS p_mean, round(quantile_cont(p, 0.5), 9) AS p_median FROM scored GROUP BY a_missing")
@@ -683,28 +711,13 @@ _LATIN = "trim(regexp_replace(lower(strip_accents(coalesce({0}, ''))), '[^a-z0-9
 
 
 @query("WITH v AS (SELECT id, src, 'nb' AS k, " + _VIEW.format("name") + " AS key FROM records UNION ALL SELECT id, src, 'nl', " + _LATIN.format("name") + " FROM records UNION ALL SELECT id, src, 'ab', " + _VIEW.format("addr") + " FROM records UNION ALL SELECT id, src, 'al', " + _LATIN.format("addr") + " FROM records),"
-       " w AS (SELECT *, count(*) OVER (PARTITION BY src, k, key) AS n FROM v WHERE key <> '')"
-       " SELECT DISTINCT a.id AS s1, b.id AS rec FROM w a JOIN w b ON a.src = 1 AND b.src = 2 AND a.k = b.k AND a.key = b.key WHERE a.n <= 500 AND b.n <= 500 AND NOT EXISTS (SELECT 1 FROM truth t WHERE t.s1 = a.id AND t.rec = b.id)")
+       " w AS (SELECT * FROM v WHERE key <> '')"
+       " SELECT DISTINCT a.id AS s1, b.id AS rec FROM w a JOIN w b ON a.src = 1 AND b.src = 2 AND a.k = b.k AND a.key = b.key WHERE NOT EXISTS (SELECT 1 FROM truth t WHERE t.s1 = a.id AND t.rec = b.id)")
 def hard_negative_pairs(t):
-    views = scratch.table(explore.with_views(t.records), "views")
-    return explore.hard_negatives(views.where("src = 1"), views.where("src = 2"), t.truth)
-
-
-@query()
-def hard_negative_pairs_full(t):
     views = scratch.table(explore.with_views(t.records), "views")
     return explore.hard_negatives(views.where("src = 1"), views.where("src = 2"), t.truth, None)
 
 
-@query()
-def comparison_features(t):
-    views = scratch.table(explore.with_views(t.records), "views")
-    out = t.truth.where("rec >= 0").select("rec", "s1")
-    for side, key in (("a", "s1"), ("b", "rec")):
-        out = out.join(views.select(F.col("id").alias(key), *[F.col(c).alias(f"{side}_{c}") for c in views.columns if c != "id"]), key)
-    return explore.comparison_features(out)
-
-
 @query()
 def classic_base_features(t):
     return classic.base_features(_classic_sides(t)[1]).drop("a_raw", "b_raw")
@@ -750,11 +763,18 @@ def linkage_candidates(t):
     return linkage.candidates(t.norm, blocking.CHANNELS)
 
 
+def _register() -> None:
+    """The modules that add queries of their own."""
+    from recordloom.plans import catalog_pairs  # noqa: F401
+
+
 def queries() -> dict[str, Callable]:
+    _register()
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
     """Each SELECT after the fixture's tables; one that begins with WITH or a comma adds tables of its own."""
+    _register()
     head = f"WITH {CTES}, {NORM}\n"
     return {k: head + (", " + body[5:] if body.startswith("WITH ") else body) for k, body in _SQL.items()}
