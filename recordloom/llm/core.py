@@ -44,6 +44,14 @@ def materialize(df: DataFrame, name: str, compression: str = "zstd") -> DataFram
     return spark.read.schema(df.schema).parquet(path)
 
 
+def small_batches(spark: SparkSession, most: str = "8m") -> None:
+    """Let Arrow batches hold at most so many bytes, unless the session says otherwise: what a Python worker and its executor
+    hold then follows the longest row, not ten thousand of them. Spark's own default is 64 MB."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key, None) in (None, "67108864b", "64m", "64MB"):
+        spark.conf.set(key, most)
+
+
 def tidy(spark: SparkSession) -> None:
     """Let Spark drop the shuffle files of finished stages now: its cleaner follows the driver's garbage collection. A hint
     only, with nothing to wait for; files that it misses go with the next one or with the session."""

@@ -39,7 +39,7 @@ SIMILARITY = 85  # per cent
 MINIMA = 160  # 2 bits each: five 64-bit words
 MISSED = 1.2e-5  # a pair at the threshold shares no band with this probability at most
 CLUSTER_SHINGLES = 1 << 21
-MEMORY = 300_000
+MEMORY = 100_000  # words whose hashes a worker remembers
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 _LOWER = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
 _RNG = np.random.default_rng(20_240_229)

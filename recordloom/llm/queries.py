@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from recordloom.llm import audio, chat, language, minhash, packing, pieces, quality, repeats, toxicity, wavelet
-from recordloom.llm.core import crc_mod, materialize
+from recordloom.llm.core import crc_mod, materialize, small_batches
 
 #: Chain of op1, over the columns of labels.
 CATEGORIES = {"low_quality": "1 - quality", "toxic": "toxic"}
@@ -87,8 +88,17 @@ def op10_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stored.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", F.size("spans").cast("long").alias("n_spans"))
 
 
+def _bounded(query):
+    @wraps(query)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        small_batches(spark)
+        return query(spark, sf_dir)
+
+    return run
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_toxicity, op2_wavelet, op3_repeats, op4_packing, op5_chat, op6_quality, op7_minhash, op8_merge_dropout, op9_language, op10_audio)}
+    return {f.__name__: _bounded(f) for f in (op1_toxicity, op2_wavelet, op3_repeats, op4_packing, op5_chat, op6_quality, op7_minhash, op8_merge_dropout, op9_language, op10_audio)}
 
 
 def oracle_sql() -> dict[str, str]:
