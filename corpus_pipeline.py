@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from recordloom.llm import language, minhash, packing, quality, repeats
-from recordloom.llm.core import materialize, recorded, release
+from recordloom.llm.core import materialize, recorded, release, small_batches
 
 #: Packing and classifiers aren't expressible in SQL; tests hold run() against a plain version.
 ORACLE_SQL = None
@@ -35,6 +35,7 @@ def _stage(function):
     @wraps(function)
     def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         release(spark, _made)
+        small_batches(spark)
         with recorded(_made):
             return function(spark, docs, sf_dir)
 
