@@ -1,10 +1,13 @@
 """Chat formatting into budgeted training windows. DataFrame functions only.
 
 A turn is written as ``[INST role] text [/INST]</s>``, with control strings in role and text escaped reversibly, and its
-token count is estimated as words plus punctuation marks (a parameter may name a column instead). Prefix sums of turn
-tokens assign every turn but the system turns to a window of about ``budget`` tokens; each window starts with the
-conversation's leading system turn, repeats up to ``history`` tokens of the turns before it, and its loss mask holds
-each assistant text only where it is new, so repeated targets are masked.
+token count is estimated as words plus punctuation marks and 4 for the marks around it. Each window starts with the
+conversation's leading system turn, repeats up to ``history`` tokens of the last turns of the window before, and has room for
+what the budget leaves: new turns, chosen by prefix sums of turn tokens. The sums are cut at every multiple of that room; the
+turns between two cuts are a window, and a turn that a cut goes through is one of its own unless it still fits. So a
+window keeps to ``budget`` tokens, but where a turn alone is longer than the room, or where the system turn and the history
+leave less than a quarter of the budget (a quarter is then the room). The loss mask holds each assistant text only where it
+is new, so repeated targets are masked.
 
 Output, one row per window: conv_id, window_id, formatted, n_tokens, spans: array<struct<begin, length, role, fresh,
 loss>> in code points of ``formatted``; begin and length give the escaped text of a turn.
@@ -47,14 +50,20 @@ def format_windows(turns: DataFrame, budget: int = BUDGET, history: int = HISTOR
     rows = rows.withColumn("lead", lead).withColumn("cost", F.when(F.col("lead"), 0).otherwise(F.col("tokens")))
     rows = rows.withColumn("start", F.coalesce(F.sum("cost").over(before), F.lit(0)))
     rows = rows.withColumn("stop", F.col("start") + F.col("cost"))
-    # a turn is new in the window that holds its first token; the system turn is new in the first
-    rows = rows.withColumn("home", F.when(F.col("lead"), F.lit(0).cast("long")).otherwise(F.floor(F.col("start") / budget)))
-    # gaps (a turn longer than the budget) are closed, so window ids count from 0
-    rows = rows.withColumn("window_id", F.dense_rank().over(Window.partitionBy("conv_id").orderBy("home")) - 1)
+    # the room for new turns, and between which of its multiples a turn begins
+    whole = Window.partitionBy("conv_id")
+    taken = F.coalesce(F.max(F.when(F.col("lead"), F.col("tokens"))).over(whole), F.lit(0))
+    rows = rows.withColumn("room", F.greatest(F.lit(budget - history) - taken, F.lit(max(1, budget // 4))))
+    rows = rows.withColumn("home", F.when(F.col("lead"), F.lit(0).cast("long")).otherwise(F.floor(F.col("start") / F.col("room"))))
+    # the turn that the next cut goes through stands apart if it doesn't fit beside those before it
+    beside = F.sum("cost").over(Window.partitionBy("conv_id", "home"))
+    apart = ~F.col("lead") & (F.col("stop") > (F.col("home") + 1) * F.col("room")) & (beside > F.col("room"))
+    rows = rows.withColumn("cut", 2 * F.col("home") + apart.cast("long"))
+    # gaps (a turn over several cuts) are closed, so window ids count from 0
+    rows = rows.withColumn("window_id", F.dense_rank().over(Window.partitionBy("conv_id").orderBy("cut")) - 1)
     turn = F.struct(F.col("pos"), F.col("role"), F.regexp_replace(escape(F.col("role")), r"\](?= )", r"$0\\").alias("shown"), escape(F.col("text")).alias("said"), F.col("tokens"), F.col("stop"))
     by_window = rows.groupBy("conv_id", "window_id").agg(F.sort_array(F.collect_list(turn)).alias("new"), F.min("start").alias("from_token"), F.first(F.when(F.col("lead"), turn), ignorenulls=True).alias("own_system"))
-    # what the windows before can lend: turns that end within the last `history` tokens. Only the previous window's turns
-    # can reach that far, because history <= budget and every window but those of over-long turns holds up to a budget.
+    # what the window before can lend: its turns that begin within the last `history` tokens
     w = Window.partitionBy("conv_id").orderBy("window_id")
     by_window = by_window.withColumn("lent", F.lag("new").over(w)).withColumn("system", F.first("own_system", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
     old = F.filter(F.coalesce("lent", F.array().cast(by_window.schema["new"].dataType)), lambda x: (x["stop"] - x["tokens"] >= F.col("from_token") - history) & ~(F.coalesce(x["pos"] == F.col("system.pos"), F.lit(False))))
@@ -83,10 +92,14 @@ def _spans(turns: Column) -> Column:
     return F.aggregate(turns, start, step, lambda acc: acc["spans"])
 
 
+def read_turns(windows: DataFrame) -> DataFrame:
+    """windows with turns: array<struct<role, text, fresh, loss>> as the formatted text has them."""
+    pieces = F.regexp_extract_all("formatted", F.lit(r"(?s)\[INST (.*?)\] (.*?) \[/INST\]</s>"), 0)
+    part = lambda piece, k: unescape(F.regexp_extract(piece, r"(?s)\A\[INST (.*?)\] (.*) \[/INST\]</s>\z", k))
+    span = lambda i: F.get(F.col("spans"), i)
+    return windows.withColumn("turns", F.transform(pieces, lambda p, i: F.struct(part(p, 1).alias("role"), part(p, 2).alias("text"), span(i)["fresh"].alias("fresh"), span(i)["loss"].alias("loss"))))
+
+
 def read_back(windows: DataFrame) -> DataFrame:
     """The turns as the formatted text has them: conv_id, window_id, nth, role, text, fresh, loss."""
-    pieces = F.regexp_extract_all("formatted", F.lit(r"(?s)\[INST (.*?)\] (.*?) \[/INST\]</s>"), 0)
-    rows = windows.select("conv_id", "window_id", "spans", F.posexplode(pieces).alias("nth", "piece"))
-    part = lambda k: unescape(F.regexp_extract("piece", r"(?s)\A\[INST (.*?)\] (.*) \[/INST\]</s>\z", k))
-    span = F.get("spans", F.col("nth"))
-    return rows.select("conv_id", "window_id", "nth", part(1).alias("role"), part(2).alias("text"), span["fresh"].alias("fresh"), span["loss"].alias("loss"))
+    return read_turns(windows).select("conv_id", "window_id", F.posexplode("turns").alias("nth", "turn")).select("conv_id", "window_id", "nth", "turn.*")

@@ -68,7 +68,7 @@ def recorded(made: list[str]):
     try:
         yield made
     finally:
-        _recording.remove(made)
+        _recording[:] = [x for x in _recording if x is not made]  # lists of equal paths are not the same
 
 
 def release(spark: SparkSession, made: list[str]) -> None:
@@ -76,8 +76,12 @@ def release(spark: SparkSession, made: list[str]) -> None:
     jvm = spark.sparkContext._jvm
     conf = spark.sparkContext._jsc.hadoopConfiguration()
     while made:
-        path = jvm.org.apache.hadoop.fs.Path(made.pop())
+        name = made.pop()
+        path = jvm.org.apache.hadoop.fs.Path(name)
         path.getFileSystem(conf).delete(path, True)
+        for other in _recording:
+            if name in other:
+                other.remove(name)
 
 
 def let(value: Column, body) -> Column:

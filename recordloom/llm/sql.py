@@ -32,8 +32,10 @@ a AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, tex
 b AS (SELECT *, pos = 1 AND role = 'system' AS lead FROM a),
 c AS (SELECT *, CASE WHEN lead THEN 0 ELSE tokens END AS cost FROM b),
 d AS (SELECT *, coalesce(sum(cost) OVER (PARTITION BY conv_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM c),
-e AS (SELECT *, CASE WHEN lead THEN 0 ELSE start // {chat.BUDGET} END AS home FROM d),
-f AS (SELECT *, dense_rank() OVER (PARTITION BY conv_id ORDER BY home) - 1 AS w FROM e),
+r AS (SELECT *, greatest({chat.BUDGET - chat.HISTORY} - coalesce(max(tokens) FILTER (WHERE lead) OVER (PARTITION BY conv_id), 0), {chat.BUDGET // 4}) AS room FROM d),
+e AS (SELECT *, CASE WHEN lead THEN 0 ELSE start // room END AS home FROM r),
+c2 AS (SELECT *, 2 * home + (NOT lead AND start + cost > (home + 1) * room AND sum(cost) OVER (PARTITION BY conv_id, home) > room)::INT AS cut FROM e),
+f AS (SELECT *, dense_rank() OVER (PARTITION BY conv_id ORDER BY cut) - 1 AS w FROM c2),
 win AS (SELECT conv_id, w, min(start) AS from_token FROM f GROUP BY conv_id, w),
 extra AS (
   SELECT f.conv_id, sum(f.chars) AS chars FROM f JOIN win ON win.conv_id = f.conv_id

@@ -75,6 +75,17 @@ def test_wavelet(docs, empty, tokenizer):
     assert shards.count() > 3 and wavelet.document_table(wavelet.write_shards(empty)).count() == 0
 
 
+def test_wavelet_of_one_repeated_id(spark, tokenizer):
+    texts = [sentence(200 + k, 30) for k in range(40)]
+    df = spark.createDataFrame([(7, t) for t in texts] + [(None, t) for t in texts], "doc_id long, text string").repartition(3)
+    shards = wavelet.write_shards(df, shard_tokens=2000)
+    assert shards.select("part").distinct().count() > 2  # neither id is one task's alone
+    rows = sorted(wavelet.document_table(shards).collect(), key=lambda r: r["start"])
+    assert [r["doc_id"] for r in rows] == [None] * 40 + [7] * 40
+    assert [r["start"] for r in rows] == list(np.cumsum([0] + [r["n_tokens"] for r in rows])[:-1])
+    assert sorted(r["ids_crc32"] for r in rows[40:]) == sorted(brute.crc(brute.token_ids(t, tokenizer)) for t in texts)
+
+
 def test_wavelet_rank_and_select():
     ids = np.random.default_rng(0).integers(0, 300, 20_000).astype(np.uint16) ** 2 % 40_000
     ids = ids.astype(tokens.DTYPE)
@@ -238,6 +249,32 @@ def test_chat_round_trip(spark):
     assert chat.format_windows(turns.limit(0)).count() == 0
 
 
+def test_chat_windows_keep_to_the_budget(spark):
+    rng = np.random.default_rng(8)
+    rows = [(c, i, "system" if not i and c % 2 else ["user", "assistant"][i % 2], sentence(100 * c + i, int(rng.integers(1, 60)) if i % 13 else 4)) for c in range(6) for i in range(60)]
+    rows += [(9, 0, "system", sentence(1, 20)), (9, 1, "user", sentence(2, 300)), (9, 2, "assistant", sentence(3, 5))]
+    turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    budget, history = 200, 40
+    windows = chat.format_windows(turns, budget, history).collect()
+    long = [w for w in windows if w["n_tokens"] > budget]
+    assert len(long) == 1 and long[0]["conv_id"] == 9  # its turn alone is longer
+    tokens = {(r["conv_id"], r["turn"]): r["n"] for r in turns.select("conv_id", "turn", chat.n_tokens(F.col("text")).alias("n")).collect()}
+    for c in range(6):
+        mine = sorted((w for w in windows if w["conv_id"] == c), key=lambda w: w["window_id"])
+        assert [w["window_id"] for w in mine] == list(range(len(mine)))
+        lead = tokens[c, 0] if c % 2 else 0
+        room, fresh = budget - history - lead, [sum(s["fresh"] for s in w["spans"]) for w in mine]
+        assert sum(fresh) == 60
+        at = 0
+        for w, n in zip(mine, fresh, strict=True):  # consecutive new turns that fit the room, beside the system turn and the history
+            own = [tokens[c, k] for k in range(at, at + n)]
+            assert sum(own) - (lead if at == 0 else 0) <= room
+            assert w["n_tokens"] - sum(own) <= history + lead
+            at += n
+        # cuts at multiples of the room: no more than two windows for each
+        assert len(mine) <= 2 * (1 + (sum(tokens[c, k] for k in range(60)) - lead) // room)
+
+
 def test_quality(spark, docs, empty):
     stats = quality.with_stats(docs.select("doc_id", "lang", "text"))
     got = by_id(stats)
@@ -554,6 +591,43 @@ def test_wav_is_readable():
         assert (f.getnchannels(), f.getsampwidth(), f.getframerate(), f.readframes(192)) == (1, 1, audio.RATE, b"abc" * 64)
 
 
+def test_audio_features_against_plain_versions():
+    raw = (BASE + "é漢").encode()
+    data = np.frombuffer(raw.ljust(-(-len(raw) // 192) * 192), np.uint8)
+    x = (data.astype(float) - 128) / 128
+    up, down, taps = audio.UP, audio.DOWN, audio.TAPS
+    # resampling: zeros stuffed in, one windowed-sinc filter, every DOWN-th value
+    t = np.arange(up * taps) - (up * taps - 1) / 2
+    h = np.sinc(t / max(up, down)) * np.hamming(up * taps)
+    stuffed = np.zeros(len(x) * up)
+    stuffed[::up] = x
+    y = np.convolve(stuffed, h * up / h.sum())[: len(stuffed) : down]
+    assert np.allclose(audio.resample(x.astype(np.float32)), y, atol=1e-5)
+    # log-mel: frame by frame, band by band, triangle by triangle
+    rate, rows = audio.RATE * up / down, []
+    centres = [700 * (10 ** (k * 2595 * np.log10(1 + rate / 2 / 700) / (audio.MELS + 1) / 2595) - 1) for k in range(audio.MELS + 2)]
+    for at in range(0, len(y) - audio.FRAME + 1, audio.HOP):
+        power = np.abs(np.fft.rfft(y[at : at + audio.FRAME] * np.hanning(audio.FRAME))) ** 2
+        bands = []
+        for low, mid, high in zip(centres, centres[1:], centres[2:]):
+            bands.append(sum(p * max(0, min((f - low) / (mid - low), (high - f) / (high - mid))) for f, p in zip(np.arange(len(power)) * rate / audio.FRAME, power)))
+        rows.append([10 * np.log10(b + 1e-10) + 100 for b in bands])
+    found = audio.analyse(audio.wav(data.tobytes()))
+    mel = np.array(rows)
+    assert found["n_frames"] == len(mel) and np.allclose(audio.log_mel(y.astype(np.float32)), mel, atol=0.05)
+    # segments: a switch that goes on at the upper and off below the lower threshold
+    energy, spans, on = mel.mean(axis=1), [], None
+    for k, e in enumerate([*energy, -1e9]):
+        if on is None and e >= np.median(energy) + 3:
+            on = k
+        elif on is not None and e < np.median(energy) - 1:
+            spans.append((on, k))
+            on = None
+    assert len(spans) > 0 and audio.segments(energy).tolist() == [list(s) for s in spans]
+    second = audio.HOP / rate
+    assert [(round(s["begin_s"] / second), round(s["end_s"] / second)) for s in found["spans"]] == spans
+
+
 def test_resampling_keeps_a_tone():
     x = np.sin(2 * np.pi * 500 * np.arange(12_000) / 12_000).astype(np.float32)
     y = audio.resample(x)
@@ -573,6 +647,11 @@ def test_release_deletes_recorded_tables_only(spark):
     assert len(made) == 1 and inside.count() == 3
     release(spark, made)
     assert before.count() == 2 and made == []
+    outer: list[str] = []
+    with recorded(outer):
+        found = components.connected(spark.createDataFrame([(1, 2), (2, 3)], "a long, b long"))
+        materialize(spark.range(1), "after")
+    assert found.count() == 3 and [p.rsplit("/", 1)[1].split("-")[0] for p in outer] == ["labels", "after"]
     with pytest.raises(Exception):
         spark.read.parquet(inside.inputFiles()[0]).count()
 
