@@ -12,12 +12,22 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from recordloom.functions.text import ALIASES, LEGAL_FORMS, SCRIPTS, dominant_script, join_initials, skeleton, squeeze, words
+from recordloom.functions.text import ALIASES, SCRIPTS, dominant_script, join_initials, literal_map, skeleton, squeeze, words
 
-#: Fixed: titles before a name; OCR look-alikes (digit, letter).
+# ---- fixed values -------------------------------------------------------------------------------------------------
 TITLES = ("mr", "mrs", "ms", "dr", "shri", "smt", "m s", "the")
-OCR = {"0": "o", "1": "l", "5": "s", "8": "b", "6": "g", "3": "e", "4": "a", "7": "t"}
-STOPWORDS = ("the", "of", "and", "a", "an", "de", "la", "le", "les", "du", "des", "et")
+#: What a scanner may have read in place of a character.
+OCR = {"0": "o", "1": "li", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "l": "i", "i": "l"}
+#: Digit and letter that noise exchanges.
+OCR_PAIRS = (("o", "0"), ("s", "5"), ("b", "8"), ("l", "1"), ("i", "1"), ("g", "6"), ("e", "3"), ("a", "4"), ("t", "7"), ("z", "2"))
+STOPWORDS = ("the", "of", "and", "&", "ms", "dba")
+ABBREVIATIONS = {"pvt": "private", "ltd": "limited", "co": "company", "corp": "corporation", "intl": "international", "mfg": "manufacturing", "bros": "brothers", "assoc": "associates", "&": "and"}
+LEGAL_WORDS = (
+    "pvt", "private", "ltd", "limited", "llp", "llc", "inc", "incorporated", "corp", "corporation", "co", "company", "plc", "pty", "gmbh", "ag", "kg", "ug", "sa", "sarl",
+    "srl", "sl", "slu", "nv", "bv", "oy", "ab", "spa", "kft", "zrt", "oyj", "asa", "aps", "sas", "sasu", "eurl", "sce", "scop", "sro", "kk", "gk", "yugen", "opc",
+    "pllc", "lp", "pc", "ei", "snc", "sci", "scp", "scm", "sca", "gie", "selarl", "ets",
+)
+# -------------------------------------------------------------------------------------------------------------------
 
 
 def clean_name(name: Column) -> Column:
@@ -28,19 +38,29 @@ def clean_name(name: Column) -> Column:
     return squeeze(F.regexp_replace(squeeze(s), rf"^(?:(?:{'|'.join(TITLES)})\.? )+", ""))
 
 
+def _without_ids(t: Column) -> Column:
+    """Numbers of four digits and more are record ids, and so is an 'id' or 'no' before one; a name of nothing else stays."""
+    number = lambda w: F.coalesce(w.rlike(r"^\d{4,}$"), F.lit(False))
+    rest = F.filter(t, lambda w, i: ~number(w) & ~(w.isin("id", "no") & number(F.get(t, i + 1))))
+    return F.when(F.size(rest) > 0, rest).otherwise(t)
+
+
 def canonical_keys(name: Column) -> Column:
-    """struct<c4a, c4b, legal>: initials joined, trailing legal forms off (c4a), stop words off too (c4b)."""
-    legal = list(LEGAL_FORMS)
-    tokens = words(F.regexp_replace(join_initials(F.lower(F.coalesce(name, F.lit("")))), "[^a-z0-9 ]+", " "))
+    """struct<c4a, c4b, legal>: initials joined, abbreviations written out and record ids dropped (c4a); then without the legal
+    words at the end (legal), stop words and other legal words (c4b), unless nothing would be left."""
+    short = literal_map(ABBREVIATIONS)
+    tokens = words(join_initials(F.trim(F.lower(F.coalesce(name, F.lit(""))))))
+    full = _without_ids(F.transform(tokens, lambda w: F.coalesce(F.try_element_at(short, w), w)))
 
     def keys(t: Column) -> Column:
-        # the tokens up to the last one that isn't a legal form
-        last = F.coalesce(F.array_max(F.transform(t, lambda x, i: F.when(~x.isin(*legal), i))), F.size(t) - 1)
-        head = F.slice(t, 1, F.greatest(last + 1, F.lit(0)))
-        bare = F.filter(head, lambda x: ~x.isin(*STOPWORDS))
-        return F.struct(F.array_join(head, " ").alias("c4a"), F.array_join(F.when(F.size(bare) > 0, bare).otherwise(head), " ").alias("c4b"), F.array_join(F.slice(t, F.greatest(last + 2, F.lit(1)), F.size(t)), " ").alias("legal"))
+        # how many words there are up to the last one that isn't a legal form
+        kept = F.coalesce(F.array_max(F.transform(t, lambda x, i: F.when(~x.isin(*LEGAL_WORDS), i + 1))), F.lit(0))
+        head = F.filter(t, lambda x, i: (i < kept) & ~x.isin(*STOPWORDS))
+        bare = F.filter(head, lambda x: ~x.isin(*LEGAL_WORDS))
+        core = F.when(F.size(bare) > 0, bare).when(F.size(head) > 0, head).otherwise(t)
+        return F.struct(F.array_join(t, " ").alias("c4a"), F.array_join(core, " ").alias("c4b"), F.array_join(F.filter(t, lambda x, i: i >= kept), " ").alias("legal"))
 
-    return F.transform(F.array(tokens), keys)[0]
+    return F.transform(F.array(full), keys)[0]
 
 
 def per_distinct(df: DataFrame, column: str, fn, name: str) -> DataFrame:
@@ -61,42 +81,70 @@ def _apply(df: DataFrame, column: str, fixes: DataFrame, name: str, key: str = "
 
 
 def ocr_fixes(tokens: DataFrame, vocabulary: DataFrame, most: int = 256) -> DataFrame:
-    """(token, fixed): look-alike digits and letters exchanged where one variant is known; the most frequent wins.
+    """(token, fixed): characters exchanged for what they may have been, where one variant is known; the most frequent wins.
 
-    Only tokens that mix digits and letters and aren't known; at most `most` variants of each (eight places)."""
-    places = int(math.log2(most))
-    odd = tokens.select("token").where(F.col("token").rlike("[a-z]") & F.col("token").rlike("[0-9]")).join(vocabulary.select(F.col("word").alias("token")), "token", "left_anti")
-    grown = odd.select("token", F.array(F.lit("")).alias("v"), F.lit(0).alias("used"))
+    Only unknown tokens of three characters and more with a digit, an l or an i; numbers and tokens with two digits in a row
+    (model numbers) stay, and so do tokens of more than `most` variants."""
+    odd = tokens.select("token").where((F.length("token") >= 3) & F.col("token").rlike("[0-9li]") & ~F.col("token").rlike(r"^\d+$|\d\d"))
+    odd = odd.join(vocabulary.select(F.col("word").alias("token")), "token", "left_anti")
+    ways = F.aggregate(F.split("token", ""), F.lit(1.0), lambda n, ch: n * F.coalesce(*[F.when(ch == k, F.lit(1.0 + len(v))) for k, v in OCR.items()], F.lit(1.0)))
 
     def step(acc: Column, ch: Column) -> Column:
-        other = F.coalesce(*[F.when(ch == d, F.lit(x)) for d, x in OCR.items()])
-        same = F.transform(acc["v"], lambda v: F.concat(v, ch))
-        both = F.concat(same, F.transform(acc["v"], lambda v: F.concat(v, other)))
-        branch = other.isNotNull() & (acc["used"] < places)
-        return F.struct(F.when(branch, both).otherwise(same).alias("v"), (acc["used"] + branch.cast("int")).alias("used"))
+        options = F.coalesce(*[F.when(ch == k, F.array(ch, *[F.lit(c) for c in v])) for k, v in OCR.items()], F.array(ch))
+        return F.flatten(F.transform(acc, lambda head: F.transform(options, lambda c: F.concat(head, c))))
 
-    variants = grown.select("token", F.explode(F.aggregate(F.split("token", ""), F.struct("v", "used"), step, lambda acc: acc["v"])).alias("word"))
-    known = variants.join(vocabulary, "word")
-    return known.groupBy("token").agg(F.min_by("word", F.struct(-F.col("count"), F.col("word"))).alias("fixed"))
+    grown = F.aggregate(F.split("token", ""), F.array(F.lit("")), step)
+    variants = odd.where(ways <= most).select("token", F.explode(grown).alias("word")).where("word <> token")
+    return variants.join(vocabulary, "word").groupBy("token").agg(F.min_by("word", F.struct(-F.col("count"), F.col("word"))).alias("fixed"))
 
 
 def fix_ocr(df: DataFrame, column: str, vocabulary: DataFrame, name: str, key: str = "id") -> DataFrame:
     return _apply(df, column, ocr_fixes(token_table(df, column), vocabulary), name, key)
 
 
-def token_repairs(tokens: DataFrame, vocabulary: DataFrame, rate: float = 0.15, margin: float = 0.3, reach: int = 2) -> DataFrame:
-    """(token, fixed): unknown tokens to the word of least edit cost minus rate * ln(count), if the next is `margin` worse.
-
-    Candidates share the first letter and differ in length by at most `reach`: an equi-join on (letter, length).
-    """
-    odd = tokens.select("token").where(F.length("token") >= 4).join(vocabulary.select(F.col("word").alias("token")), "token", "left_anti")
-    left = odd.select("token", F.substring("token", 1, 1).alias("letter"), F.explode(F.sequence(F.length("token") - reach, F.length("token") + reach)).alias("size"))
-    right = vocabulary.select("word", "count", F.substring("word", 1, 1).alias("letter"), F.length("word").alias("size"))
-    near = left.join(right, ["letter", "size"]).withColumn("edits", F.levenshtein("token", "word", reach)).where("edits >= 0")
-    scored = near.withColumn("cost", F.col("edits") - rate * F.log("count"))
+def undoubled(value: Column) -> Column:
+    return F.regexp_replace(value, r"(.)\1+", "$1")
+
+
+def noise_cost(noisy: Column, clean: Column) -> Column:
+    """How unlikely noise makes one word of another: doubled letters 0.3, one or two exchanged look-alikes 0.3 each, two
+    neighbours swapped 0.5, else the number of edits."""
+    apart = F.filter(F.zip_with(F.split(noisy, ""), F.split(clean, ""), lambda x, y: F.struct(x.alias("x"), y.alias("y"))), lambda p: p["x"] != p["y"])
+    alike = lambda p: F.concat(p["x"], p["y"]).isin(*[a + b for a, b in OCR_PAIRS], *[b + a for a, b in OCR_PAIRS])
+    same = F.length(noisy) == F.length(clean)
+    place = F.array_min(F.filter(F.transform(F.split(noisy, ""), lambda x, i: F.when(x != F.get(F.split(clean, ""), i), i)), lambda i: i.isNotNull()))
+    swapped = (F.size(apart) == 2) & (F.substr(noisy, place + 1, F.lit(2)) == F.reverse(F.substr(clean, place + 1, F.lit(2))))
+    return (
+        F.when(noisy == clean, 0.0).when(undoubled(noisy) == undoubled(clean), 0.3)
+        .when(same & (F.size(apart) <= 2) & F.forall(apart, alike), 0.3 * F.size(apart)).when(same & swapped, 0.5).otherwise(F.levenshtein(noisy, clean).cast("double"))
+    )
+
+
+def _deleted(word: Column, most: Column) -> Column:
+    """The word and what is left of it with one or two letters taken out (two only where most is 2): words within so many
+    edits of each other have one of these in common."""
+    without = lambda w: F.transform(F.sequence(F.lit(1), F.greatest(F.length(w), F.lit(1))), lambda i: F.concat(F.substring(w, F.lit(1), i - 1), F.substr(w, i + 1)))
+    once = without(word)
+    return F.array_distinct(F.concat(F.array(word), once, F.when(most >= 2, F.flatten(F.transform(once, without))).otherwise(F.array().cast("array<string>"))))
+
+
+def token_repairs(tokens: DataFrame, vocabulary: DataFrame, rate: float = 0.15, margin: float = 0.3, least: int = 1) -> DataFrame:
+    """(token, fixed): unknown tokens to the word of least noise cost less rate * ln(count), if the next best is `margin` worse
+    and the cost at most 1 (2 from eight letters on).
+
+    Candidates are words of `least` occurrences that are the same but for doubled letters, or within two edits: they meet on
+    what deletions leave of both, so a token meets few words however large the vocabulary is."""
+    odd = tokens.select("token").where((F.length("token") >= 4) & ~F.col("token").rlike(r"^\d+$")).join(vocabulary.select(F.col("word").alias("token")), "token", "left_anti")
+    known = vocabulary.where((F.col("count") >= least) & (F.length("word") >= 3) & F.col("word").rlike(r"^\p{L}+$"))
+    near = lambda c: F.concat(F.transform(_deleted(F.col(c), F.lit(2)), lambda x: F.concat(F.lit("d"), x)), F.array(F.concat(F.lit("u"), undoubled(F.col(c)))))
+    pairs = odd.select("token", F.explode(near("token")).alias("_k")).join(known.select("word", "count", F.explode(near("word")).alias("_k")), "_k").select("token", "word", "count").distinct()
+    edits = F.levenshtein("token", "word")
+    pairs = pairs.where((undoubled(F.col("token")) == undoubled(F.col("word"))) | (edits <= 2)).withColumn("_noise", noise_cost(F.col("token"), F.col("word")))
+    scored = pairs.withColumn("cost", F.col("_noise") - rate * F.log("count"))
     w = Window.partitionBy("token").orderBy("cost", "word")
     best = scored.withColumns({"_n": F.row_number().over(w), "_next": F.lead("cost").over(w)})
-    return best.where((F.col("_n") == 1) & (F.coalesce(F.col("_next"), F.lit(1e9)) - F.col("cost") >= margin)).select("token", F.col("word").alias("fixed"))
+    sure = F.col("_noise") <= F.when(F.length("token") < 8, 1.0).otherwise(2.0)
+    return best.where((F.col("_n") == 1) & sure & (F.coalesce(F.col("_next"), F.lit(1e9)) - F.col("cost") >= margin)).select("token", F.col("word").alias("fixed"))
 
 
 def repair_tokens(df: DataFrame, column: str, vocabulary: DataFrame, name: str, key: str = "id") -> DataFrame:

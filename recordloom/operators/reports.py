@@ -47,6 +47,22 @@ def failures(scored: DataFrame, accepted: DataFrame, truth: DataFrame, p: str =
     return rows.select(kind.alias("outcome")).unionAll(extra).groupBy("outcome").agg(F.count("*").alias("n"))
 
 
+def failure_patterns() -> Column:
+    """Labels of what makes a pair hard, the weightiest first, from a_core, b_core (canonical names), a_atok and b_atok."""
+    from recordloom.functions.similarity import SCORERS
+    from recordloom.operators.profile import pattern_labels
+
+    a, b = F.col("a_core"), F.col("b_core")
+    wa, wb = words(a), words(b)
+    alike, shared = F.when((a != "") & (b != ""), SCORERS["token_set_ratio"](a, b)).otherwise(0.0), jaccard(words(F.col("a_atok")), words(F.col("b_atok")))
+    glue = lambda c: F.replace(c, F.lit(" "), F.lit(""))
+    labels = pattern_labels({
+        "same name": a == b, "words glued": (a != "") & (glue(a) == glue(b)) & (F.size(wa) >= 2) & (F.size(wb) < F.size(wa)), "digits inside words": b.rlike(r"\b(?:[a-z]+\d+[a-z]+|\d+[a-z]+\d+)"),
+        "part of the name": (alike >= 50) & (alike < 90), "another name": alike < 30, "same address": shared >= 0.5, "no address": F.size(words(F.col("b_atok"))) == 0, "nothing in common": (alike < 30) & (shared < 0.3),
+    })
+    return F.when(b == "", F.array(F.lit("no name"))).otherwise(labels)
+
+
 def country_sanity(s1: DataFrame, accepted: DataFrame, rec: DataFrame) -> DataFrame:
     """Per country: matches per entity, share of entities without any, share of records claimed."""
     n = accepted.groupBy("s1").agg(F.count("*").alias("n"))

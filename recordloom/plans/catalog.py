@@ -639,17 +639,6 @@ def boundary_tokens(t):
     return lexicon.boundary_shares(t.norm, "core")
 
 
-@query(f"""WITH v AS (SELECT token AS word, count(*) AS n FROM (SELECT unnest({_words('core')}) AS token FROM norm WHERE src = 1) GROUP BY token),
-o AS (SELECT DISTINCT token FROM (SELECT unnest({_words('core')}) AS token FROM norm WHERE src = 2) WHERE length(token) >= 4 AND token NOT IN (SELECT word FROM v)),
-s AS (SELECT token, word, levenshtein(token, word) - 0.15 * ln(n) AS cost FROM o JOIN v ON substr(token, 1, 1) = substr(word, 1, 1) AND abs(length(token) - length(word)) <= 2 WHERE levenshtein(token, word) <= 2),
-r AS (SELECT token, word, cost, row_number() OVER w AS k, lead(cost) OVER w AS nxt FROM s WINDOW w AS (PARTITION BY token ORDER BY cost, word))
-SELECT token, word AS fixed FROM r WHERE k = 1 AND coalesce(nxt, 1e9) - cost >= 0.3""")
-def token_repairs(t):
-    s1, rec = _split(t)
-    vocabulary = names.token_table(s1, "core").withColumnRenamed("token", "word")
-    return names.token_repairs(names.token_table(rec, "core"), vocabulary)
-
-
 @query("SELECT o_orderkey, round(sum(o_totalprice) OVER (ORDER BY o_orderkey ROWS UNBOUNDED PRECEDING), 2) AS running FROM orders")
 def running_totals(t):
     return running_sums(t.table("orders").select("o_orderkey", F.col("o_totalprice").cast("decimal(18,2)").alias("o_totalprice")), "o_orderkey", {"o_totalprice": "running"}).select("o_orderkey", F.col("running").cast("double").alias("running"))
@@ -741,18 +730,6 @@ def classic_ngram_rows(t):
     return classic.sublinear_rows(t.norm.select("id", F.col("core").alias("text")))
 
 
-@query()
-def canonical_names(t):
-    keys = names.canonical_keys(names.clean_name(F.col("name")))
-    return t.records.select("id", keys["c4a"].alias("c4a"), keys["c4b"].alias("c4b"), keys["legal"].alias("legal"))
-
-
-@query()
-def ocr_repairs(t):
-    s1, rec = _split(t)
-    return names.ocr_fixes(names.token_table(rec, "core"), names.token_table(s1, "core").withColumnRenamed("token", "word"))
-
-
 @query()
 def noisy_records(t):
     return synth.noisy_records(t.s1, 3, 1.6, 0.6)
@@ -765,7 +742,7 @@ def linkage_candidates(t):
 
 def _register() -> None:
     """The modules that add queries of their own."""
-    from recordloom.plans import catalog_pairs  # noqa: F401
+    from recordloom.plans import catalog_names, catalog_pairs  # noqa: F401
 
 
 def queries() -> dict[str, Callable]:
