@@ -707,29 +707,6 @@ def hard_negative_pairs(t):
     return explore.hard_negatives(views.where("src = 1"), views.where("src = 2"), t.truth, None)
 
 
-@query()
-def classic_base_features(t):
-    return classic.base_features(_classic_sides(t)[1]).drop("a_raw", "b_raw")
-
-
-@query()
-def classic_extra_features(t):
-    r, out = _classic_sides(t)
-    idfs = {(f, g): scratch.table(classic.country_idf(r.select("country", F.col(c).alias("text")), g), "idf") for f, c in (("n", "rom"), ("a", "canon")) for g in (True, False)}
-    return classic.extra_features(out, idfs)
-
-
-@query()
-def classic_decoy_features(t):
-    r, out = _classic_sides(t)
-    return classic.ambiguity_features(classic.pruner_features(classic.decoy_features(out, names.token_table(r, "core").withColumnRenamed("token", "word"))), r.where("id < 20000000000"))
-
-
-@query()
-def classic_ngram_rows(t):
-    return classic.sublinear_rows(t.norm.select("id", F.col("core").alias("text")))
-
-
 @query()
 def noisy_records(t):
     return synth.noisy_records(t.s1, 3, 1.6, 0.6)
@@ -742,7 +719,7 @@ def linkage_candidates(t):
 
 def _register() -> None:
     """The modules that add queries of their own."""
-    from recordloom.plans import catalog_names, catalog_pairs  # noqa: F401
+    from recordloom.plans import catalog_classic, catalog_names, catalog_pairs  # noqa: F401
 
 
 def queries() -> dict[str, Callable]:
