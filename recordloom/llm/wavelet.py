@@ -6,7 +6,7 @@ symbol in the order that the planes above give; zeros[l] counts the plane's zero
 of 4096 bits. So access, rank (counting) and select (occurrence lookup) read one file, without decoding the shard.
 Spark's committer writes the files, hence lost executors and any file system Spark knows are fine.
 
-Defined results: null text is empty and gives one id, 0; rows of one doc_id (or of none) go by their text's hash, then the
+Defined results: null text is empty and gives one id, 0; rows of one doc_id (or of none) go by their text's size, then the
 text, and may fill several tasks; null doc_ids come first; a shard closes after ``shard_tokens`` ids, between documents, so a very long document has a longer shard; an empty
 table gives no shards; other columns are ignored.
 """
@@ -151,7 +151,7 @@ def write_shards(docs: DataFrame, tokenizer: str | None = None, shard_tokens: in
     path = tokenizer or default_path()
     n = tokenizer_partitions or partitions(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    place = [F.col("doc_id"), F.xxhash64("text")]
+    place = [F.col("doc_id"), F.octet_length("text")]
     ordered = rows.repartitionByRange(n, *place).sortWithinPartitions(*place, "text")
     return materialize(ordered.mapInArrow(lambda batches: _shards(batches, path, shard_tokens), SCHEMA), "wavelet")
 

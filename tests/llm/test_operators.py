@@ -76,7 +76,7 @@ def test_wavelet(docs, empty, tokenizer):
 
 
 def test_wavelet_of_one_repeated_id(spark, tokenizer):
-    texts = [sentence(200 + k, 30) for k in range(40)]
+    texts = [sentence(200 + k, 20 + k) for k in range(40)]
     df = spark.createDataFrame([(7, t) for t in texts] + [(None, t) for t in texts], "doc_id long, text string").repartition(3)
     shards = wavelet.write_shards(df, shard_tokens=2000)
     assert shards.select("part").distinct().count() > 2  # neither id is one task's alone
