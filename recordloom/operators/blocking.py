@@ -84,10 +84,11 @@ def unit_rows(features: DataFrame, idf: DataFrame) -> DataFrame:
 
 
 def cosine_pairs(queries: DataFrame, reference: DataFrame, floor: float = 0.05) -> DataFrame:
-    """(rec, s1, score) of every pair that shares a feature and reaches the floor."""
+    """(rec, s1, score) of every pair that shares a feature and reaches the floor. Scores are rounded, so that they, and ties,
+    don't depend on the order of summation."""
     q = queries.select(F.col("id").alias("rec"), "country", "feature", F.col("weight").alias("wq"))
     s = reference.select(F.col("id").alias("s1"), "country", "feature", F.col("weight").alias("ws"))
-    return q.join(s, ["country", "feature"]).groupBy("rec", "s1").agg(F.sum(F.col("wq") * F.col("ws")).alias("score")).where(F.col("score") > floor)
+    return q.join(s, ["country", "feature"]).groupBy("rec", "s1").agg(F.round(F.sum(F.col("wq") * F.col("ws")), 9).alias("score")).where(F.col("score") > floor)
 
 
 def top_k(pairs: DataFrame, k: int, by: tuple[str, ...] = ("rec",), score: str = "score", tie: str = "s1") -> DataFrame:
@@ -107,7 +108,7 @@ def row_cosine(pairs: DataFrame, queries: DataFrame, reference: DataFrame, name:
     """Cosine of given pairs (rec, s1): 0 where they share no feature."""
     q = queries.select(F.col("id").alias("rec"), "feature", F.col("weight").alias("wq"))
     s = reference.select(F.col("id").alias("s1"), "feature", F.col("weight").alias("ws"))
-    dots = pairs.select("rec", "s1").join(q, "rec").join(s, ["s1", "feature"]).groupBy("rec", "s1").agg(F.sum(F.col("wq") * F.col("ws")).alias(name))
+    dots = pairs.select("rec", "s1").join(q, "rec").join(s, ["s1", "feature"]).groupBy("rec", "s1").agg(F.round(F.sum(F.col("wq") * F.col("ws")), 9).alias(name))
     return pairs.join(dots, ["rec", "s1"], "left").fillna(0.0, [name])
 
 

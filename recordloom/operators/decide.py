@@ -80,6 +80,15 @@ def gray_zone(scored: DataFrame, accepted: DataFrame, threshold: float, share: f
     return best.join(accepted.select("rec").distinct(), "rec", "left_anti")
 
 
+def gated_judgement(accepted: DataFrame, gray: DataFrame, verdicts: DataFrame, truth: DataFrame, population: DataFrame) -> DataFrame:
+    """The judge's additions only if macro F0.5 doesn't fall with them, on a population with truth."""
+    from recordloom.operators.evaluate import macro_f05
+
+    told = apply_judgement(accepted, gray, verdicts)
+    value = lambda d: macro_f05(d, truth, population).first()["macro_f05"] or 0.0
+    return told if value(told) >= value(accepted) else accepted
+
+
 def apply_judgement(accepted: DataFrame, gray: DataFrame, verdicts: DataFrame) -> DataFrame:
     """Accepted pairs and the gray pairs that a judge (any source of (rec, s1, verdict)) confirmed."""
     yes = gray.join(verdicts.where("verdict").select("rec", "s1"), ["rec", "s1"], "left_semi")

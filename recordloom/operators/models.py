@@ -21,6 +21,11 @@ def feature_columns(df: DataFrame, skip: tuple[str, ...] = ()) -> list[str]:
     return [c for c, t in df.dtypes if t in numeric and c not in META and c not in skip and not c.startswith(("p1", "p2", "p3"))]
 
 
+def informative(df: DataFrame, columns: list[str]) -> DataFrame:
+    """Rows that have at least one of the columns."""
+    return df.dropna(how="all", subset=columns)
+
+
 def with_columns_of(df: DataFrame, columns: list[str], missing: float = -1.0) -> DataFrame:
     """All of columns, filled where the table lacks them or has null."""
     out = df.withColumns({c: F.lit(missing) for c in columns if c not in df.columns})
@@ -136,6 +141,22 @@ def permuted(df: DataFrame, column: str, salt: str = "permute") -> DataFrame:
     return left.drop(column).join(right, "_nth").withColumnRenamed("_new", column).drop("_nth")
 
 
+def candidate_budget(df: DataFrame, p: str, per_entity: float, entities: int) -> float:
+    """The least score that keeps no more than so many candidates an entity, over all entities."""
+    keep = int(per_entity * entities)
+    at = df.groupBy(F.col(p).alias("p")).agg(F.count("*").alias("n"))
+    from recordloom.operators.runs import running_sums
+
+    found = running_sums(at, "p", {"n": "kept"}, descending=True).where(F.col("kept") <= keep).agg(F.min("p")).first()[0]
+    return float(found if found is not None else 1.0)
+
+
+def permutation_report(df: DataFrame, columns: list[str], score, salt: str = "permute") -> DataFrame:
+    """(column, loss): how much score(df), a number, falls when a column's values are dealt to other rows."""
+    base = score(df)
+    return df.sparkSession.createDataFrame([(c, float(base - score(permuted(df, c, salt)))) for c in columns], "column string, loss double")
+
+
 def recall_threshold(df: DataFrame, p: str, recall: float = 0.995) -> float:
     """The largest score that keeps at least this share of positives."""
     value = df.where("y = 1").agg(F.percentile(p, F.lit(1 - recall))).first()[0]

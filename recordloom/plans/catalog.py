@@ -712,14 +712,9 @@ def noisy_records(t):
     return synth.noisy_records(t.s1, 3, 1.6, 0.6)
 
 
-@query()
-def linkage_candidates(t):
-    return linkage.candidates(t.norm, blocking.CHANNELS)
-
-
 def _register() -> None:
     """The modules that add queries of their own."""
-    from recordloom.plans import catalog_classic, catalog_names, catalog_pairs  # noqa: F401
+    from recordloom.plans import catalog_classic, catalog_io, catalog_models, catalog_names, catalog_pairs  # noqa: F401
 
 
 def queries() -> dict[str, Callable]:

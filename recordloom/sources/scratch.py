@@ -35,9 +35,15 @@ def clear(spark: SparkSession) -> None:
         path.getFileSystem(conf).delete(path, True)
 
 
+def new_path(spark: SparkSession, name: str) -> str:
+    """A path of the shared folder that nothing is at yet; what is written there goes with clear."""
+    path = f"{shared_folder(spark).rstrip('/')}/recordloom-scratch/{name}-{uuid.uuid4().hex}"
+    _made.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
 def table(df: DataFrame, name: str = "table") -> DataFrame:
     """df written once and read back: computed once, and a lost executor costs no more than a read."""
-    path = f"{shared_folder(df.sparkSession).rstrip('/')}/recordloom-scratch/{name}-{uuid.uuid4().hex}"
+    path = new_path(df.sparkSession, name)
     df.write.parquet(path)
-    _made.setdefault(df.sparkSession.sparkContext.applicationId, []).append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
@@ -17,16 +19,19 @@ def strings(*names: str) -> StructType:
     return StructType([StructField(n, StringType()) for n in names])
 
 
-def read_tsv(spark: SparkSession, path, columns: tuple[str, ...] = RECORD_COLUMNS, empty: str | None = "") -> DataFrame:
-    """Tab separated, no quoting, no type inference. Empty cells become `empty` (None keeps null)."""
+def read_tsv(spark: SparkSession, path, columns: tuple[str, ...] = RECORD_COLUMNS, empty: str | None = "", limit: int | None = None) -> DataFrame:
+    """Tab separated, no quoting, no type inference. Empty cells become `empty` (None keeps null); limit: only so many rows,
+    whichever come first."""
     rows = spark.read.schema(strings(*columns)).option("sep", "\t").option("header", True).option("quote", "").option("enforceSchema", False).csv(path)
+    rows = rows if limit is None else rows.limit(limit)
     return rows if empty is None else rows.fillna(empty)
 
 
-def read_tsv_checked(spark: SparkSession, path, columns: tuple[str, ...] = RECORD_COLUMNS) -> DataFrame:
-    """As read_tsv, but lines that don't fit are kept in `bad_line`."""
+def read_tsv_checked(spark: SparkSession, path, columns: tuple[str, ...] = RECORD_COLUMNS, header: bool = True) -> DataFrame:
+    """As read_tsv, but lines that don't fit are kept in `bad_line`: so all columns are parsed, whichever are asked for."""
     schema = StructType([*strings(*columns), StructField("bad_line", StringType())])
-    return spark.read.schema(schema).option("sep", "\t").option("header", True).option("quote", "").option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "bad_line").csv(path)
+    options = {"sep": "\t", "header": header, "quote": "", "mode": "PERMISSIVE", "columnNameOfCorruptRecord": "bad_line", "columnPruning": False}
+    return spark.read.schema(schema).options(**options).csv(path)
 
 
 def unify(sources: dict[int, DataFrame]) -> DataFrame:
@@ -61,6 +66,27 @@ def by_ids(table: DataFrame, ids: DataFrame, key: str, columns: list[str] | None
     return rows.join(ids.select(key).distinct(), key, "left_semi")
 
 
+def sampled_candidates(spark: SparkSession, path: str, share: float, salt: str = "sample") -> DataFrame:
+    """A table of candidates (s1, rec, ...), a hash-chosen share of the entities with all their candidates, and the source."""
+    from recordloom.functions.ids import hash_part, source_of
+
+    rows = spark.read.option("recursiveFileLookup", True).parquet(path)
+    return rows.where(hash_part(F.col("s1"), salt, 10_000) < int(share * 10_000)).withColumn("src", source_of(F.col("rec")))
+
+
+def row_count(spark: SparkSession, path: str) -> int:
+    """Rows of a Parquet table: a count without columns reads the files' footers only."""
+    return spark.read.parquet(path).count()
+
+
+def split_files(spark: SparkSession, folder: str, pattern: str = r"^(\w+)_source(\d)\.tsv$") -> DataFrame:
+    """(split, source, path) of the files or folders below folder/* whose name fits."""
+    fs_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{folder}/*/*")
+    found = fs_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(fs_path) or []
+    rows = [(m.group(1), int(m.group(2)), str(f.getPath())) for f in found if (m := re.match(pattern, f.getPath().getName()))]
+    return spark.createDataFrame(rows, "split string, source int, path string")
+
+
 def best_of_parts(spark: SparkSession, path: str, keys: list[str], score: str, fmt: str = "parquet") -> DataFrame:
     """All files under path, one row per key: the best score, ties by the other columns."""
     rows = spark.read.format(fmt).option("recursiveFileLookup", True).load(path)

@@ -21,7 +21,7 @@ def match_stream(stream: DataFrame, reference: DataFrame, out: str, checkpoint:
 
     def run(batch: DataFrame, batch_id: int) -> None:
         own = blocking.record_keys(normalize(batch))
-        hits = blocking.index_join(own, keys, index).select(F.col("s1").alias("rec"), F.col("cand").alias("s1"), "score")
+        hits = blocking.index_join(own, keys, index).select(F.col("s1").alias("rec"), F.col("cand").alias("s1"), F.round("score", 9).alias("score"))
         assign(hits, "score", least).write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
 
     return stream.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
