@@ -234,9 +234,9 @@ c AS (SELECT u.rec, u.s1, {", ".join(f"coalesce({k}_c.score, 0) AS c_{k}" for k
 r AS (SELECT *, {", ".join(f"row_number() OVER (PARTITION BY rec ORDER BY c_{k} DESC, s1) AS r_{k}, c_{k} - max(c_{k}) OVER (PARTITION BY rec) AS m_{k}" for k in _CH)}, count(*) OVER (PARTITION BY rec) AS n_cand FROM c),
 o AS (SELECT r.*, sum((r_comb = 1)::INT) OVER (PARTITION BY s1) AS s1_top_cnt, CASE WHEN len({_words('a.anum')}) = 0 OR len({_words('b.anum')}) = 0 THEN 0.5 ELSE ({_words('a.anum')}[1] = {_words('b.anum')}[1])::INT END AS hn_eq, (a.glued = b.glued)::INT AS glued_eq, 2 AS src
   FROM r JOIN norm a ON a.id = s1 JOIN norm b ON b.id = rec)
-SELECT rec, s1, round(COLUMNS(* EXCLUDE (rec, s1))::DOUBLE, 6) FROM o""")
+SELECT rec, s1, round(COLUMNS(* EXCLUDE (rec, s1))::DOUBLE, 9) FROM o""")
 def linkage_candidates(t):
-    return rounded(linkage.candidates(t.norm, blocking.CHANNELS))
+    return rounded(linkage.candidates(t.norm, blocking.CHANNELS), digits=9)
 
 
 @query(f""", {_KEYS}, rsize AS (SELECT country, count(*) AS n FROM norm WHERE src = 1 GROUP BY country),
