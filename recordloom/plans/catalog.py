@@ -714,7 +714,7 @@ def noisy_records(t):
 
 def _register() -> None:
     """The modules that add queries of their own."""
-    from recordloom.plans import catalog_classic, catalog_io, catalog_models, catalog_names, catalog_pairs  # noqa: F401
+    from recordloom.plans import catalog_classic, catalog_io, catalog_lexicon, catalog_models, catalog_names, catalog_pairs  # noqa: F401
 
 
 def queries() -> dict[str, Callable]:
