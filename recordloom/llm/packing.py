@@ -24,12 +24,23 @@ from recordloom.llm.tokens import DTYPE, default_path, encoder
 LENGTH = 1024
 DIMS = 4
 BITS = 8
-BUCKETS = 1 << 16
+#: Dimensions of the hashed vectors, whatever the vocabulary.
+HASHED = 14
+
+
+def buckets(ids: np.ndarray) -> np.ndarray:
+    """The dimension of a token in the hashed vector."""
+    return (ids.astype(np.uint32) * np.uint32(0x9E3779B1) >> np.uint32(32 - HASHED)).astype(np.int64)
 
 
 def projection(seed: int = 7) -> np.ndarray:
-    """The fixed matrix: token bucket -> DIMS weights of +-1."""
-    return np.random.default_rng(seed).integers(0, 2, (BUCKETS, DIMS)).astype(np.float64) * 2 - 1
+    """The fixed matrix: dimension of the hashed vector -> DIMS weights of +-1."""
+    return np.random.default_rng(seed).integers(0, 2, (1 << HASHED, DIMS)).astype(np.float64) * 2 - 1
+
+
+def weights(seed: int = 7) -> np.ndarray:
+    """The matrix seen from every 16-bit token: hashing and projecting in one lookup."""
+    return projection(seed)[buckets(np.arange(1 << 16))]
 
 
 def hilbert(cells: np.ndarray, bits: int = BITS) -> np.ndarray:
@@ -59,7 +70,7 @@ def hilbert(cells: np.ndarray, bits: int = BITS) -> np.ndarray:
 
 
 def _vectors(batches, path: str):
-    tokenizer, matrix = encoder(path), projection()
+    tokenizer, matrix = encoder(path), weights()
     for batch in batches:
         out = {"ids": [], "n": [], "v": []}
         for ids in tokenizer.encode_all(batch["text"].to_pylist()):

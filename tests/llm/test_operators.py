@@ -220,6 +220,12 @@ def test_packing_repeated_rows(spark):
     assert sum(r["length"] for r in rows) == sum(r["doc_tokens"] for r in rows if r["start"] == 0)
 
 
+def test_projection_of_hashed_vectors():
+    ids = np.random.default_rng(1).integers(0, 50_000, 500)
+    hashed = np.bincount(packing.buckets(ids), minlength=1 << packing.HASHED)  # the document's vector
+    assert len(hashed) == 1 << packing.HASHED and (hashed @ packing.projection() == packing.weights()[ids].sum(axis=0)).all()
+
+
 def test_hilbert_neighbours_touch():
     side = 1 << 3
     cells = np.stack(np.meshgrid(np.arange(side), np.arange(side), indexing="ij"), -1).reshape(-1, 2)
