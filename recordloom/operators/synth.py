@@ -11,9 +11,13 @@ from recordloom.functions.text import LEGAL_FORMS, words
 NEIGHBOURS = ("qwertyuiopasdfghjklzxcvbnm", "wqretyuioposadfghjkzxlcvbn")
 
 
+STEPS = 1_000_003
+
+
 def chance(key: Column, purpose: str, seed: int = 0) -> Column:
-    """Uniform in [0, 1)."""
-    return F.pmod(F.xxhash64(key, F.lit(purpose), F.lit(seed)), F.lit(1_000_003)) / 1_000_003
+    """Uniform in [0, 1), in steps: the first eight digits of an MD5."""
+    digest = F.md5(F.concat_ws("|", key.cast("string"), F.lit(purpose), F.lit(str(seed))).cast("binary"))
+    return F.conv(F.substring(digest, 1, 8), 16, 10).cast("long") % STEPS / STEPS
 
 
 def pick(key: Column, purpose: str, n: Column, seed: int = 0) -> Column:
@@ -68,9 +72,8 @@ def noisy_address(addr: Column, key: Column, level: float = 1.0, seed: int = 0)
 
 def noisy_records(s1: DataFrame, src: int, level: float = 1.0, decoys: float = 0.35, seed: int = 0) -> DataFrame:
     """One noisy copy of each reference record (id, name, addr, country, s1) and decoys (s1 -1): house number and legal form changed."""
-    key = F.struct("id", F.lit(src))
-    base = s1.withColumn("_k", key)
-    k = F.xxhash64("id", F.lit(src))
+    # a column of its own: inside a lambda, id would be taken for the new id that the same select makes
+    base, k = s1.withColumn("_k", F.concat_ws("/", "id", F.lit(str(src)))), F.col("_k")
     copies = base.select((F.lit(src) * 10**10 + 2 * F.col("id")).alias("id"), F.lit(src).cast("byte").alias("src"), noisy_name(F.col("name"), k, level, seed).alias("name"), noisy_address(F.col("addr"), k, level, seed).alias("addr"), "country", F.col("id").alias("s1"))
     lure = base.where(chance(k, "decoy", seed) < decoys)
     wrong = lure.select((F.lit(src) * 10**10 + 2 * F.col("id") + 1).alias("id"), F.lit(src).cast("byte").alias("src"), F.concat_ws(" ", split_legal(F.col("name"))["rest"], F.lit("llc")).alias("name"), change_house(F.col("addr"), k, seed).alias("addr"), "country", F.lit(-1).cast("long").alias("s1"))

@@ -707,14 +707,9 @@ def hard_negative_pairs(t):
     return explore.hard_negatives(views.where("src = 1"), views.where("src = 2"), t.truth, None)
 
 
-@query()
-def noisy_records(t):
-    return synth.noisy_records(t.s1, 3, 1.6, 0.6)
-
-
 def _register() -> None:
     """The modules that add queries of their own."""
-    from recordloom.plans import catalog_classic, catalog_io, catalog_lexicon, catalog_models, catalog_names, catalog_pairs  # noqa: F401
+    from recordloom.plans import catalog_classic, catalog_io, catalog_lexicon, catalog_models, catalog_names, catalog_noise, catalog_pairs  # noqa: F401
 
 
 def queries() -> dict[str, Callable]:
