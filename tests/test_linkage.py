@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from recordloom.functions import text
 from recordloom.operators import blocking, decide, evaluate, lexicon, models, names, pairs, ranking, synth, validate
-from recordloom.plans import catalog, linkage
+from recordloom.plans import catalog, catalog_models, linkage
 from recordloom.sources import sinks
 from recordloom.sources import tables as sources
 from recordloom.streaming.incremental import match_stream
@@ -172,7 +172,7 @@ def test_candidates_of_common_words(spark):
     """A word that more than 60 reference records share still makes candidates."""
     rows = [(i, 1, "zebra", f"{i + 1} Road {i}", "US") for i in range(70)] + [(1000, 2, "zebra quux", "", "US")]
     norm = linkage.normalize(spark.createDataFrame(rows, "id long, src byte, name string, addr string, country string"))
-    assert catalog.linkage_candidates(SimpleNamespace(norm=norm)).where("rec = 1000").count() >= blocking.CHANNELS["name"][2]
+    assert catalog_models.linkage_candidates(SimpleNamespace(norm=norm)).where("rec = 1000").count() >= blocking.CHANNELS["name"][2]
     capped = {k: (f, 60, n) for k, (f, _, n) in blocking.CHANNELS.items()}
     assert linkage.candidates(norm, capped).where("rec = 1000").count() == 0  # what caps of 60 left
 
