@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from recordloom.functions import text
 from recordloom.operators import classic, names, profile, reports
-from recordloom.plans.catalog import _PAIRED, _SCRIPTED, _collapsed, _split, _true_sides, _words, query, short
+from recordloom.plans.catalog import _SCRIPTED, _basic, _collapsed, _split, _words, query, short
 from recordloom.plans.catalog_pairs import measures
 from recordloom.sources import scratch
 
@@ -134,6 +134,16 @@ def missing_tokens(t):
     return names.missing_tokens(_scripted(t), "name", _cache(t))
 
 
+_SPELT = "name"
+for _letter, _sound in zip("कखगघचछजझटठঅআইঈউ", ("k", "kh", "g", "gh", "c", "ch", "j", "jh", "tt", "tth", "a", "aa", "i", "ii", "u"), strict=True):
+    _SPELT = f"replace({_SPELT}, '{_letter}', '{_sound}')"
+
+
+@query(f"WITH v AS ({_SCRIPTED}) SELECT id, {_basic(_SPELT)} AS plain FROM v WHERE id % 5 IN (1, 2)")
+def spelt_scripts(t):
+    return _scripted(t).where("id % 5 IN (1, 2)").select("id", text.basic(F.col("name")).alias("plain"))
+
+
 _SK = lambda w: _collapsed(f"translate(lower({w}), 'aeiouyhw', '')")
 
 
