@@ -3,7 +3,8 @@
 raw: TSV sources and truth to tables. slice: a density-preserving share of them. norm: learn the lexicon and normalise. block:
 candidates. train: models, scores and threshold of the train split. predict: scores and match lists of a split by the saved
 models. evaluate: quality of the train split's decisions. retune: the threshold anew from saved scores. decide: match lists
-anew from saved scores and a threshold. validate: faults of match lists. profile: a report.
+anew from saved scores and a threshold. validate: faults of match lists. profile: a report. preprocess, index: the second
+family's prepared records, and candidates from the key index.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ from pyspark.sql import functions as F
 
 from recordloom.functions.ids import decode_id
 from recordloom.operators import decide, evaluate, profile, validate
-from recordloom.plans import linkage
+from recordloom.plans import classic_family, linkage
 from recordloom.plans.stages import Stages
 from recordloom.sources import scratch, sinks
 from recordloom.sources import tables as sources
@@ -23,7 +24,7 @@ from recordloom.sources import tables as sources
 
 def main(argv: list[str] | None = None) -> None:
     parser = argparse.ArgumentParser(prog="recordloom", description=__doc__, formatter_class=argparse.RawDescriptionHelpFormatter)
-    parser.add_argument("command", choices=("raw", "slice", "norm", "block", "train", "predict", "evaluate", "retune", "decide", "validate", "profile"))
+    parser.add_argument("command", choices=("raw", "slice", "norm", "block", "train", "predict", "evaluate", "retune", "decide", "validate", "profile", "preprocess", "index"))
     parser.add_argument("--data", required=True)
     parser.add_argument("--work", required=True)
     parser.add_argument("--split", default="train")
@@ -53,6 +54,11 @@ def main(argv: list[str] | None = None) -> None:
     elif a.command == "block":
         rows = norm(a.split)
         print(stages.run(f"candidates_{a.split}", lambda: linkage.candidates(rows), [f"{a.work}/norm_{a.split}"], {"split": a.split}, a.force).count(), "pairs")
+    elif a.command == "preprocess":
+        print(stages.run(f"classic_{a.split}", lambda: classic_family.preprocess(raw(a.split)), [f"{a.work}/raw_{a.split}"], {"split": a.split}, a.force).count(), "records")
+    elif a.command == "index":
+        rows = norm(a.split)
+        print(stages.run(f"index_{a.split}", lambda: classic_family.key_candidates(rows), [f"{a.work}/norm_{a.split}"], {"split": a.split}, a.force).count(), "pairs")
     elif a.command == "slice":
         sources.dev_slice(raw("train"), truth(), a.share).write.mode("overwrite").parquet(f"{a.work}/slice")
         print(spark.read.parquet(f"{a.work}/slice").count(), "records")

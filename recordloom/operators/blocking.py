@@ -216,7 +216,7 @@ def index_join(s1_keys: DataFrame, target_keys: DataFrame, index: DataFrame) ->
     bit = reduce(lambda out, kv: out.when(F.col("kind") == kv[1], F.lit(1 << kv[0])), enumerate(KEY_TYPES), F.when(F.lit(False), 0)).otherwise(0)
     t = target_keys.join(index, ["country", "kind", "key"]).withColumnRenamed("id", "cand")
     pairs = s1_keys.withColumnRenamed("id", "s1").join(t, ["country", "kind", "key"])
-    return pairs.groupBy("s1", "cand").agg(F.sum("weight").alias("score"), F.bit_or(bit).alias("mask"))
+    return pairs.groupBy("s1", "cand").agg(F.round(F.sum("weight"), 9).alias("score"), F.bit_or(bit).alias("mask"))
 
 
 def mask_names(mask: Column) -> Column:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from recordloom.functions import ids, similarity, text
 from recordloom.operators import blocking, classic, decide, evaluate, explore, lexicon, names, pairs, profile, ranking, reports, synth, validate
 from recordloom.operators.runs import running_sums
-from recordloom.plans import linkage
+from recordloom.plans import classic_family, linkage
 from recordloom.plans.fixture import CTES, tables
 from recordloom.sources import scratch, sinks
 from recordloom.sources import tables as sources
@@ -321,6 +321,12 @@ def kept_candidates(t):
     return blocking.keep_candidates(pairs, 4, 2, 1)
 
 
+@query(f""", {_KEYS}, r AS (SELECT s1, cand, round(score, 9) AS score, mask, (row_number() OVER (PARTITION BY s1 ORDER BY round(score, 9) DESC, cand))::INT AS rank, (row_number() OVER (PARTITION BY cand ORDER BY round(score, 9) DESC, s1))::INT AS reverse_rank FROM hits)
+SELECT s1, cand, score, mask::INT AS mask, rank, reverse_rank FROM r WHERE rank <= 3 OR reverse_rank <= 1 OR (mask & {_CORE} > 0 AND mask & {_ADDRESS} > 0)""")
+def key_candidates(t):
+    return classic_family.key_candidates(t.norm, 3, 1)
+
+
 @query(f", {_KEYS}, tr AS (SELECT s1, rec AS cand FROM truth WHERE rec >= 0), h AS (SELECT hits.* FROM hits SEMI JOIN tr USING (s1, cand)) SELECT family, count(*) FILTER (WHERE mask & bit > 0) AS hits, count(*) FILTER (WHERE mask & bit > 0) / count(*) AS share FROM h, (SELECT kind AS family, bit FROM caps) GROUP BY family")
 def family_shares(t):
     return evaluate.family_shares(_key_hits(t), t.truth, {k: blocking.has_bits(F.col("mask"), k) for k in blocking.KEY_CAPS})
@@ -686,9 +692,7 @@ def classic_addresses(t):
 
 def _classic_sides(t):
     """True pairs with the classic columns of both sides."""
-    r = t.records.select("id", "country", classic.normalize_name(F.col("name")).alias("name"), classic.normalize_address(F.col("addr")).alias("addr"), F.col("addr").alias("raw"))
-    keys = names.canonical_keys(F.col("name"))
-    r = scratch.table(r.select("id", "country", "name", F.col("name").alias("rom"), "addr", F.col("addr").alias("addr_rom"), "raw", keys["c4b"].alias("core"), keys["legal"].alias("legal"), classic.canonical_address(F.col("addr"), F.col("country")).alias("canon")), "classic")
+    r = scratch.table(classic_family.preprocess(t.records), "classic")
     out = t.truth.where("rec >= 0").select("rec", "s1")
     for side, key in (("a", "s1"), ("b", "rec")):
         out = out.join(r.select(F.col("id").alias(key), *[F.col(c).alias(f"{side}_{c}") for c in r.columns if c != "id"]), key)

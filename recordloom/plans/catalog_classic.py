@@ -63,6 +63,11 @@ def classic_base_features(t):
     return rounded(found.select("rec", "s1", *[c for c in found.columns if c not in sides.columns]))
 
 
+@query(f", {_SIDES} SELECT id, country, name, name AS rom, addr, addr AS addr_rom, raw, core, legal, canon FROM side")
+def preprocessed_records(t):
+    return _classic_sides(t)[0]
+
+
 @query(f", {_SIDES} SELECT id, canon FROM side")
 def canonical_addresses(t):
     return _classic_sides(t)[0].select("id", "canon")
