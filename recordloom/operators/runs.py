@@ -5,15 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from recordloom.sources.scratch import table
+
 
 def running_sums(df: DataFrame, order: str, sums: dict[str, str], descending: bool = False) -> DataFrame:
     """Range-partition by the order column, sum inside each partition, and add what lies in partitions before it.
 
-    Only a row of sums per partition crosses to the one task that adds them up.
+    Only a row of sums per partition crosses to the one task that adds them up. The partitions are written once: Spark samples
+    their bounds, and two plans of one partitioning can get two sets of bounds.
     """
     by = F.desc(order) if descending else F.asc(order)
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    parts = df.repartitionByRange(n, by).withColumn("_part", F.spark_partition_id())
+    parts = table(df.repartitionByRange(n, by).withColumn("_part", F.spark_partition_id()), "parts")
     totals = parts.groupBy("_part").agg(*[F.sum(c).alias(f"_sum_{c}") for c in sums])
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select("_part", *[F.coalesce(F.sum(f"_sum_{c}").over(before), F.lit(0)).alias(f"_before_{c}") for c in sums])

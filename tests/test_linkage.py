@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from recordloom.functions import text
 from recordloom.operators import blocking, decide, evaluate, lexicon, models, names, pairs, ranking, synth, validate
+from recordloom.operators.runs import running_sums
 from recordloom.plans import catalog, catalog_models, linkage
 from recordloom.sources import sinks
 from recordloom.sources import tables as sources
@@ -238,3 +239,16 @@ def test_hard_negatives_of_a_hot_key(spark):
     truth = spark.createDataFrame([(0, 1000)], "s1 long, rec long")
     got = catalog.hard_negative_pairs(SimpleNamespace(records=records, truth=truth)).collect()
     assert len(got) == 1001 and {tuple(r) for r in got} == {(s, r) for s in range(501) for r in (1000, 1001)} - {(0, 1000)}
+
+
+def test_running_numbers_of_sampled_bounds(spark):
+    """More rows than Spark samples for its range bounds, and columns that the sums don't need."""
+    rows = spark.range(20_000).select(F.xxhash64("id").alias("h"), F.lit(1).alias("one"), (F.col("id") % 9).alias("other"))
+    got = running_sums(rows, "h", {"one": "nth"}).where("other >= 0").select("h", "nth").orderBy("h").collect()
+    assert [r["nth"] for r in got] == list(range(1, 20_001))
+
+
+def test_permuted_values_stay_the_same(spark):
+    part = spark.range(20_000).select(F.col("id").alias("p_partkey"))
+    got = catalog_models.permuted_values(SimpleNamespace(table=lambda _: part)).collect()
+    assert sorted(map(tuple, got)) == [(float(k), 2500) for k in range(8)]
