@@ -14,6 +14,7 @@ from recordloom.operators.runs import running_sums
 from recordloom.plans import catalog, catalog_models, linkage
 from recordloom.sources import sinks
 from recordloom.sources import tables as sources
+from recordloom.sources.scratch import table
 from recordloom.streaming.incremental import match_stream
 
 WORDS = "red blue green amber silver golden iron copper stone river forest ocean market bakery studio garden".split()
@@ -252,3 +253,13 @@ def test_permuted_values_stay_the_same(spark):
     part = spark.range(20_000).select(F.col("id").alias("p_partkey"))
     got = catalog_models.permuted_values(SimpleNamespace(table=lambda _: part)).collect()
     assert sorted(map(tuple, got)) == [(float(k), 2500) for k in range(8)]
+
+
+def planned(df):
+    return df._jdf.queryExecution().sparkPlan().toString()
+
+
+def test_addresses_of_all_records_are_not_broadcast(spark, world):
+    found, norm = table(world["truth"].select("rec", "s1")), table(world["norm"])
+    assert "Broadcast" not in planned(blocking.shared_address(found, norm, 1))
+    assert blocking.shared_address(found, norm, 0).count() == found.count()
