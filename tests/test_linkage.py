@@ -263,3 +263,11 @@ def test_addresses_of_all_records_are_not_broadcast(spark, world):
     found, norm = table(world["truth"].select("rec", "s1")), table(world["norm"])
     assert "Broadcast" not in planned(blocking.shared_address(found, norm, 1))
     assert blocking.shared_address(found, norm, 0).count() == found.count()
+
+
+def test_keys_of_all_records_are_not_broadcast(spark, world):
+    s1, rec = (blocking.record_keys(world["norm"].where(c)) for c in ("src = 1", "src = 2"))
+    index = blocking.build_index(s1, world["norm"].where("src = 1"))
+    known = table(blocking.postings(s1, index))
+    assert "Broadcast" not in planned(blocking.postings_join(rec, known))
+    assert blocking.index_join(rec, s1, index).count() > 100
