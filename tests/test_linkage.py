@@ -271,3 +271,13 @@ def test_keys_of_all_records_are_not_broadcast(spark, world):
     known = table(blocking.postings(s1, index))
     assert "Broadcast" not in planned(blocking.postings_join(rec, known))
     assert blocking.index_join(rec, s1, index).count() > 100
+
+
+def test_nearest_rows_over_blocks(spark, world):
+    """What top_k of all pairs gives, with ties and copies, over many blocks."""
+    norm = world["norm"].union(world["norm"].where("src = 1").withColumn("id", F.col("id") + 1000))
+    s, q = blocking.channel(norm.where("src = 1"), norm.where("src > 1"), blocking.combined_features, 200)
+    want = blocking.top_k(blocking.cosine_pairs(q, s), 5).select("rec", "s1", "score", "rank").collect()
+    for rows in (40, 1000):
+        found = blocking.nearest_rows(q, s, 5, query_rows=rows, reference_rows=rows)
+        assert sorted(found.select("rec", "s1", "score", "rank").collect()) == sorted(want) and len(want) > 500
