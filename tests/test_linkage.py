@@ -281,3 +281,16 @@ def test_nearest_rows_over_blocks(spark, world):
     for rows in (40, 1000):
         found = blocking.nearest_rows(q, s, 5, query_rows=rows, reference_rows=rows)
         assert sorted(found.select("rec", "s1", "score", "rank").collect()) == sorted(want) and len(want) > 500
+
+
+def test_cosines_of_pairs_over_blocks(spark, world):
+    norm = world["norm"]
+    mats = {k: blocking.channel(norm.where("src = 1"), norm.where("src > 1"), f, 50) for k, (f, _, _) in blocking.CHANNELS.items()}
+    same = norm.where("src > 1").select(F.col("id").alias("rec"), "country").join(norm.where("src = 1").select(F.col("id").alias("s1"), "country"), "country")
+    pairs = table(same.where("(rec + s1) % 7 < 2").select("rec", "s1"))
+    want = pairs
+    for k, (s, q) in mats.items():
+        want = blocking.row_cosine(want, q, s, f"c_{k}")
+    for rows in (50, 1000):
+        got = blocking.block_cosines(pairs, mats, rows, rows).select(want.columns)
+        assert sorted(got.collect()) == sorted(want.collect()) and pairs.count() > 1000
