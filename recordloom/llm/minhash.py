@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from recordloom.llm.components import connected
-from recordloom.llm.core import materialize, partitions, tidy
+from recordloom.llm.core import materialize, partitions, tidy, worker
 
 WORDS = 5
 SIMILARITY = 85  # per cent
@@ -249,7 +249,7 @@ def _with_hash(docs: DataFrame) -> DataFrame:
 def _groups(docs: DataFrame, similarity: int) -> DataFrame:
     """docs' rows as doc_id, text_hash, n_shingles, group (null for empty sets) and component_id, the group's least doc_id."""
     rows = _with_hash(docs)
-    signed = rows.mapInArrow(partial(_signed, similarity=similarity), "doc_id long, text_hash long, n_shingles long, set_hash binary, signature binary, bands array<long>")
+    signed = rows.mapInArrow(worker(partial(_signed, similarity=similarity)), "doc_id long, text_hash long, n_shingles long, set_hash binary, signature binary, bands array<long>")
     signed = materialize(signed.withColumn("row", F.monotonically_increasing_id()), "minhash")
     # one class per distinct set; its node is the number of one of its rows
     classes = signed.where("n_shingles > 0").groupBy("set_hash").agg(F.min(F.struct("row", "doc_id", "text_hash")).alias("first"), F.min("doc_id").alias("least_doc"), F.min("n_shingles").alias("n_shingles"), F.first("signature").alias("signature"), F.first("bands").alias("bands"))
@@ -263,12 +263,12 @@ def _groups(docs: DataFrame, similarity: int) -> DataFrame:
     blocks = sized.groupBy("cluster").agg(F.ceil(F.sum("n_shingles") / CLUSTER_SHINGLES).cast("int").alias("blocks"))
     sized = sized.join(blocks, "cluster").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     texts = rows.join(sized, (F.col("text_hash") == F.col("of_text")) & F.col("doc_id").eqNullSafe(F.col("of_doc"))).select("text", "cluster", "blocks", "block", "node", "signature", "set_hash")
-    sets = texts.mapInArrow(_members, "cluster long, blocks int, block int, node long, signature binary, members binary")
+    sets = texts.mapInArrow(worker(_members), "cluster long, blocks int, block int, node long, signature binary, members binary")
     # a block meets itself and every other block of its cluster
     others = F.sequence(F.lit(0), F.col("blocks") - 1)
     dealt = sets.withColumn("other", F.explode(others)).withColumns({"left": F.least("block", "other"), "right": F.greatest("block", "other")}).drop("other", "blocks")
     spread = dealt.repartition(partitions(docs.sparkSession), "cluster", "left", "right").sortWithinPartitions("cluster", "left", "right")
-    links = spread.select("cluster", "left", "right", "block", "node", "members", "signature").mapInArrow(partial(_linked, similarity=similarity), "a long, b long")
+    links = spread.select("cluster", "left", "right", "block", "node", "members", "signature").mapInArrow(worker(partial(_linked, similarity=similarity)), "a long, b long")
     groups = connected(links)
     tidy(docs.sparkSession)
     own = classes.select("set_hash", "node", "least_doc").join(groups, "node", "left").withColumn("group", F.coalesce("component", "node"))

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from recordloom.llm.core import materialize, partitions
+from recordloom.llm.core import materialize, partitions, worker
 from recordloom.llm.tokens import DTYPE, default_path, encoder
 
 LENGTH = 1024
@@ -96,11 +96,11 @@ def pack(docs: DataFrame, tokenizer: str | None = None, length: int = LENGTH) ->
     spark, path = docs.sparkSession, tokenizer or default_path()
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     schema = "doc_id long, ids binary, n_tokens long, tie long, " + ", ".join(f"v{i} double" for i in range(DIMS))
-    encoded = rows.mapInArrow(lambda b: _vectors(b, path), schema)
+    encoded = rows.mapInArrow(worker(lambda b: _vectors(b, path), "tokens"), schema)
     encoded = materialize(encoded.withColumn("row_id", F.monotonically_increasing_id()), "packing-ids")
     spread = encoded.agg(*[f(f"v{i}") for i in range(DIMS) for f in (F.avg, F.stddev_pop)]).first()
     means, deviations = [spread[2 * i] or 0.0 for i in range(DIMS)], [spread[2 * i + 1] or 1.0 for i in range(DIMS)]
-    keys = encoded.select("row_id", "doc_id", "n_tokens", "tie", *[f"v{i}" for i in range(DIMS)]).mapInArrow(lambda b: _keys(b, means, deviations), "row_id long, doc_id long, n_tokens long, tie long, key long")
+    keys = encoded.select("row_id", "doc_id", "n_tokens", "tie", *[f"v{i}" for i in range(DIMS)]).mapInArrow(worker(lambda b: _keys(b, means, deviations)), "row_id long, doc_id long, n_tokens long, tie long, key long")
     order = ["key", "doc_id", "tie", "row_id"]
     ranged = materialize(keys.repartitionByRange(partitions(spark), *order).withColumn("part", F.spark_partition_id()), "packing-order")
     sizes = {r["part"]: r["n"] for r in ranged.groupBy("part").agg(F.sum("n_tokens").alias("n")).collect()}  # a number per partition
@@ -113,7 +113,7 @@ def pack(docs: DataFrame, tokenizer: str | None = None, length: int = LENGTH) ->
     placed = ranged.withColumn("end", F.sum("n_tokens").over(own)).join(first, "part")
     placed = placed.select("row_id", F.col("key").alias("curve_key"), (F.col("end") - F.col("n_tokens") + F.col("part_start")).alias("at"))
     joined = encoded.select("row_id", "doc_id", "ids").join(placed, "row_id").select("doc_id", "ids", "curve_key", "at")
-    return joined.mapInArrow(lambda b: _pieces(b, length), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, curve_key long, ids binary")
+    return joined.mapInArrow(worker(lambda b: _pieces(b, length)), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, curve_key long, ids binary")
 
 
 def _pieces(batches, length: int):

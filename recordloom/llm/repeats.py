@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from recordloom.llm.core import materialize, partitions, tidy
+from recordloom.llm.core import materialize, memory, partitions, tidy, worker
 
 LENGTH = 50
 SEED = 16
@@ -156,11 +156,9 @@ def _check_hashes(buf: np.ndarray, at: np.ndarray, size: np.ndarray) -> np.ndarr
     return _string_hash(_prefix_hashes(buf, _CHECK), at, size, powers)
 
 
-_power_tables: dict[int, np.ndarray] = {}
-
-
 def _powers(base: int, n: int) -> np.ndarray:
-    table = _power_tables.get(base)
+    known = memory("powers")
+    table = known.get(base)
     if table is None or len(table) < n:
         table = np.ones(max(n, CHUNK_BYTES + 2), U)
         have = 1
@@ -169,7 +167,7 @@ def _powers(base: int, n: int) -> np.ndarray:
             table[have : have + step] = table[:step] * U(pow(base, have, 1 << 64))
             have += step
         if len(table) <= 1 << 23:
-            _power_tables[base] = table
+            known[base] = table
     return table[:n]
 
 
@@ -580,17 +578,17 @@ def _dealt(rows: DataFrame) -> DataFrame:
 def _stages(docs: DataFrame, doc_id: str, text: str, everything: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
     """chunks; members and fetches by bucket; the resolved buckets."""
     spark = docs.sparkSession
-    chunks = materialize(docs.withColumn(doc_id, F.col(doc_id).cast("long")).mapInArrow(lambda b: _chunks(b, doc_id, text), CHUNKS), "chunks", "none")
+    chunks = materialize(docs.withColumn(doc_id, F.col(doc_id).cast("long")).mapInArrow(worker(lambda b: _chunks(b, doc_id, text)), CHUNKS), "chunks", "none")
     size = chunks.agg(F.sum("n_bytes")).first()[0] or 0
     buckets = min(1 << 30, max(2 * partitions(spark), -(-size // BUCKET_BYTES)))  # a bucket's work is bounded whatever the input
-    lists = chunks.mapInArrow(lambda b: _lists(b, buckets), "bucket int, chunk long, base long, entries binary")
+    lists = chunks.mapInArrow(worker(lambda b: _lists(b, buckets), "powers"), "bucket int, chunk long, base long, entries binary")
     lists = _dealt(lists).sortWithinPartitions("bucket", "chunk")
-    found = materialize(lists.mapInArrow(lambda b: _compared(b, everything), KINDS), "repeats")
+    found = materialize(lists.mapInArrow(worker(lambda b: _compared(b, everything), "powers"), KINDS), "repeats")
     tidy(spark)  # the lists are the largest shuffle
     asks = found.where("kind = 'fetch'").groupBy("chunk").agg(F.collect_list(F.struct("bucket", "data")).alias("asks"))  # bounded by the chunk
-    fetched = chunks.drop("rest", "known").join(asks, "chunk").mapInArrow(_fetched, "bucket int, data binary")
+    fetched = chunks.drop("rest", "known").join(asks, "chunk").mapInArrow(worker(_fetched, "powers"), "bucket int, data binary")
     fetched = _dealt(fetched).sortWithinPartitions("bucket")
-    resolved = materialize(fetched.mapInArrow(lambda b: _resolved(b, everything), "bucket int, checks binary, counts binary, runs binary, occurrences binary"), "resolved")
+    resolved = materialize(fetched.mapInArrow(worker(lambda b: _resolved(b, everything), "powers"), "bucket int, checks binary, counts binary, runs binary, occurrences binary"), "resolved")
     tidy(spark)
     members = found.where("kind = 'member'").groupBy("bucket").agg(F.collect_list(F.struct("chunk", "data")).alias("members"))  # bounded by the bucket
     return chunks, members, resolved
@@ -636,9 +634,9 @@ def maximal_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     A group is an interval of a bucket's tree; intervals whose occurrences are the same but for a shift, and whose windows
     adjoin, are joined to one group. Sums over the occurrences that don't change with the shift tell which are."""
     chunks, members, resolved = _stages(docs.select(doc_id, text), doc_id, text, everything=True)
-    asks = resolved.select("bucket", "occurrences").join(members, "bucket").mapInArrow(_placed, "chunk long, group long, entry long, offset long, length long")
+    asks = resolved.select("bucket", "occurrences").join(members, "bucket").mapInArrow(worker(_placed, "powers"), "chunk long, group long, entry long, offset long, length long")
     asks = asks.groupBy("chunk").agg(F.collect_list(F.struct("group", "entry", "offset", "length")).alias("asks"))  # bounded by the chunk
-    found = chunks.select("chunk", "doc_ids", "lengths", "n_bytes", "bytes").join(asks, "chunk").mapInArrow(_located, "group long, length long, doc_id long, chunk long, nth long, start long")
+    found = chunks.select("chunk", "doc_ids", "lengths", "n_bytes", "bytes").join(asks, "chunk").mapInArrow(worker(_located, "powers"), "group long, length long, doc_id long, chunk long, nth long, start long")
     found = materialize(found, "occurrences")
     wide = lambda c: c.cast("decimal(38,0)")
     mark = wide(F.xxhash64("chunk", "nth") % (1 << 30))
@@ -660,9 +658,9 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     added = [(prefix + k, StringType() if k == "kept_sha256" else LongType()) for k in ADDED]
     docs = docs.drop(*[k for k, _ in added])
     chunks, members, resolved = _stages(docs, doc_id, text)
-    answers = members.join(resolved.drop("occurrences"), "bucket").mapInArrow(_answered, "chunk long, data binary")
+    answers = members.join(resolved.drop("occurrences"), "bucket").mapInArrow(worker(_answered, "powers"), "chunk long, data binary")
     answers = answers.groupBy("chunk").agg(F.collect_list("data").alias("answers"))  # bounded by the chunk
     joined = chunks.join(answers, "chunk", "left")
     fields = [StructField(f.name, LongType() if f.name == doc_id else f.dataType) for f in docs.schema.fields] + [StructField(k, t) for k, t in added]
     names = [f.name for f in fields]
-    return joined.mapInArrow(lambda b: _kept(b, names, text, prefix), StructType(fields))
+    return joined.mapInArrow(worker(lambda b: _kept(b, names, text, prefix), "powers"), StructType(fields))

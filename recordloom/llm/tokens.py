@@ -13,6 +13,8 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 
+from recordloom.llm.core import memory
+
 #: Letters whose class is the same for the library and for us: ASCII, Latin-1 and Latin Extended-A and -B.
 _LETTERS = "A-Za-zªµºÀ-ÖØ-öø-ɏ"
 #: The cut of such texts in UTF-8, where every byte from 128 on belongs to a letter (bytes are found faster than strings).
@@ -64,14 +66,12 @@ class Encoder(dict):
             yield np.frombuffer(packed, dtype=DTYPE)
 
 
-_encoders: dict[str, Encoder] = {}
-
-
 def encoder(path: str) -> Encoder:
     """One per worker process and vocabulary."""
-    if path not in _encoders:
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
+    known = memory("tokens")
+    if path not in known:
+        known[path] = Encoder(path)
+    return known[path]
 
 
 def default_path() -> str:

@@ -14,7 +14,7 @@ sys.path.insert(0, str(Path(__file__).parent))
 import brute
 
 from recordloom.llm import audio, chat, components, language, minhash, packing, pieces, quality, queries, repeats, tokens, toxicity, wavelet
-from recordloom.llm.core import bounded_ids, materialize, recorded, release
+from recordloom.llm.core import bounded_ids, materialize, memory, recorded, release, worker
 
 WORDS = ["alpha", "beta", "gamma", "delta", "river", "stone", "cloud", "ember", "falcon", "garden", "harbor", "island"]
 
@@ -666,3 +666,23 @@ def test_null_doc_ids_stay_null(spark):
     df = spark.createDataFrame([(None, BASE), (1, BASE), (2, None)], "doc_id long, text string")
     for made in (wavelet.document_table(wavelet.write_shards(df)), repeats.remove_repeats(df), packing.pack(df), minhash.near_duplicates(df), pieces.encode(df), audio.features(audio.store(df))):
         assert {r["doc_id"] for r in made.collect()} == {None, 1, 2}
+
+
+def test_workers_forget_what_other_operators_remember(spark):
+    """Spark hands a Python worker to the next operator's tasks: the vocabulary's pieces and the hash tables don't add up."""
+
+    def sizes(batches, *own):
+        import pyarrow as pa
+
+        def seen(_):
+            tokens.encoder(tokens.default_path()), repeats._powers(repeats._P, 10)
+            yield from ()
+
+        for keep in own:
+            list(worker(seen, *keep)(iter(())))
+            list(worker(lambda _: iter(()), *keep)(iter(())))  # the next task
+            yield pa.RecordBatch.from_pydict({"tokens": [len(memory("tokens"))], "powers": [len(memory("powers"))]})
+
+    asked = [("tokens",), ("powers",), (), ("tokens", "powers")]
+    got = spark.range(1).coalesce(1).mapInArrow(lambda b: sizes(b, *asked), "tokens long, powers long").collect()
+    assert [tuple(r) for r in got] == [(1, 0), (0, 1), (0, 0), (1, 1)]
