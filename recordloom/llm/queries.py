@@ -7,7 +7,7 @@ from functools import wraps
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from recordloom.llm import audio, chat, language, minhash, packing, pieces, quality, repeats, toxicity, wavelet
+from recordloom.llm import audio, audit, chat, codes, language, minhash, packing, pieces, quality, repeats, sharding, toxicity, wavelet
 from recordloom.llm.core import crc_mod, materialize, small_batches
 
 #: Chain of op1, over the columns of labels.
@@ -83,6 +83,21 @@ def op10_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stored.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", F.size("spans").cast("long").alias("n_spans"))
 
 
+def op11_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = sharding.assign(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    crc = F.crc32(F.encode(F.coalesce("text", F.lit("")), "UTF-8")).alias("text_crc32")
+    return placed.select("doc_id", sharding.row_size(F.col("text")).alias("size"), crc, F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+def op12_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.audit(audit.mask_counts(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")))
+
+
+def op13_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = codes.train(table(spark, sf_dir, "embeddings"))
+    return codes.encode(model).select("vec_id", "code", "error", "label_error", F.lit(model.sha256()).alias("codebooks_sha256"))
+
+
 def _bounded(query):
     @wraps(query)
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -93,7 +108,7 @@ def _bounded(query):
 
 
 def queries() -> dict:
-    return {f.__name__: _bounded(f) for f in (op1_toxicity, op2_wavelet, op3_repeats, op4_packing, op5_chat, op6_quality, op7_minhash, op8_merge_dropout, op9_language, op10_audio)}
+    return {f.__name__: _bounded(f) for f in (op1_toxicity, op2_wavelet, op3_repeats, op4_packing, op5_chat, op6_quality, op7_minhash, op8_merge_dropout, op9_language, op10_audio, op11_sharding, op12_audit, op13_codes)}
 
 
 def oracle_sql() -> dict[str, str]:

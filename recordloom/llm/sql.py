@@ -1,6 +1,6 @@
 """DuckDB SQL for the queries that SQL can express."""
 
-from recordloom.llm import chat, quality
+from recordloom.llm import audit, chat, codes, quality
 
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
@@ -97,4 +97,56 @@ SELECT w.doc_id, coalesce(n.n, 0) AS n_shingles, coalesce(component_id, w.doc_id
 FROM w LEFT JOIN n USING (doc_id) LEFT JOIN c USING (doc_id)
 """
 
-ORACLES = {"op3_repeats": _REPEATS, "op5_chat": _CHAT, "op6_quality": _quality(), "op7_minhash": _NEAR}
+
+
+def _audit() -> str:
+    orders = ", ".join(f"('{o}')" for o in audit.ORDERS)
+    bit = "(1 << (ascii({0}) - 65))"
+    return rf"""
+WITH w AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t, {_WORDS} AS w FROM documents),
+told AS (SELECT doc_id, max((quality = 1)::INT) AS good, max((toxic = 1)::INT) AS toxic FROM labels GROUP BY doc_id),
+f AS (
+  SELECT part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic, (len(w) < 200)::INT + 2 * (100 * len(list_distinct(w)) < 50 * len(w))::INT
+    + 4 * (100 * (length(t) - length(regexp_replace(t, '[A-Z]', '', 'g'))) > 2 * length(t))::INT + 8 * regexp_matches(t, '[#$%&*|]')::INT
+    + 16 * coalesce(w.doc_id > min(w.doc_id) OVER (PARTITION BY t), false)::INT AS mask
+  FROM w LEFT JOIN told USING (doc_id)),
+m AS (SELECT part, mask, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM f GROUP BY part, mask),
+o(filter_order) AS (VALUES {orders}),
+s AS (
+  SELECT filter_order, step::INTEGER AS step, {bit.format("filter_order[step]")} AS own,
+    coalesce((SELECT sum({bit.format("filter_order[k]")}) FROM range(1, step) q(k)), 0)::BIGINT AS before FROM o, range(1, 6) u(step)),
+r AS (
+  SELECT part, filter_order, step, own, sum(n) FILTER (WHERE mask & (before | own) = 0) AS kept, sum(n) FILTER (WHERE mask & before = 0 AND mask & own <> 0) AS removed,
+    sum(n) FILTER (WHERE mask & before <> 0 AND mask & own <> 0) AS redundant, sum(n) FILTER (WHERE mask = own) AS unique_fails,
+    sum(good) FILTER (WHERE mask & before = 0 AND mask & own <> 0) AS good_lost, sum(toxic) FILTER (WHERE mask & before = 0 AND mask & own <> 0) AS toxic_lost
+  FROM m, s GROUP BY part, filter_order, step, own)
+SELECT part, filter_order, step, coalesce(kept, 0)::BIGINT AS kept, coalesce(removed, 0)::BIGINT AS removed, coalesce(redundant, 0)::BIGINT AS redundant,
+  coalesce(unique_fails, 0)::BIGINT AS unique_fails, coalesce(good_lost, 0)::BIGINT AS good_lost, coalesce(toxic_lost, 0)::BIGINT AS toxic_lost,
+  coalesce(sum(removed) OVER (PARTITION BY part, own), 0)::BIGINT AS shapley
+FROM r
+"""
+
+
+def _codes() -> str:
+    far = "list_sum(list_transform(list_zip(x, c), lambda z: (z[1] - z[2]) * (z[1] - z[2])))"
+    assign = lambda k: f"a{k} AS (SELECT r, p.part, arg_min(entry, {far} * {codes.ENTRIES} + entry) AS entry, min({far}) AS d FROM p JOIN b{k} USING (part) GROUP BY r, p.part)"
+    update = lambda k: f"""g{k} AS (SELECT part, entry, i, sum(x[i]) AS s, count(*) AS n FROM a{k} JOIN p USING (r, part), range(1, len(x) + 1) u(i) GROUP BY part, entry, i),
+m{k} AS (SELECT part, entry, list(((s - ((s % n) + n) % n) // n)::BIGINT ORDER BY i) AS c FROM g{k} GROUP BY part, entry),
+b{k + 1} AS (SELECT part, entry, coalesce(m{k}.c, b{k}.c) AS c FROM b{k} LEFT JOIN m{k} USING (part, entry))"""
+    rounds = ",\n".join(f(k) for k in range(codes.ROUNDS) for f in (assign, update))
+    return rf"""
+WITH v AS (
+  SELECT row_number() OVER (ORDER BY vec_id) AS r, vec_id, label, list_transform(embedding, lambda x: floor({codes.SCALE} * x::DOUBLE)::BIGINT) AS e
+  FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+p AS (SELECT r, part, e[part * (len(e) // {codes.PARTS}) + 1:(part + 1) * (len(e) // {codes.PARTS})] AS x FROM v, range({codes.PARTS}) u(part)),
+b0 AS (SELECT part, r - 1 AS entry, x AS c FROM p WHERE r <= {codes.ENTRIES}),
+{rounds},
+{assign(codes.ROUNDS)},
+done AS (SELECT r, string_agg(lpad(printf('%x', entry), 2, '0'), '' ORDER BY part) AS code, sum(d)::BIGINT AS error FROM a{codes.ROUNDS} GROUP BY r)
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error,
+  (SELECT sha256(string_agg(array_to_string(c, ','), ',' ORDER BY part, entry)) FROM b{codes.ROUNDS}) AS codebooks_sha256
+FROM v JOIN done USING (r)
+"""
+
+
+ORACLES = {"op3_repeats": _REPEATS, "op5_chat": _CHAT, "op6_quality": _quality(), "op7_minhash": _NEAR, "op12_audit": _audit(), "op13_codes": _codes()}
