@@ -2,7 +2,8 @@
 
 raw: TSV sources and truth to tables. slice: a density-preserving share of them. norm: learn the lexicon and normalise. block:
 candidates. train: models, scores and threshold of the train split. predict: scores and match lists of a split by the saved
-models. evaluate: quality of the train split's decisions. retune: the threshold anew from saved scores. decide: match lists
+models. evaluate: quality of the train split's decisions on the
+locked holdout and on the rest, at both weights of false positives. retune: the threshold anew from saved scores. decide: match lists
 anew from saved scores and a threshold. validate: faults of match lists. profile: a report. preprocess, index: the second
 family's prepared records, and candidates from the key index.
 """
@@ -73,8 +74,7 @@ def main(argv: list[str] | None = None) -> None:
         write_lists(a.threshold or fitted.threshold)
     elif a.command == "evaluate":
         scored = spark.read.parquet(f"{a.work}/scores_train")
-        kept = decide.assign(scored, "p2", a.threshold or linkage.load(spark, f"{a.work}/models").threshold)
-        print(sinks.markdown_table(evaluate.macro_f05(kept, truth(), scored.select("s1").distinct()), "Quality"))
+        print(sinks.markdown_table(evaluate.holdout_report(scored, truth(), threshold=a.threshold), "Quality"))
     elif a.command == "retune":
         print("threshold", linkage.retune(spark.read.parquet(f"{a.work}/scores_train"), truth()))
     elif a.command == "decide":

@@ -97,64 +97,89 @@ def top_k(pairs: DataFrame, k: int, by: tuple[str, ...] = ("rec",), score: str =
     return pairs.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def _packed(rows: DataFrame, side: int) -> DataFrame:
-    """A row per id: its feature numbers in order, and their weights."""
+def _packed(rows: DataFrame) -> DataFrame:
+    """A row per id: its feature numbers f in order, their weights w, and the one of most weight."""
     e = F.sort_array(F.collect_list(F.struct("fid", "weight")))
-    return rows.groupBy("country", "id").agg(e.alias("_e")).select("country", F.lit(side).alias("side"), "id", F.col("_e.fid").alias("f"), F.col("_e.weight").alias("w"))
+    out = rows.groupBy("id").agg(e.alias("_e"), F.max(F.struct("weight", "fid")).alias("_m"))
+    return out.select("id", F.col("_e.fid").alias("f"), F.col("_e.weight").alias("w"), F.col("_m.fid").alias("top"))
 
 
-def nearest_rows(queries: DataFrame, reference: DataFrame, k: int, floor: float = 0.05, query_rows: int = 1 << 13, reference_rows: int = 1 << 16) -> DataFrame:
+def _groups(rows: DataFrame, order: tuple[str, ...], size: int) -> DataFrame:
+    """rows with grp, about `size` of them each: neighbours in the order share one. Written once: a plan that runs twice can
+    get two sets of bounds."""
+    rows = table(rows, "rows")
+    n = max(1, -(-rows.count() // size))
+    return table(rows.repartitionByRange(n, *order).withColumn("grp", F.spark_partition_id()), "groups")
+
+
+def _tasks(df: DataFrame) -> int:
+    return 4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # a fixed number: groups are small and take long
+
+
+def nearest_rows(queries: DataFrame, reference: DataFrame, k: int, floor: float = 0.05, query_rows: int = 1 << 13, reference_rows: int = 1 << 16, entries: int = 1 << 21) -> DataFrame:
     """(rec, s1, score, rank): top_k of cosine_pairs, exactly, without a row for each pair that shares a feature.
 
-    Blocks of queries meet blocks of the reference inside a country; a task adds up one query's products at a time over the
-    block's postings and keeps its k best. Matrices are of `channel`.
+    Queries that share their heaviest feature are neighbours in groups. A feature's postings (at most its cap long, in pieces by
+    reference block) go once to each group in which a query needs it, and nowhere else: what moves is bounded by queries,
+    features and caps, not by queries times reference. A group's postings above `entries` are dealt to slices of the
+    reference, whose best rows meet at the end. A task adds up one query's products at a time, the features in falling
+    order of what they can add: once the rest can't lift a new row to the k-th score, rows that none of the features so far has
+    met are left alone.
     """
     import numpy as np
     import pandas as pd
 
-    sizes = [df.groupBy("country").agg(F.ceil(F.countDistinct("id") / rows).cast("int").alias(n)) for df, n, rows in ((queries, "nq", query_rows), (reference, "nb", reference_rows))]
-    sizes = F.broadcast(sizes[0].join(sizes[1], "country"))  # a row per country
-    hashed = lambda n: F.pmod(F.xxhash64("id"), n).cast("int")
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    columns = ["country", "i", "j", "side", "id", "f", "w"]
-    q = _packed(queries, 0).join(sizes, "country").withColumn("i", hashed("nq")).withColumn("j", every("nb"))
-    b = _packed(reference, 1).join(sizes, "country").withColumn("j", hashed("nb")).withColumn("i", every("nq"))
+    size = reference.groupBy("country").agg(F.ceil(F.countDistinct("id") / reference_rows).cast("int").alias("nb"))
+    block = F.pmod(F.xxhash64("id"), F.col("nb")).cast("int")
+    posted = reference.join(F.broadcast(size), "country").withColumn("b", block)  # a row per country
+    posted = table(posted.groupBy("fid", "nb", "b").agg(F.sort_array(F.collect_list(F.struct("id", "weight"))).alias("_e")), "postings")
+    lengths = posted.groupBy("fid").agg(F.sum(F.size("_e")).alias("n"))
+    q = _groups(_packed(queries), ("top", "id"), query_rows)
+    need = table(q.select("grp", F.explode("f").alias("fid")).distinct(), "needs")
+    slices = need.join(lengths, "fid").groupBy("grp").agg(F.ceil(F.sum("n") / entries).cast("int").alias("ns"))
+    slices = table(slices, "slices")
+    side = lambda n: F.lit(n).alias("side")
+    p = need.join(slices, "grp").join(posted.hint("merge"), "fid")
+    p = p.select("grp", F.floor(F.col("b") * F.col("ns") / F.col("nb")).cast("int").alias("slice"), side(1), F.col("fid").alias("id"), F.col("_e.id").alias("f"), F.col("_e.weight").alias("w"))
+    q = q.join(slices, "grp").select("grp", F.explode(F.sequence(F.lit(0), F.col("ns") - 1)).alias("slice"), side(0), "id", "f", "w")
 
     def multiply(part: pd.DataFrame) -> pd.DataFrame:
         left, right = part[part.side == 0], part[part.side == 1].sort_values("id")
         if not len(left) or not len(right):
             return pd.DataFrame({"rec": [], "s1": [], "score": []}).astype({"rec": "int64", "s1": "int64", "score": "float64"})
-        ids, f = right.id.to_numpy(), np.concatenate(right.f.to_numpy())
-        order = np.argsort(f, kind="stable")
-        rows = np.repeat(np.arange(len(ids)), [len(x) for x in right.f])[order]
-        weights = np.concatenate(right.w.to_numpy())[order]
-        known, at = np.unique(f[order], return_index=True)
-        ends = np.append(at[1:], len(rows))
-        posting = {x: (rows[a:z], weights[a:z]) for x, a, z in zip(known.tolist(), at.tolist(), ends.tolist(), strict=True)}
+        n = np.array([len(x) for x in right.f])
+        ids, rows = np.unique(np.concatenate(right.f.to_numpy()), return_inverse=True)
+        weights = np.concatenate(right.w.to_numpy())
+        known, first = np.unique(right.id.to_numpy(), return_index=True)
+        starts = np.append(0, np.cumsum(n))
+        ends = starts[np.append(first[1:], len(n))]
+        posting = {x: (rows[a:z], weights[a:z], weights[a:z].max()) for x, a, z in zip(known.tolist(), starts[first].tolist(), ends.tolist(), strict=True)}
         scores, done, out = np.zeros(len(ids)), {}, []
+        fresh = np.ones(len(ids), bool)
 
         def best(features, own):
-            met = [(posting[x], y) for x, y in zip(features.tolist(), own.tolist(), strict=True) if x in posting]
-            if not met:
-                return ids[:0], scores[:0]
-            for (r, w), y in met:
+            met = sorted(((y * posting[x][2], *posting[x][:2], y) for x, y in zip(features.tolist(), own.tolist(), strict=True) if x in posting), key=lambda m: -m[0])
+            bound = np.append(np.cumsum([m[0] for m in met][::-1])[::-1], 0.0)  # what features from here on can add
+            seen, least = [], floor
+            for at, (_, r, w, y) in enumerate(met):
+                if bound[at] * (1 + 1e-9) + 1e-8 < least:  # new rows can't get there any more; wider than rounding
+                    r, w = r[~fresh[r]], w[~fresh[r]]
+                else:
+                    new = r[fresh[r]]
+                    fresh[new] = False
+                    seen.append(new)
                 scores[r] += w * y
-            if sum(len(r) for (r, _), _ in met) < len(ids):
-                found, most = np.concatenate([r for (r, _), _ in met]), k * len(met)  # a row comes once per feature at most
-                values = scores[found]
-            else:
-                found, most, values = None, k, scores
-            if len(values) > most:
-                near = np.flatnonzero(values >= np.partition(values, -most)[-most] - 1e-8)  # wider than ties of rounded scores
-                found = near if found is None else found[near]
-            elif found is None:
-                found = np.arange(len(ids))
-            found = np.unique(found)
+                if bound[at + 1] < 1 and sum(map(len, seen)) >= k:  # the k-th partial score only grows
+                    found = scores[np.concatenate(seen)]
+                    least = max(floor, np.partition(found, -k)[-k])
+            found = np.concatenate(seen) if seen else np.zeros(0, np.int64)
             values = np.round(scores[found], 9)
-            for (r, _), _ in met:
-                scores[r] = 0.0
+            scores[found], fresh[found] = 0.0, True
             found, values = found[values > floor], values[values > floor]
-            first = np.lexsort((found, -values))[:k]
+            if len(values) > k:
+                near = values >= np.partition(values, -k)[-k]
+                found, values = found[near], values[near]
+            first = np.lexsort((found, -values))[:k]  # ids are in order
             return ids[found[first]], values[first]
 
         for features, own in zip(left.f, left.w, strict=True):
@@ -165,9 +190,8 @@ def nearest_rows(queries: DataFrame, reference: DataFrame, k: int, floor: float
         n = [len(x) for x, _ in out]
         return pd.DataFrame({"rec": np.repeat(left.id.to_numpy(), n), "s1": np.concatenate([x for x, _ in out]), "score": np.concatenate([x for _, x in out])})
 
-    tasks = 4 * int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # a fixed number: blocks are small and take long
-    blocks = q.select(*columns).union(b.select(*columns)).repartition(tasks, "country", "i", "j")
-    return top_k(blocks.groupBy("country", "i", "j").applyInPandas(multiply, "rec long, s1 long, score double"), k)
+    parts = q.union(p).repartition(_tasks(queries), "grp", "slice")
+    return top_k(parts.groupBy("grp", "slice").applyInPandas(multiply, "rec long, s1 long, score double"), k)
 
 
 def channel(s1: DataFrame, rec: DataFrame, features: Callable[[], Column], cap: int) -> tuple[DataFrame, DataFrame]:
@@ -185,26 +209,29 @@ def row_cosine(pairs: DataFrame, queries: DataFrame, reference: DataFrame, name:
     return pairs.join(dots, ["rec", "s1"], "left").fillna(0.0, [name])
 
 
-def block_cosines(pairs: DataFrame, mats: dict[str, tuple[DataFrame, DataFrame]], query_rows: int = 1 << 13, reference_rows: int = 1 << 16) -> DataFrame:
-    """(rec, s1, c_<channel>...): row_cosine of every channel (reference, queries) at once, pairs being of one country.
+def block_cosines(pairs: DataFrame, mats: dict[str, tuple[DataFrame, DataFrame]], query_rows: int = 1 << 12, reference_rows: int = 1 << 16) -> DataFrame:
+    """(rec, s1, c_<channel>...): row_cosine of every channel (reference, queries) at once.
 
-    Blocks of queries and blocks of the reference meet the pairs between them, so a pair isn't a row per feature.
+    Records with a candidate in common are neighbours in groups; a reference row goes once to each group that has a pair with
+    it (to a slice of the group, where these rows are many), so nothing moves more often than there are pairs.
     """
     import numpy as np
     import pandas as pd
 
     names = list(mats)
-    packed = lambda x: reduce(DataFrame.union, [_packed(m[x], 1 - x).withColumn("channel", F.lit(c)) for c, m in enumerate(mats.values())])
-    reference, queries = packed(0), packed(1)
-    count = lambda x: max(m[x].select("id").distinct().count() for m in mats.values())
-    ni, nj = -(-count(1) // query_rows) or 1, -(-count(0) // reference_rows) or 1
-    hashed = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    columns = ["i", "j", "side", "channel", "id", "other", "f", "w"]
-    none = F.lit(0).cast("long")  # a null would make floats of the ids
-    q = queries.withColumns({"i": hashed("id", ni), "j": every(nj), "other": none})
-    b = reference.withColumns({"i": every(ni), "j": hashed("id", nj), "other": none})
-    p = pairs.select(hashed("rec", ni).alias("i"), hashed("s1", nj).alias("j"), F.lit(2).alias("side"), F.lit(-1).alias("channel"), F.col("rec").alias("id"), F.col("s1").alias("other"), F.lit(None).cast("array<long>").alias("f"), F.lit(None).cast("array<double>").alias("w"))
+    packed = lambda x: reduce(DataFrame.union, [_packed(m[x]).select("id", F.lit(c).alias("channel"), "f", "w") for c, m in enumerate(mats.values())])
+    recs = _groups(pairs.groupBy("rec").agg(F.min("s1").alias("least")), ("least", "rec"), query_rows).select("rec", "grp")
+    asked = table(pairs.select("rec", "s1").join(recs.hint("merge"), "rec"), "asked")
+    want = asked.select("grp", "s1").distinct()
+    slices = table(want.groupBy("grp").agg(F.ceil(F.count("*") / reference_rows).cast("int").alias("ns")), "slices")
+    of = lambda c: F.pmod(F.xxhash64(c), "ns").cast("int").alias("slice")
+    side = lambda n: F.lit(n).alias("side")
+    none = F.lit(0).cast("long").alias("other")  # a null would make floats of the ids
+    q = packed(1).join(recs.withColumnRenamed("rec", "id").hint("merge"), "id").join(slices, "grp")
+    q = q.select("grp", F.explode(F.sequence(F.lit(0), F.col("ns") - 1)).alias("slice"), side(0), "channel", "id", none, "f", "w")
+    b = packed(0).join(want.withColumnRenamed("s1", "id").hint("merge"), "id").join(slices, "grp")
+    b = b.select("grp", of("id"), side(1), "channel", "id", none, "f", "w")
+    p = asked.join(slices, "grp").select("grp", of("s1"), side(2), F.lit(-1).alias("channel"), F.col("rec").alias("id"), F.col("s1").alias("other"), F.lit(None).cast("array<long>").alias("f"), F.lit(None).cast("array<double>").alias("w"))
 
     def matrix(rows):
         """Ids in order, where each one's entries start and end, features, weights."""
@@ -240,9 +267,8 @@ def block_cosines(pairs: DataFrame, mats: dict[str, tuple[DataFrame, DataFrame]]
             out[f"c_{name}"] = np.round(total, 9)
         return pd.DataFrame(out)
 
-    tasks = 4 * int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    blocks = q.select(*columns).union(b.select(*columns)).union(p.select(*columns)).repartition(tasks, "i", "j")
-    return blocks.groupBy("i", "j").applyInPandas(dots, "rec long, s1 long, " + ", ".join(f"c_{k} double" for k in names))
+    parts = q.union(b).union(p).repartition(_tasks(pairs), "grp", "slice")
+    return parts.groupBy("grp", "slice").applyInPandas(dots, "rec long, s1 long, " + ", ".join(f"c_{k} double" for k in names))
 
 
 def sorted_key(core: Column) -> Column:

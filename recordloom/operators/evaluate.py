@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -28,11 +30,16 @@ def per_entity(pred: DataFrame, truth: DataFrame, population: DataFrame, fp_weig
     return out.fillna(0, ["tp", "n_true"]).fillna(0.0, ["fp"])
 
 
+def entity_f05(tp: Column, fp: Column, n_true: Column) -> Column:
+    """An entity without truth scores 1 when nothing is predicted, else 0."""
+    predicted = tp + fp
+    f = f_beta(tp / F.nullif(predicted, F.lit(0)), tp / F.nullif(n_true, F.lit(0)))
+    return F.when(n_true == 0, (predicted == 0).cast("double")).when(predicted == 0, 0.0).otherwise(f)
+
+
 def score_entities(counts: DataFrame) -> DataFrame:
-    """f05 of each entity: one without truth scores 1 when nothing is predicted, else 0."""
-    predicted = F.col("tp") + F.col("fp")
-    f = f_beta(F.col("tp") / predicted, F.col("tp") / F.col("n_true"))
-    return counts.withColumn("f05", F.when(F.col("n_true") == 0, (predicted == 0).cast("double")).when(predicted == 0, 0.0).otherwise(f))
+    """f05 of each entity."""
+    return counts.withColumn("f05", entity_f05(F.col("tp"), F.col("fp"), F.col("n_true")))
 
 
 def macro_f05(pred: DataFrame, truth: DataFrame, population: DataFrame, fp_weight: float = 1.0) -> DataFrame:
@@ -140,3 +147,23 @@ def loss_parts(counts: DataFrame) -> DataFrame:
     no_fp = score_entities(counts.withColumn("fp", F.lit(0.0))).agg(F.avg("f05").alias("no_fp")).first()["no_fp"]
     no_fn = score_entities(counts.withColumn("tp", F.col("n_true"))).agg(F.avg("f05").alias("no_fn")).first()["no_fn"]
     return now.agg(F.avg("f05").alias("now")).withColumns({"no_fp": F.lit(no_fp), "no_fn": F.lit(no_fn)})
+
+
+def holdout_report(scored: DataFrame, truth: DataFrame, p: str = "p2", weights: tuple[float, ...] = (1.0, 2.0), threshold: float | None = None) -> DataFrame:
+    """(fp_weight, threshold, part, macro_f05, pair_p, pair_r, n_s1, singleton_acc, macro_f05_weighted): quality on the locked
+    holdout and on the rest, whose entities are those of the truth, with or without candidates. For each weight of false positives the threshold is tuned on the
+    rest, unless one is given; both parts are then judged at weight 1 and at that weight."""
+    from recordloom.functions.ids import is_holdout
+    from recordloom.operators.decide import assign, tune_threshold
+
+    people = truth.select("s1").distinct().withColumn("_ho", is_holdout(F.col("s1")))
+    parts = {"holdout": people.where("_ho").select("s1"), "rest": people.where("NOT _ho").select("s1")}
+    rows = []
+    for weight in weights:
+        cut = threshold if threshold is not None else tune_threshold(scored.where("NOT ho"), truth, parts["rest"], p, fp_weight=weight)
+        kept = assign(scored, p, cut)
+        for name, population in parts.items():
+            weighted = macro_f05(kept, truth, population, weight).first()["macro_f05"]
+            own = macro_f05(kept, truth, population).withColumn("macro_f05_weighted", F.lit(weighted).cast("double"))
+            rows.append(own.select(F.lit(float(weight)).alias("fp_weight"), F.lit(float(cut)).alias("threshold"), F.lit(name).alias("part"), "*"))
+    return reduce(DataFrame.union, rows)

@@ -713,7 +713,7 @@ def hard_negative_pairs(t):
 
 def _register() -> None:
     """The modules that add queries of their own."""
-    from recordloom.plans import catalog_classic, catalog_io, catalog_lexicon, catalog_models, catalog_names, catalog_noise, catalog_pairs  # noqa: F401
+    from recordloom.plans import catalog_classic, catalog_decide, catalog_io, catalog_lexicon, catalog_models, catalog_names, catalog_noise, catalog_pairs  # noqa: F401
 
 
 def queries() -> dict[str, Callable]:

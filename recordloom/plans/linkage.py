@@ -11,6 +11,7 @@ from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from recordloom.functions.ids import is_holdout
 from recordloom.functions.text import INDIC, normalize_address, normalize_name
 from recordloom.operators import blocking, decide, evaluate, lexicon, models, pairs, ranking
 from recordloom.sources.scratch import table
@@ -91,9 +92,9 @@ def load(spark: SparkSession, folder: str) -> Fitted:
 
 
 def retune(scored: DataFrame, truth: DataFrame, p: str = "p2") -> float:
-    """The threshold again, from saved out-of-fold scores alone (holdout rows left out)."""
-    fit_rows = scored.where("NOT ho")
-    return decide.tune_threshold(fit_rows, truth, fit_rows.select("s1").distinct(), p)
+    """The threshold again, from saved out-of-fold scores alone: the holdout's rows and entities are left out."""
+    people = truth.select("s1").distinct().where(~is_holdout(F.col("s1")))
+    return decide.tune_threshold(scored.where("NOT ho"), truth, people, p)
 
 
 def train(norm: DataFrame, truth: DataFrame, checkpoint=table, channels: dict | None = None) -> tuple[DataFrame, Fitted]:
