@@ -105,10 +105,11 @@ def _packed(rows: DataFrame) -> DataFrame:
 
 
 def _groups(rows: DataFrame, order: tuple[str, ...], size: int) -> DataFrame:
-    """rows with grp, about `size` of them each: neighbours in the order share one. Written once: a plan that runs twice can
-    get two sets of bounds."""
+    """rows with grp, about `size` of them each, or fewer where a small table would leave tasks without work: neighbours in the
+    order share one. Written once: a plan that runs twice can get two sets of bounds."""
     rows = table(rows, "rows")
-    n = max(1, -(-rows.count() // size))
+    count = rows.count()
+    n = max(1, -(-count // size), min(_tasks(rows) // 4, count // 2048))
     return table(rows.repartitionByRange(n, *order).withColumn("grp", F.spark_partition_id()), "groups")
 
 
@@ -116,7 +117,7 @@ def _tasks(df: DataFrame) -> int:
     return 4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # a fixed number: groups are small and take long
 
 
-def nearest_rows(queries: DataFrame, reference: DataFrame, k: int, floor: float = 0.05, query_rows: int = 1 << 13, reference_rows: int = 1 << 16, entries: int = 1 << 21) -> DataFrame:
+def nearest_rows(queries: DataFrame, reference: DataFrame, k: int, floor: float = 0.05, query_rows: int = 1 << 15, reference_rows: int = 1 << 16, entries: int = 1 << 21) -> DataFrame:
     """(rec, s1, score, rank): top_k of cosine_pairs, exactly, without a row for each pair that shares a feature.
 
     Queries that share their heaviest feature are neighbours in groups. A feature's postings (at most its cap long, in pieces by
@@ -135,11 +136,10 @@ def nearest_rows(queries: DataFrame, reference: DataFrame, k: int, floor: float
     posted = table(posted.groupBy("fid", "nb", "b").agg(F.sort_array(F.collect_list(F.struct("id", "weight"))).alias("_e")), "postings")
     lengths = posted.groupBy("fid").agg(F.sum(F.size("_e")).alias("n"))
     q = _groups(_packed(queries), ("top", "id"), query_rows)
-    need = table(q.select("grp", F.explode("f").alias("fid")).distinct(), "needs")
-    slices = need.join(lengths, "fid").groupBy("grp").agg(F.ceil(F.sum("n") / entries).cast("int").alias("ns"))
-    slices = table(slices, "slices")
+    need = table(q.select("grp", F.explode("f").alias("fid")).distinct().join(lengths, "fid"), "needs")
+    slices = need.groupBy("grp").agg(F.ceil(F.sum("n") / entries).cast("int").alias("ns"))
     side = lambda n: F.lit(n).alias("side")
-    p = need.join(slices, "grp").join(posted.hint("merge"), "fid")
+    p = need.drop("n").join(slices, "grp").join(posted.hint("merge"), "fid")
     p = p.select("grp", F.floor(F.col("b") * F.col("ns") / F.col("nb")).cast("int").alias("slice"), side(1), F.col("fid").alias("id"), F.col("_e.id").alias("f"), F.col("_e.weight").alias("w"))
     q = q.join(slices, "grp").select("grp", F.explode(F.sequence(F.lit(0), F.col("ns") - 1)).alias("slice"), side(0), "id", "f", "w")
 
@@ -169,7 +169,8 @@ def nearest_rows(queries: DataFrame, reference: DataFrame, k: int, floor: float
                     fresh[new] = False
                     seen.append(new)
                 scores[r] += w * y
-                if bound[at + 1] < 1 and sum(map(len, seen)) >= k:  # the k-th partial score only grows
+                have = sum(map(len, seen))
+                if have >= k and at + 1 < len(met) and bound[at + 1] < 0.7 and 2 * len(met[at + 1][1]) > have:  # where leaving rows alone pays
                     found = scores[np.concatenate(seen)]
                     least = max(floor, np.partition(found, -k)[-k])
             found = np.concatenate(seen) if seen else np.zeros(0, np.int64)
@@ -223,7 +224,7 @@ def block_cosines(pairs: DataFrame, mats: dict[str, tuple[DataFrame, DataFrame]]
     recs = _groups(pairs.groupBy("rec").agg(F.min("s1").alias("least")), ("least", "rec"), query_rows).select("rec", "grp")
     asked = table(pairs.select("rec", "s1").join(recs.hint("merge"), "rec"), "asked")
     want = asked.select("grp", "s1").distinct()
-    slices = table(want.groupBy("grp").agg(F.ceil(F.count("*") / reference_rows).cast("int").alias("ns")), "slices")
+    slices = want.groupBy("grp").agg(F.ceil(F.count("*") / reference_rows).cast("int").alias("ns"))
     of = lambda c: F.pmod(F.xxhash64(c), "ns").cast("int").alias("slice")
     side = lambda n: F.lit(n).alias("side")
     none = F.lit(0).cast("long").alias("other")  # a null would make floats of the ids

@@ -6,18 +6,20 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from recordloom.functions.ids import source_of
-from recordloom.functions.similarity import SCORERS, contains_either, jaccard, levenshtein_similarity
+from recordloom.functions.similarity import SCORERS, contains_either, jaccard, levenshtein_similarity, several
 from recordloom.functions.text import words
 
 NORM = ("core", "legal", "glued", "atok", "anum", "post", "indic")
+#: Maps of token weights that pair_features puts beside them.
+WEIGHTS = ("_n", "_a")
 
 
 def with_sides(pairs: DataFrame, norm: DataFrame, left: str = "s1", right: str = "rec") -> DataFrame:
     """a_* of the left id and b_* of the right id; a missing record has empty texts."""
-    cols = [c for c in NORM if c in norm.columns]
+    cols = [c for c in (*NORM, *WEIGHTS) if c in norm.columns]
     side = lambda p, key: norm.select(F.col("id").alias(key), *[F.col(c).alias(f"{p}_{c}") for c in cols])
     out = pairs.join(side("a", left), left, "left").join(side("b", right), right, "left")
-    return out.fillna("", [f"{p}_{c}" for p in "ab" for c in cols if c != "indic"])
+    return out.fillna("", [f"{p}_{c}" for p in "ab" for c in cols if c not in ("indic", *WEIGHTS)])
 
 
 def _flag(c: Column) -> Column:
@@ -62,41 +64,45 @@ def idf_table(reference: DataFrame, column: str) -> tuple[DataFrame, float]:
     return tokens.groupBy("token").agg(F.log(1 + F.lit(n) / F.count("*")).alias("idf")), math.log(1 + n)
 
 
-def weighted_overlap(pairs: DataFrame, left: str, right: str, idf: DataFrame, default: float, prefix: str) -> DataFrame:
-    """<prefix>_wov, _cov_s1, _cov_rec: weight of common tokens over the union's, the left's and the right's; -1 if either is empty.
+def token_weights(norm: DataFrame, column: str, idf: DataFrame, default: float, name: str) -> DataFrame:
+    """norm with a map of each record's distinct tokens to their weights: tokens join their weights by key (that table may be
+    large) once per record, whatever the number of its pairs."""
+    tokens = norm.select("id", F.explode(F.array_distinct(words(F.col(column)))).alias("token"))
+    weighted = tokens.join(idf, "token", "left").fillna(default, ["idf"])
+    own = weighted.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("token", "idf"))).alias(name))
+    return norm.join(own, "id", "left")
 
-    Tokens join their weights by key (the table may be large); a pair's sums come from its own tokens.
-    """
-    keyed = pairs.withColumn("_pair", F.struct("rec", "s1"))
-    a, b = F.array_distinct(words(F.col(left))), F.array_distinct(words(F.col(right)))
-    each = keyed.select("_pair", a.alias("a"), b.alias("b")).select("_pair", "a", "b", F.explode(F.array_union("a", "b")).alias("token"))
-    each = each.select("_pair", "token", F.array_contains("a", F.col("token")).alias("in_a"), F.array_contains("b", F.col("token")).alias("in_b"))
-    w = each.join(idf, "token", "left").fillna(default, ["idf"])
-    part = lambda c: F.sum(F.when(c, F.col("idf")).otherwise(0.0))
-    sums = w.groupBy("_pair").agg(part(F.col("in_a") & F.col("in_b")).alias("i"), F.sum("idf").alias("u"), part(F.col("in_a")).alias("x"), part(F.col("in_b")).alias("y"))
-    some = (F.col("x") > 0) & (F.col("y") > 0)
-    ratio = lambda c: F.when(some, F.col("i") / F.col(c)).otherwise(-1.0)
-    found = sums.select(F.col("_pair.rec").alias("rec"), F.col("_pair.s1").alias("s1"), ratio("u").alias(f"{prefix}_wov"), ratio("x").alias(f"{prefix}_cov_s1"), ratio("y").alias(f"{prefix}_cov_rec"))
-    return pairs.join(found, ["rec", "s1"], "left").fillna(-1.0, [f"{prefix}_wov", f"{prefix}_cov_s1", f"{prefix}_cov_rec"])
+
+def weighted_overlap(a: Column, b: Column, prefix: str) -> dict[str, Column]:
+    """<prefix>_wov, _cov_s1, _cov_rec of two maps of token weights: weight of common tokens over the union's, the left's and the
+    right's; -1 if either is empty."""
+    total = lambda v: F.aggregate(v, F.lit(0.0), lambda acc, x: acc + x)
+    x, y = total(F.map_values(a)), total(F.map_values(b))
+    common = F.aggregate(F.array_intersect(F.map_keys(a), F.map_keys(b)), F.lit(0.0), lambda acc, t: acc + F.element_at(a, t))
+    some = a.isNotNull() & b.isNotNull() & (x > 0) & (y > 0)
+    ratio = lambda c: F.when(some, common / c).otherwise(-1.0)
+    return {f"{prefix}_wov": ratio(x + y - common), f"{prefix}_cov_s1": ratio(x), f"{prefix}_cov_rec": ratio(y)}
 
 
 def pair_features(pairs: DataFrame, norm: DataFrame) -> DataFrame:
     """The full feature table of pruned candidates; norm holds reference (src 1) and other records."""
-    s1 = norm.where("src = 1")
-    rows = with_sides(pairs, norm)
-    for col, prefix in (("core", "n"), ("atok", "a")):
-        idf, default = idf_table(s1, col)
-        rows = weighted_overlap(rows, f"a_{col}", f"b_{col}", idf, default, prefix)
+    s1, weighted = norm.where("src = 1"), norm
+    for col, name in (("core", "_n"), ("atok", "_a")):
+        weighted = token_weights(weighted, col, *idf_table(s1, col), name)
+    rows = with_sides(pairs, weighted)
     a, b = lambda c: F.col(f"a_{c}"), lambda c: F.col(f"b_{c}")
+    rows = rows.withColumns({
+        "_core": several("ratio", "token_set_ratio", "token_sort_ratio", "partial_ratio")(a("core"), b("core")), "_atok": several("token_set_ratio", "ratio", "partial_token_set_ratio")(a("atok"), b("atok")),
+        "_glued": SCORERS["jaro_winkler"](a("glued"), b("glued")),
+    })
     post_a, post_b = words(a("post")), words(b("post"))
     feats = {
-        "n_ratio": SCORERS["ratio"](a("core"), b("core")), "n_tset": SCORERS["token_set_ratio"](a("core"), b("core")),
-        "n_tsort": SCORERS["token_sort_ratio"](a("core"), b("core")), "n_partial": SCORERS["partial_ratio"](a("core"), b("core")),
-        "g_jw": SCORERS["jaro_winkler"](a("glued"), b("glued")), "g_lev": F.levenshtein(a("glued"), b("glued")).cast("double"),
+        "n_ratio": F.col("_core.ratio"), "n_tset": F.col("_core.token_set_ratio"), "n_tsort": F.col("_core.token_sort_ratio"), "n_partial": F.col("_core.partial_ratio"),
+        **weighted_overlap(a("_n"), b("_n"), "n"), **weighted_overlap(a("_a"), b("_a"), "a"), "g_jw": F.col("_glued"), "g_lev": F.levenshtein(a("glued"), b("glued")).cast("double"),
         "g_eq": _flag(a("glued") == b("glued")), "g_contain": contains_either(a("glued"), b("glued")),
         "n_jac": jaccard(words(a("core")), words(b("core")), -1.0), "n_ntok_s1": F.size(words(a("core"))).cast("double"), "n_ntok_rec": F.size(words(b("core"))).cast("double"),
         **legal_features(words(a("legal")), words(b("legal"))),
-        "a_tset": SCORERS["token_set_ratio"](a("atok"), b("atok")), "a_ratio": SCORERS["ratio"](a("atok"), b("atok")), "a_partial": SCORERS["partial_token_set_ratio"](a("atok"), b("atok")),
+        "a_tset": F.col("_atok.token_set_ratio"), "a_ratio": F.col("_atok.ratio"), "a_partial": F.col("_atok.partial_token_set_ratio"),
         "a_jac": jaccard(words(a("atok")), words(b("atok")), -1.0), **number_features(words(a("anum")), words(b("anum"))),
         "post_eq": F.when((F.size(post_a) == 0) | (F.size(post_b) == 0), -1.0).otherwise(F.arrays_overlap(post_a, post_b).cast("double")),
         "a_empty_rec": ((b("atok") == "") & (b("anum") == "")).cast("double"), "indic_rec": _flag(b("indic")),
@@ -105,7 +111,7 @@ def pair_features(pairs: DataFrame, norm: DataFrame) -> DataFrame:
     glued = s1.groupBy(F.col("glued").alias("a_glued")).agg(F.count("*").cast("double").alias("freq_glued"))
     first = s1.groupBy(F.split("core", " ")[0].alias("_first")).agg(F.count("*").cast("double").alias("freq_first"))
     rows = rows.join(glued, "a_glued", "left").withColumn("_first", F.split("a_core", " ")[0]).join(first, "_first", "left")
-    return rows.fillna(0.0, ["freq_glued", "freq_first"]).drop("_first", *[f"{p}_{c}" for p in "ab" for c in NORM])
+    return rows.fillna(0.0, ["freq_glued", "freq_first"]).drop("_first", "_core", "_atok", "_glued", *[f"{p}_{c}" for p in "ab" for c in (*NORM, *WEIGHTS)])
 
 
 def extra_features(a: Column, b: Column) -> dict[str, Column]:

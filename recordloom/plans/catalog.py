@@ -454,9 +454,9 @@ s AS (SELECT rec, s1, sum(CASE WHEN list_contains(x, token) AND list_contains(y,
 SELECT p.rec, p.s1, CASE WHEN a > 0 AND b > 0 THEN round(both_ / u, 9) ELSE -1.0 END AS n_wov, CASE WHEN a > 0 AND b > 0 THEN round(both_ / a, 9) ELSE -1.0 END AS n_cov_s1, CASE WHEN a > 0 AND b > 0 THEN round(both_ / b, 9) ELSE -1.0 END AS n_cov_rec
 FROM p LEFT JOIN s USING (rec, s1)""")
 def weighted_token_overlap(t):
-    idf, default = pairs.idf_table(t.norm.where("src = 1"), "core")
-    out = pairs.weighted_overlap(_true_sides(t), "a_core", "b_core", idf, default, "n")
-    return out.select("rec", "s1", *[short(c).alias(c) for c in ("n_wov", "n_cov_s1", "n_cov_rec")])
+    weighted = pairs.token_weights(t.norm, "core", *pairs.idf_table(t.norm.where("src = 1"), "core"), "_n")
+    rows = pairs.with_sides(t.truth.where("rec >= 0").select("rec", "s1"), weighted)
+    return rows.select("rec", "s1", *[short(c).alias(k) for k, c in pairs.weighted_overlap(F.col("a__n"), F.col("b__n"), "n").items()])
 
 
 # ---- decisions and evaluation ------------------------------------------------------------------------------------------
