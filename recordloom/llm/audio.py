@@ -4,7 +4,7 @@
 (8-bit PCM) in a binary column. ``features`` reads stored files: polyphase resampling by 2/3, overlapped Hann frames,
 log-mel filterbank, and speech-like segments by hysteresis on frame energy (a segment opens above the upper and closes
 below the lower threshold, both relative to the file's median). Log-mel frames are kept as one Arrow fixed-shape tensor
-array of 16 x 32 patches (8-bit, quarter decibels over the floor), as an IPC stream, with the time spans of segments.
+array of 16 x 32 patches (8-bit, steps of 0.75 decibels over the floor), as an IPC stream, with the time spans of segments.
 
 Defined results: null or empty text is 192 spaces, hence silence without segments; repeated rows and equal texts give
 equal values (each file is computed alone); an empty table gives no rows; other columns are ignored; very long files are
@@ -57,10 +57,11 @@ def _phases() -> list[np.ndarray]:
     return [np.ascontiguousarray(h[p::UP][::-1].astype(np.float32)) for p in range(UP)]
 
 
-def resample(x: np.ndarray) -> np.ndarray:
-    """y[m] = sum over taps of x around m * DOWN / UP: one phase of the filter for each residue of m * DOWN mod UP."""
+def resample(x: np.ndarray, before: np.ndarray | None = None) -> np.ndarray:
+    """y[m] = sum over taps of x around m * DOWN / UP: one phase of the filter for each residue of m * DOWN mod UP. before: the
+    TAPS - 1 samples ahead of x, silence if there are none."""
     n = -(-len(x) * UP // DOWN)
-    padded = np.concatenate([np.zeros(TAPS - 1, np.float32), x, np.zeros(DOWN, np.float32)])
+    padded = np.concatenate([np.zeros(TAPS - 1, np.float32) if before is None else before, x, np.zeros(DOWN, np.float32)])
     views = np.lib.stride_tricks.sliding_window_view(padded, TAPS)
     y = np.empty(n, np.float32)
     for k in range(UP):  # outputs k, k + UP, ... share a phase and step by DOWN inputs
@@ -102,11 +103,13 @@ def segments(energy: np.ndarray, up: float = 3.0, down: float = -1.0) -> np.ndar
 
 def analyse(media: bytes) -> dict:
     data = samples(media)
-    parts = []
-    for i in range(0, len(data), BLOCK):  # blocks overlap by what a frame needs, so that memory is bounded
-        x = (np.frombuffer(data[i : i + BLOCK + FRAME * 2], np.uint8).astype(np.float32) - 128) / 128
-        keep = BLOCK * UP // DOWN // HOP
-        parts.append(log_mel(resample(x))[: keep if i + BLOCK < len(data) else None])
+    sound = lambda a, z: (np.frombuffer(data[a:z], np.uint8).astype(np.float32) - 128) / 128
+    total = max(1, (-(-len(data) * UP // DOWN) - FRAME) // HOP + 1)  # frames of the whole file, wherever blocks end
+    keep, parts = BLOCK * UP // DOWN // HOP, []
+    for first in range(0, total, keep):  # blocks overlap by what a frame and the filter need, so that memory is bounded
+        i = first // keep * BLOCK
+        before = sound(i - TAPS + 1, i) if i else None
+        parts.append(log_mel(resample(sound(i, i + BLOCK + FRAME * 2), before))[: min(keep, total - first)])
     mel = np.concatenate(parts)
     energy = mel.mean(axis=1)
     spans = segments(energy)

@@ -126,12 +126,12 @@ def bounded_ids(rows: DataFrame, per_class: int, classes: str, most: int, key: s
     """At most per_class keys of each class, of at most `most` classes (the largest, then the least): the documented bound
     of every training sample.
 
-    Keys are picked by hash. The classes' sizes are counted first (partial counts, then a row per class; `most` of them come
-    to the driver), and every class is thinned by hash to about four times its bound while it is scanned, before anything
-    is shuffled by class: the ranking never meets a large class, however the classes are spread.
+    Keys are picked by hash. How many keys a class has is counted first (repeated rows once, mostly before they are shuffled; `most`
+    of the classes come to the driver), and every class is thinned by hash to about four times its bound while it is
+    scanned, before anything is shuffled by class: the ranking never meets a large class, however the classes are spread.
     """
-    ids = rows.select(key, classes).where(F.col(classes).isNotNull())
-    sizes = ids.groupBy(classes).agg(F.count("*").alias("_n")).orderBy(F.desc("_n"), classes).limit(most).collect()
+    ids = rows.select(key, classes).where(F.col(classes).isNotNull() & F.col(key).isNotNull())
+    sizes = ids.distinct().groupBy(classes).agg(F.count("*").alias("_n")).orderBy(F.desc("_n"), classes).limit(most).collect()
     place, many = F.xxhash64(key, F.lit("thin")), 1 << 30
     share = F.create_map(*[F.lit(x) for r in sizes for x in (r[classes], min(many, 4 * per_class * many // r["_n"] + 1))]) if sizes else None
     if share is None:
@@ -141,5 +141,10 @@ def bounded_ids(rows: DataFrame, per_class: int, classes: str, most: int, key: s
     return thin.withColumn("_rank", F.row_number().over(w)).where(F.col("_rank") <= per_class).drop("_rank")
 
 
+def one_text(rows: DataFrame, *keys: str) -> DataFrame:
+    """One row per key, with the text of least hash: a sample of ids is then one of as many rows, however often an id comes."""
+    return rows.groupBy(*keys).agg(F.min_by("text", F.struct(F.xxhash64("text"), F.length("text"))).alias("text"))
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from recordloom.llm.core import bounded_ids, crc_mod, worker
+from recordloom.llm.core import bounded_ids, crc_mod, one_text, worker
 
 DIMS = 1 << 13
 #: The bound of the training sample, and that on the number of languages with a model.
@@ -135,7 +135,7 @@ def train(docs: DataFrame, per_language: int = PER_LANGUAGE) -> dict:
 
     rows = docs.select(F.col("doc_id"), F.col("text"), F.col("lang")).where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (crc_mod(F.col("doc_id"), 3) != 1))
     sample = bounded_ids(rows, per_language, "lang", MAX_LANGUAGES)
-    picked = rows.join(F.broadcast(sample), ["doc_id", "lang"])  # at most per_language * MAX_LANGUAGES ids
+    picked = one_text(rows.join(F.broadcast(sample), ["doc_id", "lang"]), "doc_id", "lang")  # at most per_language * MAX_LANGUAGES rows
 
     def featured(batches):
         for batch in batches:

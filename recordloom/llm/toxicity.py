@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from recordloom.llm.core import bounded_ids
+from recordloom.llm.core import bounded_ids, one_text
 
 FOLDS = 3
 #: Bound of the training sample: documents of a combination of labels; and that on combinations.
@@ -175,7 +175,8 @@ def train(docs: DataFrame, labels: DataFrame, categories: dict[str, str], per_cl
     own = own.groupBy("doc_id").agg(*[F.max(k).alias(k) for k in names])
     own = own.withColumn("_class", F.concat_ws("", *names))
     sample = bounded_ids(own, per_class, "_class", MAX_CLASSES)
-    rows = docs.select("doc_id", "text").join(F.broadcast(sample.join(own, ["doc_id", "_class"])), "doc_id")  # at most per_class * MAX_CLASSES ids
+    picked = F.broadcast(sample.join(own, ["doc_id", "_class"]))  # at most per_class * MAX_CLASSES ids, each with one row below
+    rows = one_text(docs.select("doc_id", "text").join(picked, "doc_id"), "doc_id", *names)
 
     def reduced(batches):
         """What the models look at: each text's set of words, and its fold."""

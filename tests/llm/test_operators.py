@@ -14,7 +14,7 @@ sys.path.insert(0, str(Path(__file__).parent))
 import brute
 
 from recordloom.llm import audio, chat, components, language, minhash, packing, pieces, quality, queries, repeats, tokens, toxicity, wavelet
-from recordloom.llm.core import bounded_ids, materialize, memory, recorded, release, worker
+from recordloom.llm.core import bounded_ids, materialize, memory, one_text, recorded, release, worker
 
 WORDS = ["alpha", "beta", "gamma", "delta", "river", "stone", "cloud", "ember", "falcon", "garden", "harbor", "island"]
 
@@ -511,6 +511,30 @@ def test_bounded_ids_of_one_large_class(spark):
     assert bounded_ids(rows.limit(0), 30, "k", 4).count() == 0
 
 
+def test_bounded_ids_count_ids_not_rows(spark):
+    """A class of few ids in many rows keeps them all; a sample has one row of each."""
+    few = spark.range(100_000).select((F.col("id") % 20).alias("doc_id"), F.lit("few").alias("k"))
+    rows = few.union(spark.range(1000, 4000).select("id", F.lit("many"))).union(spark.range(50).select(F.lit(None).cast("long"), F.lit("few")))
+    got = bounded_ids(rows, 150, "k", 4).groupBy("k").count().collect()
+    assert {r["k"]: r["count"] for r in got} == {"few": 20, "many": 150}
+    texts = few.withColumn("text", F.when(F.col("doc_id") > 0, F.concat(F.lit("t"), (F.rand(1) * 5).cast("int").cast("string"))))
+    one = one_text(texts, "doc_id", "k").collect()
+    assert len(one) == 20 and {r["text"] for r in one if r["doc_id"] == 0} == {None} and all(r["text"] for r in one if r["doc_id"])
+
+
+def test_training_on_one_id_of_many_rows(spark):
+    """Rows of one id are one row of the sample, for languages and for toxicity; predictions still cover every row."""
+    base = [(i, sentence(i, 20) if i % 2 else "le la les des une " * 6 + str(i), "en" if i % 2 else "fr") for i in range(60)]
+    rows = base + [(1000, f"the same id again {i}", "en") for i in range(500)] + [(None, "no id", "en")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    found = language.predict(docs, language.train(docs, 30))
+    assert found.count() == len(rows) and found.where("doc_id % 2 = 0 AND doc_id < 60 AND lang_pred = 'fr'").count() >= 28
+    labels = spark.createDataFrame([(i, i % 2, i % 3 == 0) for i in [*range(60), 1000, 1000]], "doc_id long, quality int, bad boolean")
+    told = labels.withColumn("toxic", F.col("bad").cast("int"))
+    model = toxicity.train(docs, told, queries.CATEGORIES, 40)
+    assert toxicity.score(docs.withColumn("p_toxic", F.lit("clash")), model, list(queries.CATEGORIES)).count() == len(rows)
+
+
 def test_toxicity_chain_against_plain_versions():
     rng = np.random.default_rng(4)
     vocabulary = [f"word{chr(97 + i)}" for i in range(12)] + ["vile", "scum"]
@@ -597,6 +621,20 @@ def test_wav_is_readable():
         assert (f.getnchannels(), f.getsampwidth(), f.getframerate(), f.readframes(192)) == (1, 1, audio.RATE, b"abc" * 64)
 
 
+def test_audio_blocks_make_the_frames_of_the_whole_file(monkeypatch):
+    """Payloads of a block and 192 or 384 bytes more, of two blocks, and of many."""
+    rng, unit = np.random.default_rng(1), audio.UNIT
+    for n in (1, 2, 3, 7, 8, 9, 10, 16, 17, 40):
+        media = audio.wav(rng.integers(0, 256, n * unit).astype(np.uint8).tobytes())
+        monkeypatch.setattr(audio, "BLOCK", unit * 4096)
+        whole = audio.analyse(media)
+        monkeypatch.setattr(audio, "BLOCK", unit * 8)
+        parts = audio.analyse(media)
+        assert parts["n_frames"] == whole["n_frames"] == max(1, n - 1)
+        assert np.abs(parts["patches"].astype(int) - whole["patches"].astype(int)).max() <= 1 and len(parts["patches"]) == len(whole["patches"])
+        assert [s["begin_s"] for s in parts["spans"]] == [s["begin_s"] for s in whole["spans"]]
+
+
 def test_audio_features_against_plain_versions():
     raw = (BASE + "é漢").encode()
     data = np.frombuffer(raw.ljust(-(-len(raw) // 192) * 192), np.uint8)
