@@ -9,7 +9,7 @@ from pyspark.ml import PipelineModel
 from pyspark.sql import functions as F
 
 from recordloom.functions.ids import fold, is_holdout
-from recordloom.operators import blocking, classic, evaluate, models
+from recordloom.operators import blocking, classic, ensembles, evaluate, models, vectors
 from recordloom.plans import linkage
 from recordloom.plans.catalog import _KEYS, _NAME_F, _W, _split, _words, query, short
 from recordloom.plans.catalog_pairs import rounded
@@ -141,9 +141,89 @@ def candidate_budget(t):
     return t.spark.createDataFrame([(models.candidate_budget(t.scored, "p", 1.5, t.s1.count()),)], "threshold double")
 
 
-@query("SELECT k, count(*) AS n FROM (SELECT " + _RULE + ") GROUP BY k")
+@query("SELECT k, count(*) AS n, true AS moved FROM (SELECT " + _RULE + ") GROUP BY k")
 def permuted_values(t):
-    return models.permuted(_rule(t), "k").groupBy("k").agg(F.count("*").alias("n"))
+    """Each value as often as before, but most of them in other rows."""
+    rows = _rule(t)
+    both = models.permuted(rows, "k").join(rows.select("rec", F.col("k").alias("_old")), "rec")
+    return both.groupBy("k").agg(F.count("*").alias("n"), (F.avg((F.col("k") != F.col("_old")).cast("double")) > 0.5).alias("moved"))
+
+
+_FOLDS = f"SELECT p_partkey::BIGINT AS rec, ({_HASH('p_partkey', 'fold')} % 3)::INT AS fold, {_HASH('p_partkey', 'holdout')} % 10000 < 1000 AS ho FROM part"
+
+
+@query(f"SELECT rec, (CASE WHEN ho THEN fold = 0 ELSE fold = 1 END)::INT AS y FROM ({_FOLDS})")
+def unseen_folds(t):
+    """The label is whether the fold, which is the only feature, is 0. A model that has seen its own fold would say so. Fold 0's model has seen no
+    positive, fold 1's has its cut between 0 and 2, at 1, fold 2's between 0 and 1; holdout rows get the mean of the three."""
+    rows = scratch.table(_rule(t, True).withColumns({"k": F.col("fold").cast("double"), "y": (F.col("fold") == 0).cast("int")}))
+    return _decided(models.out_of_fold(rows, ["k"], "p", fit=_trees)[0])
+
+
+@query(f"SELECT rec, (fold = 1)::INT AS y FROM ({_FOLDS})")
+def unseen_parts(t):
+    """leave_one_out with the same labels: each part is scored by the model of the others."""
+    rows = scratch.table(_rule(t, True).withColumns({"k": F.col("fold").cast("double"), "y": (F.col("fold") == 0).cast("int"), "part": F.col("fold").cast("string")}))
+    return _decided(models.leave_one_out(rows, ["k"], "part", ["0", "1", "2"]))
+
+
+@query(f"SELECT rec::BIGINT AS rec, 0.5::DOUBLE AS p FROM (SELECT {_RULE})")
+def mean_of_opposites(t):
+    """A model of the labels and one of their opposites: their mean says nothing."""
+    rows = _rule(t)
+    fitted = [_trees(rows.withColumn("y", y), ["k", "noise"]) for y in (F.col("y"), 1 - F.col("y"))]
+    return models.mean_of(fitted, rows, "p").select("rec", short("p", 6).alias("p"))
+
+
+@query(f"SELECT rec::BIGINT AS rec, y FROM (SELECT {_RULE})")
+def extra_trees(t):
+    rows = scratch.table(_rule(t))
+    return _decided(ensembles.score_extra_trees(rows, ensembles.fit_extra_trees(rows, ["k", "noise"], members=2, trees=4, depth=12, least=1), "p"))
+
+
+_LAND = f"""raw_ AS (SELECT rec, s1, CASE WHEN rec % 5 > 0 THEN k END AS k, noise FROM (SELECT {_RULE})),
+st AS (SELECT avg(coalesce(k, 0)) AS mk, stddev_pop(coalesce(k, 0)) AS sk, avg(noise) AS mn, stddev_pop(noise) AS sn, avg((k IS NULL)::INT) AS mi, stddev_pop((k IS NULL)::INT) AS si FROM raw_),
+z AS (SELECT rec, s1, (coalesce(k, 0) - mk) / sk AS a, (noise - mn) / sn AS b, ((k IS NULL)::INT - mi) / si AS c FROM raw_, st),
+l AS (SELECT *, row_number() OVER (ORDER BY {_HASH("(rec || chr(124) || s1)", "landmarks")} % 2147483648, rec || chr(124) || s1) AS n FROM z QUALIFY n <= 2),
+x AS (SELECT z.rec, exp(-((z.a - p.a) ** 2 + (z.b - p.b) ** 2 + (z.c - p.c) ** 2) / 3) AS kp, exp(-((z.a - q.a) ** 2 + (z.b - q.b) ** 2 + (z.c - q.c) ** 2) / 3) AS kq, exp(-((p.a - q.a) ** 2 + (p.b - q.b) ** 2 + (p.c - q.c) ** 2) / 3) AS w FROM z, l p, l q WHERE p.n = 1 AND q.n = 2)"""
+
+
+@query(f", {_LAND} SELECT rec::BIGINT AS rec, round(kp * (1 / sqrt(1 + w) + 1 / sqrt(1 - w)) / 2 + kq * (1 / sqrt(1 + w) - 1 / sqrt(1 - w)) / 2, 6) AS f0, round(kp * (1 / sqrt(1 + w) - 1 / sqrt(1 - w)) / 2 + kq * (1 / sqrt(1 + w) + 1 / sqrt(1 - w)) / 2, 6) AS f1 FROM x")
+def landmark_features(t):
+    """Two landmarks: the inverse square root of their kernel has a closed form."""
+    rows = _rule(t).withColumn("k", F.when(F.col("rec") % 5 > 0, F.col("k")))
+    found = ensembles.landmark_features(rows, ensembles.fit_landmarks(rows, ["k", "noise"], 2), "f")
+    return found.select("rec", *[short(F.col("f")[i], 6).alias(f"f{i}") for i in range(2)])
+
+
+# ---- vector index --------------------------------------------------------------------------------------------------------
+_EXACT = """e AS (SELECT vec_id AS id, embedding::DOUBLE[] AS v FROM embeddings WHERE embedding IS NOT NULL), n AS (SELECT a.id AS s1, b.id AS cand, list_dot_product(a.v, b.v) AS cos FROM e a JOIN e b ON a.id % 50 = 0),
+r AS (SELECT *, (row_number() OVER (PARTITION BY s1 ORDER BY cos DESC, cand))::INT AS rank FROM n)"""
+
+
+def _vectors(t):
+    return scratch.table(t.table("embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("vector")))
+
+
+@query(f", {_EXACT} SELECT s1, cand, round(cos, 6) AS cos, rank FROM r WHERE rank <= 10")
+def indexed_neighbours(t):
+    """With as many probes as lists a search is exact: so every row is in the index."""
+    v = _vectors(t)
+    centres = vectors.fit_centroids(v, 16)
+    found = vectors.search(v.where("id % 50 = 0"), vectors.build_index(v, centres), centres, 10, probes=16)
+    return found.select("s1", "cand", short("cos", 6).alias("cos"), "rank")
+
+
+@query(f", {_EXACT} SELECT count(DISTINCT s1) AS n_queries, true AS found FROM r WHERE rank <= 10")
+def index_recall(t):
+    """Recall against brute force, with the probes that a sample of other queries asks for: 0.9 or more."""
+    v = _vectors(t)
+    centres, asked = vectors.fit_centroids(v, 16), v.where("id % 50 = 0")
+    index = scratch.table(vectors.build_index(v, centres), "index")
+    probes = vectors.probes_for(v.where("id % 50 > 0"), v, index, centres)
+    exact = blocking.nearest_vectors(asked.withColumn("all", F.lit(1)), v.withColumn("all", F.lit(1)), 10, "all")
+    measured = vectors.recall(vectors.search(asked, index, centres, 10, probes=probes), exact)
+    return measured.select("n_queries", (F.col("recall") >= 0.9).alias("found"))
 
 
 @query("SELECT rec, s1, a, b FROM (SELECT rec, s1, CASE WHEN rec % 4 > 0 THEN p END AS a, CASE WHEN s1 % 3 > 0 THEN p END AS b FROM scored) WHERE a IS NOT NULL OR b IS NOT NULL")
