@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from recordloom.functions.text import ALIASES, SCRIPTS, dominant_script, join_initials, literal_map, skeleton, squeeze, words
+from recordloom.functions.text import ALIASES, SCRIPTS, dominant_script, fold_ascii, join_initials, literal_map, skeleton, squeeze, words
 
 # ---- fixed values -------------------------------------------------------------------------------------------------
 TITLES = ("mr", "mrs", "ms", "dr", "shri", "smt", "m s", "the")
@@ -151,33 +151,45 @@ def repair_tokens(df: DataFrame, column: str, vocabulary: DataFrame, name: str,
     return _apply(df, column, token_repairs(token_table(df, column), vocabulary), name, key)
 
 
-def segmenter(vocabulary: DataFrame, limit: int = 50_000):
-    """A column function that cuts glued words: Viterbi over unigram costs. The vocabulary is bounded: its `limit` most
-    frequent words."""
-    rows = vocabulary.orderBy(F.desc("count"), "word").limit(limit).collect()
-    total = sum(r["count"] for r in rows) or 1
-    cost = {r["word"]: -math.log(r["count"] / total) for r in rows}
-    longest = max(map(len, cost), default=1)
-
-    def cut(word: str) -> str:
-        if word in cost or len(word) < 6:
-            return word
-        best: list[tuple[float, int]] = [(0.0, 0)]
-        for end in range(1, len(word) + 1):
-            best.append(min(((best[start][0] + cost[word[start:end]], start) for start in range(max(0, end - longest), end) if word[start:end] in cost and end - start > 1), default=(math.inf, end - 1)))
-        if math.isinf(best[-1][0]):
-            return word
-        out, end = [], len(word)
+def segmentations(tokens: DataFrame, vocabulary: DataFrame, least: int = 6) -> DataFrame:
+    """(token, fixed): unknown tokens of `least` letters and more cut into words of two letters and more, where that is possible: the
+    cut of least summed cost, a word's being -ln(count / all counts); of equally good ones, that whose last word is longest.
+
+    The vocabulary may be of any size: each distinct token's substrings meet it by key, and the token's own hits, at most one
+    per pair of places, are walked once.
+    """
+    total, longest = vocabulary.agg(F.coalesce(F.sum("count"), F.lit(1)), F.coalesce(F.max(F.length("word")), F.lit(0))).first()
+    glued = tokens.select("token").where(F.length("token") >= least).distinct().join(vocabulary.select(F.col("word").alias("token")), "token", "left_anti")
+    starts = glued.select("token", F.explode(F.sequence(F.lit(1), F.length("token") - 1)).alias("start"))
+    room = F.least(F.length("token") - F.col("start") + 1, F.lit(longest))
+    pieces = starts.where(room >= 2).select("token", "start", F.explode(F.sequence(F.lit(2), room)).alias("size"))
+    pieces = pieces.withColumn("word", F.substr("token", F.col("start"), F.col("size")))
+    found = pieces.join(vocabulary, "word").withColumn("cost", -F.log(F.col("count") / F.lit(total)))
+    by_end = F.sort_array(F.collect_list(F.struct((F.col("start") + F.col("size") - 1).alias("end"), F.col("start").alias("start"), F.col("cost").alias("cost"))))
+    return found.groupBy("token").agg(by_end.alias("hits")).select("token", _cut("token", "hits").alias("fixed")).where(F.col("fixed") != F.col("token"))
+
+
+@F.pandas_udf(StringType())
+def _cut(tokens: pd.Series, hits: pd.Series) -> pd.Series:
+    """Each token by its hits (end, start, cost), ends ascending."""
+    out = []
+    for token, own in zip(tokens, hits, strict=True):
+        best: dict[int, tuple[float, int]] = {0: (0.0, 0)}
+        for h in own:
+            if h["start"] - 1 in best:
+                now = (best[h["start"] - 1][0] + h["cost"], h["start"] - 1)
+                best[h["end"]] = min(best.get(h["end"], (math.inf, 0)), now)
+        parts, end = [], len(token) if len(token) in best else 0
         while end:
-            out.append(word[best[end][1] : end])
+            parts.append(token[best[end][1] : end])
             end = best[end][1]
-        return " ".join(reversed(out))
+        out.append(" ".join(reversed(parts)) or token)
+    return pd.Series(out)
 
-    @F.pandas_udf(StringType())
-    def run(values: pd.Series) -> pd.Series:
-        return values.map(lambda s: None if s is None else " ".join(map(cut, s.split())))
 
-    return run
+def segment(df: DataFrame, column: str, vocabulary: DataFrame, name: str, key: str = "id") -> DataFrame:
+    """column with glued words cut, as name."""
+    return _apply(df, column, segmentations(token_table(df, column), vocabulary), name, key)
 
 
 def language_info(df: DataFrame, column: str, languages: dict[str, str] | None = None) -> DataFrame:
@@ -198,6 +210,36 @@ def romanize(df: DataFrame, column: str, cache: DataFrame, name: str, key: str =
     return _apply(df, column, cache.select("token", F.col("roman").alias("fixed")), name, key)
 
 
+OTHER_SCRIPTS = tuple(k for k in SCRIPTS if k != "Latin")
+_RUNS = "|".join(rf"\p{{Is{k}}}+" for k in OTHER_SCRIPTS) + "|[^" + "".join(rf"\p{{Is{k}}}" for k in OTHER_SCRIPTS) + "]+"
+
+
+def script_runs(value: Column) -> Column:
+    """A text's runs of one script, in order; Latin letters, digits and signs together are a run."""
+    return F.regexp_extract_all(F.coalesce(value, F.lit("")), F.lit(_RUNS), 0)
+
+
+def romanize_runs(df: DataFrame, column: str, cache: DataFrame, model: DataFrame | None, name: str, key: str = "id") -> DataFrame:
+    """column in Latin letters as name, and where each run of another script came from as <name>_sources, in order: the cache
+    (token, roman), else the model's table of the same columns, else its sound (letter by letter). No other script is left.
+
+    Every distinct run is looked up once; rows and runs meet by key.
+    """
+    runs = F.posexplode_outer(script_runs(F.col("_w"))).alias("_r", "token")
+    parts = df.select(key, F.posexplode_outer(words(F.col(column))).alias("_p", "_w")).select(key, "_p", runs)
+    other = parts.select("token").where(F.col("token").rlike("|".join(rf"\p{{Is{k}}}" for k in OTHER_SCRIPTS))).distinct()
+    known = other.join(cache.select("token", F.col("roman").alias("_c")), "token", "left")
+    known = known.join(model.select("token", F.col("roman").alias("_m")), "token", "left") if model is not None else known.withColumn("_m", F.lit(None).cast("string"))
+    source = F.when(F.col("_c").isNotNull(), "cache").when(F.col("_m").isNotNull(), "model").otherwise("sound")
+    found = known.select("token", F.coalesce("_c", "_m", fold_ascii(F.col("token"))).alias("_roman"), source.alias("_s"))
+    spelt = parts.join(found, "token", "left")
+    own = F.array_sort(F.collect_list(F.struct("_p", "_r", F.coalesce("_roman", "token", F.lit("")).alias("t"), "_s")))
+    each = spelt.groupBy(key).agg(own.alias("_o"))
+    text = F.aggregate("_o", F.lit(""), lambda acc, x: F.concat(acc, F.when((x["_r"] == 0) & (x["_p"] > 0), F.lit(" ")).otherwise(F.lit("")), x["t"]))
+    sources = F.transform(F.filter("_o", lambda x: x["_s"].isNotNull()), lambda x: x["_s"])
+    return df.join(each.select(key, text.alias(name), sources.alias(f"{name}_sources")), key, "left")
+
+
 def missing_tokens(df: DataFrame, column: str, cache: DataFrame) -> DataFrame:
     other = "|".join(rf"\p{{Is{s}}}" for s in SCRIPTS if s != "Latin")
     return token_table(df, column).where(F.col("token").rlike(other)).join(cache.select("token"), "token", "left_anti")

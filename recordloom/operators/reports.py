@@ -29,6 +29,65 @@ def exact_key_recall(s1: DataFrame, rec: DataFrame, truth: DataFrame, keys: dict
     return reduce(DataFrame.unionByName, [one(k, v) for k, v in keys.items()])
 
 
+def combined_key_recall(s1: DataFrame, rec: DataFrame, truth: DataFrame, setups: dict[str, tuple[str, ...]]) -> DataFrame:
+    """For each set-up (a name and columns that both sides have): share of true pairs that agree in any of the columns, and median,
+    95th percentile and maximum of the reference records that a record meets through any of them.
+
+    A union's size is the sum over combinations of columns, taken with alternating signs, of how many reference records agree
+    in all of them: group sizes that meet by key, so no pair is listed. Empty keys meet nothing.
+    """
+    true = truth.where("rec >= 0").select("rec", "s1")
+    some = lambda c: F.nullif(F.col(c), F.lit(""))
+
+    def one(name: str, columns: tuple[str, ...]) -> DataFrame:
+        a, b = (d.select("id", *[some(c).alias(c) for c in columns]) for d in (s1, rec))
+        sides = true.join(a.toDF("s1", *[f"_a{i}" for i in range(len(columns))]), "s1", "left").join(b.toDF("rec", *[f"_b{i}" for i in range(len(columns))]), "rec", "left")
+        same = reduce(lambda x, y: x | y, [F.coalesce(F.col(f"_a{i}") == F.col(f"_b{i}"), F.lit(False)) for i in range(len(columns))])
+        met, total = b, F.lit(0)
+        for k in range(1, 1 << len(columns)):
+            own = [c for i, c in enumerate(columns) if k >> i & 1]
+            sizes = a.dropna(subset=own).groupBy(*own).agg(F.count("*").alias(f"_n{k}"))
+            met = met.join(sizes, own, "left")
+            total = total + F.coalesce(f"_n{k}", F.lit(0)) * (1 if len(own) % 2 else -1)
+        n = met.select(total.alias("n"))
+        fan = n.agg(F.percentile("n", F.lit(0.5)).alias("median"), F.percentile("n", F.lit(0.95)).alias("p95"), F.max("n").alias("largest"))
+        return fan.select(F.lit(name).alias("setup"), F.lit(sides.agg(F.avg(same.cast("double"))).first()[0]).cast("double").alias("recall"), "median", "p95", "largest")
+
+    return reduce(DataFrame.unionByName, [one(k, v) for k, v in setups.items()])
+
+
+OUTCOMES = ("missed_by_blocking", "removed_by_pruning", "rejected_by_model")
+
+
+def lineage(truth: DataFrame, blocked: DataFrame, pruned: DataFrame, accepted: DataFrame) -> DataFrame:
+    """(rec, s1, outcome, winner): what became of each true pair: TP, or the stage that lost it; winner is the entity that has the
+    record now, if any. blocked, pruned and accepted are (rec, s1) tables."""
+    true = truth.where("rec >= 0").select("rec", "s1")
+    mark = lambda d, name: d.select("rec", "s1", F.lit(True).alias(name)).distinct()
+    rows = true.join(mark(blocked, "_b"), ["rec", "s1"], "left").join(mark(pruned, "_p"), ["rec", "s1"], "left").join(accepted.select("rec", F.col("s1").alias("winner")), "rec", "left")
+    lost = F.when(F.col("_b").isNull(), OUTCOMES[0]).when(F.col("_p").isNull(), OUTCOMES[1]).otherwise(OUTCOMES[2])
+    return rows.select("rec", "s1", F.when(F.col("winner") == F.col("s1"), "TP").otherwise(lost).alias("outcome"), "winner")
+
+
+def loss_by_cause(lineage_rows: DataFrame, accepted: DataFrame, population: DataFrame) -> DataFrame:
+    """(scenario, macro_f05, gain): macro F0.5 as it is, and if one loss alone were mended: each stage's, all false positives,
+    predictions for entities without a match, everything. One aggregation over entities."""
+    from recordloom.operators.evaluate import entity_f05
+
+    count = lambda c: F.sum(c.cast("long"))
+    per = lineage_rows.groupBy("s1").agg(F.count("*").alias("nt"), count(F.col("outcome") == "TP").alias("tp"), *[count(F.col("outcome") == k).alias(k) for k in OUTCOMES])
+    wrong = accepted.select("rec", "s1").join(lineage_rows.select("rec", "s1"), ["rec", "s1"], "left_anti").groupBy("s1").agg(F.count("*").alias("fp"))
+    rows = population.select("s1").distinct().join(per, "s1", "left").join(wrong, "s1", "left").fillna(0)
+    nt, tp, fp = F.col("nt"), F.col("tp"), F.col("fp")
+    scenarios = {
+        "actual": (tp, fp), "fix blocking misses": (tp + F.col(OUTCOMES[0]), fp), "fix pruning losses": (tp + F.col(OUTCOMES[1]), fp), "fix model rejections": (tp + F.col(OUTCOMES[2]), fp),
+        "remove all false positives": (tp, F.lit(0)), "empty prediction for singletons": (tp, F.when(nt > 0, fp).otherwise(0)), "perfect": (nt, F.lit(0)),
+    }
+    means = rows.agg(*[F.avg(entity_f05(a.cast("double"), b.cast("double"), nt)).alias(k) for k, (a, b) in scenarios.items()])
+    listed = means.select(F.explode(F.array(*[F.struct(F.lit(k).alias("scenario"), F.col(f"`{k}`").alias("macro_f05"), (F.col(f"`{k}`") - F.col("actual")).alias("gain")) for k in scenarios])).alias("r"))
+    return listed.select("r.*")
+
+
 def normalisation_effect(pairs: DataFrame, before: tuple[str, str], after: tuple[str, str]) -> DataFrame:
     """Mean token Jaccard of pairs before and after, and how many gained and lost."""
     j = lambda c: jaccard(words(F.col(c[0])), words(F.col(c[1])))

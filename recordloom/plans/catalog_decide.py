@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from recordloom.operators import decide, evaluate
-from recordloom.plans.catalog import _BEST, query, short
+from recordloom.operators import decide, evaluate, ranking, reports
+from recordloom.plans.catalog import _BEST, _split, query, short
 
 #: A second source: a record of its own for every scored one, its scores moved a little, its addresses missing elsewhere.
 _SECOND = "SELECT rec + 10000000000 AS rec, s1, 3 AS src, (rec + s1) % 4 = 0 AS a_missing, p * 0.85 + (s1 * 31 + rec * 17) % 100 / 1000.0 AS p FROM scored WHERE rec % 3 > 0"
@@ -92,3 +92,53 @@ def holdout_quality(t):
     out = evaluate.holdout_report(both, truth, "p", threshold=0.55)
     floats = ("macro_f05", "pair_p", "pair_r", "singleton_acc", "macro_f05_weighted")
     return out.select(*[short(c).alias(c) if c in floats else F.col(c) for c in out.columns])
+
+
+_SETUPS = {"name": ("glued",), "address": ("atok",), "name, address": ("glued", "atok"), "core, postcode": ("core", "post"), "all four": ("glued", "atok", "core", "post")}
+
+
+def _setup_sql(name: str, columns: tuple[str, ...]) -> str:
+    any_ = lambda a, b: " OR ".join(f"({a}.{c} <> '' AND {a}.{c} = {b}.{c})" for c in columns)
+    met = " UNION ".join(f"SELECT b.id AS rec, a.id AS s1 FROM norm a JOIN norm b ON a.src = 1 AND b.src = 2 AND a.{c} <> '' AND a.{c} = b.{c}" for c in columns)
+    return f"""SELECT '{name}' AS setup, (SELECT avg(coalesce({any_("a", "b")}, false)::INT) FROM truth t LEFT JOIN norm a ON a.id = t.s1 LEFT JOIN norm b ON b.id = t.rec WHERE t.rec >= 0) AS recall,
+  quantile_cont(n, 0.5) AS median, quantile_cont(n, 0.95) AS p95, max(n)::BIGINT AS largest FROM (SELECT r.id, count(m.s1) AS n FROM norm r LEFT JOIN ({met}) m ON m.rec = r.id WHERE r.src = 2 GROUP BY r.id)"""
+
+
+@query(" UNION ALL ".join(_setup_sql(k, v) for k, v in _SETUPS.items()))
+def combined_key_recall(t):
+    s1, rec = _split(t)
+    return reports.combined_key_recall(s1, rec, t.truth, _SETUPS)
+
+
+_STAGES = f"""b AS (SELECT rec, s1, p FROM scored WHERE rec % 11 > 0), pr AS (SELECT *, row_number() OVER (PARTITION BY rec ORDER BY p DESC, s1) AS n FROM b QUALIFY n <= 2 AND (p >= 0.35 OR n = 1)),
+acc AS (SELECT rec, s1 FROM pr WHERE n = 1 AND p >= 0.6), tr AS (SELECT s1, rec FROM truth WHERE rec >= 0),
+lin AS (SELECT tr.rec, tr.s1, acc.s1 AS winner, CASE WHEN acc.s1 = tr.s1 THEN 'TP' WHEN b.rec IS NULL THEN 'missed_by_blocking' WHEN pr.rec IS NULL THEN 'removed_by_pruning' ELSE 'rejected_by_model' END AS outcome
+  FROM tr LEFT JOIN b USING (rec, s1) LEFT JOIN pr ON pr.rec = tr.rec AND pr.s1 = tr.s1 LEFT JOIN acc ON acc.rec = tr.rec)"""
+
+
+def _stages(t):
+    blocked = t.scored.where("rec % 11 > 0").select("rec", "s1", "p")
+    pruned = ranking.prune(blocked, "p", 2, 0.35).select("rec", "s1", "p")
+    accepted = decide.assign(pruned, "p", 0.6)
+    return reports.lineage(t.truth, blocked, pruned, accepted), accepted
+
+
+@query(f", {_STAGES} SELECT rec, s1, outcome, winner FROM lin")
+def pair_lineage(t):
+    return _stages(t)[0]
+
+
+def _scenario(name: str, tp: str, fp: str) -> str:
+    return f"SELECT '{name}' AS scenario, avg((SELECT {_F05} FROM (SELECT {tp} AS tp, {fp} AS fp))) AS m FROM ent"
+
+
+@query(f""", {_STAGES}, w AS (SELECT s1, count(*) AS fp FROM (SELECT rec, s1 FROM acc EXCEPT SELECT rec, s1 FROM tr) GROUP BY s1),
+l AS (SELECT s1, count(*) AS nt, count(*) FILTER (WHERE outcome = 'TP') AS tp, count(*) FILTER (WHERE outcome = 'missed_by_blocking') AS mb, count(*) FILTER (WHERE outcome = 'removed_by_pruning') AS rp, count(*) FILTER (WHERE outcome = 'rejected_by_model') AS rm FROM lin GROUP BY s1),
+ent AS (SELECT id AS s1, coalesce(nt, 0) AS nt, coalesce(tp, 0) AS t, coalesce(mb, 0) AS mb, coalesce(rp, 0) AS rp, coalesce(rm, 0) AS rm, coalesce(fp, 0) AS f FROM s1 LEFT JOIN l ON l.s1 = s1.id LEFT JOIN w ON w.s1 = s1.id),
+r AS ({_scenario("actual", "t", "f")} UNION ALL {_scenario("fix blocking misses", "t + mb", "f")} UNION ALL {_scenario("fix pruning losses", "t + rp", "f")} UNION ALL {_scenario("fix model rejections", "t + rm", "f")} UNION ALL {_scenario("remove all false positives", "t", "0")}
+  UNION ALL {_scenario("empty prediction for singletons", "t", "CASE WHEN nt > 0 THEN f ELSE 0 END")} UNION ALL {_scenario("perfect", "nt", "0")})
+SELECT scenario, round(m, 9) AS macro_f05, round(m - (SELECT m FROM r WHERE scenario = 'actual'), 9) AS gain FROM r""")
+def loss_by_cause(t):
+    rows, accepted = _stages(t)
+    out = reports.loss_by_cause(rows, accepted, t.s1.select(F.col("id").alias("s1")))
+    return out.select("scenario", short("macro_f05").alias("macro_f05"), short("gain").alias("gain"))

@@ -144,6 +144,35 @@ def spelt_scripts(t):
     return _scripted(t).where("id % 5 IN (1, 2)").select("id", text.basic(F.col("name")).alias("plain"))
 
 
+_LETTERED = _SPELT.replace("replace(name,", "replace(r,")
+
+
+@query(rf"""WITH v AS ({_SCRIPTED}), w AS (SELECT id, unnest({_words('name')}) AS w, generate_subscripts({_words('name')}, 1) AS p FROM v WHERE id % 5 IN (1, 2)),
+r AS (SELECT id, p, unnest(rs) AS r, generate_subscripts(rs, 1) AS q FROM (SELECT id, p, regexp_extract_all(w, '[\p{{Devanagari}}]+|[\p{{Bengali}}]+|[^\p{{Devanagari}}\p{{Bengali}}]+') AS rs FROM w)),
+s AS (SELECT *, CASE WHEN NOT regexp_matches(r, '[\p{{Devanagari}}\p{{Bengali}}]') THEN NULL WHEN length(r) = 1 THEN 'cache' WHEN length(r) = 2 THEN 'model' ELSE 'sound' END AS source FROM r),
+t AS (SELECT *, CASE source WHEN 'cache' THEN translate(r, 'कखगघचछजझটठঅআইঈউ', 'abcdefghijaeiou') WHEN 'model' THEN concat('m', translate(r, 'कखगघचछजझটठঅআইঈউ', 'abcdefghijaeiou')) WHEN 'sound' THEN {_LETTERED} ELSE r END AS o FROM s),
+f AS (SELECT id, string_agg(CASE WHEN q = 1 AND p > 1 THEN ' ' ELSE '' END || o, '' ORDER BY p, q) AS roman, string_agg(source, ',' ORDER BY p, q) AS sources FROM t GROUP BY id)
+SELECT v.id, coalesce(roman, '') AS roman, coalesce(sources, '') AS sources FROM v LEFT JOIN f USING (id) WHERE v.id % 5 IN (1, 2)""")
+def romanized_runs(t):
+    """Names that mix scripts inside words: single letters are in the cache, pairs in the model's table, the rest goes by sound."""
+    rows = scratch.table(_scripted(t).where("id % 5 IN (1, 2)"), "scripted")
+    runs = rows.select(F.explode(text.words(F.col("name"))).alias("w")).select(F.explode(names.script_runs(F.col("w"))).alias("token")).distinct()
+    roman = F.translate("token", "कखगघचछजझটठঅআইঈউ", "abcdefghijaeiou")
+    other = runs.where(F.col("token").rlike(r"[\p{IsDevanagari}\p{IsBengali}]"))
+    cache, model = other.where("length(token) = 1").select("token", roman.alias("roman")), other.where("length(token) = 2").select("token", F.concat(F.lit("m"), roman).alias("roman"))
+    return names.romanize_runs(rows, "name", cache, model, "roman").select("id", "roman", F.array_join("roman_sources", ",").alias("sources"))
+
+
+@query(rf""", {_VOCABULARY}, all_ AS (SELECT sum(n) AS total FROM v), g AS (SELECT DISTINCT token FROM (SELECT unnest({_words('glued')}) AS token FROM norm WHERE src = 2) WHERE length(token) >= 6 AND token NOT IN (SELECT word FROM v)),
+h AS (SELECT g.token, i AS start, length(word) AS size, -ln(n / total) AS cost FROM g, range(1, length(token)) u(i), range(2, length(token) - i + 2) q(k), v, all_ WHERE substr(token, i, k) = word),
+cuts AS (WITH RECURSIVE walk(token, pos, cost, said) AS (SELECT token, 1::BIGINT, 0.0::DOUBLE, '' FROM g UNION ALL SELECT w.token, w.pos + h.size, w.cost + h.cost, w.said || CASE WHEN w.pos > 1 THEN ' ' ELSE '' END || substr(w.token, w.pos, h.size) FROM walk w JOIN h ON h.token = w.token AND h.start = w.pos)
+  SELECT token, said, cost FROM walk WHERE pos = length(token) + 1)
+SELECT token, arg_min(said, cost) AS fixed FROM cuts GROUP BY token HAVING arg_min(said, cost) <> token""")
+def segmented_words(t):
+    tokens = _split(t)[1].select(F.explode(text.words(F.col("glued"))).alias("token")).distinct()
+    return names.segmentations(tokens, scratch.table(_vocabulary(t), "vocabulary"))
+
+
 _SK = lambda w: _collapsed(f"translate(lower({w}), 'aeiouyhw', '')")
 
 

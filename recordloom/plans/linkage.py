@@ -6,12 +6,13 @@ Stages end in tables where a model has to be fitted; everything between is one l
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from functools import partial
 
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from recordloom.functions.ids import is_holdout
+from recordloom.functions.ids import fold, is_holdout
 from recordloom.functions.text import INDIC, normalize_address, normalize_name
 from recordloom.operators import blocking, decide, evaluate, lexicon, models, pairs, ranking
 from recordloom.sources.scratch import table
@@ -97,19 +98,23 @@ def retune(scored: DataFrame, truth: DataFrame, p: str = "p2") -> float:
     return decide.tune_threshold(scored.where("NOT ho"), truth, people, p)
 
 
-def train(norm: DataFrame, truth: DataFrame, checkpoint=table, channels: dict | None = None) -> tuple[DataFrame, Fitted]:
-    """Scored pairs (p1, p2, out of fold) and the fitted models. checkpoint(df, name) writes a table and reads it back."""
+def train(norm: DataFrame, truth: DataFrame, checkpoint=table, channels: dict | None = None, rounds: int = 40) -> tuple[DataFrame, Fitted]:
+    """Scored pairs (p1, p2, out of fold) and the fitted models. checkpoint(df, name) writes a table and reads it back. The pruner is
+    cross-fitted on two halves; both passes boost for as long as the held-out fold gains, `rounds` at most."""
+    long = partial(models.fit_trees, rounds=rounds)
     cand = checkpoint(evaluate.attach_labels(candidates(norm, channels), truth), "candidates")
     cheap = models.feature_columns(cand)
-    scored, pruner = models.out_of_fold(cand, cheap, "p_prune")
+    halves = cand.withColumn("_half", fold(F.col("grp"), 2, "half"))
+    scored, pruner = models.out_of_fold(halves, cheap, "p_prune", fold="_half", folds=2)
+    scored = scored.drop("_half")
     kept = checkpoint(ranking.prune(scored), "pruned")
     feats = checkpoint(pairs.pair_features(kept, norm), "features")
     cols = models.feature_columns(feats)
-    p1, first = models.out_of_fold(feats, cols, "p1")
+    p1, first = models.out_of_fold(feats, cols, "p1", fit=long, early=True)
     p1 = checkpoint(p1, "pass1")
     clustered = checkpoint(pairs.cluster_features(p1, norm, "p1", 0.5), "clusters")
     cols2 = [*cols, *[c for c in clustered.columns if c.startswith(("cl_", "p1"))]]
-    p2, second = models.out_of_fold(clustered, cols2, "p2")
+    p2, second = models.out_of_fold(clustered, cols2, "p2", fit=long, early=True)
     p2 = checkpoint(p2, "pass2")
     return p2, Fitted(pruner, first, second, (cheap, cols, cols2), retune(p2, truth))
 

@@ -89,8 +89,9 @@ def test_name_repairs(spark):
     assert fixed[1] == "golden river" and fixed[2] == "goldenriver solo" and fixed[3] == ""
     repaired = {r["id"]: r["f"] for r in names.repair_tokens(df, "name", vocabulary, "f").collect()}
     assert repaired[1].endswith("river")
-    cut = names.segmenter(vocabulary)
-    assert df.where("id = 2").select(cut(F.col("name"))).first()[0] == "golden river s0l0"
+    assert names.segment(df, "name", vocabulary, "f").where("id = 2").first()["f"] == "golden river s0l0"
+    many = vocabulary.union(spark.range(60_000).select(F.concat(F.lit("x"), F.col("id").cast("string")), F.lit(1000)))
+    assert names.segment(df, "name", many, "f").where("id = 2").first()["f"] == "golden river s0l0"  # rare words of a large vocabulary too
     keys = spark.createDataFrame([("the green bolt co pvt ltd",)], "n string").select(names.canonical_keys(F.col("n")).alias("k")).first()["k"]
     assert tuple(keys) == ("the green bolt company private limited", "green bolt", "company private limited")
     rows = spark.createDataFrame([(i, n) for i, n in enumerate(["p c id 13896 bros", "limited east co", "ltd", "the 12345", ""])], "i int, n string").orderBy("i")
@@ -100,6 +101,10 @@ def test_name_repairs(spark):
     cache = spark.createDataFrame([("राम", "raam")], "token string, roman string")
     roman = names.romanize(spark.createDataFrame([(1, "राम lal")], "id long, name string"), "name", cache, "r").first()["r"]
     assert roman == "raam lal"
+    mixed = spark.createDataFrame([(1, "Café राम42कমা lal"), (2, ""), (3, None)], "id long, name string")
+    model = spark.createDataFrame([("क", "ka"), ("राम", "unused")], "token string, roman string")
+    got = {r["id"]: (r["r"], r["r_sources"]) for r in names.romanize_runs(mixed, "name", cache, model, "r").collect()}
+    assert got[1] == ("Café raam42kamaa lal", ["cache", "model", "sound"]) and got[2] == got[3] == ("", [])
 
 
 def test_pair_feature_values(spark):
