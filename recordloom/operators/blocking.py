@@ -195,6 +195,12 @@ def nearest_rows(queries: DataFrame, reference: DataFrame, k: int, floor: float
     return top_k(parts.groupBy("grp", "slice").applyInPandas(multiply, "rec long, s1 long, score double"), k)
 
 
+def nearest_records(reference: DataFrame, queries: DataFrame, k: int, source: Column, sources: tuple[int, ...], floor: float = 0.05) -> DataFrame:
+    """(s1, rec, src, score, rank): each reference row's best k records of each source, by the same matrices the other way round."""
+    found = [nearest_rows(reference, queries.where(source == n), k, floor).select(F.col("rec").alias("s1"), F.col("s1").alias("rec"), F.lit(n).alias("src"), "score", "rank") for n in sources]
+    return reduce(DataFrame.union, found)
+
+
 def channel(s1: DataFrame, rec: DataFrame, features: Callable[[], Column], cap: int) -> tuple[DataFrame, DataFrame]:
     """The two long matrices of a channel over the reference vocabulary: (reference, queries). fid numbers its features."""
     own = explode_features(s1, features())
@@ -414,6 +420,13 @@ def new_neighbours(pairs: DataFrame, neighbours: DataFrame, top: int = 5) -> Dat
     return best.join(pairs.select("s1", "cand"), ["s1", "cand"], "left_anti")
 
 
+def restrict(s1: DataFrame, rec: DataFrame, countries: tuple[str, ...] | None = None, first: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """Development restriction: records of some countries, and the reference records of least id."""
+    if countries is not None:
+        s1, rec = s1.where(F.col("country").isin(*countries)), rec.where(F.col("country").isin(*countries))
+    return (s1.orderBy("id").limit(first) if first is not None else s1), rec
+
+
 def shared_address(pairs: DataFrame, norm: DataFrame, least: int = 1) -> DataFrame:
     """Development restriction: pairs whose addresses have at least so many words in common. Spark judges a table by its
     compressed files and would broadcast the words of all records: hence merge."""

@@ -128,6 +128,18 @@ def stack(df: DataFrame, scores: list[str], name: str, fold: str = "fold", holdo
     return out.drop(*[f"_l_{s}" for s in scores]), models
 
 
+def second_level(df: DataFrame, p: str, x: str, name: str, fold: str = "fold", folds: int = 3, holdout: str = "ho", rounds: int = 40) -> tuple[DataFrame, list[PipelineModel]]:
+    """Boosted trees over two scores' log-odds, ranks and gaps, out of fold; boosting stops when the held-out fold's loss does."""
+    from functools import partial
+
+    from recordloom.operators.classic import stack_features
+
+    rows = stack_features(df, p, x)
+    made = [c for c in rows.columns if c not in df.columns]
+    out, models = out_of_fold(rows, [p, x, *made], name, fold, folds, holdout, partial(fit_trees, rounds=rounds), early=True)
+    return out.drop(*made), models
+
+
 def importances(model: PipelineModel) -> dict[str, float]:
     columns = model.stages[0].getInputCols()
     return dict(sorted(zip(columns, model.stages[-1].featureImportances.toArray().tolist(), strict=True), key=lambda kv: -kv[1]))

@@ -128,7 +128,7 @@ def decoy_features(a_number: Column, b_number: Column, a_legal: Column, b_legal:
     return {"d_house_changed": _flag(changed), "d_legal_added": _flag(added), "d_both": _flag(changed & added), "d_same_name": _flag(changed & (name_similarity >= 0.95))}
 
 
-def cluster_features(scored: DataFrame, norm: DataFrame, p: str = "p1", threshold: float = 0.5) -> DataFrame:
+def cluster_features(scored: DataFrame, norm: DataFrame, p: str = "p1", threshold: float = 0.5, block_rows: int = 1024) -> DataFrame:
     """Collective features: each candidate record against the other records tentatively given to its entity.
 
     A record belongs to the entities where it scores best, from the threshold up. Candidates meet members by entity;
@@ -140,8 +140,13 @@ def cluster_features(scored: DataFrame, norm: DataFrame, p: str = "p1", threshol
     best = F.max(p).over(_by("rec"))
     members = scored.withColumn("_best", best).where((F.col(p) >= F.col("_best")) & (F.col(p) >= threshold)).select(F.col("rec").alias("m"), "s1", F.col(p).alias("pm"))
     out = out.join(members.groupBy("s1").agg(F.count("*").alias(f"{p}_s1n")), "s1", "left").fillna(0, [f"{p}_s1n"])
-    pairs = scored.select("rec", "s1").join(members, "s1").where("m <> rec")
-    both = with_sides(pairs, norm.select("id", "core", "glued", "atok", "anum", "legal"), "rec", "m")
+    # both sides get their texts before they meet, so pairs aren't shuffled; an entity's members are dealt to blocks
+    lean = norm.select("id", "core", "glued", "atok", "anum", "legal")
+    side = lambda d, key, p: d.join(lean.select(F.col("id").alias(key), *[F.col(c).alias(f"{p}_{c}") for c in lean.columns[1:]]), key, "left").fillna("", [f"{p}_{c}" for c in lean.columns[1:]])
+    blocks = members.groupBy("s1").agg(F.ceil(F.count("*") / block_rows).cast("int").alias("_nb"))
+    near = side(members, "m", "b").join(blocks, "s1").withColumn("_block", F.pmod(F.xxhash64("m"), "_nb").cast("int")).drop("_nb")
+    asked = side(scored.select("rec", "s1"), "rec", "a").join(blocks, "s1").withColumn("_block", F.explode(F.sequence(F.lit(0), F.col("_nb") - 1))).drop("_nb")
+    both = asked.join(near, ["s1", "_block"]).where("m <> rec")
     ha, hb = F.get(words(F.col("a_anum")), F.lit(0)), F.get(words(F.col("b_anum")), F.lit(0))
     sims = both.select(
         "rec", "s1", "m", "pm", SCORERS["token_set_ratio"](F.col("a_core"), F.col("b_core")).alias("cn"), SCORERS["jaro_winkler"](F.col("a_glued"), F.col("b_glued")).alias("cg"),

@@ -122,6 +122,21 @@ def failure_patterns() -> Column:
     return F.when(b == "", F.array(F.lit("no name"))).otherwise(labels)
 
 
+def shift_checks(train: DataFrame, test: DataFrame, accepted: DataFrame) -> DataFrame:
+    """(check, value) of results on other data than the models have seen: countries of test that train lacks, and the records in
+    them; accepted pairs whose sides are of different countries; entities with a match, and records with an entity, as shares."""
+    known = train.select("country").distinct()
+    new = test.where(F.col("country").isNotNull()).join(known, "country", "left_anti")
+    unseen = new.agg(F.countDistinct("country").cast("double").alias("unseen countries"), F.count("*").cast("double").alias("records in them"))
+    side = lambda key, name: test.select(F.col("id").alias(key), F.col("country").alias(name))
+    pairs = accepted.select("rec", "s1").join(side("s1", "_a"), "s1").join(side("rec", "_b"), "rec")
+    cross = pairs.agg(F.avg((~F.col("_a").eqNullSafe(F.col("_b"))).cast("double")).alias("cross-country pairs"))
+    marked = test.select("id", "src").join(accepted.select(F.col("s1").alias("id")).union(accepted.select(F.col("rec").alias("id"))).distinct().withColumn("_m", F.lit(1.0)), "id", "left").fillna(0.0, ["_m"])
+    rates = marked.agg(F.avg(F.when(F.col("src") == 1, F.col("_m"))).alias("matched entities"), F.avg(F.when(F.col("src") > 1, F.col("_m"))).alias("claimed records"))
+    listed = lambda d: d.select(F.explode(F.array(*[F.struct(F.lit(c).alias("check"), F.col(f"`{c}`").alias("value")) for c in d.columns])).alias("r")).select("r.*")
+    return reduce(DataFrame.unionByName, [listed(unseen), listed(cross), listed(rates)])
+
+
 def country_sanity(s1: DataFrame, accepted: DataFrame, rec: DataFrame) -> DataFrame:
     """Per country: matches per entity, share of entities without any, share of records claimed."""
     n = accepted.groupBy("s1").agg(F.count("*").alias("n"))

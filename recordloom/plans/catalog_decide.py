@@ -142,3 +142,15 @@ def loss_by_cause(t):
     rows, accepted = _stages(t)
     out = reports.loss_by_cause(rows, accepted, t.s1.select(F.col("id").alias("s1")))
     return out.select("scenario", short("macro_f05").alias("macro_f05"), short("gain").alias("gain"))
+
+
+@query(f""", {_BEST}, acc AS (SELECT rec, s1 FROM best WHERE p >= 0.55 AND s1 % 2 = 1), te AS (SELECT id, src, CASE WHEN id % 7 = 0 THEN 'Else' ELSE country END AS country FROM records WHERE id % 2 = 1), tr AS (SELECT country FROM records WHERE id % 2 = 0),
+n AS (SELECT * FROM te WHERE country NOT IN (SELECT country FROM tr)), m AS (SELECT s1 AS id FROM acc UNION SELECT rec FROM acc)
+SELECT 'unseen countries' AS "check", count(DISTINCT country)::DOUBLE AS value FROM n UNION ALL SELECT 'records in them', count(*)::DOUBLE FROM n
+UNION ALL SELECT 'cross-country pairs', avg((a.country <> b.country)::INT) FROM acc JOIN te a ON a.id = acc.s1 JOIN te b ON b.id = acc.rec
+UNION ALL SELECT 'matched entities', avg((id IN (SELECT id FROM m))::INT) FROM te WHERE src = 1 UNION ALL SELECT 'claimed records', avg((id IN (SELECT id FROM m))::INT) FROM te WHERE src > 1""")
+def shift_checks(t):
+    """Records of odd ids as test data, some of them from a country that those of even ids don't have."""
+    odd = F.col("id") % 2 == 1
+    test = t.records.where(odd).withColumn("country", F.when(F.col("id") % 7 == 0, "Else").otherwise(F.col("country")))
+    return reports.shift_checks(t.records.where(~odd), test, decide.assign(t.scored, "p", 0.55).where("s1 % 2 = 1"))

@@ -8,7 +8,7 @@ from functools import partial
 from pyspark.ml import PipelineModel
 from pyspark.sql import functions as F
 
-from recordloom.functions.ids import fold, is_holdout
+from recordloom.functions.ids import fold, is_holdout, source_of
 from recordloom.operators import blocking, classic, ensembles, evaluate, models, vectors
 from recordloom.plans import linkage
 from recordloom.plans.catalog import _KEYS, _NAME_F, _W, _split, _words, query, short
@@ -196,6 +196,20 @@ def landmark_features(t):
     return found.select("rec", *[short(F.col("f")[i], 6).alias(f"f{i}") for i in range(2)])
 
 
+@query(f"SELECT rec::BIGINT AS rec, y FROM (SELECT {_RULE})")
+def second_level_scores(t):
+    """Trees over two scores, each right about half of the values."""
+    rows = _rule(t, True)
+    first, second = F.when(F.col("k") < 4, F.col("y") * 0.9 + 0.05).otherwise(0.5), F.when(F.col("k") >= 4, F.col("y") * 0.9 + 0.05).otherwise(0.5)
+    return _decided(models.second_level(scratch.table(rows.withColumns({"p2": first, "xe": second})), "p2", "xe", "p", rounds=10)[0])
+
+
+@query("SELECT id, src FROM (SELECT id, 1 AS src FROM s1 WHERE country IN ('US', 'France') ORDER BY id LIMIT 40) UNION ALL SELECT id, 2 FROM rec WHERE country IN ('US', 'France')")
+def restricted_records(t):
+    a, b = blocking.restrict(t.s1, t.rec, ("US", "France"), 40)
+    return a.select("id", F.lit(1).alias("src")).union(b.select("id", F.lit(2).alias("src")))
+
+
 # ---- vector index --------------------------------------------------------------------------------------------------------
 _EXACT = """e AS (SELECT vec_id AS id, embedding::DOUBLE[] AS v FROM embeddings WHERE embedding IS NOT NULL), n AS (SELECT a.id AS s1, b.id AS cand, list_dot_product(a.v, b.v) AS cos FROM e a JOIN e b ON a.id % 50 = 0),
 r AS (SELECT *, (row_number() OVER (PARTITION BY s1 ORDER BY cos DESC, cand))::INT AS rank FROM n)"""
@@ -331,3 +345,12 @@ def streamed_matches(t):
     stream = t.spark.readStream.schema(records.schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/in")
     match_stream(stream, _split(t)[0], f"{base}/out", f"{base}/checkpoint").awaitTermination()
     return t.spark.read.parquet(f"{base}/out").select("rec", "s1", short("score").alias("score"))
+
+
+@query(f""", size AS (SELECT country, count(*) AS n FROM norm WHERE src = 1 GROUP BY country), {_channel("addr")} SELECT s1, rec, 2 AS src, score, (row_number() OVER (PARTITION BY s1 ORDER BY score DESC, rec))::INT AS rank FROM addr_c WHERE score > 0.05 QUALIFY rank <= 4""")
+def entity_neighbours(t):
+    """The other way round: each entity's best records of a source."""
+    s1, rec = _split(t)
+    f, cap, _ = blocking.CHANNELS["addr"]
+    s, q = blocking.channel(s1, rec, f, cap)
+    return blocking.nearest_records(s, q, 4, source_of(F.col("id")), (2,))

@@ -25,6 +25,7 @@ class Lexicon:
     script_tokens: DataFrame | None = None
     components: DataFrame | None = None
     tokens: DataFrame | None = None
+    plain_components: DataFrame | None = None
     french: dict = field(default_factory=lambda: dict(lexicon.FRENCH_TOKENS))
 
 
@@ -39,10 +40,13 @@ def normalize(records: DataFrame, lex: Lexicon | None = None) -> DataFrame:
 
     lex = lex or Lexicon()
     as_map = lambda t: lexicon.as_map(t) if t is not None else None
-    script, comps, tokens = as_map(lex.script_tokens), as_map(lex.components), as_map(lex.tokens)
+    script, comps, tokens, plain = as_map(lex.script_tokens), as_map(lex.components), as_map(lex.tokens), as_map(lex.plain_components)
     name = normalize_name(F.col("name"), script)
-    usual, french = normalize_address(F.col("addr"), tokens, comps, script), normalize_address(F.col("addr"), literal_map(lex.french), None, script)
-    rows = records.withColumns({"_n": name, "_a": F.when(F.col("country") == "France", french).otherwise(usual)})
+    # one pass over the address: the country picks the maps
+    none, french = F.lit(None).cast("map<string,string>"), F.col("country") == "France"
+    own_tokens = F.when(french, literal_map(lex.french)).otherwise(none if tokens is None else tokens)
+    own_comps, own_plain = (None if m is None else F.when(french, none).otherwise(m) for m in (comps, plain))
+    rows = records.withColumns({"_n": name, "_a": normalize_address(F.col("addr"), own_tokens, own_comps, script, own_plain)})
     return rows.select("id", "src", "country", "_n.core", "_n.legal", "_n.glued", "_a.atok", "_a.anum", "_a.post", F.coalesce(F.col("name").rlike(INDIC), F.lit(False)).alias("indic"))
 
 
