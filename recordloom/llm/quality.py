@@ -9,7 +9,9 @@ most alpha of good documents are rejected by the rules together.
 
 Defined results: null or empty text has no words, fails the base rules and is not kept; null lang is a stratum of its
 own; repeated rows are judged alike; an empty table or empty labels give no certified cutoff; a document with several
-labels counts as good only if all say so.
+labels counts as good only if all say so; null doc_ids have no label; very long texts are counted whole; of equally strict cutoffs
+there is one, the grid's first that is certified, and a statistic equal to it passes; columns of docs that are called like
+an added one are replaced, all others are kept.
 """
 
 from __future__ import annotations

@@ -18,7 +18,7 @@ joined, so a repeat is reported whole, however long, as long as no part of it th
 one does, the repeat is reported in parts, and that part as a group of its own.
 
 Defined results: null or empty text has no bytes; texts under 50 bytes keep all; two rows of the same doc_id never
-remove each other's bytes; null doc_ids are taken as the earliest (least long); very long documents are a chunk of
+remove each other's bytes; null doc_ids are taken as the earliest (a doc_id of the least long is taken for null); very long documents are a chunk of
 their own; an empty table gives no rows; columns named like an added one are replaced (``prefix`` avoids that), all other
 columns are carried along unchanged.
 """
