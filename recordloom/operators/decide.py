@@ -36,8 +36,8 @@ def threshold_curve(scored: DataFrame, truth: DataFrame, population: DataFrame,
 
 
 def tune_threshold(*args, **kwargs) -> float:
-    """The first best threshold."""
-    return threshold_curve(*args, **kwargs).orderBy(F.desc("macro_f05"), "threshold").first()["threshold"]
+    """The first best threshold; values that only differ by the order of summation are equal."""
+    return threshold_curve(*args, **kwargs).orderBy(F.desc(F.round("macro_f05", 12)), "threshold").first()["threshold"]
 
 
 def labelled(best: DataFrame, truth: DataFrame, fp_weight: float = 1.0) -> DataFrame:

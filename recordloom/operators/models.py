@@ -54,7 +54,7 @@ def mean_of(models: list[PipelineModel], df: DataFrame, name: str) -> DataFrame:
     return out.withColumn(name, total / len(models)).drop(*[f"_m{i}" for i in range(len(models))])
 
 
-def out_of_fold(df: DataFrame, columns: list[str], name: str, fold: str = "fold", folds: int = 3, holdout: str = "ho", fit=fit_trees, early: bool = False) -> tuple[DataFrame, list[PipelineModel]]:
+def out_of_fold(df: DataFrame, columns: list[str], name: str, fold: str = "fold", folds: int = 3, holdout: str = "ho", fit=fit_trees, *, early: bool = False) -> tuple[DataFrame, list[PipelineModel]]:
     """Every training row is scored by the model that didn't see its group; holdout rows by the mean of all models. With early,
     boosting of a fold's model stops when the loss on the fold's own rows does: they choose its length, they aren't fitted."""
     train = df.where(~F.col(holdout))

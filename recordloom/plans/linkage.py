@@ -102,10 +102,10 @@ def retune(scored: DataFrame, truth: DataFrame, p: str = "p2") -> float:
     return decide.tune_threshold(scored.where("NOT ho"), truth, people, p)
 
 
-def train(norm: DataFrame, truth: DataFrame, checkpoint=table, channels: dict | None = None, rounds: int = 40) -> tuple[DataFrame, Fitted]:
+def train(norm: DataFrame, truth: DataFrame, checkpoint=table, channels: dict | None = None, rounds: int | None = None) -> tuple[DataFrame, Fitted]:
     """Scored pairs (p1, p2, out of fold) and the fitted models. checkpoint(df, name) writes a table and reads it back. The pruner is
-    cross-fitted on two halves; both passes boost for as long as the held-out fold gains, `rounds` at most."""
-    long = partial(models.fit_trees, rounds=rounds)
+    cross-fitted on two halves; both passes boost for as long as the held-out fold gains, `rounds` at most (None: as fit_trees says)."""
+    long = models.fit_trees if rounds is None else partial(models.fit_trees, rounds=rounds)
     cand = checkpoint(evaluate.attach_labels(candidates(norm, channels), truth), "candidates")
     cheap = models.feature_columns(cand)
     halves = cand.withColumn("_half", fold(F.col("grp"), 2, "half"))
