@@ -28,10 +28,11 @@ def vote(ballots: DataFrame, totals: DataFrame | None = None, least: int = 2, sh
 
 
 def pair_texts(records: DataFrame, truth: DataFrame, sample: int | None = None) -> DataFrame:
-    """(rec, a_name, a_addr, b_name, b_addr) of true pairs; at most `sample`, picked by hash."""
+    """(rec, a_name, a_addr, b_name, b_addr) of true pairs; about `sample` of them, a share picked by hash, if there are more."""
     pairs = truth.where("rec >= 0").select("s1", "rec")
-    if sample:
-        pairs = pairs.orderBy(F.xxhash64("rec"), "rec").limit(sample)
+    n, many = pairs.count() if sample else 0, 1 << 30
+    if sample and n > sample:
+        pairs = pairs.where(F.pmod(F.xxhash64("rec"), F.lit(many)) < sample * many // n)
     side = lambda key, p: records.select(F.col("id").alias(key), F.coalesce("name", F.lit("")).alias(f"{p}_name"), F.coalesce("addr", F.lit("")).alias(f"{p}_addr"))
     return pairs.join(side("s1", "a"), "s1").join(side("rec", "b"), "rec")
 
