@@ -30,3 +30,7 @@ def _broadcasts(df) -> int:
 def test_searched_thresholds_broadcasts_no_table_of_pairs(wide):
     assert _broadcasts(wide.scored.join(wide.scored.groupBy("rec").agg(F.max("p").alias("p")), ["rec", "p"])) == 0
     assert catalog_lexicon.searched_thresholds(wide).first()[0] > 0
+
+
+def test_weighted_token_overlap_broadcasts_no_records(wide):
+    assert _broadcasts(catalog.weighted_token_overlap(wide)) == 0
