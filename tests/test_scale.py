@@ -34,3 +34,7 @@ def test_searched_thresholds_broadcasts_no_table_of_pairs(wide):
 
 def test_weighted_token_overlap_broadcasts_no_records(wide):
     assert _broadcasts(catalog.weighted_token_overlap(wide)) == 0
+
+
+def test_faulty_outputs_broadcasts_no_ids_or_candidates(wide):
+    assert _broadcasts(catalog_io.faulty_outputs(wide)) == 0
