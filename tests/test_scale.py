@@ -38,3 +38,7 @@ def test_weighted_token_overlap_broadcasts_no_records(wide):
 
 def test_faulty_outputs_broadcasts_no_ids_or_candidates(wide):
     assert _broadcasts(catalog_io.faulty_outputs(wide)) == 0
+
+
+def test_token_jaccard_broadcasts_no_records(wide):
+    assert _broadcasts(catalog.token_jaccard(wide)) == 0
