@@ -42,3 +42,16 @@ def test_faulty_outputs_broadcasts_no_ids_or_candidates(wide):
 
 def test_token_jaccard_broadcasts_no_records(wide):
     assert _broadcasts(catalog.token_jaccard(wide)) == 0
+
+
+def test_blocking_leaves_no_table_that_it_made_on_the_way(spark):
+    from recordloom.operators import blocking
+
+    t = catalog.Context(spark, "/root/testdata/sf0.001")
+    before = set(scratch._made.get(spark.sparkContext.applicationId, []))
+    norm = t.norm
+    found = blocking.block(norm.where("src = 1"), norm.where("src > 1"), {k: blocking.CHANNELS[k] for k in ("name", "addr")})
+    left = {p.rsplit("/", 1)[1].split("-")[0] for p in set(scratch._made[spark.sparkContext.applicationId]) - before}
+    assert found.count() > 0
+    assert "cosines" in left and not left & {"rows", "groups", "postings", "needs", "asked"}
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "true"
