@@ -136,7 +136,8 @@ def reduction_ratio(pairs: DataFrame, s1: DataFrame, rec: DataFrame) -> DataFram
     """(country, pairs, per_s1, reduction): how many of a country's possible pairs blocking leaves out."""
     a = s1.groupBy("country").agg(F.count("*").alias("_a"))
     b = rec.groupBy("country").agg(F.count("*").alias("_b"))
-    n = pairs.join(s1.select(F.col("id").alias("s1"), "country"), "s1").groupBy("country").agg(F.count("*").alias("pairs"))
+    own = pairs.groupBy("s1").agg(F.count("*").alias("_p"))  # a row per entity, not per pair, meets the countries
+    n = own.join(s1.select(F.col("id").alias("s1"), "country"), "s1").groupBy("country").agg(F.sum("_p").alias("pairs"))
     out = a.join(b, "country", "left").join(n, "country", "left").fillna(0, ["_b", "pairs"])
     return out.select("country", "pairs", (F.col("pairs") / F.col("_a")).alias("per_s1"), (1 - F.col("pairs") / F.greatest(F.col("_a") * F.col("_b"), F.lit(1))).alias("reduction"))
 

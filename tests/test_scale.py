@@ -55,3 +55,21 @@ def test_blocking_leaves_no_table_that_it_made_on_the_way(spark):
     assert found.count() > 0
     assert "cosines" in left and not left & {"rows", "groups", "postings", "needs", "asked"}
     assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "true"
+
+
+@pytest.fixture(scope="module")
+def small(spark):
+    t = catalog.Context(spark, "/root/testdata/sf0.001")
+    assert t.norm.count() > 0
+    return t
+
+
+def _no_row_per_pair_is_dealt_out(df) -> bool:
+    import re
+
+    return len(re.findall(r"Exchange hashpartitioning\(s1#\d+L?, cand#", df._jdf.queryExecution().executedPlan().toString())) == 0
+
+
+def test_kept_candidates_deals_out_no_row_per_pair_and_key(small):
+    out = catalog.kept_candidates(small)
+    assert _no_row_per_pair_is_dealt_out(out) and "hits-" not in out._jdf.queryExecution().executedPlan().toString()
