@@ -73,3 +73,7 @@ def _no_row_per_pair_is_dealt_out(df) -> bool:
 def test_kept_candidates_deals_out_no_row_per_pair_and_key(small):
     out = catalog.kept_candidates(small)
     assert _no_row_per_pair_is_dealt_out(out) and "hits-" not in out._jdf.queryExecution().executedPlan().toString()
+
+
+def test_key_candidates_deals_out_no_row_per_pair_and_key(small):
+    assert _no_row_per_pair_is_dealt_out(catalog.key_candidates(small))
