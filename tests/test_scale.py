@@ -77,3 +77,13 @@ def test_kept_candidates_deals_out_no_row_per_pair_and_key(small):
 
 def test_key_candidates_deals_out_no_row_per_pair_and_key(small):
     assert _no_row_per_pair_is_dealt_out(catalog.key_candidates(small))
+
+
+def test_inverted_index_join_deals_out_no_row_per_pair_and_key(small):
+    assert _no_row_per_pair_is_dealt_out(catalog.inverted_index_join(small))
+
+
+def test_groups_of_the_key_join_follow_the_entities(spark):
+    from recordloom.operators import blocking
+
+    assert [blocking.join_groups(spark.range(n)) for n in (0, 300, 100_000)] == [1, 1, 13]
