@@ -87,3 +87,15 @@ def test_groups_of_the_key_join_follow_the_entities(spark):
     from recordloom.operators import blocking
 
     assert [blocking.join_groups(spark.range(n)) for n in (0, 300, 100_000)] == [1, 1, 13]
+
+
+def test_family_shares_makes_the_true_pairs_only(small):
+    from recordloom.operators import blocking
+
+    assert "explode(_c" not in catalog.family_shares(small)._jdf.queryExecution().executedPlan().toString()
+    s1, rec = catalog._split(small)
+    keys, index = blocking.record_keys(rec), blocking.build_index(blocking.record_keys(rec), rec)
+    true = small.truth.where("rec >= 0").select("s1", F.col("rec").alias("cand"))
+    some = blocking.index_join_of(true.union(true), blocking.record_keys(s1), blocking.postings(keys, index))
+    every = blocking.index_join(blocking.record_keys(s1), keys, index).join(true, ["s1", "cand"], "left_semi")
+    assert sorted(map(tuple, some.collect())) == sorted(map(tuple, every.select(*some.columns).collect()))
