@@ -99,3 +99,7 @@ def test_family_shares_makes_the_true_pairs_only(small):
     some = blocking.index_join_of(true.union(true), blocking.record_keys(s1), blocking.postings(keys, index))
     every = blocking.index_join(blocking.record_keys(s1), keys, index).join(true, ["s1", "cand"], "left_semi")
     assert sorted(map(tuple, some.collect())) == sorted(map(tuple, every.select(*some.columns).collect()))
+
+
+def test_reduction_ratio_deals_out_no_row_per_pair(small):
+    assert _no_row_per_pair_is_dealt_out(catalog.reduction_ratio(small))
