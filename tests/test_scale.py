@@ -103,3 +103,7 @@ def test_family_shares_makes_the_true_pairs_only(small):
 
 def test_reduction_ratio_deals_out_no_row_per_pair(small):
     assert _no_row_per_pair_is_dealt_out(catalog.reduction_ratio(small))
+
+
+def test_key_families_deals_out_no_row_per_pair_and_key(small):
+    assert _no_row_per_pair_is_dealt_out(catalog.key_families(small))
