@@ -80,8 +80,11 @@ def hard_negatives(df: DataFrame, p: str, easy_share: float = 0.2, hard_from: fl
 
 
 def calibrate(df: DataFrame, p: str, label: str = "y"):
-    """Isotonic regression of the label on the score."""
-    return IsotonicRegression(featuresCol="_x", labelCol="_y").fit(df.select(F.col(label).cast("double").alias("_y"), F.col(p).cast("double").alias("_x")))
+    """Isotonic regression of the label on the score. Equal scores are one row of their mean label, weighted by their number: the fit
+    is the same, and no task gets all rows of a score."""
+    rows = df.select(F.col(label).cast("double").alias("_y"), F.col(p).cast("double").alias("_x"))
+    by_score = rows.groupBy("_x").agg(F.avg("_y").alias("_y"), F.count("*").cast("double").alias("_w"))
+    return IsotonicRegression(featuresCol="_x", labelCol="_y", weightCol="_w").fit(by_score)
 
 
 def calibrated(model, df: DataFrame, p: str, name: str) -> DataFrame:

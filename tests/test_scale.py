@@ -107,3 +107,15 @@ def test_reduction_ratio_deals_out_no_row_per_pair(small):
 
 def test_key_families_deals_out_no_row_per_pair_and_key(small):
     assert _no_row_per_pair_is_dealt_out(catalog.key_families(small))
+
+
+def test_calibration_fits_a_row_per_score(spark, monkeypatch):
+    from recordloom.operators import models
+
+    rows = spark.range(4000).select((F.col("id") % 20 / 20).alias("p"), ((F.col("id") * 7 % 20 + F.col("id") % 3) % 20 < F.col("id") % 20).cast("int").alias("y"))
+    own, seen = models.IsotonicRegression.fit, []
+    monkeypatch.setattr(models.IsotonicRegression, "fit", lambda self, df, *a: seen.append(df.count()) or own(self, df, *a))
+    got = models.calibrated(models.calibrate(rows, "p"), rows, "p", "c").select("p", "c").distinct().orderBy("p").collect()
+    plain = own(models.IsotonicRegression(featuresCol="x", labelCol="y"), rows.select(F.col("p").alias("x"), F.col("y").cast("double").alias("y")))
+    want = plain.transform(rows.select(F.col("p").alias("x"))).select("x", "prediction").distinct().orderBy("x").collect()
+    assert seen == [20] and [round(r["c"], 9) for r in got] == [round(r["prediction"], 9) for r in want]
