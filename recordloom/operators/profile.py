@@ -30,9 +30,21 @@ def text_profile(df: DataFrame, column: str, by: list[str] | None = None) -> Dat
 
 
 def describe(df: DataFrame, column: str, by: list[str] | None = None, quantiles: tuple[float, ...] = (0.25, 0.5, 0.75)) -> DataFrame:
-    """Mean, deviation, extremes and exact percentiles."""
-    c = F.col(column)
-    return df.groupBy(*(by or [])).agg(F.count(c).alias("n"), F.avg(c).alias("mean"), F.stddev_samp(c).alias("std"), F.min(c).alias("min"), F.max(c).alias("max"), *[F.percentile(c, F.lit(q)).alias(f"p{round(q * 100)}") for q in quantiles])
+    """Mean, deviation, extremes and exact percentiles (interpolated). These are read off running counts of distinct values, in
+    range partitions: a group may have any share of the rows, and none is one task's."""
+    from recordloom.operators.runs import segmented_sums
+
+    c, by = F.col(column), by or []
+    rows = df.select(F.struct(*[F.col(k) for k in by], F.lit(0).alias("_")).alias("_g"), c.alias("_v"))  # a struct's nulls are equal
+    base = rows.groupBy("_g").agg(F.count("_v").alias("n"), F.avg("_v").alias("mean"), F.stddev_samp("_v").alias("std"), F.min("_v").alias("min"), F.max("_v").alias("max"))
+    counts = rows.where("_v IS NOT NULL").groupBy("_g", "_v").agg(F.count("*").alias("_k"))
+    placed = segmented_sums(counts, "_g", "_v", {"_k": "_down"}).join(base.select("_g", "n"), "_g").withColumn("_first", F.col("n") - F.col("_down"))
+    at = lambda i: F.max(F.when((F.col("_first") <= i) & (i < F.col("_first") + F.col("_k")), F.col("_v").cast("double")))
+    place = {q: (F.col("n") - 1) * F.lit(float(q)) for q in quantiles}
+    ends = [x for i, p in enumerate(place.values()) for x in (at(F.floor(p)).alias(f"_low{i}"), at(F.ceil(p)).alias(f"_high{i}"))]
+    out = base.join(placed.groupBy("_g").agg(*ends), "_g", "left") if ends else base
+    between = [F.when(F.col(f"_low{i}") == F.col(f"_high{i}"), F.col(f"_low{i}")).otherwise((F.ceil(p) - p) * F.col(f"_low{i}") + (p - F.floor(p)) * F.col(f"_high{i}")).alias(f"p{round(q * 100)}") for i, (q, p) in enumerate(place.items())]
+    return out.select(*[F.col("_g")[k].alias(k) for k in by], "n", "mean", "std", "min", "max", *between)
 
 
 def value_counts(df: DataFrame, column: str, top: int | None = None) -> DataFrame:

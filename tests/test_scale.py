@@ -119,3 +119,17 @@ def test_calibration_fits_a_row_per_score(spark, monkeypatch):
     plain = own(models.IsotonicRegression(featuresCol="x", labelCol="y"), rows.select(F.col("p").alias("x"), F.col("y").cast("double").alias("y")))
     want = plain.transform(rows.select(F.col("p").alias("x"))).select("x", "prediction").distinct().orderBy("x").collect()
     assert seen == [20] and [round(r["c"], 9) for r in got] == [round(r["prediction"], 9) for r in want]
+
+
+def test_description_reads_percentiles_off_running_counts(spark):
+    from recordloom.operators import profile
+
+    rows = spark.range(5000).select(F.when(F.col("id") % 7 > 0, F.col("id") % 3).alias("g"), F.when(F.col("id") % 11 > 0, (F.col("id") * 7919 % 1013) / 8).alias("v"))
+    rows = rows.union(spark.createDataFrame([(9, None), (8, 2.5)], "g long, v double"))
+    out = profile.describe(rows, "v", ["g"])
+    assert "percentile(" not in out._jdf.queryExecution().executedPlan().toString()
+    want = rows.groupBy("g").agg(F.count("v"), F.min("v"), F.max("v"), *[F.percentile("v", F.lit(q)) for q in (0.25, 0.5, 0.75)])
+    short = lambda r: tuple(round(x, 9) if isinstance(x, float) else x for x in r)
+    key = lambda r: str(r[0])
+    assert sorted((short(r) for r in out.select("g", "n", "min", "max", "p25", "p50", "p75").collect()), key=key) == sorted((short(r) for r in want.collect()), key=key)
+    assert profile.describe(rows, "v").count() == 1
