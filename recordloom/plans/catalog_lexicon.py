@@ -19,7 +19,7 @@ _INDIC = "'[ऀ-෿]'"
 
 def _texts(t):
     t.s1.createOrReplaceTempView("s1")
-    return scratch.table(t.spark.sql(_TEXTS), "texts")
+    return scratch.table(t.spark.sql(_TEXTS).repartition("rec"), "texts")
 
 
 @query(f""", x AS ({_TEXTS}), w AS (SELECT {_words(_basic('a_name'))} AS a, {_words('b_name')} AS b FROM x WHERE regexp_matches(b_name, {_INDIC})),

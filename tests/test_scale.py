@@ -133,3 +133,19 @@ def test_description_reads_percentiles_off_running_counts(spark):
     key = lambda r: str(r[0])
     assert sorted((short(r) for r in out.select("g", "n", "min", "max", "p25", "p50", "p75").collect()), key=key) == sorted((short(r) for r in want.collect()), key=key)
     assert profile.describe(rows, "v").count() == 1
+
+
+def test_preparation_is_spread_beyond_the_files_of_the_input(wide):
+    """A small file of many rows is read by one or two tasks; normalising them isn't theirs."""
+    from recordloom.plans import classic_family  # noqa: F401
+
+    t = catalog.Context(wide.spark, wide.sf_dir)
+    seen = []
+    own, scratch.table = scratch.table, lambda df, name="table": seen.append((name, df)) or df
+    try:
+        t.norm, catalog._classic_sides(t), catalog_lexicon._texts(t)
+    finally:
+        scratch.table = own
+    for name, df in seen:
+        assert "REPARTITION_BY_COL" in df._jdf.queryExecution().executedPlan().toString(), name
+    assert sorted(n for n, _ in seen) == ["classic", "normalized", "texts"]
