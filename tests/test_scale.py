@@ -149,3 +149,13 @@ def test_preparation_is_spread_beyond_the_files_of_the_input(wide):
     for name, df in seen:
         assert "REPARTITION_BY_COL" in df._jdf.queryExecution().executedPlan().toString(), name
     assert sorted(n for n, _ in seen) == ["classic", "normalized", "texts"]
+
+
+def test_vector_products_exist_for_a_strip_of_queries_at_a_time(spark, monkeypatch):
+    from recordloom.operators import blocking
+
+    v = spark.range(600).select("id", F.lit("a").alias("country"), F.array((F.col("id") % 7).cast("double"), (F.col("id") % 11).cast("double")).alias("vector"))
+    rows = lambda: sorted(map(tuple, blocking.nearest_vectors(v, v, 3).collect()))
+    whole = rows()
+    monkeypatch.setattr(blocking, "_STRIP", 7)
+    assert rows() == whole and len(whole) == 1800
