@@ -159,3 +159,9 @@ def test_vector_products_exist_for_a_strip_of_queries_at_a_time(spark, monkeypat
     whole = rows()
     monkeypatch.setattr(blocking, "_STRIP", 7)
     assert rows() == whole and len(whole) == 1800
+
+
+def test_key_families_share_what_they_have_in_common(small):
+    """Sounds, house and street are evaluated once per record, not in every family and for every word of it."""
+    plan = catalog.blocking_keys(small)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_replace(") == 1 and plan.count("plot") == 1
