@@ -21,6 +21,4 @@ def preprocess(records: DataFrame) -> DataFrame:
 def key_candidates(norm: DataFrame, k: int = 50, reverse_k: int = 3) -> DataFrame:
     """(s1, cand, score, mask, ranks) by the inverted index over every key family, cut by the keep rule."""
     s1, rec = norm.where("src = 1"), norm.where("src > 1")
-    keys = blocking.record_keys(rec)
-    hits = blocking.index_join(blocking.record_keys(s1), keys, blocking.build_index(keys, rec), blocking.join_groups(s1))
-    return blocking.keep_candidates(hits.withColumn("cos", F.lit(0.0)), k, 0, reverse_k).drop("cos", "channel_rank")
+    return blocking.kept_key_hits(s1, rec, k, reverse_k)

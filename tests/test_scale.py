@@ -165,3 +165,52 @@ def test_key_families_share_what_they_have_in_common(small):
     """Sounds, house and street are evaluated once per record, not in every family and for every word of it."""
     plan = catalog.blocking_keys(small)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("regexp_replace(") == 1 and plan.count("plot") == 1
+
+
+@pytest.fixture(scope="module")
+def joined(small):
+    """The key join without names apart or Arrow, a row per pair."""
+    from recordloom.operators import blocking
+
+    s1, rec = catalog._split(small)
+    keys = blocking.record_keys(rec)
+    return scratch.table(blocking.index_join(blocking.record_keys(s1), keys, blocking.build_index(keys, rec)), "joined")
+
+
+def _rows(df, columns) -> list:
+    return sorted(map(tuple, df.select(*columns).collect()))
+
+
+def _work(df) -> str:
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_key_candidates_sorts_no_row_per_pair(small, joined):
+    """Ranks and reverse ranks are found in Arrow; pairs travel as arrays."""
+    from recordloom.operators import blocking
+    from recordloom.plans import classic_family
+
+    for k, reverse_k in ((3, 1), (1, 0), (50, 3)):
+        out = classic_family.key_candidates(small.norm, k, reverse_k)
+        assert " Window " not in _work(out) and "explode(_c" not in _work(out)
+        want = blocking.keep_candidates(joined.withColumn("cos", F.lit(0.0)), k, 0, reverse_k)
+        assert _rows(out, out.columns) == _rows(want, out.columns)
+
+
+def test_keys_of_names_that_records_share(small):
+    """Names that many have, up to and over the caps, and a country apart; copies of a record; records without a name or an address."""
+    from recordloom.operators import blocking
+
+    schema = "id long, src int, country string, core string, anum string, atok string, post string"
+    one = lambda i, src, core, at=("12", "market square", "110001"), country="US": (i, src, country, core, *at)
+    rows = [one(i, 1, "alpha beta") for i in range(9)] + [one(20, 1, "gamma"), one(21, 1, ""), one(22, 1, None), one(23, 1, "alpha beta", ("", "", "")), one(24, 1, "beta alpha", (None, None, None))]
+    rows += [one(1000 + i, 2, "alpha beta", ("12", "market square", str(110000 + i))) for i in range(90)] + [one(2000 + i, 2, "gamma delta", country="India") for i in range(5)]
+    rows += [one(3000 + i, 2, "gamma", (str(i), "", "")) for i in range(101)] + [one(4000, 2, ""), one(4001, 2, None), one(4002, 2, "beta alpha")]
+    norm = small.spark.createDataFrame(rows, schema)
+    s1, rec = norm.where("src = 1"), norm.where("src = 2")
+    keys = blocking.record_keys(rec)
+    want = blocking.index_join(blocking.record_keys(s1), keys, blocking.build_index(keys, rec))
+    assert _rows(blocking.key_hits(s1, rec), want.columns) == _rows(want, want.columns) and want.count() > 900
+    pairs = want.select("s1", "cand")
+    assert _rows(blocking.key_hits_of(pairs, s1, rec), want.columns) == _rows(want, want.columns)
+    assert blocking.key_hits(s1.where("id < 0"), rec).count() == blocking.kept_key_hits(s1, rec.where("id < 0")).count() == 0
