@@ -132,11 +132,12 @@ def family_shares(pairs: DataFrame, truth: DataFrame, kinds: dict[str, Column])
     return sums.select(F.explode(rows).alias("f"), "_n").select("f.family", "f.hits", (F.col("f.hits") / F.greatest("_n", F.lit(1))).alias("share"))
 
 
-def reduction_ratio(pairs: DataFrame, s1: DataFrame, rec: DataFrame) -> DataFrame:
-    """(country, pairs, per_s1, reduction): how many of a country's possible pairs blocking leaves out."""
+def reduction_ratio(pairs: DataFrame, s1: DataFrame, rec: DataFrame, count: Column | None = None) -> DataFrame:
+    """(country, pairs, per_s1, reduction): how many of a country's possible pairs blocking leaves out. count: the pairs of a group of
+    rows, where they aren't a row each."""
     a = s1.groupBy("country").agg(F.count("*").alias("_a"))
     b = rec.groupBy("country").agg(F.count("*").alias("_b"))
-    own = pairs.groupBy("s1").agg(F.count("*").alias("_p"))  # a row per entity, not per pair, meets the countries
+    own = pairs.groupBy("s1").agg((F.count("*") if count is None else count).alias("_p"))  # a row per entity, not per pair, meets the countries
     n = own.join(s1.select(F.col("id").alias("s1"), "country"), "s1").groupBy("country").agg(F.sum("_p").alias("pairs"))
     out = a.join(b, "country", "left").join(n, "country", "left").fillna(0, ["_b", "pairs"])
     return out.select("country", "pairs", (F.col("pairs") / F.col("_a")).alias("per_s1"), (1 - F.col("pairs") / F.greatest(F.col("_a") * F.col("_b"), F.lit(1))).alias("reduction"))

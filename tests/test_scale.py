@@ -214,3 +214,11 @@ def test_keys_of_names_that_records_share(small):
     pairs = want.select("s1", "cand")
     assert _rows(blocking.key_hits_of(pairs, s1, rec), want.columns) == _rows(want, want.columns)
     assert blocking.key_hits(s1.where("id < 0"), rec).count() == blocking.kept_key_hits(s1, rec.where("id < 0")).count() == 0
+
+
+def test_reduction_ratio_counts_pairs_where_they_are_made(small, joined):
+    from recordloom.operators import blocking
+
+    out = blocking.key_counts(*catalog._split(small), "s1")
+    assert _rows(out, ["s1", "n"]) == _rows(joined.groupBy("s1").agg(F.count("*").alias("n")), ["s1", "n"])
+    assert "explode(_c" not in _work(catalog.reduction_ratio(small))
