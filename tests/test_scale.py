@@ -222,3 +222,11 @@ def test_reduction_ratio_counts_pairs_where_they_are_made(small, joined):
     out = blocking.key_counts(*catalog._split(small), "s1")
     assert _rows(out, ["s1", "n"]) == _rows(joined.groupBy("s1").agg(F.count("*").alias("n")), ["s1", "n"])
     assert "explode(_c" not in _work(catalog.reduction_ratio(small))
+
+
+def test_key_families_counts_pairs_where_they_are_made(small, joined):
+    from recordloom.operators import blocking
+
+    out = blocking.key_counts(*catalog._split(small), "mask").groupBy("mask").agg(F.sum("n").alias("n"))
+    assert _rows(out, ["mask", "n"]) == _rows(joined.groupBy("mask").agg(F.count("*").alias("n")), ["mask", "n"])
+    assert "explode(_c" not in _work(catalog.key_families(small))
