@@ -230,3 +230,12 @@ def test_key_families_counts_pairs_where_they_are_made(small, joined):
     out = blocking.key_counts(*catalog._split(small), "mask").groupBy("mask").agg(F.sum("n").alias("n"))
     assert _rows(out, ["mask", "n"]) == _rows(joined.groupBy("mask").agg(F.count("*").alias("n")), ["mask", "n"])
     assert "explode(_c" not in _work(catalog.key_families(small))
+
+
+def test_family_shares_deals_out_shared_keys_only(small, joined):
+    from recordloom.operators import blocking
+
+    true = small.truth.where("rec >= 0").select("s1", F.col("rec").alias("cand"))
+    out = blocking.key_hits_of(true.union(true), *catalog._split(small))
+    assert _rows(out, joined.columns) == _rows(joined.join(true, ["s1", "cand"], "left_semi"), joined.columns)
+    assert "kind#" not in "".join(x.split(")")[0] for x in _work(catalog.family_shares(small)).split("hashpartitioning(cand#")[1:])
