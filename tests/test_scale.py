@@ -239,3 +239,18 @@ def test_family_shares_deals_out_shared_keys_only(small, joined):
     out = blocking.key_hits_of(true.union(true), *catalog._split(small))
     assert _rows(out, joined.columns) == _rows(joined.join(true, ["s1", "cand"], "left_semi"), joined.columns)
     assert "kind#" not in "".join(x.split(")")[0] for x in _work(catalog.family_shares(small)).split("hashpartitioning(cand#")[1:])
+
+
+def test_hits_of_ids_of_any_distance():
+    """Ids that fit in one word with their entity's number, and ids that don't, negative ones among them."""
+    import numpy as np
+    import pyarrow as pa
+
+    from recordloom.operators import blocking
+
+    for far in (20_000_000_000, 2**62):
+        rows = [(5, 1.5, 1, [far, -far]), (-5, 2.0, 2, [7]), (5, 0.25, 4, [far, 7]), (-5, 1.0, 1, [7, far])]
+        lists = pa.table({c: [r[i] for r in rows] for i, c in enumerate(("s1", "weight", "_bit", "_c"))})
+        got = [x.tolist() for x in blocking._hits_of(lists)]
+        assert list(zip(*got, strict=True)) == [(-5, 7, 3.0, 3), (-5, far, 1.0, 1), (5, -far, 1.5, 1), (5, 7, 0.25, 4), (5, far, 1.75, 5)]
+    assert blocking._places(-np.array([1.0, 2.0, 2.0, 5.0]), np.array([1, 1, 1, 2])).tolist() == [3, 1, 2, 1]
