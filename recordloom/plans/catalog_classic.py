@@ -148,7 +148,7 @@ def classic_decoy_features(t):
 
 
 @query(f""", g AS (SELECT id, unnest(flatten(list_transform({_words('core')}, lambda w: list_transform(range(1, length(w) + 1), lambda i: substr(' ' || w || ' ', i, 3)) || list_transform(range(1, length(w)), lambda i: substr(' ' || w || ' ', i, 4))))) AS feature FROM norm),
-tf AS (SELECT id, feature, 1 + ln(count(*)) AS tf FROM g GROUP BY id, feature), df AS (SELECT feature, ln((1 + (SELECT count(*) FROM norm)) / (1 + count(*))) + 1 AS idf FROM tf GROUP BY feature HAVING count(*) <= 5000)
+tf AS (SELECT id, feature, 1 + ln(count(*)) AS tf FROM g GROUP BY id, feature), df AS (SELECT feature, ln((1 + (SELECT count(*) FROM norm)) / (1 + count(*))) + 1 AS idf FROM tf GROUP BY feature)
 SELECT id, feature, round(tf * idf / sqrt(sum(tf * idf * tf * idf) OVER (PARTITION BY id)), 6) AS weight FROM tf JOIN df USING (feature)""")
 def classic_ngram_rows(t):
     return rounded(classic.sublinear_rows(t.norm.select("id", F.col("core").alias("text"))), ("id", "feature"))
