@@ -299,3 +299,18 @@ def test_cosines_of_pairs_over_blocks(spark, world):
     for rows in (50, 1000):
         got = blocking.block_cosines(pairs, mats, rows, rows).select(want.columns)
         assert sorted(got.collect()) == sorted(want.collect()) and pairs.count() > 1000
+
+
+def test_products_and_cosines_come_in_rounds(spark, world):
+    """What is on the move at once is bounded; the rounds together are the whole."""
+    norm = world["norm"]
+    mats = {k: blocking.channel(norm.where("src = 1"), norm.where("src > 1"), f, 200) for k, (f, _, _) in blocking.CHANNELS.items()}
+    s, q = mats["comb"]
+    rounds = blocking.nearest_rounds(q, s, 5, query_rows=150, at_once=500)
+    hits = [tuple(r) for x in rounds for r in x.select("rec", "s1", "score", "rank").collect()]
+    want = [tuple(r) for r in blocking.nearest_rows(q, s, 5).select("rec", "s1", "score", "rank").collect()]
+    assert len(rounds) > 1 and sorted(hits) == sorted(want) and len(want) > 200
+    pairs = table(spark.createDataFrame([r[:2] for r in want], "rec long, s1 long"))
+    rounds = blocking.cosine_rounds(pairs, list(mats), blocking.packed_channels(mats), 150, at_once=100)
+    found = [tuple(r) for x in rounds for r in x.collect()]
+    assert len(rounds) > 1 and sorted(found) == sorted(tuple(r) for r in blocking.block_cosines(pairs, mats).collect()) and len(found) == len(want)
