@@ -254,3 +254,9 @@ def test_hits_of_ids_of_any_distance():
         got = [x.tolist() for x in blocking._hits_of(lists)]
         assert list(zip(*got, strict=True)) == [(-5, 7, 3.0, 3), (-5, far, 1.0, 1), (5, -far, 1.5, 1), (5, 7, 0.25, 4), (5, far, 1.75, 5)]
     assert blocking._places(-np.array([1.0, 2.0, 2.0, 5.0]), np.array([1, 1, 1, 2])).tolist() == [3, 1, 2, 1]
+
+
+def test_kept_candidates_deals_pairs_out_packed(small):
+    """Pairs leave their group of entities packed, once; no window deals them out by entity and by record."""
+    plan = catalog.kept_candidates(small)._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and "hashpartitioning(cand#" not in plan and "scores#" in plan
